@@ -51,5 +51,5 @@ def oracle(name: str) -> str | None:
         return None
     if not chk.rounded:
         return chk.sql
-    repl = ", ".join(f"round({c}, {DECIMALS}) AS {c}" for c in chk.rounded)
+    repl = ", ".join(f"round(\"{c}\", {DECIMALS}) AS \"{c}\"" for c in chk.rounded)
     return f"SELECT * REPLACE ({repl}) FROM (\n{chk.sql}\n) AS _q"
