@@ -20,14 +20,16 @@ class Check:
     fn: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     rounded: tuple[str, ...] = ()
+    decimals: int = DECIMALS
 
 
 REGISTRY: dict[str, Check] = {}
 
 
-def register(name: str, sql: str | None = None, rounded: tuple[str, ...] | list[str] = ()):
+def register(name: str, sql: str | None = None, rounded: tuple[str, ...] | list[str] = (),
+             decimals: int = DECIMALS):
     def deco(fn):
-        REGISTRY[name] = Check(name, fn, sql, tuple(rounded))
+        REGISTRY[name] = Check(name, fn, sql, tuple(rounded), decimals)
         return fn
     return deco
 
@@ -38,7 +40,7 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = chk.fn(spark, sf_dir)
         if chk.rounded:
-            df = df.select(*[F.round(F.col(c), DECIMALS).alias(c) if c in chk.rounded else F.col(c)
+            df = df.select(*[F.round(F.col(c), chk.decimals).alias(c) if c in chk.rounded else F.col(c)
                              for c in df.columns])
         return df
     run.__name__ = name
@@ -51,5 +53,5 @@ def oracle(name: str) -> str | None:
         return None
     if not chk.rounded:
         return chk.sql
-    repl = ", ".join(f"round(\"{c}\", {DECIMALS}) AS \"{c}\"" for c in chk.rounded)
+    repl = ", ".join(f"round(\"{c}\", {chk.decimals}) AS \"{c}\"" for c in chk.rounded)
     return f"SELECT * REPLACE ({repl}) FROM (\n{chk.sql}\n) AS _q"

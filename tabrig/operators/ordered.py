@@ -7,7 +7,11 @@ A bare ``Window.orderBy(x)`` moves every row to one task. Instead:
 3. prefix-sum those totals (tiny) and broadcast them as offsets,
 4. add the offset to a running sum computed inside each range partition.
 
-The broadcast side is bounded by ``partitions + groups`` rows, which is checked.
+The range-partition id is stored as data and the tagged table is checkpointed
+into the shared checkpoint folder before it is used twice: two independent
+range exchanges would each sample their own bounds, and a recomputation after
+an executor loss must see the same ids. The broadcast side is bounded by
+``partitions + groups`` rows.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Groups (columns, models, classes) handled by one running-total call. The
 # offsets table has at most partitions + groups rows; beyond this bound the
 # groups are not small and the caller must restructure.
@@ -36,8 +42,8 @@ def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     groups = list(groups or [])
     orders = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     n = _partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *[F.col(g) for g in groups], *orders)
-              .withColumn("_rp", F.spark_partition_id()))
+    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(g) for g in groups], *orders)
+                         .withColumn("_rp", F.spark_partition_id()))
     totals = ranged.groupBy("_rp", *groups).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_prev = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))) \
         .orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)

@@ -50,6 +50,14 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+    The input is kept in memory/disk while it is written so that the plan is
+    computed once, not once for the count and again for the write."""
+    from pyspark import StorageLevel
     shared_dir(df.sparkSession)  # makes sure a checkpoint dir is registered
-    return df.checkpoint(eager=eager)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=eager)
+    finally:
+        if eager:
+            held.unpersist()
