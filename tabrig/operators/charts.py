@@ -38,35 +38,60 @@ def chart_target(df: DataFrame, target: str, n: int = TOP_TARGET_VALUES) -> Data
     return vc.orderBy(F.col("n").desc(), F.col("label").asc()).limit(n)
 
 
+def pairwise_corr(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
+    """Pairwise-complete Pearson correlation (undefined -> 0.0) for many pairs
+    in two scans of plain sums: per-pair means over the complete rows, then
+    centred co-moments. Plain sums keep whole-stage codegen (a wide aggregate
+    of ``corr``/``covar`` expressions does not) and centring keeps precision."""
+    cols = sorted({c for p in pairs for c in p})
+    vals = {c: F.when(~is_missing(F.col(c), df.schema[c].dataType), F.col(c)).cast("double") for c in cols}
+
+    def both(a, b):
+        return vals[a].isNotNull() & vals[b].isNotNull()
+    first = df.agg(*[x for k, (a, b) in enumerate(pairs) for x in (
+        F.count_if(both(a, b)).alias(f"_n{k}"),
+        F.sum(F.when(both(a, b), vals[a])).alias(f"_sa{k}"),
+        F.sum(F.when(both(a, b), vals[b])).alias(f"_sb{k}"))]).first()
+    means = {}
+    for k in range(len(pairs)):
+        n = first[f"_n{k}"]
+        means[k] = (first[f"_sa{k}"] / n, first[f"_sb{k}"] / n) if n else (0.0, 0.0)
+    aggs = []
+    for k, (a, b) in enumerate(pairs):
+        da = F.when(both(a, b), vals[a] - F.lit(means[k][0]))
+        db = F.when(both(a, b), vals[b] - F.lit(means[k][1]))
+        aggs += [F.sum(da * db).alias(f"_xy{k}"), F.sum(da * da).alias(f"_xx{k}"), F.sum(db * db).alias(f"_yy{k}")]
+    second = df.agg(*aggs).first()
+    out = {}
+    for k, p in enumerate(pairs):
+        xy, xx, yy = second[f"_xy{k}"], second[f"_xx{k}"], second[f"_yy{k}"]
+        if first[f"_n{k}"] < 2 or not xx or not yy:
+            out[p] = 0.0
+        else:
+            out[p] = xy / (xx * yy) ** 0.5
+    return out
+
+
 def correlation_matrix(df: DataFrame, row_key: str | None = None, cols: list[str] | None = None,
                        decimals: int = 2) -> DataFrame:
     """V5: every ordered pair of numeric columns, pairwise-complete Pearson,
     undefined -> 0, rounded; empty when fewer than two numeric columns.
-    One aggregate with k(k+1)/2 expressions, mirrored."""
+    k(k+1)/2 pairs from two scans, mirrored (a k x k result, small)."""
     if cols is None:
         cols, _ = feature_types(df, row_key, bool_is_numeric=False)
     schema = "col_a string, col_b string, corr double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    vals = {c: F.when(~is_missing(F.col(c), df.schema[c].dataType), F.col(c)).cast("double") for c in cols}
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            both = vals[a].isNotNull() & vals[b].isNotNull()
-            sa = F.stddev_samp(F.when(both, vals[a]))
-            sb = F.stddev_samp(F.when(both, vals[b]))
-            aggs.append(F.coalesce(F.try_divide(F.covar_samp(vals[a], vals[b]), sa * sb), F.lit(0.0))
-                        .alias(f"_r{len(pairs)}"))
-            pairs.append((a, b))
-    wide = df.agg(*aggs)
-    structs = []
-    for k, (a, b) in enumerate(pairs):
-        r = F.round(F.col(f"_r{k}"), decimals)
-        structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("corr")))
+    pairs = [(a, cols[j]) for i, a in enumerate(cols) for j in range(i, len(cols))]
+    r = pairwise_corr(df, pairs)
+    rows = []
+    for (a, b), v in r.items():
+        v = round(max(-1.0, min(1.0, v)), 12)
+        rows.append((a, b, v))
         if a != b:
-            structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("corr")))
-    return wide.select(F.inline(F.array(*structs)))
+            rows.append((b, a, v))
+    return df.sparkSession.createDataFrame(rows, schema).select(
+        "col_a", "col_b", F.round("corr", decimals).alias("corr"))
 
 
 def chart_confusion(pred: DataFrame, model: str | None = None, mode: str = "A") -> DataFrame:

@@ -120,7 +120,11 @@ def basic_clean(df: DataFrame, row_key: str | None = None) -> CleanResult:
 def clean(df: DataFrame, target: str, row_key: str | None = None,
           persist: bool = False) -> CleanResult:
     """C4 (pipeline A): C3, error if the target was dropped, then P5.
-    C5 quirk kept: ``remaining_rows`` is counted before missing-target rows go."""
+    C5 quirk kept: ``remaining_rows`` is counted before missing-target rows go.
+    Without a row key a synthetic ``_row_id`` is added (positions have no
+    meaning in a distributed table)."""
+    if row_key is None:
+        df, row_key = df.withColumn("_row_id", F.monotonically_increasing_id()), "_row_id"
     cols = data_columns(df, row_key)
     if target not in cols:
         raise ValueError(f"Target column '{target}' was not found in the dataset.")
@@ -146,7 +150,8 @@ def clean(df: DataFrame, target: str, row_key: str | None = None,
                "remaining_columns": len(cols) - len(empty),
                "rows_removed_missing_target": int(r["_tmiss"]),
                "missing_values_remaining": int(sum(r[f"_m{i}"] for i in range(len(kept_cols))))}
-    res = CleanResult(cleaned=cleaned, summary=summary, empty_columns=empty, deduped=deduped)
+    res = CleanResult(cleaned=cleaned, summary=summary, empty_columns=empty, deduped=deduped,
+                      extras={"row_key": row_key})
     res.log = change_log(df, target, row_key, res)
     return res
 

@@ -56,6 +56,8 @@ def run_experiment_a(df: DataFrame, target: str, goal: str = "highest_accuracy",
     chart data -> report tables -> history upsert. Returns named tables."""
     spark = df.sparkSession
     check_dataset(df, target)
+    if row_key is None:
+        df, row_key = df.withColumn("_row_id", F.monotonically_increasing_id()), "_row_id"
     log = StepLog()
     exp_id = str(uuid.uuid4())
     quality = log.run("quality", Q.quality_report, df, target, row_key)
