@@ -193,10 +193,10 @@ def build_preprocessor(train: DataFrame, features: list[str] | None = None, targ
     stages = [SQLTransformer(statement=f"SELECT {', '.join(selects)} FROM __THIS__")]
     vec_inputs = [f"__num_{i}" for i in range(len(num))]
     if cat:
-        idx = StringIndexerModel.from_arrays_of_labels(
-            [cats[c] for c in cat], inputCols=[f"__cat_{i}" for i in range(len(cat))],
-            outputCols=[f"__idx_{i}" for i in range(len(cat))], handleInvalid="keep")
-        stages.append(idx)
+        # One indexer per column (the multi-column form's metadata breaks the encoder).
+        for i, c in enumerate(cat):
+            stages.append(StringIndexerModel.from_labels(cats[c], inputCol=f"__cat_{i}",
+                                                         outputCol=f"__idx_{i}", handleInvalid="keep"))
         ohe = OneHotEncoder(inputCols=[f"__idx_{i}" for i in range(len(cat))],
                             outputCols=[f"__vec_{i}" for i in range(len(cat))], dropLast=True)
         # Fit needs only the category counts; a one-row frame avoids a data pass.
