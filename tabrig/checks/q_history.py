@@ -123,3 +123,13 @@ _TITLE = ("array_to_string(list_transform(string_split(lower(replace({c}, '_', '
        ELSE printf('%.4f', best_model_score) END AS "Score", CAST(NULL AS VARCHAR) AS "Report" FROM up""")
 def s09(spark, sf):
     return H.history_frame(_upserted(spark, sf))
+
+
+@register("s01_read_csv_roundtrip",
+          "WITH " + __import__("tabrig.checks.views", fromlist=["DIRTY_ORDERS"]).DIRTY_ORDERS
+          + "\nSELECT rid, o_orderkey, o_custkey, price, priority, status, empty_col FROM dirty_orders")
+def s01(spark, sf):
+    from ..session import shared_dir
+    from ..sources.io import read_table_csv, write_table_csv
+    path = write_table_csv(S.dirty_orders(spark, sf), shared_dir(spark, "csv-dirty-orders"))
+    return read_table_csv(spark, path).drop("_row_id")
