@@ -20,6 +20,9 @@ DEFAULT_TEST_SIZE = 0.2
 DEFAULT_SEED = 42
 HASH_SPACE = 4294967296.0  # 2**32
 BUCKET_SHIFT = 65536  # 2**16 buckets of the 32-bit hash
+# Up to this many classes the quota arithmetic runs on the collected class
+# counts (one row per class); more classes use the distributed form.
+MAX_DRIVER_CLASSES = 100_000
 
 
 def hash_u32(key_col: str, seed: int = DEFAULT_SEED):
@@ -58,11 +61,33 @@ def can_stratify_frame(df: DataFrame, target: str, task: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(can_stratify(df, target, task),)], "can_stratify boolean")
 
 
+def _quotas_on_driver(df: DataFrame, target: str, rows, test_size: float) -> DataFrame:
+    n = sum(r["n_c"] for r in rows)
+    n_test = int(math.ceil(float(test_size) * n))
+    n_train = n - n_test
+    cont = [(r[target], r["n_c"], (r["n_c"] / float(n)) * float(n_train)) for r in rows]
+    fl = {i: int(math.floor(c)) for i, (_, _, c) in enumerate(cont)}
+    need = n_train - sum(fl.values())
+
+    def key(i):
+        v = cont[i][0]
+        return (-(cont[i][2] - fl[i]), v is None, v)  # ties: least label, missing last
+    order = sorted(range(len(cont)), key=key)
+    extra = set(order[:max(need, 0)])
+    out = [(v, n_c, n_c - fl[i] - (1 if i in extra else 0)) for i, (v, n_c, _) in enumerate(cont)]
+    dt = df.schema[target].dataType.simpleString()
+    return df.sparkSession.createDataFrame(out, f"`{target}` {dt}, n_c long, t_c long")
+
+
 def stratified_quotas(df: DataFrame, target: str, test_size: float = DEFAULT_TEST_SIZE) -> DataFrame:
     """Per-class test quotas: n_test = ceil(test_size * n), train quotas by the
     largest-remainder rule on n - n_test (ties -> least label), test = rest.
-    Returns (target, n_c, t_c); distributed, one row per class."""
+    Returns (target, n_c, t_c), one row per class; computed from the collected
+    class counts when they are few, else fully distributed."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
+    small = counts.limit(MAX_DRIVER_CLASSES + 1).collect()
+    if len(small) <= MAX_DRIVER_CLASSES:
+        return _quotas_on_driver(df, target, small, test_size)
     n = counts.agg(F.sum("n_c")).first()[0] or 0
     n_test = int(math.ceil(float(test_size) * n))
     n_train = n - n_test

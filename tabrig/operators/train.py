@@ -145,6 +145,9 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
         marked = mark_split_stratified(df, target, key, test_size, seed)
     else:
         marked = mark_split(df, key, test_size, seed)
+    # The split feeds the label list, every preprocessor statistic and both
+    # assembled sides: materialise it once instead of re-running it per job.
+    marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
     train_raw = marked.where(~F.col("is_test")).drop("is_test")
     test_raw = marked.where(F.col("is_test")).drop("is_test")
     feats = features if features is not None else [c for c in df.columns if c not in (target, key)]
@@ -214,7 +217,7 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
         metrics = metrics.drop("error")
     imp_df = spark.createDataFrame(imps, "model string, feature string, importance double, contribution double")
     return TrainResult(task, models, metrics, allp, imp_df, prep, fitted, labels, n_train, n_test, errors,
-                       timings, [train, test])
+                       timings, [train, test, marked])
 
 
 def full_pipeline(prep: Preprocessor, model) -> PipelineModel:
