@@ -1,6 +1,8 @@
 """Order-dependent building blocks without a single-partition window.
 
-A bare ``Window.orderBy(x)`` moves every row to one task. Instead:
+A bare ``Window.orderBy(x)`` moves every row to one task. Inputs are first
+aggregated to distinct keys by the callers; when that table is small (a
+checked row count) one ordered window per group is used. Otherwise:
 
 1. range-partition the (usually already aggregated) rows by ``groups + order``,
 2. total each range partition per group (at most ``partitions + groups`` rows),
@@ -16,15 +18,16 @@ an executor loss must see the same ids. The broadcast side is bounded by
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Groups (columns, models, classes) handled by one running-total call. The
-# offsets table has at most partitions + groups rows; beyond this bound the
-# groups are not small and the caller must restructure.
-MAX_GROUPS_FOR_BROADCAST = 200_000
+# Inputs (already aggregated to distinct keys) up to this many rows in total
+# take one ordered window per group: the checked bound caps what one task
+# sorts. Larger inputs take the distributed range-partition path.
+SMALL_INPUT_ROWS = 2_000_000
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -35,15 +38,25 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                    groups: list[str] | None = None, prefix: str = "cum_",
-                   num_partitions: int | None = None, descending: bool = False) -> DataFrame:
+                   num_partitions: int | None = None, descending: bool = False,
+                   small_rows: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` = inclusive running sum of ``c`` in ``order_cols`` order
     within each group. Order keys should be unique per group (aggregate first);
     ties get the sum of all rows up to and including their own position."""
     groups = list(groups or [])
     orders = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if small_rows is None:
+        small_rows = SMALL_INPUT_ROWS
+    if held.count() <= small_rows:
+        w = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))) \
+            .orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return held.select(*[F.col(c) for c in df.columns],
+                           *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
     n = _partitions(df, num_partitions)
-    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(g) for g in groups], *orders)
+    ranged = cut_lineage(held.repartitionByRange(n, *[F.col(g) for g in groups], *orders)
                          .withColumn("_rp", F.spark_partition_id()))
+    held.unpersist()
     totals = ranged.groupBy("_rp", *groups).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_prev = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))) \
         .orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,12 +73,12 @@ def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
 
 def row_index(df: DataFrame, order_cols: list[str], groups: list[str] | None = None,
               name: str = "idx", num_partitions: int | None = None,
-              descending: bool = False) -> DataFrame:
+              descending: bool = False, small_rows: int | None = None) -> DataFrame:
     """1-based consecutive position in ``order_cols`` order within ``groups``
     (order keys must make rows unique). Distributed, no single-partition window."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
     out = running_totals(one, order_cols, ["_one"], groups, prefix="_cum",
-                         num_partitions=num_partitions, descending=descending)
+                         num_partitions=num_partitions, descending=descending, small_rows=small_rows)
     return out.withColumnRenamed("_cum_one", name).drop("_one")
 
 

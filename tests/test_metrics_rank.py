@@ -70,13 +70,16 @@ def test_running_totals_match_brute_force(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice(["a", "b", "c"]), i, rnd.randint(1, 5)) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, o long, w long")
-    got = {(r["g"], r["o"]): r["cum_w"] for r in running_totals(df, ["o"], ["w"], ["g"], num_partitions=5).collect()}
-    acc = {}
-    for g, o, w in sorted(rows, key=lambda r: (r[0], r[1])):
-        acc[g] = acc.get(g, 0) + w
-        assert got[(g, o)] == acc[g]
-    idx = sorted((r["o"], r["idx"]) for r in row_index(df, ["o"], num_partitions=4, descending=True).collect())
-    assert [i for _, i in idx] == list(range(300, 0, -1))
+    for small in (0, None):  # 0 forces the distributed range-partition path
+        got = {(r["g"], r["o"]): r["cum_w"]
+               for r in running_totals(df, ["o"], ["w"], ["g"], num_partitions=5, small_rows=small).collect()}
+        acc = {}
+        for g, o, w in sorted(rows, key=lambda r: (r[0], r[1])):
+            acc[g] = acc.get(g, 0) + w
+            assert got[(g, o)] == acc[g]
+        idx = sorted((r["o"], r["idx"]) for r in row_index(df, ["o"], num_partitions=4, descending=True,
+                                                            small_rows=small).collect())
+        assert [i for _, i in idx] == list(range(300, 0, -1))
 
 
 def test_exact_quantiles_even_count(spark):
