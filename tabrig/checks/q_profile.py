@@ -422,3 +422,22 @@ def k08(spark, sf):
     d = _dirty(spark, sf)
     return d.select("rid", K.is_missing(F.col("price"), d.schema["price"].dataType).alias("price_missing"),
                     K.is_missing(F.col("priority"), d.schema["priority"].dataType).alias("priority_missing"))
+
+
+@register("p02_split_xy_features", "SELECT * EXCLUDE (l_linestatus) FROM lineitem")
+def p02(spark, sf):
+    x, _ = Q.split_xy(S.load(spark, sf, "lineitem"), "l_linestatus")
+    return x
+
+
+@register("p02_split_xy_target", "SELECT o_orderkey, o_orderstatus FROM orders")
+def p02b(spark, sf):
+    _, y = Q.split_xy(S.load(spark, sf, "orders"), "o_orderstatus", "o_orderkey")
+    return y
+
+
+@register("s02_check_dataset",
+          "SELECT CAST(6 AS BIGINT) AS n_columns, count(*) > 0 AS has_rows, TRUE AS target_present FROM orders")
+def s02(spark, sf):
+    from ..sources.io import dataset_check_frame
+    return dataset_check_frame(S.load(spark, sf, "orders"), "o_orderstatus")

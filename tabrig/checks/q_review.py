@@ -337,3 +337,25 @@ def v13(spark, sf):
 @register("v10_report_cleaning")
 def v10(spark, sf):
     return RP.report_cleaning(C.clean(S.dirty_orders(spark, sf), "status", "rid").log)
+
+
+@register("v04_chart_importance")
+def v04(spark, sf):
+    from ..operators.train import train_portfolio
+    from .q_train import _docs
+    tr = train_portfolio(_docs(spark, sf), "quality", ["decision_tree"], "classification", "doc_id")
+    return V.chart_importance(tr.importances.where(F.col("model") == "decision_tree"))
+
+
+@register("s10_experiment_summary")
+def s10(spark, sf):
+    """Run record of the rule-model experiment over documents (rows-only: it
+    carries a creation time)."""
+    from ..sources.io import experiment_summary
+    lb = L.leaderboard(_metrics_models(spark, sf), "classification", "highest_accuracy")
+    b = lb.where("rank = 1").first()
+    docs = S.load(spark, sf, "documents")
+    return experiment_summary(spark, "rule-models", "documents", "quality", "highest_accuracy", 0.2,
+                              "document quality", docs.count(), len(docs.columns), "classification",
+                              [r["model"] for r in lb.orderBy("rank").collect()], b["model"],
+                              b["primary_value"])

@@ -275,6 +275,16 @@ def duplicate_members(df: DataFrame, row_key: str, n: int | None = PREVIEW_ROWS)
     return out.limit(n) if n else out
 
 
+def split_xy(df: DataFrame, target: str | None = None,
+             row_key: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(features, target); the key, if any, stays on both sides so they can
+    be joined back. Without a target (or when it is absent) y is None."""
+    keys = [row_key] if row_key else []
+    feats = [c for c in df.columns if c != target]
+    y = df.select(*keys, target) if target and target in df.columns else None
+    return df.select(*feats), y
+
+
 def preview(df: DataFrame, row_key: str, cols: list[str] | None = None,
             n: int = PREVIEW_ROWS) -> DataFrame:
     """Optional column subset, first n rows in key order (TakeOrdered)."""

@@ -67,6 +67,15 @@ def check_dataset(df: DataFrame, target: str | None = None) -> None:
         raise ValueError(f"Target column '{target}' was not found in the dataset.")
 
 
+def dataset_check_frame(df: DataFrame, target: str | None = None) -> DataFrame:
+    """S2 as a table: passes the checks (raising like ``check_dataset``) and
+    reports what was checked."""
+    check_dataset(df, target)
+    return df.sparkSession.createDataFrame(
+        [(len(df.columns), True, target is None or target in df.columns)],
+        "n_columns long, has_rows boolean, target_present boolean")
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     """S3: persist a fitted pipeline (preprocessing + model) with the ML writer."""
     model.write().overwrite().save(path)
