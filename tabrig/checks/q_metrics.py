@@ -289,3 +289,24 @@ SELECT rank AS "Rank", {_TITLE_MODEL} AS "Model", accuracy AS "Accuracy", f1 AS
 def l10(spark, sf):
     lb = L.leaderboard(_metrics_models(spark, sf), "classification", "highest_accuracy")
     return L.display_leaderboard(lb, ["accuracy", "f1", "matthews_corrcoef"])
+
+
+@register("e02_precision_weighted", _ORDERS + "\nSELECT g AS model, precision FROM cm", rounded=["precision"])
+def e02(spark, sf):
+    return E.classification_metrics(S.pred_orders(spark, sf), ["model"]).select("model", "precision")
+
+
+@register("e03_recall_weighted", _ORDERS + "\nSELECT g AS model, recall FROM cm", rounded=["recall"])
+def e03(spark, sf):
+    return E.classification_metrics(S.pred_orders(spark, sf), ["model"]).select("model", "recall")
+
+
+@register("e04_f1_weighted", _ORDERS + "\nSELECT g AS model, f1, f1_weighted FROM cm", rounded=["f1", "f1_weighted"])
+def e04(spark, sf):
+    return E.classification_metrics(S.pred_orders(spark, sf), ["model"]).select("model", "f1", "f1_weighted")
+
+
+@register("e10_e13_regression_errors", _PRICE + "\nSELECT g AS model, mae, mse, rmse, r2 FROM rm",
+          rounded=["mae", "mse", "rmse", "r2"])
+def e10(spark, sf):
+    return E.regression_metrics(S.pred_price(spark, sf), ["model"]).select("model", "mae", "mse", "rmse", "r2")

@@ -179,3 +179,12 @@ def m03(spark, sf):
 def m03b(spark, sf):
     d = C.drop_missing_target(S.dirty_orders(spark, sf), "status")
     return M.can_stratify_frame(d, "status", "classification")
+
+
+@register("t03_is_integer_like_lineitem",
+          "\nUNION ALL\n".join(
+              f"SELECT '{c}' AS column_name, coalesce(bool_and({c} % 1 = 0), TRUE) AS is_integer_like FROM lineitem"
+              for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+def t03(spark, sf):
+    return T.integer_like_columns(S.load(spark, sf, "lineitem"),
+                                  ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])

@@ -108,6 +108,14 @@ def infer_task(df: DataFrame, target: str) -> DataFrame:
         ratio.alias("unique_ratio"), F.lit(numeric).alias("is_numeric"), il)
 
 
+def integer_like_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+    """T3 for several columns in one aggregate: (column_name, is_integer_like)."""
+    r = df.agg(*[is_integer_like(c, df.schema[c].dataType).alias(f"_i{i}") for i, c in enumerate(cols)])
+    return r.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                                F.col(f"_i{i}").alias("is_integer_like"))
+                                       for i, c in enumerate(cols)])))
+
+
 def task_hint(df: DataFrame, target: str) -> DataFrame:
     """T4: review-only rule, non-numeric or <= 20 distinct -> classification."""
     dt = _check_target(df, target)
