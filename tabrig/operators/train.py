@@ -28,7 +28,7 @@ from .prep import Preprocessor, build_preprocessor
 from .split import can_stratify, mark_split, mark_split_stratified
 
 DEFAULT_PARAMS = {"num_trees": 100, "max_depth": 10, "gbt_iters": 100, "gbt_depth": 3, "seed": 42,
-                  "max_iter": 1000}
+                  "max_iter": 1000, "tol": 1e-4}  # tol: the usual logistic-regression default
 IMPORTANCE_TOP = 10
 LABEL_IDX = "_label_idx"
 
@@ -42,7 +42,7 @@ def build_estimator(name: str, task: str, n_train: int, n_classes: int, params:
     p = {**DEFAULT_PARAMS, **(params or {})}
     fc, seed = "features", p["seed"]
     if name == "logistic_regression":  # sklearn C=1 with summed loss == lambda 1/n on Spark's mean loss
-        return LogisticRegression(featuresCol=fc, labelCol=LABEL_IDX, maxIter=p["max_iter"],
+        return LogisticRegression(featuresCol=fc, labelCol=LABEL_IDX, maxIter=p["max_iter"], tol=p["tol"],
                                   regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
     if name == "decision_tree":
         return DecisionTreeClassifier(featuresCol=fc, labelCol=LABEL_IDX, maxDepth=p["max_depth"], seed=seed)
