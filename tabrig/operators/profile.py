@@ -306,14 +306,23 @@ def inspect(df: DataFrame, row_key: str | None = None) -> DataFrame:
     return _kv_rows(df.sparkSession, rows, "item string, value string")
 
 
-def quality_report(df: DataFrame, target: str, row_key: str | None = None) -> DataFrame:
+def quality_facts(df: DataFrame, target: str, row_key: str | None = None) -> dict:
+    """The bounded facts behind Q18 (and the report's quality section): one
+    wide aggregate and one all-column grouping."""
+    st = column_stats(df, row_key, target)
+    st["duplicates"] = int(duplicate_count(df, row_key).first()[0])
+    return st
+
+
+def quality_report(df: DataFrame, target: str, row_key: str | None = None,
+                   facts: dict | None = None) -> DataFrame:
     """Q18: composite Q1-Q4, Q7, Q8 as a long (section, item, value) table.
     Three scans: one wide aggregate, one all-column grouping for duplicates and
     one grouping by target (its class distribution, kept only if <= 20 classes)."""
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' was not found in the dataset.")
-    st = column_stats(df, row_key, target)
-    dups = int(duplicate_count(df, row_key).first()[0])
+    st = facts or quality_facts(df, target, row_key)
+    dups = st["duplicates"]
     rows = [("shape", "rows", st["rows"]), ("shape", "columns", st["columns"]),
             ("duplicate_rows", "", dups),
             ("missing_values_total", "", sum(st["missing"].values()))]

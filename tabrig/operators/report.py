@@ -26,9 +26,10 @@ def _title(s: str) -> str:
     return s.title()
 
 
-def report_dataset(df: DataFrame, target: str, dataset_name: str, row_key: str | None = None) -> DataFrame:
+def report_dataset(df: DataFrame, target: str, dataset_name: str, row_key: str | None = None,
+                   facts: dict | None = None) -> DataFrame:
     """V8: name, rows, columns, target, size, numeric / categorical counts."""
-    n = df.count()
+    n = facts["rows"] if facts else df.count()
     num, _ = feature_types(df, row_key, bool_is_numeric=False)
     ncols = len([c for c in df.columns if c != row_key])
     size = estimated_bytes(df, row_key).agg(F.sum("bytes").alias("b"))
@@ -39,10 +40,12 @@ def report_dataset(df: DataFrame, target: str, dataset_name: str, row_key: str |
     return _kv(df.sparkSession, items)
 
 
-def report_quality(df: DataFrame, target: str, row_key: str | None = None) -> DataFrame:
-    """V9: missing cells, duplicates, target missing and distinct counts."""
-    st = column_stats(df, row_key, target)
-    dups = duplicate_count(df, row_key).first()[0]
+def report_quality(df: DataFrame, target: str, row_key: str | None = None,
+                   facts: dict | None = None) -> DataFrame:
+    """V9: missing cells, duplicates, target missing and distinct counts
+    (reusing the quality facts when the caller already has them)."""
+    st = facts or column_stats(df, row_key, target)
+    dups = st["duplicates"] if facts else duplicate_count(df, row_key).first()[0]
     items = [("Missing Values", str(sum(st["missing"].values()))), ("Duplicate Rows", str(dups)),
              ("Target Missing Values", str(st["target_missing"])),
              ("Target Unique Values", str(st["target_distinct"]))]

@@ -60,7 +60,8 @@ def run_experiment_a(df: DataFrame, target: str, goal: str = "highest_accuracy",
         df, row_key = df.withColumn("_row_id", F.monotonically_increasing_id()), "_row_id"
     log = StepLog()
     exp_id = str(uuid.uuid4())
-    quality = log.run("quality", Q.quality_report, df, target, row_key)
+    facts = log.run("quality", Q.quality_facts, df, target, row_key)
+    quality = Q.quality_report(df, target, row_key, facts)
     cleaned = log.run("clean", C.clean, df, target, row_key, True)
     active = cleaned.cleaned
     task_row = log.run("task", lambda: T.detect_task(active, target).first())
@@ -89,8 +90,8 @@ def run_experiment_a(df: DataFrame, target: str, goal: str = "highest_accuracy",
     metric_cols = [c for c in metrics.columns if c not in ("model", "ord")]
     report = RP.report_sections({
         "Executive Summary": RP.report_summary(spark, len(models), business_goal, best_model, task, best_score),
-        "Dataset": RP.report_dataset(df, target, dataset_name, row_key),
-        "Quality": RP.report_quality(df, target, row_key),
+        "Dataset": RP.report_dataset(df, target, dataset_name, row_key, facts),
+        "Quality": RP.report_quality(df, target, row_key, facts),
         "Cleaning": RP.report_cleaning(cleaned.log),
         "Problem": RP.report_problem(spark, task, target, goal, test_size, business_goal),
         "Leaderboard": L.display_leaderboard(lb, metric_cols),
