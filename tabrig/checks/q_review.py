@@ -359,3 +359,14 @@ def s10(spark, sf):
                               "document quality", docs.count(), len(docs.columns), "classification",
                               [r["model"] for r in lb.orderBy("rank").collect()], b["model"],
                               b["primary_value"])
+
+
+_DIRTY_NUM = ["o_orderkey", "o_custkey", "price", "empty_col"]
+
+
+@register("v05_correlation_matrix_dirty",
+          W + "\nUNION ALL\n".join(
+              f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(coalesce(corr({a}, {b}), 0.0), 2) AS corr "
+              f"FROM dirty_orders" for a in _DIRTY_NUM for b in _DIRTY_NUM))
+def v05b(spark, sf):
+    return V.correlation_matrix(S.dirty_orders(spark, sf), "rid")
