@@ -136,9 +136,29 @@ def duplicate_groups(df: DataFrame, row_key: str | None = None) -> DataFrame:
     return df.groupBy(*cols).agg(*aggs)
 
 
-def duplicate_count(df: DataFrame, row_key: str | None = None) -> DataFrame:
-    """Q4: rows beyond the first of each equal group."""
-    g = duplicate_groups(df, row_key)
+def row_hash(df: DataFrame, cols: list[str]):
+    """64-bit hash of the data columns; -0.0 is folded into 0.0 first so rows
+    that group together also hash together (NaN is canonical already)."""
+    parts = [(F.col(c) + F.lit(0.0)).alias(c) if isinstance(_dtype(df, c), (T.FloatType, T.DoubleType))
+             else F.col(c) for c in cols]
+    return F.xxhash64(*parts)
+
+
+def duplicate_count(df: DataFrame, row_key: str | None = None, hash_first: bool = True) -> DataFrame:
+    """Q4: rows beyond the first of each equal group.
+
+    Hash first: group 16-byte (hash, count) pairs instead of whole rows, then
+    verify exactly (all-column grouping) only the rows whose hash repeats. The
+    exact answer is kept: colliding but unequal rows are separated in the
+    second grouping."""
+    if not hash_first:
+        g = duplicate_groups(df, row_key)
+        return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    cols = data_columns(df, row_key)
+    hashed = df.select(*cols, row_hash(df, cols).alias("_h"))
+    repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > 1).select("_h")
+    cand = hashed.join(repeated, "_h", "left_semi").drop("_h")
+    g = cand.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 

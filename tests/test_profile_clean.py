@@ -103,3 +103,11 @@ def test_scalars(spark):
     assert r["a"] == "12.34%" and r["b2"] == "12.5000" and r["p"] == "Pending"
     assert r["fb"] == "1.5 KB" and r["tc"] == "Random Forest" and r["te"] == "Pending"
     assert r["sn"] == "a_b_c" and len(r["tr"]) == 140 and r["tr"].endswith("...") and r["pc"] == "20%"
+
+
+def test_hash_first_duplicates_equal_exact(spark):
+    rows = [(1, 0.0, "a"), (2, -0.0, "a"), (3, float("nan"), None), (4, float("nan"), None), (5, 1.0, None),
+            (6, 1.0, "b"), (7, None, None), (8, None, None), (9, None, "a")]
+    d = spark.createDataFrame(rows, "k long, x double, c string")
+    exact = Q.duplicate_count(d, "k", hash_first=False).first()[0]
+    assert exact == 3 and Q.duplicate_count(d, "k").first()[0] == exact
