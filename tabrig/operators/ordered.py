@@ -108,14 +108,13 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "col
         name_col, "q", "_pos",
         F.floor("_pos").cast("long").alias("_r0"),
         F.ceil("_pos").cast("long").alias("_r1"))
-    t_small = F.broadcast(targets)
-    hit0 = cum.join(t_small.alias("t"), on=name_col).where(
-        (F.col("t._r0") >= F.col("_lo_rank")) & (F.col("t._r0") < F.col("cum__w"))) \
-        .select(name_col, "q", "_pos", "_r0", F.col(value_col).alias("_v0"))
-    hit1 = cum.join(t_small.alias("t"), on=name_col).where(
-        (F.col("t._r1") >= F.col("_lo_rank")) & (F.col("t._r1") < F.col("cum__w"))) \
-        .select(name_col, F.col("q").alias("_q1"), F.col(value_col).alias("_v1"))
-    res = hit0.join(hit1, (hit0[name_col] == hit1[name_col]) & (hit0["q"] == hit1["_q1"])) \
-        .select(hit0[name_col], hit0["q"],
-                (F.col("_v0") + (F.col("_pos") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("value"))
-    return res
+    # One broadcast join (targets are names x probs rows) and one grouping pick
+    # the values at the lower and upper ranks of every requested quantile.
+    j = cum.join(F.broadcast(targets), on=name_col)
+    in0 = (F.col("_r0") >= F.col("_lo_rank")) & (F.col("_r0") < F.col("cum__w"))
+    in1 = (F.col("_r1") >= F.col("_lo_rank")) & (F.col("_r1") < F.col("cum__w"))
+    hits = j.where(in0 | in1).groupBy(name_col, "q").agg(
+        F.max(F.when(in0, F.col(value_col))).alias("_v0"), F.max(F.when(in1, F.col(value_col))).alias("_v1"),
+        F.first("_pos").alias("_pos"), F.first("_r0").alias("_r0"))
+    return hits.select(name_col, "q",
+                       (F.col("_v0") + (F.col("_pos") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("value"))
