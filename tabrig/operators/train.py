@@ -204,6 +204,9 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
         allp = preds[0]
         for p in preds[1:]:
             allp = allp.unionByName(p)
+        # Metrics, charts and reports read the predictions several times; keep
+        # one copy instead of re-running model inference for each read.
+        allp = allp.persist(StorageLevel.MEMORY_AND_DISK)
         if task == "classification":
             m = E.classification_metrics(allp, ["model"]) if mode == "A" else E.classification_metrics_b(allp, ["model"])
         else:
@@ -217,7 +220,7 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
         metrics = metrics.drop("error")
     imp_df = spark.createDataFrame(imps, "model string, feature string, importance double, contribution double")
     return TrainResult(task, models, metrics, allp, imp_df, prep, fitted, labels, n_train, n_test, errors,
-                       timings, [train, test, marked])
+                       timings, [train, test, marked, allp])
 
 
 def full_pipeline(prep: Preprocessor, model) -> PipelineModel:
