@@ -105,16 +105,20 @@ def standardize(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFr
                        if c in params else F.col(c) for c in df.columns])
 
 
-def fit_categories(train: DataFrame, cols: list[str],
-                   max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
+def fit_categories(train: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES,
+                   n_distinct: dict[str, int] | None = None) -> dict[str, list[str]]:
     """F4 fit: sorted distinct (non-missing) values per column, for columns
-    within the category bound (checked before anything is collected)."""
+    within the category bound (checked before anything is collected).
+    ``n_distinct`` (e.g. from ``fit_most_frequent``) saves the counting job."""
     if not cols:
         return {}
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"),
                              F.when(~_missing(train, c), F.col(c)).cast("string").alias("v")) for c in cols])
     long = train.select(F.inline(arr)).where(F.col("v").isNotNull()).distinct()
-    counts = {r[0]: r[1] for r in long.groupBy("column_name").count().collect()}
+    if n_distinct is not None and all(c in n_distinct for c in cols):
+        counts = dict(n_distinct)
+    else:
+        counts = {r[0]: r[1] for r in long.groupBy("column_name").count().collect()}
     keep = [c for c in cols if 0 < counts.get(c, 0) <= max_categories]
     if not keep:
         return {}
@@ -174,7 +178,8 @@ def build_preprocessor(train: DataFrame, features: list[str] | None = None, targ
     imputed = impute_median(train.select(*num), medians) if num else None
     scale = fit_standardize(imputed, num) if num else {}
     modes = fit_most_frequent(train, cat)
-    cats = fit_categories(train, [c for c in cat if modes[c]["mode"] is not None], max_categories)
+    cats = fit_categories(train, [c for c in cat if modes[c]["mode"] is not None], max_categories,
+                          {c: modes[c]["n_distinct"] for c in cat})
     dropped = unsupported + [c for c in cat if c not in cats]
     cat = [c for c in cat if c in cats]
 

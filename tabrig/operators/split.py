@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +85,11 @@ def stratified_quotas(df: DataFrame, target: str, test_size: float = DEFAULT_TES
     largest-remainder rule on n - n_test (ties -> least label), test = rest.
     Returns (target, n_c, t_c), one row per class; computed from the collected
     class counts when they are few, else fully distributed."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
+    return _quotas_from_counts(df, target, df.groupBy(target).agg(F.count(F.lit(1)).alias("n_c")), test_size)
+
+
+def _quotas_from_counts(df: DataFrame, target: str, counts: DataFrame, test_size: float) -> DataFrame:
+    """Quotas from a (target, n_c) class-count table."""
     small = counts.limit(MAX_DRIVER_CLASSES + 1).collect()
     if len(small) <= MAX_DRIVER_CLASSES:
         return _quotas_on_driver(df, target, small, test_size)
@@ -106,10 +111,12 @@ def mark_split_stratified(df: DataFrame, target: str, row_key: str,
                           col: str = "is_test") -> DataFrame:
     """M2: exact class quotas; inside a class the rows with the smallest
     (hash, key) go to test. Only the boundary bucket of each class is ranked."""
-    quotas = stratified_quotas(df, target, test_size)
     h = df.withColumn("_u", hash_u32(row_key, seed)) \
           .withColumn("_b", F.floor(F.col("_u") / BUCKET_SHIFT).cast("long"))
-    hist = h.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_w"))
+    # The histogram (classes x 65,536 rows at most) also gives the class
+    # counts, so the input is scanned twice in all: here and for the marks.
+    hist = h.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
+    quotas = _quotas_from_counts(df, target, hist.groupBy(target).agg(F.sum("_w").alias("n_c")), test_size)
     cum = running_totals(hist, ["_b"], ["_w"], [target])
     # Boundary bucket per class: cum_before < t_c <= cum.
     bnd = cum.join(quotas, on=[target]).where(
