@@ -35,13 +35,18 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` is read from the session; only
-    when it is unset (local tests) a scratch folder is created and registered.
+    when it is unset on a local master (tests) a scratch folder is created and
+    registered. On a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            # A machine-local folder would not survive an executor loss.
+            raise RuntimeError("Set spark.checkpoint.dir to a shared folder (HDFS, object store) "
+                               "before running jobs that cut lineage.")
         base = tempfile.mkdtemp(prefix="tabrig-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
