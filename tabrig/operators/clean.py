@@ -62,9 +62,12 @@ def drop_duplicates(df: DataFrame, row_key: str | None = None) -> DataFrame:
     return kept.select(*df.columns)
 
 
-def duplicate_rows(df: DataFrame, row_key: str, n: int | None = LOGGED_ROWS) -> DataFrame:
-    """The rows removed by C1 (all but the least key of each group), first n by key."""
-    kept = drop_duplicates(df, row_key).select(row_key)
+def duplicate_rows(df: DataFrame, row_key: str, n: int | None = LOGGED_ROWS,
+                   kept: DataFrame | None = None) -> DataFrame:
+    """The rows removed by C1 (all but the least key of each group), first n by key.
+    ``kept`` (the keys C1 kept, e.g. of an already deduplicated table) saves
+    the all-column grouping."""
+    kept = drop_duplicates(df, row_key).select(row_key) if kept is None else kept.select(row_key)
     removed = df.join(kept, row_key, "left_anti").select(*df.columns).orderBy(row_key)
     return removed.limit(n) if n else removed
 
@@ -174,7 +177,9 @@ def change_log(df: DataFrame, target: str, row_key: str, res: CleanResult,
     the stable key as text (the reference logs a positional index)."""
     spark = df.sparkSession
     all_cols = data_columns(df, row_key)
-    dups = duplicate_rows(df, row_key, n).select(
+    # Dropping all-missing columns leaves the equal groups as they were, so
+    # the keys kept by the deduplication of the cleaned table are reused.
+    dups = duplicate_rows(df, row_key, n, res.deduped).select(
         F.lit(CHANGE_DUPLICATE).alias("change"), F.col(row_key).cast("string").alias("row_key"),
         F.lit(ALL_COLUMNS).alias("column_name"), _row_json(df, all_cols).alias("before"),
         F.lit(ROW_REMOVED).alias("after"))

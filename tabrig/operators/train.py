@@ -31,6 +31,9 @@ DEFAULT_PARAMS = {"num_trees": 100, "max_depth": 10, "gbt_iters": 100, "gbt_dept
                   "max_iter": 1000, "tol": 1e-4}  # tol: the usual logistic-regression default
 IMPORTANCE_TOP = 10
 LABEL_IDX = "_label_idx"
+# Classification targets with more distinct labels than this are rejected
+# (the label list is kept on the driver). Own addition, see README.
+MAX_CLASSES = 10_000
 
 
 def _sort_labels(values: list, dtype: T.DataType) -> list:
@@ -154,7 +157,11 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
     prep = build_preprocessor(train_raw, features=feats, target=target, row_key=key)
     labels: list = []
     if task == "classification":
-        vals = [r[0] for r in train_raw.select(target).distinct().collect()]  # classes: bounded
+        # The label list lives on the driver and in the plan: bound it before collecting.
+        vals = [r[0] for r in train_raw.select(target).distinct().limit(MAX_CLASSES + 1).collect()]
+        if len(vals) > MAX_CLASSES:
+            raise ValueError(f"Target '{target}' has more than {MAX_CLASSES:,} classes; "
+                             "treat it as regression or choose another target.")
         labels = _sort_labels(vals, ydt)
         lab_arr = F.array(*[F.lit(v) for v in labels])
         y = F.array_position(lab_arr, F.col(target)).cast("double") - 1.0

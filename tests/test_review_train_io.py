@@ -92,3 +92,11 @@ def test_stream_scoring(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT * FROM scored").count() == 2
+
+
+def test_portfolio_rejects_unbounded_label_list(spark, sf, monkeypatch):
+    import tabrig.operators.train as TR
+    monkeypatch.setattr(TR, "MAX_CLASSES", 2)
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")  # three classes
+    with pytest.raises(ValueError, match="more than 2 classes"):
+        TR.train_portfolio(o, "o_orderstatus", ["logistic_regression"], "classification", "o_orderkey")
