@@ -85,14 +85,17 @@ def stratified_quotas(df: DataFrame, target: str, test_size: float = DEFAULT_TES
     largest-remainder rule on n - n_test (ties -> least label), test = rest.
     Returns (target, n_c, t_c), one row per class; computed from the collected
     class counts when they are few, else fully distributed."""
-    return _quotas_from_counts(df, target, df.groupBy(target).agg(F.count(F.lit(1)).alias("n_c")), test_size)
+    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
+    return _quotas_from_counts(df, target, counts, test_size)[0]
 
 
-def _quotas_from_counts(df: DataFrame, target: str, counts: DataFrame, test_size: float) -> DataFrame:
-    """Quotas from a (target, n_c) class-count table."""
+def _quotas_from_counts(df: DataFrame, target: str, counts: DataFrame,
+                        test_size: float) -> tuple[DataFrame, bool]:
+    """Quotas from a (target, n_c) class-count table, and whether the class
+    count is within MAX_DRIVER_CLASSES (checked)."""
     small = counts.limit(MAX_DRIVER_CLASSES + 1).collect()
     if len(small) <= MAX_DRIVER_CLASSES:
-        return _quotas_on_driver(df, target, small, test_size)
+        return _quotas_on_driver(df, target, small, test_size), True
     n = counts.agg(F.sum("n_c")).first()[0] or 0
     n_test = int(math.ceil(float(test_size) * n))
     n_train = n - n_test
@@ -103,7 +106,7 @@ def _quotas_from_counts(df: DataFrame, target: str, counts: DataFrame, test_size
     ranked = row_index(q, ["_neg_rem", target], name="_rk")
     return ranked.select(target, "n_c",
                          (F.col("n_c") - F.col("_fl") - F.when(F.col("_rk") <= need, 1).otherwise(0))
-                         .cast("long").alias("t_c"))
+                         .cast("long").alias("t_c")), False
 
 
 def mark_split_stratified(df: DataFrame, target: str, row_key: str,
@@ -116,15 +119,18 @@ def mark_split_stratified(df: DataFrame, target: str, row_key: str,
     # The histogram (classes x 65,536 rows at most) also gives the class
     # counts, so the input is scanned twice in all: here and for the marks.
     hist = h.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
-    quotas = _quotas_from_counts(df, target, hist.groupBy(target).agg(F.sum("_w").alias("n_c")), test_size)
+    quotas, few_classes = _quotas_from_counts(df, target, hist.groupBy(target).agg(F.sum("_w").alias("n_c")),
+                                              test_size)
     cum = running_totals(hist, ["_b"], ["_w"], [target])
     # Boundary bucket per class: cum_before < t_c <= cum.
     bnd = cum.join(quotas, on=[target]).where(
         (F.col("cum__w") - F.col("_w") < F.col("t_c")) & (F.col("t_c") <= F.col("cum__w"))) \
         .select(target, F.col("_b").alias("_bb"), (F.col("t_c") - (F.col("cum__w") - F.col("_w")))
                 .alias("_take"))
-    # Classes with a zero quota get no boundary (everything trains).
-    j = h.join(bnd, on=[target], how="left")
+    # Classes with a zero quota get no boundary (everything trains). The
+    # boundary table has one row per class; with the class count checked it
+    # is broadcast, so the marks are map-side and only boundary buckets shuffle.
+    j = h.join(F.broadcast(bnd) if few_classes else bnd, on=[target], how="left")
     in_b = F.col("_b") == F.col("_bb")
     w = Window.partitionBy(target, "_b").orderBy("_u", row_key)
     ranked = j.where(in_b).withColumn("_r", F.row_number().over(w)) \
