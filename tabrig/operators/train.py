@@ -174,6 +174,9 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
     train = assemble(train_raw).persist(StorageLevel.MEMORY_AND_DISK)
     test = assemble(test_raw).persist(StorageLevel.MEMORY_AND_DISK)
     n_train, n_test = train.count(), test.count()
+    # Both assembled sides are materialised: the split copy is no longer read,
+    # so the cache holds one copy of the data while the portfolio trains.
+    marked.unpersist()
     n_classes = len(labels)
     if task == "classification":
         train = train.where(F.col(LABEL_IDX) >= 0)
@@ -227,7 +230,7 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
         metrics = metrics.drop("error")
     imp_df = spark.createDataFrame(imps, "model string, feature string, importance double, contribution double")
     return TrainResult(task, models, metrics, allp, imp_df, prep, fitted, labels, n_train, n_test, errors,
-                       timings, [train, test, marked, allp])
+                       timings, [train, test, allp])
 
 
 def full_pipeline(prep: Preprocessor, model) -> PipelineModel:
