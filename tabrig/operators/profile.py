@@ -282,15 +282,22 @@ def missing_ranked(df: DataFrame, row_key: str | None = None,
 
 def duplicate_members(df: DataFrame, row_key: str, n: int | None = PREVIEW_ROWS) -> DataFrame:
     """Q16: every member of a duplicate group (not only the extras), first n by key.
-    Null-safe semi join against the (aggregated) groups; AQE splits a hot group."""
+
+    Hash first: equal rows hash equal, so only rows whose 64-bit hash repeats
+    can be members; the bulk of the table is shuffled as hashes. The exact
+    all-column grouping and the null-safe semi join then run on those
+    candidates only (AQE splits a hot group)."""
     cols = data_columns(df, row_key)
-    groups = duplicate_groups(df, row_key).where(F.col("_n") > 1).select(*cols)
+    hashed = df.withColumn("_h", row_hash(df, cols))
+    repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > 1).select("_h")
+    cand = hashed.join(repeated, "_h", "left_semi").drop("_h")
+    groups = cand.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*cols)
     g = groups.alias("g")
     cond = None
     for c in cols:
         e = F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}"))
         cond = e if cond is None else cond & e
-    out = df.alias("d").join(g, cond, "left_semi")
+    out = cand.alias("d").join(g, cond, "left_semi")
     out = out.select(*[F.col(c) for c in df.columns]).orderBy(row_key)
     return out.limit(n) if n else out
 
