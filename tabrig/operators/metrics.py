@@ -100,11 +100,16 @@ def roc_auc(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     pred, by, tmp = _grouped(pred, by)
     lab = pred.groupBy(*by).agg(F.max("label").alias("_hi"), F.count_distinct("label").alias("_k"),
                                 F.count("score").alias("_scored"))
-    scored = pred.where(F.col("score").isNotNull()).join(lab.where("_k = 2"), on=by, how="inner")
+    # Counts per (group, score, label) first (partial aggregation), so the
+    # join with the per-group label facts reads aggregated rows, not raw
+    # predictions.
+    sl = pred.where(F.col("score").isNotNull()).groupBy(*by, "score", "label").agg(
+        F.count(F.lit(1)).alias("_c"))
+    scored = sl.join(lab.where("_k = 2"), on=by, how="inner")
     is_pos = F.col("label") == F.col("_hi")
     g = scored.groupBy(*by, "score").agg(
-        F.sum(F.when(is_pos, 1).otherwise(0)).cast("long").alias("pos"),
-        F.sum(F.when(is_pos, 0).otherwise(1)).cast("long").alias("neg"))
+        F.sum(F.when(is_pos, F.col("_c")).otherwise(0)).cast("long").alias("pos"),
+        F.sum(F.when(is_pos, 0).otherwise(F.col("_c"))).cast("long").alias("neg"))
     cum = running_totals(g, ["score"], ["neg"], by)
     contrib = F.col("pos") * ((F.col("cum_neg") - F.col("neg")) + 0.5 * F.col("neg"))
     s = cum.groupBy(*by).agg(F.sum(contrib).alias("_area"), F.sum("pos").alias("_p"),
