@@ -217,12 +217,14 @@ def roc_points(pred: DataFrame, by: list[str] | None = None,
         cond = (F.col("_lo") == lo) & (F.col("_hi") == hi)
         ok = cond if ok is None else ok | cond
     lab = lab.where((F.col("_k") == 2) & ok).select(*by)
-    p = pred.where(F.col("score").isNotNull()).join(lab, on=by, how="left_semi")
     pos = y == 1.0
-    g = p.groupBy(*by, "score").agg(
+    # Aggregate to (group, score) first; the semi join keeps whole groups, so
+    # it can read the aggregated rows instead of the raw predictions.
+    g = pred.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(
         F.sum(F.when(pos, 1).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(pos, 0).otherwise(1)).cast("long").alias("fp"),
         F.lit(1).cast("long").alias("one"))
+    g = g.join(lab, on=by, how="left_semi")
     cum = running_totals(g, ["score"], ["tp", "fp", "one"], by, descending=True)
     cum = cum.select(*by, F.col("score").alias("threshold"), F.col("cum_tp").alias("tps"),
                      F.col("cum_fp").alias("fps"), F.col("cum_one").alias("idx"))
