@@ -100,3 +100,26 @@ def test_portfolio_rejects_unbounded_label_list(spark, sf, monkeypatch):
     o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")  # three classes
     with pytest.raises(ValueError, match="more than 2 classes"):
         TR.train_portfolio(o, "o_orderstatus", ["logistic_regression"], "classification", "o_orderkey")
+
+
+def test_shared_dir_refuses_local_disk_on_a_cluster():
+    from tabrig.session import shared_dir
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+    class _Ctx:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class _Spark:
+        sparkContext = _Ctx()
+        conf = _Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Spark())
+    _Ctx.getCheckpointDir = lambda self: "hdfs://shared/ckpt/"
+    assert shared_dir(_Spark(), "x").startswith("hdfs://shared/ckpt/x-")
