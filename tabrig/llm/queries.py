@@ -1,8 +1,9 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import mixing
+from . import mixing, pieces
 
 QUERIES = {
+    "op3_pieces": pieces.op3,
     "op10_mixing": mixing.op10,
 }
 
