@@ -1,9 +1,10 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import mixing, pieces
+from . import mixing, pieces, tokenfiles
 
 QUERIES = {
     "op3_pieces": pieces.op3,
+    "op7_token_files": tokenfiles.op7,
     "op10_mixing": mixing.op10,
 }
 
