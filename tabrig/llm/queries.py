@@ -1,13 +1,15 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import mixing, pieces, tokenfiles
+from . import chat, mixing, pieces, tokenfiles
 
 QUERIES = {
     "op3_pieces": pieces.op3,
+    "op6_chat": chat.op6,
     "op7_token_files": tokenfiles.op7,
     "op10_mixing": mixing.op10,
 }
 
 ORACLES = {
+    "op6_chat": chat.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
