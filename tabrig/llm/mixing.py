@@ -123,11 +123,10 @@ def _cut(items: DataFrame) -> dict | None:
     fine = items.groupBy("b1", "b2").agg(F.sum("size").alias("n"), F.max("budget").alias("budget"))
     coarse = fine.groupBy("b1").agg(F.sum("n").alias("n"), F.max("budget").alias("budget"))
     # only the coarse buckets from time 1 on are ordered in one window
-    head = coarse.where("b1 < 1024").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("head"))
+    head = coarse.where("b1 < 1024").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("head")).collect()[0]["head"]
     order = Window.orderBy("b1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tail = coarse.where("b1 >= 1023").crossJoin(F.broadcast(head))  # one row
-    tail = tail.withColumn("last", F.col("head") - F.first("n").over(order) * (F.first("b1").over(order) < 1024).cast("int")
-                           + F.sum("n").over(order) - F.col("n"))
+    tail = coarse.where("b1 >= 1023").withColumn("last", F.lit(head) - F.first("n").over(order) * (F.first("b1").over(order) < 1024).cast("int")
+                                                       + F.sum("n").over(order) - F.col("n"))
     first = tail.where("last <= budget").orderBy(F.desc("b1")).limit(1).collect()
     if not first:
         return None
