@@ -1,8 +1,9 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import chat, mixing, pieces, tokenfiles
+from . import chat, mixing, pieces, secrets, tokenfiles
 
 QUERIES = {
+    "op2_secrets": secrets.op2,
     "op3_pieces": pieces.op3,
     "op6_chat": chat.op6,
     "op7_token_files": tokenfiles.op7,
