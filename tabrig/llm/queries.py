@@ -1,10 +1,11 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import chat, mixing, pieces, secrets, tokenfiles
+from . import chat, mixing, pieces, rules, secrets, tokenfiles
 
 QUERIES = {
     "op2_secrets": secrets.op2,
     "op3_pieces": pieces.op3,
+    "op4_rules": rules.op4,
     "op6_chat": chat.op6,
     "op7_token_files": tokenfiles.op7,
     "op10_mixing": mixing.op10,

@@ -73,22 +73,25 @@ def weak(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, in
     if not ids and not any(k == 1 for _, k, _ in base):
         return []
     found = ids + [(m.start(), 5, m.end()) for m in PLACE.finditer(text)]
-    taken = sorted((a, b) for a, _, b in base + found)
-    starts, most, furthest = [a for a, _ in taken], [], 0
-    for _, b in taken:
+    apart = free_of(base)
+    found = [x for x in found if apart(x)]
+    free = free_of(base + found)
+    return found + [x for m in RANDOM.finditer(text) if free(x := (m.start(), 4, m.end())) and looks_random(m[0])]
+
+
+def free_of(spans: list[tuple[int, int, int]]):
+    """Tells whether a span overlaps none of these."""
+    starts, ends, furthest = [], [], 0
+    for a, b in sorted((a, b) for a, _, b in spans):
         furthest = max(furthest, b)
-        most.append(furthest)
-
-    def free(a: int, b: int) -> bool:
-        k = bisect(starts, b - 1)
-        return not k or most[k - 1] <= a
-
-    found += [(m.start(), 4, m.end()) for m in RANDOM.finditer(text) if free(m.start(), m.end()) and looks_random(m[0])]
-    kept, ends = [], sorted((a, b) for a, _, b in base)
-    for a, k, b in found:
-        if k == 4 or not any(x < b and a < y for x, y in ends):
-            kept.append((a, k, b))
-    return kept
+        starts.append(a)
+        ends.append(furthest)
+
+    def free(span: tuple[int, int, int]) -> bool:
+        k = bisect(starts, span[2] - 1)
+        return not k or ends[k - 1] <= span[0]
+
+    return free
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
