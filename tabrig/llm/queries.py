@@ -1,8 +1,9 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import chat, mixing, pieces, rules, secrets, tokenfiles
+from . import chat, mixing, pieces, rules, secrets, tokenfiles, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_secrets": secrets.op2,
     "op3_pieces": pieces.op3,
     "op4_rules": rules.op4,
