@@ -81,9 +81,10 @@ class Chain:
 
 
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], earlier: np.ndarray, y: np.ndarray, width: int,
-                 ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
+                 ridge: float = 1e-3, steps: int = 400) -> np.ndarray:
     """Weights (features, earlier probabilities, intercept) by accelerated gradient steps;
-    both classes weigh the same. A class without rows gives probability 0 or 1."""
+    both classes weigh the same. Features are scaled to equal mean squares, so that rare
+    ones are learnt as fast as common ones. A class without rows gives probability 0 or 1."""
     k, n = earlier.shape[1], len(y)
     w = np.zeros(width + k + 1)
     if not n or y.min() == y.max():
@@ -94,6 +95,9 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], earlier: np.ndarray,
     val = np.concatenate([v for _, v in rows])
     row = np.repeat(np.arange(n), lengths)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+    squares = np.bincount(at, share[row] * val * val, width)
+    scale = np.where(squares > 0, 1 / np.sqrt(np.maximum(squares, 1e-12)), 0.0)
+    val = val * scale[at]
 
     def times(v: np.ndarray) -> np.ndarray:
         return np.bincount(row, val * v[at], n) + earlier @ v[width:-1] + v[-1]
@@ -115,11 +119,12 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], earlier: np.ndarray,
         new = z - step * g
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / t1 * (new - w), new, t1
+    w[:width] *= scale
     return w
 
 
-def _select(sample: DataFrame, k: int, per_category: int, least: int, least_z: float) -> list[str]:
-    """The features whose log odds differ most, for each category: counted by document."""
+def _select(sample: DataFrame, k: int, per_category: int, least: int, least_chi: float) -> list[str]:
+    """The features of the highest chi-square for each category, counted by document."""
     @F.pandas_udf("array<string>")
     def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
@@ -129,19 +134,21 @@ def _select(sample: DataFrame, k: int, per_category: int, least: int, least_z: f
     counts = one.groupBy("f").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("y", F.lit(c))).alias(f"p{c}") for c in range(k)])
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("y", F.lit(c))).alias(f"p{c}") for c in range(k)]).collect()[0]
     chosen: set[str] = set()
+    n = float(total["n"])
     for c in range(k):
-        pos, neg = float(total[f"p{c}"] or 0), float(total["n"] - (total[f"p{c}"] or 0))
-        a, b = F.col(f"p{c}") + 0.5, F.col("n") - F.col(f"p{c}") + 0.5
-        rest_a, rest_b = F.lit(pos + 0.5) - F.col(f"p{c}"), F.lit(neg + 0.5) - (F.col("n") - F.col(f"p{c}"))
-        z = (F.log(a / rest_a) - F.log(b / rest_b)) / F.sqrt(1 / a + 1 / b + 1 / rest_a + 1 / rest_b)
-        top = counts.where(F.col("n") >= least).select("f", F.abs(z).alias("z")).where(F.col("z") >= least_z)
-        chosen |= {r["f"] for r in top.orderBy(F.desc("z"), "f").limit(per_category).collect()}
+        pos = float(total[f"p{c}"] or 0)
+        a, b = F.col(f"p{c}").cast("double"), (F.col("n") - F.col(f"p{c}")).cast("double")
+        rest_a, rest_b = F.lit(pos) - a, F.lit(n - pos) - b
+        chi = F.lit(n) * F.pow(a * rest_b - b * rest_a, 2) / F.greatest(
+            F.lit(1.0), (a + b) * (rest_a + rest_b) * F.lit(pos) * F.lit(n - pos))
+        top = counts.where(F.col("n") >= least).select("f", chi.alias("chi")).where(F.col("chi") >= least_chi)
+        chosen |= {r["f"] for r in top.orderBy(F.desc("chi"), "f").limit(per_category).collect()}
     return sorted(chosen)
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id",
-              text_col: str = "text", sample: int = 12_000, folds: int = 4, per_category: int = 1000, least: int = 5,
-              least_z: float = 3.5, seed: int = 1) -> Chain:
+              text_col: str = "text", sample: int = 12_000, folds: int = 4, per_category: int = 500, least: int = 4,
+              least_chi: float = 15.0, seed: int = 1) -> Chain:
     """``categories``: name and label (0, 1 or boolean) over the columns of ``labels``, in
     the order of the chain; the last one decides."""
     k, names = len(categories), list(categories)
@@ -153,7 +160,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "text", F.array(*[f"y{i}" for i in range(k)]).alias("y"),
                        F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(folds)).cast("int").alias("fold"))
     rows = materialise(rows, "toxicity-sample")
-    features = _select(rows, k, per_category, least, least_z)
+    features = _select(rows, k, per_category, least, least_chi)
     width = len(features)
 
     @F.pandas_udf("struct<at:array<int>,val:array<double>>")
