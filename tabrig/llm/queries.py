@@ -1,18 +1,20 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import chat, mixing, pieces, rules, secrets, tokenfiles, toxicity
+from . import chat, mixing, pieces, rules, secrets, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_secrets": secrets.op2,
     "op3_pieces": pieces.op3,
     "op4_rules": rules.op4,
+    "op5_topk": topk.op5,
     "op6_chat": chat.op6,
     "op7_token_files": tokenfiles.op7,
     "op10_mixing": mixing.op10,
 }
 
 ORACLES = {
+    "op5_topk": topk.OP5_SQL,
     "op6_chat": chat.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
