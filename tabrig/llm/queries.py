@@ -1,6 +1,6 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import chat, mixing, neardup, pieces, rules, secrets, tokenfiles, topk, toxicity
+from . import chat, linededup, mixing, neardup, pieces, rules, secrets, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_chat": chat.op6,
     "op7_token_files": tokenfiles.op7,
     "op8_neardup": neardup.op8,
+    "op9_line_dedup": linededup.op9,
     "op10_mixing": mixing.op10,
 }
 
@@ -18,5 +19,6 @@ ORACLES = {
     "op5_topk": topk.OP5_SQL,
     "op6_chat": chat.OP6_SQL,
     "op8_neardup": neardup.OP8_SQL,
+    "op9_line_dedup": linededup.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
