@@ -34,10 +34,10 @@ def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` once into the shared folder (``spark.checkpoint.dir``) and
     reads it back: cuts the lineage, survives lost executors, and makes every
     later use see the same rows."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

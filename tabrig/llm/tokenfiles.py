@@ -9,7 +9,8 @@ document, the lanes' states at its start and at regular checkpoints, and a CRC-3
 blocks, and parts of a block, are decoded independently of each other.
 
 A token file is a folder in the shared file system: ``blocks`` (one file for each shard,
-rows in order: shard, seq, n_docs, n_tokens, ids of the documents, payload) and ``table``
+rows in order: shard, seq, tokens of the shard before it, n_docs, n_tokens, ids of the
+documents, payload) and ``table``
 (token, frequency). Spark's writer commits the files, so lost tasks are simply repeated.
 
 Defined results: a null text counts as empty, and an empty document holds the end id
@@ -155,13 +156,14 @@ class WordIds:
     """Ids of whole texts by the tokenizers library, cached by parts between blanks (the
     tokenizer drops white space, and no token or special token holds any)."""
 
-    def __init__(self, data: bytes, most: int = 500_000):
+    def __init__(self, data: bytes, kind: np.dtype = np.dtype("<u4"), most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.cache: dict[str, bytes] = {}  # of parts
         self.words: dict[str, bytes] = {}  # of runs of letters or of others in them
         self.most = most
+        self.kind = kind
         # a special token that the library cuts out of the raw text first
         self.cut = next((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
                         if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
@@ -178,10 +180,10 @@ class WordIds:
         found = {}
 
         def together(group: list[str], between: str, edges, skip: int) -> None:
-            ids = np.array(self.tokenizer.encode_batch_fast([between.join(group)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = edges(ids)
-            raw, ends = ids.tobytes(), (4 * ends).tolist()
-            found.update((p, raw[a:b]) for p, a, b in zip(group, [0, *(e + 4 * skip for e in ends[:-1])], ends, strict=True))
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(group)], add_special_tokens=False)[0].ids, self.kind)
+            width, ends = self.kind.itemsize, edges(ids)
+            raw, ends = ids.tobytes(), (width * ends).tolist()
+            found.update((p, raw[a:b]) for p, a, b in zip(group, [0, *(e + width * skip for e in ends[:-1])], ends, strict=True))
 
         kinds: list[list[str]] = [[], [], []]
         for p in parts:
@@ -193,7 +195,7 @@ class WordIds:
                      lambda ids: np.append(np.nonzero(ids == self.cut[0])[0], len(ids)), 1)
         if kinds[2]:
             for p, e in zip(kinds[2], self.tokenizer.encode_batch(kinds[2], add_special_tokens=False), strict=True):
-                found[p] = np.array(e.ids, np.uint32).tobytes()
+                found[p] = np.array(e.ids, self.kind).tobytes()
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -233,21 +235,29 @@ def _once(shared, make):
 
 
 def _tokenizer(data):
-    return WordIds(data)
+    return WordIds(data[0], np.dtype(data[1]))
 
 
 def _table(data):
     return Frequencies(*data)
 
 
+def id_type(tokenizer: bytes, end_id: int) -> np.dtype:
+    """The integer type of ids in intermediate tables."""
+    from tokenizers import Tokenizer
+    return np.dtype("<u2" if max(Tokenizer.from_str(tokenizer.decode()).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n`` and ``ids`` (binary: little-endian unsigned integers of 32 bits)."""
+    """``id``, ``n`` and ``ids`` (binary: little-endian unsigned integers of 16 bits if the
+    vocabulary allows it, else of 32)."""
     with open(tokenizer_path, "rb") as f:
         data = f.read()
     if len(data) > 64 << 20:
         raise ValueError("the tokenizer file is over 64 MB")
-    shared = docs.sparkSession.sparkContext.broadcast((zlib.crc32(data), data))
-    end = np.array([end_id], np.uint32).tobytes()
+    kind = id_type(data, end_id)
+    shared = docs.sparkSession.sparkContext.broadcast((zlib.crc32(data), (data, kind.str)))
+    end = np.array([end_id], kind).tobytes()
     schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("n", LongType(), False),
                          StructField("ids", BinaryType(), False)])
 
@@ -257,18 +267,18 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, tex
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 ids = [b + end for b in words.encode([t or "" for t in batch.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()),
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) // kind.itemsize for b in ids], pa.int64()),
                                                   pa.array(ids, pa.binary())], schema.names)
 
     return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _counts(tokens: DataFrame) -> DataFrame:
+def _counts(tokens: DataFrame, kind: np.dtype) -> DataFrame:
     """Occurrences of every token: counted by task, then summed (a row for each token)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            c = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32))
+            c = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
             if len(c) > len(total):
                 c[:len(total)] += total
                 total = c
@@ -287,8 +297,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     """Writes the token file of ``docs`` to the folder ``path``. ``vocabulary`` bounds the
     number of different tokens, and so the frequency table that every task gets."""
     spark = docs.sparkSession
-    tokens = materialise(tokenize(docs, tokenizer_path, end_id, id_col, text_col), "token-ids")
-    counted = _counts(tokens).limit(vocabulary + 1).toPandas().sort_values("token")
+    tokens = materialise(tokenize(docs, tokenizer_path, end_id, id_col, text_col), "token-ids", "zstd")
+    with open(tokenizer_path, "rb") as f:
+        kind = id_type(f.read(), end_id)
+    counted = _counts(tokens, kind).limit(vocabulary + 1).toPandas().sort_values("token")
     if len(counted) > vocabulary:
         raise ValueError("more different tokens than the vocabulary parameter allows")
     freqs = Frequencies.scaled(counted["token"].to_numpy(np.int64), counted["c"].to_numpy(np.int64), scale_bits)
@@ -297,38 +309,38 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                           "token long, freq long").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast((freqs.crc, data))
     schema = StructType([StructField("shard", IntegerType(), False), StructField("seq", LongType(), False),
-                         StructField("n_docs", LongType(), False), StructField("n_tokens", LongType(), False),
+                         StructField("before", LongType(), False), StructField("n_docs", LongType(), False), StructField("n_tokens", LongType(), False),
                          StructField("doc_ids", ArrayType(docs.schema[id_col].dataType), False),
                          StructField("payload", BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        f, shard, seq = _once(shared, _table), TaskContext.get().partitionId(), 0
+        f, shard, seq, before = _once(shared, _table), TaskContext.get().partitionId(), 0, 0
         ids: list[pa.Scalar] = []
         held: list[bytes] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            lengths = np.array([len(b) // 4 for b in held], np.uint32)
-            payload = encode_block(np.frombuffer(b"".join(held), np.uint32), lengths, f)
+            lengths = np.array([len(b) // kind.itemsize for b in held], np.uint32)
+            payload = encode_block(np.frombuffer(b"".join(held), kind), lengths, f)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(held)], pa.int64()),
-                 pa.array([size], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([payload], pa.binary())], schema.names)
+                [pa.array([shard], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()),
+                 pa.array([len(held)], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(id_kind)), pa.array([payload], pa.binary())], schema.names)
 
         for batch in batches:
-            kind = batch.schema.field(0).type
+            id_kind = batch.schema.field(0).type
             for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 held.append(b)
-                size += len(b) // 4
+                size += len(b) // kind.itemsize
                 if size >= block_tokens:
                     yield block()
-                    ids, held, size, seq = [], [], 0, seq + 1
+                    ids, held, size, seq, before = [], [], 0, seq + 1, before + size
         if held:
             yield block()
 
     placed = tokens.repartitionByRange("id").sortWithinPartitions("id", "n", "ids")
-    placed.select("id", "ids").mapInArrow(run, schema).write.parquet(f"{path}/blocks")
+    placed.select("id", "ids").mapInArrow(run, schema).write.parquet(f"{path}/blocks", compression="uncompressed")
 
 
 def read_frequencies(spark: SparkSession, path: str, scale_bits: int = 20, vocabulary: int = 1 << 18):
@@ -342,35 +354,27 @@ def read_tokens(spark: SparkSession, path: str, scale_bits: int = 20) -> DataFra
     f = read_frequencies(spark, path, scale_bits)
     shared = spark.sparkContext.broadcast((f.crc, (f.tokens, f.freq, scale_bits)))
     blocks = spark.read.parquet(f"{path}/blocks")
-    sizes = blocks.select("shard", "seq", "n_tokens")
-    shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each file
-    before = (Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(*before)),
-                                               F.lit(0)).alias("shard_start"))
-    inside = Window.partitionBy("shard").orderBy("seq").rowsBetween(*before)
-    starts = sizes.select("shard", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("block_start"))
-    starts = starts.join(shards, "shard").select("shard", "seq", (F.col("shard_start") + F.col("block_start")).alias("at"))
-    schema = StructType([StructField("shard", IntegerType()), StructField("seq", LongType()),
-                         StructField("id", blocks.schema["doc_ids"].dataType.elementType), StructField("inner", LongType()),
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each file
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shard_start"))
+    placed = blocks.join(shards, "shard").select((F.col("shard_start") + F.col("before")).alias("at"), "doc_ids", "payload")
+    schema = StructType([StructField("id", blocks.schema["doc_ids"].dataType.elementType), StructField("start", LongType()),
                          StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _once(shared, _table)
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, seq, ids, payload = (c[row] for c in batch.columns)
+                at, ids, payload = (c[row] for c in batch.columns)
                 lengths, tokens = decode_block(payload.as_py(), f)
                 ends = np.cumsum(lengths.astype(np.int64))
                 begins = ends - lengths
-                raw, n = tokens.astype("<u4").tobytes(), len(lengths)
+                raw = tokens.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int64()), ids.values,
-                     pa.array(begins), pa.array(lengths.astype(np.int64)),
+                    [ids.values, pa.array(at.as_py() + begins), pa.array(lengths.astype(np.int64)),
                      pa.array([raw[4 * a:4 * b] for a, b in zip(begins, ends, strict=True)], pa.binary())], schema.names)
 
-    docs = blocks.select("shard", "seq", "doc_ids", "payload").mapInArrow(run, schema)
-    return docs.join(starts, ["shard", "seq"]).select(
-        "id", (F.col("at") + F.col("inner")).alias("start"), "n_tokens", "ids")
+    return placed.mapInArrow(run, schema)
 
 
 def default_tokenizer() -> str:
