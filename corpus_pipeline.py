@@ -9,7 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabrig.llm import common, mixing, pieces
+from tabrig.llm import common, linededup, mixing, neardup, pieces, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on ``labels``, does not reject."""
+    return toxicity.reject_toxic(docs, common.table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are equal, or near-equal, to an earlier one; a document
+    all of whose lines go is dropped."""
+    return linededup.dedup_lines(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates (five words, 0.8)."""
+    return neardup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +40,9 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", dedup_lines),
+    ("near-dedup", dedup_documents),
     ("mixing", mix_sources),
     ("pieces", encode_pieces),
 ]
@@ -35,5 +54,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = common.materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs
