@@ -1,14 +1,6 @@
-"""Registered (Spark query, DuckDB oracle) pairs used by ``__spark_entry__``."""
+"""Registered (Spark query, DuckDB oracle) pairs used by ``__spark_entry__.py``."""
 
-from . import q_profile  # noqa: F401  (registers)
+from . import q_history, q_metrics, q_prep, q_profile, q_review, q_task, q_train  # noqa: F401  (register)
 from .registry import REGISTRY, oracle, spark_query
 
-_OPTIONAL = ["q_task", "q_metrics", "q_prep", "q_review", "q_train", "q_history"]
-for _m in _OPTIONAL:
-    try:
-        __import__(f"{__name__}.{_m}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if _m not in str(e):
-            raise
-
 __all__ = ["REGISTRY", "oracle", "spark_query"]

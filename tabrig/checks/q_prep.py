@@ -76,8 +76,8 @@ def f04(spark, sf):
     d, train = _train(spark, sf)
     modes = P.fit_most_frequent(train, ["priority"])
     imp = P.impute_most_frequent(d.select("rid", "priority"), {"priority": modes["priority"]["mode"]})
-    cats = P.fit_categories(train, ["priority"])
-    return P.one_hot_long(imp, "rid", cats)
+    cats = P.category_values(train, ["priority"])
+    return P.one_hot_long(imp.select("rid", "priority"), "rid", cats)
 
 
 @register("f05_preprocessor_features")

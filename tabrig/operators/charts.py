@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_missing
+from ..functions.scalars import is_missing, quoted
 from .metrics import confusion_matrix, roc_points
 from .profile import feature_types, missing_by_column, missing_ranked
 
@@ -33,8 +33,8 @@ def chart_missing(df: DataFrame, row_key: str | None = None, mode: str = "A") ->
 
 def chart_target(df: DataFrame, target: str, n: int = TOP_TARGET_VALUES) -> DataFrame:
     """V3: the 12 most frequent target values (missing excluded), ties by label."""
-    m = is_missing(F.col(target), df.schema[target].dataType)
-    vc = df.where(~m).groupBy(F.col(target).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    m = is_missing(quoted(target), df.schema[target].dataType)
+    vc = df.where(~m).groupBy(quoted(target).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return vc.orderBy(F.col("n").desc(), F.col("label").asc()).limit(n)
 
 
@@ -46,8 +46,8 @@ def pairwise_corr(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str
     masks. Plain sums keep whole-stage codegen (a wide aggregate of
     ``corr``/``covar`` expressions does not) and centring keeps precision."""
     cols = sorted({c for p in pairs for c in p})
-    raw = {c: F.col(c).cast("double") for c in cols}
-    vals = {c: F.when(~is_missing(F.col(c), df.schema[c].dataType), raw[c]) for c in cols}
+    raw = {c: quoted(c).cast("double") for c in cols}
+    vals = {c: F.when(~is_missing(quoted(c), df.schema[c].dataType), raw[c]) for c in cols}
     first = df.agg(F.count(F.lit(1)).alias("_rows"),
                    *[x for i, c in enumerate(cols) for x in (F.count(vals[c]).alias(f"_c{i}"),
                                                              F.sum(vals[c]).alias(f"_s{i}"))]).first()

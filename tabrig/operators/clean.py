@@ -2,7 +2,7 @@
 
 Duplicates are removed by grouping on every data column and keeping the least
 row key, so a duplicate group of any size is folded map-side before it is
-shuffled. Removed rows are found with an anti join on the (unique) key.
+shuffled. Removed rows are the other rows of the groups that hold several.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import quoted
+from ..session import cut_lineage, with_row_id
 from .profile import _missing, data_columns
 
 # Change-log wording and limits as in the reference.
@@ -45,7 +47,7 @@ def drop_empty_columns(df: DataFrame, row_key: str | None = None,
                        empty: list[str] | None = None) -> DataFrame:
     """Drop the columns that are missing in every row."""
     empty = empty_columns(df, row_key) if empty is None else empty
-    return df.drop(*empty) if empty else df
+    return df.drop(*[quoted(c) for c in empty]) if empty else df
 
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
@@ -57,18 +59,28 @@ def drop_duplicates(df: DataFrame, row_key: str | None = None) -> DataFrame:
     """One row per fully equal group; with a key, the least key is kept."""
     if row_key is None:
         return df.dropDuplicates()
+    kept = _kept(df, row_key)
+    return kept.select(*[quoted(c) for c in df.columns])
+
+
+def _kept(df: DataFrame, row_key: str) -> DataFrame:
+    """C1 with ``_copies``, the size of each group."""
     cols = data_columns(df, row_key)
-    kept = df.groupBy(*cols).agg(F.min(row_key).alias(row_key))
-    return kept.select(*df.columns)
+    return df.groupBy(*[quoted(c) for c in cols]).agg(F.min(quoted(row_key)).alias(row_key), F.count(F.lit(1)).alias("_copies"))
 
 
 def duplicate_rows(df: DataFrame, row_key: str, n: int | None = LOGGED_ROWS,
                    kept: DataFrame | None = None) -> DataFrame:
     """The rows removed by C1 (all but the least key of each group), first n by key.
-    ``kept`` (the keys C1 kept, e.g. of an already deduplicated table) saves
-    the all-column grouping."""
-    kept = drop_duplicates(df, row_key).select(row_key) if kept is None else kept.select(row_key)
-    removed = df.join(kept, row_key, "left_anti").select(*df.columns).orderBy(row_key)
+    ``kept`` (C1's rows with ``_copies``) saves the grouping. Only groups of several rows
+    are joined back."""
+    kept = _kept(df, row_key) if kept is None else kept
+    cols = [c for c in data_columns(df, row_key) if c in kept.columns]
+    many = kept.where(F.col("_copies") > 1).select(quoted(row_key).alias("_least"), *[quoted(c).alias(f"_g{i}") for i, c in enumerate(cols)])
+    cond = F.lit(True)
+    for i, c in enumerate(cols):
+        cond = cond & quoted(c).eqNullSafe(F.col(f"_g{i}"))
+    removed = df.join(many, cond & (quoted(row_key) != F.col("_least")), "left_semi").orderBy(quoted(row_key))
     return removed.limit(n) if n else removed
 
 
@@ -89,7 +101,7 @@ def change_counts(log: DataFrame) -> DataFrame:
 
 
 def _row_json(df: DataFrame, cols: list[str]):
-    return F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*[quoted(c) for c in cols]), {"ignoreNullFields": "false"})
 
 
 @dataclass
@@ -127,7 +139,7 @@ def clean(df: DataFrame, target: str, row_key: str | None = None,
     Without a row key a synthetic ``_row_id`` is added (positions have no
     meaning in a distributed table)."""
     if row_key is None:
-        df, row_key = df.withColumn("_row_id", F.monotonically_increasing_id()), "_row_id"
+        df, row_key = with_row_id(df), "_row_id"
     cols = data_columns(df, row_key)
     if target not in cols:
         raise ValueError(f"Target column '{target}' was not found in the dataset.")
@@ -135,7 +147,10 @@ def clean(df: DataFrame, target: str, row_key: str | None = None,
     if target in empty:
         raise ValueError("Target column was removed during cleaning.")
     no_empty = drop_empty_columns(df, row_key, empty)
-    deduped = drop_duplicates(no_empty, row_key)
+    # The grouped table feeds the counts, the log and the result: it is written once into
+    # the shared folder, so nothing stays cached (``persist`` keeps it in memory besides).
+    grouped = cut_lineage(_kept(no_empty, row_key))
+    deduped = grouped.select(*[quoted(c) for c in no_empty.columns])
     if persist:
         deduped = deduped.persist()
     kept_cols = data_columns(deduped, row_key)
@@ -145,7 +160,7 @@ def clean(df: DataFrame, target: str, row_key: str | None = None,
         F.count(F.lit(1)).alias("_rows"), F.count_if(tmiss).alias("_tmiss"),
         *[F.count_if(~tmiss & _missing(deduped, c)).alias(f"_m{i}") for i, c in enumerate(kept_cols)]
     ).first()
-    before_rows = df.count()
+    before_rows = int(grouped.agg(F.sum("_copies")).first()[0] or 0)
     cleaned = drop_missing_target(deduped, target)
     summary = {"rows_removed": before_rows - int(r["_rows"]),
                "columns_removed": len(empty),
@@ -154,7 +169,7 @@ def clean(df: DataFrame, target: str, row_key: str | None = None,
                "rows_removed_missing_target": int(r["_tmiss"]),
                "missing_values_remaining": int(sum(r[f"_m{i}"] for i in range(len(kept_cols))))}
     res = CleanResult(cleaned=cleaned, summary=summary, empty_columns=empty, deduped=deduped,
-                      extras={"row_key": row_key})
+                      extras={"row_key": row_key, "grouped": grouped})
     res.log = change_log(df, target, row_key, res)
     return res
 
@@ -178,9 +193,9 @@ def change_log(df: DataFrame, target: str, row_key: str, res: CleanResult,
     spark = df.sparkSession
     all_cols = data_columns(df, row_key)
     # Dropping all-missing columns leaves the equal groups as they were, so
-    # the keys kept by the deduplication of the cleaned table are reused.
-    dups = duplicate_rows(df, row_key, n, res.deduped).select(
-        F.lit(CHANGE_DUPLICATE).alias("change"), F.col(row_key).cast("string").alias("row_key"),
+    # the grouping of the cleaned table is reused.
+    dups = duplicate_rows(df, row_key, n, res.extras.get("grouped")).select(
+        F.lit(CHANGE_DUPLICATE).alias("change"), quoted(row_key).cast("string").alias("row_key"),
         F.lit(ALL_COLUMNS).alias("column_name"), _row_json(df, all_cols).alias("before"),
         F.lit(ROW_REMOVED).alias("after"))
     empties = spark.createDataFrame(
@@ -188,8 +203,8 @@ def change_log(df: DataFrame, target: str, row_key: str, res: CleanResult,
         LOG_SCHEMA)
     d = res.deduped
     kept = data_columns(d, row_key)
-    miss = (d.where(_missing(d, target)).orderBy(row_key).limit(n).select(
-        F.lit(CHANGE_MISSING_TARGET).alias("change"), F.col(row_key).cast("string").alias("row_key"),
+    miss = (d.where(_missing(d, target)).orderBy(quoted(row_key)).limit(n).select(
+        F.lit(CHANGE_MISSING_TARGET).alias("change"), quoted(row_key).cast("string").alias("row_key"),
         F.lit(TARGET_LABEL).alias("column_name"), _row_json(d, kept).alias("before"),
         F.lit(ROW_REMOVED).alias("after")))
     log = dups.unionByName(empties).unionByName(miss)

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from .ordered import running_totals
 
-# Zero-filled confusion grids are emitted only up to this many labels per
-# group (cells = labels^2); beyond it only observed cells are returned.
-MAX_GRID_LABELS = 100
+GRID_PARTS = 64  # the labels of one side of a confusion grid are spread over so many keys
 POSITIVE_PAIRS = [(0.0, 1.0), (-1.0, 1.0)]  # numeric (min, max) label pairs a ROC curve accepts
 
 CLASSIFICATION_METRICS = ["accuracy", "precision", "recall", "f1", "f1_weighted",
@@ -55,37 +53,48 @@ def confusion_cells(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
 def confusion_matrix(pred: DataFrame, by: list[str] | None = None,
                      labels_from: str = "both") -> DataFrame:
     """Counts for every (actual, predicted) label pair, zeros filled.
-    Labels are the union of actual and predicted values (A) or actual only (B).
-    The grid is only built while a group has <= MAX_GRID_LABELS labels (a
-    checked bound); wider groups get their observed cells only."""
+    Labels are the union of actual and predicted values (A) or actual only (B);
+    a missing label is a label. The full grid is the definition: its size is
+    the square of the number of labels of a group."""
     pred, by, tmp = _grouped(pred, by)
     cells = confusion_cells(pred, by)
     lab = cells.select(*by, F.col("actual").alias("lab"))
     if labels_from == "both":
         lab = lab.unionByName(cells.select(*by, F.col("predicted").alias("lab")))
     lab = lab.distinct()
-    widest = lab.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if widest > MAX_GRID_LABELS:
-        return _finish(cells, tmp)
-    a = lab.select(*by, F.col("lab").alias("actual"))
-    p = lab.select(*by, F.col("lab").alias("predicted"))
-    grid = a.join(p, on=by, how="inner")
-    out = grid.join(cells, on=[*by, "actual", "predicted"], how="left") \
+    # One side is spread over GRID_PARTS keys and the other copied to each, so
+    # that the grid of one group is made by many tasks.
+    a = lab.select(*by, F.col("lab").alias("actual"), F.pmod(F.xxhash64("lab"), F.lit(GRID_PARTS)).alias("_part"))
+    p = lab.select(*[F.col(b).alias(f"_p_{b}") for b in by], F.col("lab").alias("predicted"),
+                   F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID_PARTS - 1).cast("long"))).alias("_pp"))
+    grid = a.join(p, _same(by, "_p_") & (F.col("_part") == F.col("_pp")))
+    known = cells.select(*[F.col(b).alias(f"_c_{b}") for b in by], F.col("actual").alias("_ca"),
+                         F.col("predicted").alias("_cp"), "n")
+    match = _same(by, "_c_") & F.col("actual").eqNullSafe(F.col("_ca")) & F.col("predicted").eqNullSafe(F.col("_cp"))
+    out = grid.select(*by, "actual", "predicted").join(known, match, "left") \
         .select(*by, "actual", "predicted", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
     return _finish(out, tmp)
 
 
+def _same(by: list[str], prefix: str):
+    """Null-safe equality of group columns with their prefixed copies."""
+    out = F.lit(True)
+    for b in by:
+        out = out & F.col(b).eqNullSafe(F.col(prefix + b))
+    return out
+
+
 def per_label(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per label (union of actual and predicted): tp, support (true), predicted."""
     by = list(by or [])
     cells = confusion_cells(pred, by)
-    t = cells.groupBy(*by, F.col("actual").alias("label")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
-    p = cells.groupBy(*by, F.col("predicted").alias("label")).agg(F.sum("n").alias("pred_n"))
-    j = t.join(p, on=[*by, "label"], how="full_outer")
-    j = j.select(*by, "label", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                                 for c in ["tp", "support", "pred_n"]])
+    # One grouping over both sides of every cell: a missing label is a label.
+    right = F.when(F.col("actual").eqNullSafe(F.col("predicted")), F.col("n")).otherwise(0)
+    sides = cells.select(*by, F.inline(F.array(
+        F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), right.alias("tp"), F.lit(0).cast("long").alias("pred_n")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("tp"),
+                 F.col("n").alias("pred_n")))))
+    j = sides.groupBy(*by, "label").agg(*[F.sum(c).cast("long").alias(c) for c in ["tp", "support", "pred_n"]])
     tp, sup, pn = F.col("tp"), F.col("support"), F.col("pred_n")
     return j.select(
         *by, "label", "tp", "support", "pred_n",

@@ -1,84 +1,90 @@
 """Order-dependent building blocks without a single-partition window.
 
-A bare ``Window.orderBy(x)`` moves every row to one task. Inputs are first
-aggregated to distinct keys by the callers; when that table is small (a
-checked row count) one ordered window per group is used. Otherwise:
-
-1. range-partition the (usually already aggregated) rows by ``groups + order``,
-2. total each range partition per group (at most ``partitions + groups`` rows),
-3. prefix-sum those totals (tiny) and broadcast them as offsets,
-4. add the offset to a running sum computed inside each range partition.
-
-The range-partition id is stored as data and the tagged table is checkpointed
-into the shared checkpoint folder before it is used twice: two independent
-range exchanges would each sample their own bounds, and a recomputation after
-an executor loss must see the same ids. The broadcast side is bounded by
-``partitions + groups`` rows.
+A bare ``Window.orderBy(x)`` moves every row to one task. There is one path here:
+
+1. the (usually already aggregated) rows are written once into the shared folder, so
+   that every later use sees the same rows and nothing stays cached,
+2. boundaries between about ``ROWS_PER_RANGE`` rows each are fixed from a bounded sample
+   of the keys (groups and order columns) and become a literal list,
+3. a row's range is the number of boundaries below its key, an expression of the row,
+4. totals per group and range are prefix-summed and joined (null-safe) as offsets to a
+   running sum inside each range.
+
+With rows for a single range only, its offsets are all zero and there is nothing to join.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Inputs (already aggregated to distinct keys) up to this many rows in total
-# take one ordered window per group: the checked bound caps what one task
-# sorts. Larger inputs take the distributed range-partition path.
-SMALL_INPUT_ROWS = 2_000_000
+ROWS_PER_RANGE = 100_000
+SAMPLE_PER_RANGE = 32  # sampled keys for each boundary
+MAX_RANGES = 4096  # bounds the literal list; ranges grow beyond it
+
+
+def _key(groups: list[str], order_cols: list[str]) -> Column:
+    return F.struct(*[F.col(c) for c in [*groups, *order_cols]])
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def _boundaries(rows: DataFrame, groups: list[str], order_cols: list[str], ranges: int) -> Column | None:
+    """Sorted keys between the ranges, as a literal array of structs."""
+    if ranges < 2:
+        return None
+    k = _key(groups, order_cols)
+    sample = rows.select(k.alias("k"), F.xxhash64(F.lit(17), k).alias("h")).orderBy("h").limit(ranges * SAMPLE_PER_RANGE)
+    got = sample.orderBy("k").select("k").collect()
+    cuts = sorted({round(i * len(got) / ranges) for i in range(1, ranges)} - {0, len(got)})
+    kinds = rows.select(k.alias("k")).schema["k"].dataType
+    return F.array(*[F.struct(*[F.lit(got[i]["k"][f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields])
+                     for i in cuts]) if cuts else None
 
 
 def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                    groups: list[str] | None = None, prefix: str = "cum_",
-                   num_partitions: int | None = None, descending: bool = False,
-                   small_rows: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, descending: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = inclusive running sum of ``c`` in ``order_cols`` order
-    within each group. Order keys should be unique per group (aggregate first);
-    ties get the sum of all rows up to and including their own position."""
+    within each group (a null group is a group). Order keys should be unique per group
+    (aggregate first); ties get the sum of all rows up to and including their own position.
+    ``num_partitions`` sets the number of ranges; by default it follows the row count."""
     groups = list(groups or [])
     orders = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if small_rows is None:
-        small_rows = SMALL_INPUT_ROWS
-    if held.count() <= small_rows:
+    rows = cut_lineage(df)
+    ranges = num_partitions or -(-rows.count() // ROWS_PER_RANGE)
+    cuts = _boundaries(rows, groups, order_cols, min(int(ranges), MAX_RANGES))
+    if cuts is None:
         w = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))) \
             .orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return held.select(*[F.col(c) for c in df.columns],
-                           *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
-    n = _partitions(df, num_partitions)
-    ranged = cut_lineage(held.repartitionByRange(n, *[F.col(g) for g in groups], *orders)
-                         .withColumn("_rp", F.spark_partition_id()))
-    held.unpersist()
+        return rows.select(*[F.col(c) for c in df.columns], *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
+    below = F.size(F.filter(cuts, lambda c: c <= _key(groups, order_cols)))
+    ranged = rows.withColumn("_rp", below)
     totals = ranged.groupBy("_rp", *groups).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    rank = F.col("_rp").desc() if descending else F.col("_rp").asc()
     w_prev = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))) \
-        .orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_rp", *groups, *[
+        .orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_rp").alias("_orp"), *[F.col(g).alias(f"_og_{g}") for g in groups], *[
         F.coalesce(F.sum(f"_t_{c}").over(w_prev), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
     w_local = Window.partitionBy("_rp", *groups).orderBy(*orders) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("*", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in sum_cols])
-    out = local.join(F.broadcast(offsets), on=["_rp", *groups], how="inner")
-    out = out.select(*[F.col(c) for c in df.columns],
-                     *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
-    return out
+    same = F.col("_rp") == F.col("_orp")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_og_{g}"))
+    out = local.join(offsets, same)
+    return out.select(*[F.col(c) for c in df.columns],
+                      *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
 
 
 def row_index(df: DataFrame, order_cols: list[str], groups: list[str] | None = None,
               name: str = "idx", num_partitions: int | None = None,
-              descending: bool = False, small_rows: int | None = None) -> DataFrame:
+              descending: bool = False) -> DataFrame:
     """1-based consecutive position in ``order_cols`` order within ``groups``
     (order keys must make rows unique). Distributed, no single-partition window."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
     out = running_totals(one, order_cols, ["_one"], groups, prefix="_cum",
-                         num_partitions=num_partitions, descending=descending, small_rows=small_rows)
+                         num_partitions=num_partitions, descending=descending)
     return out.withColumnRenamed("_cum_one", name).drop("_one")
 
 
@@ -98,9 +104,10 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "col
     memory per task is bounded by the range partition, never by the column.
     """
     counts = value_counts_long(long_df, name_col, value_col, "_w")
+    # the group total from the running totals themselves: no second pass over the values
     cum = running_totals(counts, [value_col], ["_w"], [name_col], num_partitions=num_partitions)
     cum = cum.withColumn("_lo_rank", F.col("cum__w") - F.col("_w"))  # 0-based first rank of value
-    sizes = counts.groupBy(name_col).agg(F.sum("_w").alias("_n"))
+    sizes = cum.groupBy(name_col).agg(F.max("cum__w").alias("_n"))
     # Target ranks: names x probs rows (bounded by the column count), safe to broadcast.
     targets = sizes.select(name_col, "_n", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q"))
     targets = targets.select(name_col, "q", (F.col("q") * (F.col("_n") - 1)).alias("_pos"))

@@ -18,15 +18,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_missing
+from ..functions.scalars import is_missing, quoted
 from .clean import drop_duplicates
 from .ordered import exact_quantiles
 from .profile import _missing, feature_types
 
-# Categorical columns with more distinct values than this are not one-hot
-# encoded (their category list would have to live on the driver); they are
-# reported in ``Preprocessor.dropped``. Own addition, see README.
-MAX_CATEGORIES = 1000
 FEATURES_COL = "features"
 
 
@@ -48,7 +44,7 @@ def fit_median(train: DataFrame, cols: list[str]) -> dict[str, float | None]:
     if not cols:
         return {}
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                             F.when(~_missing(train, c), F.col(c)).cast("double").alias("v")) for c in cols])
+                             F.when(~_missing(train, c), quoted(c)).cast("double").alias("v")) for c in cols])
     long = train.select(F.inline(arr)).where(F.col("v").isNotNull())
     got = {r["column_name"]: r["value"] for r in exact_quantiles(long, [0.5]).collect()}
     return {c: got.get(c) for c in cols}
@@ -57,8 +53,8 @@ def fit_median(train: DataFrame, cols: list[str]) -> dict[str, float | None]:
 def impute_median(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
     """F1 transform: missing (null/NaN) -> train median."""
     return df.select(*[
-        (F.when(is_missing(F.col(c), df.schema[c].dataType), F.lit(medians[c]))
-         .otherwise(F.col(c)).cast("double").alias(c)) if c in medians else F.col(c)
+        (F.when(is_missing(quoted(c), df.schema[c].dataType), F.lit(medians[c]))
+         .otherwise(quoted(c)).cast("double").alias(c)) if c in medians else quoted(c)
         for c in df.columns])
 
 
@@ -68,7 +64,7 @@ def fit_most_frequent(train: DataFrame, cols: list[str]) -> dict[str, dict]:
     if not cols:
         return {}
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                             F.when(~_missing(train, c), F.col(c)).cast("string").alias("v")) for c in cols])
+                             F.when(~_missing(train, c), quoted(c)).cast("string").alias("v")) for c in cols])
     long = train.select(F.inline(arr)).where(F.col("v").isNotNull())
     vc = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("w"))
     res = vc.groupBy("column_name").agg(
@@ -81,8 +77,8 @@ def fit_most_frequent(train: DataFrame, cols: list[str]) -> dict[str, dict]:
 def impute_most_frequent(df: DataFrame, modes: dict[str, str | None]) -> DataFrame:
     """F2 transform: missing -> most frequent train value (as text)."""
     return df.select(*[
-        F.coalesce(F.when(~_missing(df, c), F.col(c)).cast("string"), F.lit(modes[c])).alias(c)
-        if c in modes else F.col(c) for c in df.columns])
+        F.coalesce(F.when(~_missing(df, c), quoted(c)).cast("string"), F.lit(modes[c])).alias(c)
+        if c in modes else quoted(c) for c in df.columns])
 
 
 def fit_standardize(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
@@ -90,8 +86,8 @@ def fit_standardize(train: DataFrame, cols: list[str]) -> dict[str, tuple[float,
     if not cols:
         return {}
     r = train.agg(*[x for i, c in enumerate(cols) for x in (
-        F.avg(F.col(c).cast("double")).alias(f"_m{i}"),
-        F.stddev_pop(F.col(c).cast("double")).alias(f"_s{i}"))]).first()
+        F.avg(quoted(c).cast("double")).alias(f"_m{i}"),
+        F.stddev_pop(quoted(c).cast("double")).alias(f"_s{i}"))]).first()
     out = {}
     for i, c in enumerate(cols):
         s = r[f"_s{i}"]
@@ -101,45 +97,36 @@ def fit_standardize(train: DataFrame, cols: list[str]) -> dict[str, tuple[float,
 
 def standardize(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
     """F3 transform."""
-    return df.select(*[((F.col(c).cast("double") - F.lit(params[c][0])) / F.lit(params[c][1])).alias(c)
-                       if c in params else F.col(c) for c in df.columns])
+    return df.select(*[((quoted(c).cast("double") - F.lit(params[c][0])) / F.lit(params[c][1])).alias(c)
+                       if c in params else quoted(c) for c in df.columns])
 
 
-def fit_categories(train: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES,
-                   n_distinct: dict[str, int] | None = None) -> dict[str, list[str]]:
-    """F4 fit: sorted distinct (non-missing) values per column, for columns
-    within the category bound (checked before anything is collected).
-    ``n_distinct`` (e.g. from ``fit_most_frequent``) saves the counting job."""
-    if not cols:
-        return {}
+def category_values(train: DataFrame, cols: list[str]) -> DataFrame:
+    """F4 fit as a table: (column_name, v) of the distinct non-missing values."""
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                             F.when(~_missing(train, c), F.col(c)).cast("string").alias("v")) for c in cols])
-    long = train.select(F.inline(arr)).where(F.col("v").isNotNull()).distinct()
-    if n_distinct is not None and all(c in n_distinct for c in cols):
-        counts = dict(n_distinct)
-    else:
-        counts = {r[0]: r[1] for r in long.groupBy("column_name").count().collect()}
-    keep = [c for c in cols if 0 < counts.get(c, 0) <= max_categories]
-    if not keep:
+                             F.when(~_missing(train, c), quoted(c)).cast("string").alias("v")) for c in cols])
+    return train.select(F.inline(arr)).where(F.col("v").isNotNull()).distinct()
+
+
+def fit_categories(train: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    """F4 fit for the indexer stages: the sorted distinct non-missing values of every
+    column, which the built-in indexer model holds on the driver. No column is left out
+    for the number of its values; columns without any have no entry."""
+    if not cols:
         return {}
-    rows = long.where(F.col("column_name").isin(keep)).groupBy("column_name") \
-        .agg(F.sort_array(F.collect_list("v")).alias("vals")).collect()
+    rows = category_values(train, cols).groupBy("column_name").agg(F.sort_array(F.collect_list("v")).alias("vals")).collect()
     got = {r["column_name"]: list(r["vals"]) for r in rows}
-    return {c: got[c] for c in keep}
-
-
-def one_hot_long(df: DataFrame, row_key: str, categories: dict[str, list[str]]) -> DataFrame:
-    """F4 in long form: (row_key, feature) for each active indicator; values
-    unseen at fit time produce no indicator."""
-    parts = []
-    for c, vals in categories.items():
-        v = F.col(c).cast("string")
-        parts.append(df.where(v.isin(vals)).select(
-            F.col(row_key), F.concat(F.lit(f"{c}_"), v).alias("feature")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return {c: got[c] for c in cols if c in got}
+
+
+def one_hot_long(df: DataFrame, row_key: str, categories: DataFrame) -> DataFrame:
+    """F4 in long form: (row_key, feature) for each active indicator; values unseen at
+    fit time produce no indicator. ``categories``: the table of ``category_values``; the
+    input is unpivoted once and joined with it."""
+    cols = [c for c in df.columns if c != row_key]
+    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("v")) for c in cols])
+    long = df.select(quoted(row_key), F.inline(arr)).join(categories, ["column_name", "v"])
+    return long.select(quoted(row_key), F.concat_ws("_", "column_name", "v").alias("feature"))
 
 
 # --------------------------------------------------------------------------- F5-F8
@@ -162,8 +149,7 @@ class Preprocessor:
 
 
 def build_preprocessor(train: DataFrame, features: list[str] | None = None, target: str | None = None,
-                       row_key: str | None = None, bool_is_numeric: bool = True,
-                       max_categories: int = MAX_CATEGORIES, output_col: str = FEATURES_COL) -> Preprocessor:
+                       row_key: str | None = None, bool_is_numeric: bool = True, output_col: str = FEATURES_COL) -> Preprocessor:
     """median + standardise numeric features, most-frequent + one-hot the
     categorical ones (numeric first); everything else is dropped."""
     exclude = [c for c in [target, row_key] if c]
@@ -175,11 +161,10 @@ def build_preprocessor(train: DataFrame, features: list[str] | None = None, targ
     medians = fit_median(train, num)
     num = [c for c in num if medians.get(c) is not None]  # all-missing columns carry nothing
     # Means and population std of the imputed values, one aggregate.
-    imputed = impute_median(train.select(*num), medians) if num else None
+    imputed = impute_median(train.select(*[quoted(c) for c in num]), medians) if num else None
     scale = fit_standardize(imputed, num) if num else {}
     modes = fit_most_frequent(train, cat)
-    cats = fit_categories(train, [c for c in cat if modes[c]["mode"] is not None], max_categories,
-                          {c: modes[c]["n_distinct"] for c in cat})
+    cats = fit_categories(train, [c for c in cat if modes[c]["mode"] is not None])
     dropped = unsupported + [c for c in cat if c not in cats]
     cat = [c for c in cat if c in cats]
 
@@ -265,7 +250,7 @@ def transform(prep: Preprocessor | None, df: DataFrame, row_key: str | None = No
     """F8: apply a fitted preprocessor to new rows; dedupes first unless told
     not to (a plain transform, so it also runs on a streaming DataFrame)."""
     if prep is None:
-        raise RuntimeError("Preprocessor has not been fitted. Call clean() first.")
+        raise RuntimeError("There is no fitted preprocessor to apply.")
     align_columns(df, prep.input_columns)
     src = drop_duplicates(df, row_key) if dedupe else df
     out = drop_helper_columns(prep.transform(src))

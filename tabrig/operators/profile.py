@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import is_missing
+from ..functions.scalars import is_missing, quoted
 from .ordered import exact_quantiles
 
 # The class-distribution cut-off and the width of the
@@ -48,7 +48,7 @@ def _dtype(df: DataFrame, c: str) -> T.DataType:
 
 
 def _missing(df: DataFrame, c: str):
-    return is_missing(F.col(c), _dtype(df, c))
+    return is_missing(quoted(c), _dtype(df, c))
 
 
 def _kv_rows(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -89,7 +89,7 @@ def column_stats(df: DataFrame, row_key: str | None = None, target: str | None =
     aggs = [F.count(F.lit(1)).alias("_rows")]
     aggs += [F.count_if(_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(cols)]
     if target is not None:
-        tgt = F.when(~_missing(df, target), F.col(target))
+        tgt = F.when(~_missing(df, target), quoted(target))
         aggs.append(F.count_distinct(tgt).alias("_tdistinct"))
     r = df.agg(*aggs).first()
     out = {"rows": int(r["_rows"]), "columns": len(cols),
@@ -132,33 +132,14 @@ def duplicate_groups(df: DataFrame, row_key: str | None = None) -> DataFrame:
     cols = data_columns(df, row_key)
     aggs = [F.count(F.lit(1)).alias("_n")]
     if row_key:
-        aggs.append(F.min(row_key).alias("_first_key"))
-    return df.groupBy(*cols).agg(*aggs)
+        aggs.append(F.min(quoted(row_key)).alias("_first_key"))
+    return df.groupBy(*[quoted(c) for c in cols]).agg(*aggs)
 
 
-def row_hash(df: DataFrame, cols: list[str]):
-    """64-bit hash of the data columns; -0.0 is folded into 0.0 first so rows
-    that group together also hash together (NaN is canonical already)."""
-    parts = [(F.col(c) + F.lit(0.0)).alias(c) if isinstance(_dtype(df, c), (T.FloatType, T.DoubleType))
-             else F.col(c) for c in cols]
-    return F.xxhash64(*parts)
-
-
-def duplicate_count(df: DataFrame, row_key: str | None = None, hash_first: bool = True) -> DataFrame:
-    """Q4: rows beyond the first of each equal group.
-
-    Hash first: group 16-byte (hash, count) pairs instead of whole rows, then
-    verify exactly (all-column grouping) only the rows whose hash repeats. The
-    exact answer is kept: colliding but unequal rows are separated in the
-    second grouping."""
-    if not hash_first:
-        g = duplicate_groups(df, row_key)
-        return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
-    cols = data_columns(df, row_key)
-    hashed = df.select(*cols, row_hash(df, cols).alias("_h"))
-    repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > 1).select("_h")
-    cand = hashed.join(repeated, "_h", "left_semi").drop("_h")
-    g = cand.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+def duplicate_count(df: DataFrame, row_key: str | None = None) -> DataFrame:
+    """Q4: rows beyond the first of each equal group: one grouping by all columns, whose
+    partial counts fold equal rows before the (single) wide shuffle."""
+    g = duplicate_groups(df, row_key)
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -167,13 +148,13 @@ def target_profile(df: DataFrame, target: str) -> DataFrame:
     """Q7: missing count and exact distinct count of the target."""
     m = _missing(df, target)
     return df.agg(F.count_if(m).alias("target_missing"),
-                  F.count_distinct(F.when(~m, F.col(target))).alias("target_distinct"))
+                  F.count_distinct(F.when(~m, quoted(target))).alias("target_distinct"))
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
     """Q9: value counts including missing (label null), no cap."""
     m = _missing(df, target)
-    label = F.when(~m, F.col(target)).alias("label")
+    label = F.when(~m, quoted(target)).alias("label")
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -191,7 +172,7 @@ def class_distribution(df: DataFrame, target: str,
 def _long_values(df: DataFrame, cols: list[str], cast: str) -> DataFrame:
     """Unpivot columns into (column_name, v), skipping missing cells."""
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                             F.when(~_missing(df, c), F.col(c)).cast(cast).alias("v"))
+                             F.when(~_missing(df, c), quoted(c)).cast(cast).alias("v"))
                     for c in cols])
     return df.select(F.inline(arr)).where(F.col("v").isNotNull())
 
@@ -263,9 +244,9 @@ def estimated_bytes(df: DataFrame, row_key: str | None = None) -> DataFrame:
         if width is not None:
             aggs.append((F.count(F.lit(1)) * width).cast("long").alias(f"_b{i}"))
         elif isinstance(dt, (T.StringType, T.BinaryType)):
-            aggs.append(F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)).cast("long").alias(f"_b{i}"))
+            aggs.append(F.coalesce(F.sum(F.octet_length(quoted(c))), F.lit(0)).cast("long").alias(f"_b{i}"))
         else:
-            aggs.append(F.coalesce(F.sum(F.octet_length(F.to_json(F.col(c)))), F.lit(0))
+            aggs.append(F.coalesce(F.sum(F.octet_length(F.to_json(quoted(c)))), F.lit(0))
                         .cast("long").alias(f"_b{i}"))
     wide = df.agg(*aggs)
     return wide.select(F.inline(F.array(*[
@@ -283,22 +264,15 @@ def missing_ranked(df: DataFrame, row_key: str | None = None,
 def duplicate_members(df: DataFrame, row_key: str, n: int | None = PREVIEW_ROWS) -> DataFrame:
     """Q16: every member of a duplicate group (not only the extras), first n by key.
 
-    Hash first: equal rows hash equal, so only rows whose 64-bit hash repeats
-    can be members; the bulk of the table is shuffled as hashes. The exact
-    all-column grouping and the null-safe semi join then run on those
-    candidates only (AQE splits a hot group)."""
+    One grouping by all columns gives the repeated rows; the table is joined with those
+    (null-safe), so a table without duplicates meets an empty side."""
     cols = data_columns(df, row_key)
-    hashed = df.withColumn("_h", row_hash(df, cols))
-    repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > 1).select("_h")
-    cand = hashed.join(repeated, "_h", "left_semi").drop("_h")
-    groups = cand.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*cols)
-    g = groups.alias("g")
-    cond = None
-    for c in cols:
-        e = F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}"))
-        cond = e if cond is None else cond & e
-    out = cand.alias("d").join(g, cond, "left_semi")
-    out = out.select(*[F.col(c) for c in df.columns]).orderBy(row_key)
+    groups = duplicate_groups(df, row_key).where(F.col("_n") > 1)
+    groups = groups.select(*[quoted(c).alias(f"_g{i}") for i, c in enumerate(cols)])
+    cond = F.lit(True)
+    for i, c in enumerate(cols):
+        cond = cond & quoted(c).eqNullSafe(F.col(f"_g{i}"))
+    out = df.join(groups, cond, "left_semi").orderBy(quoted(row_key))
     return out.limit(n) if n else out
 
 
@@ -306,9 +280,9 @@ def split_xy(df: DataFrame, target: str | None = None,
              row_key: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(features, target); the key, if any, stays on both sides so they can
     be joined back. Without a target (or when it is absent) y is None."""
-    keys = [row_key] if row_key else []
-    feats = [c for c in df.columns if c != target]
-    y = df.select(*keys, target) if target and target in df.columns else None
+    keys = [quoted(row_key)] if row_key else []
+    feats = [quoted(c) for c in df.columns if c != target]
+    y = df.select(*keys, quoted(target)) if target and target in df.columns else None
     return df.select(*feats), y
 
 
@@ -316,7 +290,7 @@ def preview(df: DataFrame, row_key: str, cols: list[str] | None = None,
             n: int = PREVIEW_ROWS) -> DataFrame:
     """Optional column subset, first n rows in key order (TakeOrdered)."""
     keep = [row_key] + [c for c in (cols or data_columns(df, row_key)) if c != row_key]
-    return df.select(*keep).orderBy(row_key).limit(n)
+    return df.select(*[quoted(c) for c in keep]).orderBy(quoted(row_key)).limit(n)
 
 
 # --------------------------------------------------------------------------- Q17, Q18

@@ -10,25 +10,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_missing
+from ..functions.scalars import is_missing, quoted
+from ..session import cut_lineage
 from .ordered import row_index, running_totals
 
 DEFAULT_TEST_SIZE = 0.2
 DEFAULT_SEED = 42
 HASH_SPACE = 4294967296.0  # 2**32
 BUCKET_SHIFT = 65536  # 2**16 buckets of the 32-bit hash
-# Up to this many classes the quota arithmetic runs on the collected class
-# counts (one row per class); more classes use the distributed form.
-MAX_DRIVER_CLASSES = 100_000
 
 
 def hash_u32(key_col: str, seed: int = DEFAULT_SEED):
     """First 32 bits of md5(key || '|' || seed) as a long in [0, 2**32)."""
-    txt = F.concat(F.col(key_col).cast("string"), F.lit(f"|{int(seed)}"))
+    txt = F.concat(quoted(key_col).cast("string"), F.lit(f"|{int(seed)}"))
     return F.conv(F.substring(F.md5(txt), 1, 8), 16, 10).cast("long")
 
 
@@ -53,8 +50,8 @@ def can_stratify(df: DataFrame, target: str, task: str) -> bool:
     """M3: classification and the least class (missing excluded) has >= 2 rows."""
     if task != "classification":
         return False
-    m = is_missing(F.col(target), df.schema[target].dataType)
-    r = df.where(~m).groupBy(target).count().agg(F.min("count")).first()[0]
+    m = is_missing(quoted(target), df.schema[target].dataType)
+    r = df.where(~m).groupBy(quoted(target)).count().agg(F.min("count")).first()[0]
     return r is not None and r >= 2
 
 
@@ -62,51 +59,25 @@ def can_stratify_frame(df: DataFrame, target: str, task: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(can_stratify(df, target, task),)], "can_stratify boolean")
 
 
-def _quotas_on_driver(df: DataFrame, target: str, rows, test_size: float) -> DataFrame:
-    n = sum(r["n_c"] for r in rows)
-    n_test = int(math.ceil(float(test_size) * n))
-    n_train = n - n_test
-    cont = [(r[target], r["n_c"], (r["n_c"] / float(n)) * float(n_train)) for r in rows]
-    fl = {i: int(math.floor(c)) for i, (_, _, c) in enumerate(cont)}
-    need = n_train - sum(fl.values())
-
-    def key(i):
-        v = cont[i][0]
-        return (-(cont[i][2] - fl[i]), v is None, v)  # ties: least label, missing last
-    order = sorted(range(len(cont)), key=key)
-    extra = set(order[:max(need, 0)])
-    out = [(v, n_c, n_c - fl[i] - (1 if i in extra else 0)) for i, (v, n_c, _) in enumerate(cont)]
-    dt = df.schema[target].dataType.simpleString()
-    return df.sparkSession.createDataFrame(out, f"`{target}` {dt}, n_c long, t_c long")
-
-
 def stratified_quotas(df: DataFrame, target: str, test_size: float = DEFAULT_TEST_SIZE) -> DataFrame:
     """Per-class test quotas: n_test = ceil(test_size * n), train quotas by the
-    largest-remainder rule on n - n_test (ties -> least label), test = rest.
-    Returns (target, n_c, t_c), one row per class; computed from the collected
-    class counts when they are few, else fully distributed."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
-    return _quotas_from_counts(df, target, counts, test_size)[0]
-
-
-def _quotas_from_counts(df: DataFrame, target: str, counts: DataFrame,
-                        test_size: float) -> tuple[DataFrame, bool]:
-    """Quotas from a (target, n_c) class-count table, and whether the class
-    count is within MAX_DRIVER_CLASSES (checked)."""
-    small = counts.limit(MAX_DRIVER_CLASSES + 1).collect()
-    if len(small) <= MAX_DRIVER_CLASSES:
-        return _quotas_on_driver(df, target, small, test_size), True
+    largest-remainder rule on n - n_test (ties -> least label, missing last), test = rest.
+    Returns (target, n_c, t_c), one row per class, whatever the number of classes."""
+    return _quotas_from_counts(target, df.groupBy(quoted(target)).agg(F.count(F.lit(1)).alias("n_c")), test_size)
+
+
+def _quotas_from_counts(target: str, counts: DataFrame, test_size: float) -> DataFrame:
     n = counts.agg(F.sum("n_c")).first()[0] or 0
     n_test = int(math.ceil(float(test_size) * n))
     n_train = n - n_test
-    cont = (F.col("n_c") / F.lit(float(n))) * F.lit(float(n_train))
-    q = counts.select(target, "n_c", cont.alias("_cont"), F.floor(cont).cast("long").alias("_fl"))
+    cont = (F.col("n_c") / F.lit(float(max(n, 1)))) * F.lit(float(n_train))
+    q = counts.select(quoted(target), "n_c", cont.alias("_cont"), F.floor(cont).cast("long").alias("_fl"))
     need = n_train - (q.agg(F.sum("_fl")).first()[0] or 0)
-    q = q.withColumn("_rem", F.col("_cont") - F.col("_fl")).withColumn("_neg_rem", -F.col("_rem"))
-    ranked = row_index(q, ["_neg_rem", target], name="_rk")
-    return ranked.select(target, "n_c",
+    q = q.withColumn("_neg_rem", F.col("_fl") - F.col("_cont")).withColumn("_none", quoted(target).isNull())
+    ranked = row_index(q, ["_neg_rem", "_none", target], name="_rk")
+    return ranked.select(quoted(target), "n_c",
                          (F.col("n_c") - F.col("_fl") - F.when(F.col("_rk") <= need, 1).otherwise(0))
-                         .cast("long").alias("t_c")), False
+                         .cast("long").alias("t_c"))
 
 
 def mark_split_stratified(df: DataFrame, target: str, row_key: str,
@@ -118,19 +89,18 @@ def mark_split_stratified(df: DataFrame, target: str, row_key: str,
           .withColumn("_b", F.floor(F.col("_u") / BUCKET_SHIFT).cast("long"))
     # The histogram (classes x 65,536 rows at most) also gives the class
     # counts, so the input is scanned twice in all: here and for the marks.
-    hist = h.groupBy(target, "_b").agg(F.count(F.lit(1)).alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
-    quotas, few_classes = _quotas_from_counts(df, target, hist.groupBy(target).agg(F.sum("_w").alias("n_c")),
-                                              test_size)
+    hist = cut_lineage(h.groupBy(quoted(target), "_b").agg(F.count(F.lit(1)).alias("_w")))
+    quotas = _quotas_from_counts(target, hist.groupBy(quoted(target)).agg(F.sum("_w").alias("n_c")), test_size)
+    quotas = quotas.select(quoted(target).alias("_qt"), "t_c")
     cum = running_totals(hist, ["_b"], ["_w"], [target])
-    # Boundary bucket per class: cum_before < t_c <= cum.
-    bnd = cum.join(quotas, on=[target]).where(
+    # Boundary bucket per class: cum_before < t_c <= cum. A missing class is a class.
+    bnd = cum.join(quotas, quoted(target).eqNullSafe(F.col("_qt"))).where(
         (F.col("cum__w") - F.col("_w") < F.col("t_c")) & (F.col("t_c") <= F.col("cum__w"))) \
-        .select(target, F.col("_b").alias("_bb"), (F.col("t_c") - (F.col("cum__w") - F.col("_w")))
-                .alias("_take"))
-    # Classes with a zero quota get no boundary (everything trains). The
-    # boundary table has one row per class; with the class count checked it
-    # is broadcast, so the marks are map-side and only boundary buckets shuffle.
-    j = h.join(F.broadcast(bnd) if few_classes else bnd, on=[target], how="left")
+        .select("_qt", F.col("_b").alias("_bb"), (F.col("t_c") - (F.col("cum__w") - F.col("_w"))).alias("_take"))
+    # Classes with a zero quota get no boundary (everything trains). The boundary
+    # table has one row per class; the planner broadcasts it where it is small, so
+    # that the marks are map-side and only boundary buckets shuffle.
+    j = h.join(bnd, quoted(target).eqNullSafe(F.col("_qt")), "left").drop("_qt")
     in_b = F.col("_b") == F.col("_bb")
     w = Window.partitionBy(target, "_b").orderBy("_u", row_key)
     ranked = j.where(in_b).withColumn("_r", F.row_number().over(w)) \

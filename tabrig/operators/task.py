@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import is_integer_like, is_missing
+from ..functions.scalars import is_integer_like, is_missing, quoted
 from .profile import is_numeric_type
 
 # Thresholds and candidate portfolios as in the reference.
@@ -62,9 +62,9 @@ def detect_task(df: DataFrame, target: str) -> DataFrame:
     dt = _check_target(df, target)
     numeric = is_numeric_type(dt, bool_is_numeric=True)
     dtype = pandas_dtype_name(dt)
-    m = is_missing(F.col(target), dt)
+    m = is_missing(quoted(target), dt)
     a = df.agg(F.count(F.lit(1)).alias("_n"),
-               F.count_distinct(F.when(~m, F.col(target))).alias("_u"))
+               F.count_distinct(F.when(~m, quoted(target))).alias("_u"))
     u, n = F.col("_u"), F.col("_n")
     cls = F.lit(True) if not numeric else (u <= CLASS_DISTINCT_MAX) | (
         u / F.greatest(n, F.lit(1)) < CLASS_RATIO_MAX)
@@ -79,9 +79,9 @@ def infer_task(df: DataFrame, target: str) -> DataFrame:
     """T2 (pipeline B): scored heuristic with confidence in [0.5, 0.99], 3 dp."""
     dt = _check_target(df, target)
     numeric = is_numeric_type(dt, bool_is_numeric=True)
-    m = is_missing(F.col(target), dt)
+    m = is_missing(quoted(target), dt)
     a = df.agg(F.count(F.lit(1)).alias("n_rows"),
-               F.count_distinct(F.when(~m, F.col(target))).alias("n_unique"),
+               F.count_distinct(F.when(~m, quoted(target))).alias("n_unique"),
                (is_integer_like(target, dt) if numeric else F.lit(False)).alias("is_integer_like"))
     u, n, il = F.col("n_unique"), F.col("n_rows"), F.col("is_integer_like")
     ratio = u / F.greatest(n, F.lit(1))
@@ -120,8 +120,8 @@ def task_hint(df: DataFrame, target: str) -> DataFrame:
     """T4: review-only rule, non-numeric or <= 20 distinct -> classification."""
     dt = _check_target(df, target)
     numeric = is_numeric_type(dt, bool_is_numeric=True)
-    m = is_missing(F.col(target), dt)
-    a = df.agg(F.count_distinct(F.when(~m, F.col(target))).alias("n_unique"))
+    m = is_missing(quoted(target), dt)
+    a = df.agg(F.count_distinct(F.when(~m, quoted(target))).alias("n_unique"))
     cls = F.lit(True) if not numeric else F.col("n_unique") <= CLASS_DISTINCT_MAX
     return a.select(F.when(cls, CLASSIFICATION).otherwise(REGRESSION).alias("task_hint"), "n_unique")
 

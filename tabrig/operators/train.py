@@ -20,24 +20,25 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.scalars import is_missing
+from ..functions.scalars import is_missing, quoted
+from ..session import cut_lineage, with_row_id
 from . import metrics as E
 from .prep import Preprocessor, build_preprocessor
+from .ordered import row_index
 from .split import can_stratify, mark_split, mark_split_stratified
 
-DEFAULT_PARAMS = {"num_trees": 100, "max_depth": 10, "gbt_iters": 100, "gbt_depth": 3, "seed": 42,
+DEFAULT_PARAMS = {"num_trees": 100, "max_depth": 30, "gbt_iters": 100, "gbt_depth": 3, "seed": 42,
                   "max_iter": 1000, "tol": 1e-4}  # tol: the usual logistic-regression default
 IMPORTANCE_TOP = 10
 LABEL_IDX = "_label_idx"
-# Classification targets with more distinct labels than this are rejected
-# (the label list is kept on the driver). Own addition, see README.
-MAX_CLASSES = 10_000
 
 
-def _sort_labels(values: list, dtype: T.DataType) -> list:
-    return sorted(values, key=(lambda v: float(v)) if isinstance(dtype, T.NumericType) else (lambda v: str(v)))
+def label_index(train: DataFrame, target: str) -> DataFrame:
+    """(label, idx): the distinct labels of the training rows with their position from 0
+    in ascending order, as a table that is joined; any number of classes."""
+    distinct = train.select(quoted(target).alias("_lab")).distinct()
+    return row_index(distinct, ["_lab"], name="_pos").select("_lab", (F.col("_pos") - 1).cast("double").alias("_lab_idx"))
 
 
 def build_estimator(name: str, task: str, n_train: int, n_classes: int, params: dict | None = None):
@@ -55,7 +56,7 @@ def build_estimator(name: str, task: str, n_train: int, n_classes: int, params:
     if name == "gradient_boosting":
         gbt = GBTClassifier(featuresCol=fc, labelCol=LABEL_IDX, maxIter=p["gbt_iters"], stepSize=0.1,
                             maxDepth=p["gbt_depth"], seed=seed)
-        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=fc, labelCol=LABEL_IDX)
+        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=fc, labelCol=LABEL_IDX, parallelism=4)
     if name == "linear_regression":
         return LinearRegression(featuresCol=fc, labelCol=LABEL_IDX, solver="normal", regParam=0.0)
     if name == "decision_tree_regressor":
@@ -71,6 +72,9 @@ def build_estimator(name: str, task: str, n_train: int, n_classes: int, params:
 
 def _raw_importances(model, names: list[str], mean_abs: bool = True) -> list[float] | None:
     inner = model
+    if hasattr(inner, "models"):  # one-vs-rest: the mean over the inner models
+        each = [_raw_importances(m, names, mean_abs) for m in inner.models]
+        return [sum(v) / len(each) for v in zip(*each, strict=True)] if each and None not in each else None
     if hasattr(inner, "featureImportances"):
         return [float(x) for x in inner.featureImportances.toArray()]
     if hasattr(inner, "coefficientMatrix"):
@@ -110,7 +114,7 @@ class TrainResult:
     importances: DataFrame        # model, feature, importance, contribution
     preprocessor: Preprocessor
     fitted: dict = field(default_factory=dict)
-    labels: list = field(default_factory=list)
+    labels: DataFrame | None = None  # label, idx
     train_rows: int = 0
     test_rows: int = 0
     errors: dict = field(default_factory=dict)
@@ -127,21 +131,22 @@ class TrainResult:
 
 
 def _with_key(df: DataFrame, row_key: str | None) -> tuple[DataFrame, str]:
-    if row_key:
-        return df, row_key
-    return df.withColumn("_row_id", F.monotonically_increasing_id()), "_row_id"
+    return (df, row_key) if row_key else (with_row_id(df), "_row_id")
 
 
 def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, row_key: str | None = None,
                     test_size: float = 0.2, seed: int = 42, params: dict | None = None,
-                    mode: str = "A", features: list[str] | None = None) -> TrainResult:
+                    mode: str = "A", features: list[str] | None = None,
+                    prepared: Preprocessor | None = None) -> TrainResult:
     """M12 (A, fail fast, stratified when possible, preprocessor fitted on the
     train rows) and M13 (B, per-model errors recorded, plain split).
+    With ``prepared`` the rows already hold the feature vector of that preprocessor
+    (F7): they are split and used as they are, and nothing is fitted again.
     Returns the metric, prediction and importance tables."""
     spark = df.sparkSession
     df, key = _with_key(df, row_key)
     ydt = df.schema[target].dataType
-    df = df.where(~is_missing(F.col(target), ydt))
+    df = df.where(~is_missing(quoted(target), ydt))
     if mode == "B" and df.limit(2).count() < 2:
         raise ValueError("Not enough samples to split for training and testing")
     if mode == "A" and task == "classification" and can_stratify(df, target, task):
@@ -154,30 +159,25 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
     train_raw = marked.where(~F.col("is_test")).drop("is_test")
     test_raw = marked.where(F.col("is_test")).drop("is_test")
     feats = features if features is not None else [c for c in df.columns if c not in (target, key)]
-    prep = build_preprocessor(train_raw, features=feats, target=target, row_key=key)
-    labels: list = []
+    prep = prepared or build_preprocessor(train_raw, features=feats, target=target, row_key=key)
+    labels = None
     if task == "classification":
-        # The label list lives on the driver and in the plan: bound it before collecting.
-        vals = [r[0] for r in train_raw.select(target).distinct().limit(MAX_CLASSES + 1).collect()]
-        if len(vals) > MAX_CLASSES:
-            raise ValueError(f"Target '{target}' has more than {MAX_CLASSES:,} classes; "
-                             "treat it as regression or choose another target.")
-        labels = _sort_labels(vals, ydt)
-        lab_arr = F.array(*[F.lit(v) for v in labels])
-        y = F.array_position(lab_arr, F.col(target)).cast("double") - 1.0
-    else:
-        y = F.col(target).cast("double")
+        labels = cut_lineage(label_index(train_raw, target))
 
     def assemble(d):
-        out = prep.transform(d).select(key, F.col(target).alias("_label"), y.alias(LABEL_IDX), "features")
-        return out
+        out = d if prepared else prep.transform(d)
+        out = out.select(key, quoted(target).alias("_label"), F.col(prep.output_col).alias("features"))
+        if labels is None:
+            return out.withColumn(LABEL_IDX, F.col("_label").cast("double"))
+        # labels that the training rows don't have get no index
+        return out.join(labels, F.col("_label") == F.col("_lab"), "left").drop("_lab").withColumnRenamed("_lab_idx", LABEL_IDX)
     train = assemble(train_raw).persist(StorageLevel.MEMORY_AND_DISK)
     test = assemble(test_raw).persist(StorageLevel.MEMORY_AND_DISK)
     n_train, n_test = train.count(), test.count()
     # Both assembled sides are materialised: the split copy is no longer read,
     # so the cache holds one copy of the data while the portfolio trains.
     marked.unpersist()
-    n_classes = len(labels)
+    n_classes = labels.count() if labels is not None else 0
     if task == "classification":
         train = train.where(F.col(LABEL_IDX) >= 0)
 
@@ -196,12 +196,13 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
         fitted[name] = model
         out = model.transform(test)
         if task == "classification":
-            pred = F.element_at(F.array(*[F.lit(v) for v in labels]), F.col("prediction").cast("int") + 1)
+            out = out.join(labels, F.col("prediction") == F.col("_lab_idx"), "left")
+            pred = F.col("_lab")
             score = (vector_to_array(F.col("probability"))[1] if (n_classes == 2 and "probability" in out.columns)
                      else F.lit(None).cast("double"))
         else:
             pred, score = F.col("prediction"), F.lit(None).cast("double")
-        preds.append(out.select(F.lit(name).alias("model"), F.lit(ord_).alias("ord"), F.col(key).alias("row_key"),
+        preds.append(out.select(F.lit(name).alias("model"), F.lit(ord_).alias("ord"), quoted(key).alias("row_key"),
                                 F.col("_label").alias("label"), pred.alias("prediction"),
                                 score.cast("double").alias("score")))
         rows = feature_importance(model, prep.feature_names) if mode == "A" else \
@@ -243,8 +244,8 @@ def fit_linear_regression(df: DataFrame, feature: str, label: str) -> DataFrame:
     (slope, intercept); equals SQL ``regr_slope`` / ``regr_intercept``."""
     from pyspark.ml.feature import VectorAssembler
     va = VectorAssembler(inputCols=[feature], outputCol="features", handleInvalid="skip")
-    d = va.transform(df.select(F.col(feature).cast("double").alias(feature),
-                               F.col(label).cast("double").alias(LABEL_IDX)))
+    d = va.transform(df.select(quoted(feature).cast("double").alias(feature),
+                               quoted(label).cast("double").alias(LABEL_IDX)))
     m = LinearRegression(featuresCol="features", labelCol=LABEL_IDX, solver="normal", regParam=0.0).fit(d)
     return df.sparkSession.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
                                            "slope double, intercept double")

@@ -4,6 +4,7 @@ results (per column / per class / per model) come back to the driver."""
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -21,10 +22,11 @@ from ..operators import report as RP
 from ..operators import review as R
 from ..operators import task as T
 from ..operators.prep import fit_transform
-from ..operators.train import train_portfolio
-from ..session import shared_dir
+from ..functions.scalars import quoted
+from ..operators.train import full_pipeline, train_portfolio
+from ..session import with_row_id
 from ..sources import history as H
-from ..sources.io import check_dataset, experiment_summary
+from ..sources.io import check_dataset, experiment_summary, save_model
 
 
 @dataclass
@@ -51,13 +53,14 @@ class StepLog:
 def run_experiment_a(df: DataFrame, target: str, goal: str = "highest_accuracy", test_size: float = 0.2,
                      business_goal: str | None = None, dataset_name: str = "uploaded_dataset.csv",
                      row_key: str | None = None, params: dict | None = None,
-                     history: DataFrame | None = None, write: bool = False) -> dict:
+                     history: DataFrame | None = None, output_path: str | None = None) -> dict:
     """Profile -> clean -> task -> models -> train -> rank -> review ->
-    chart data -> report tables -> history upsert. Returns named tables."""
+    chart data -> report tables -> history upsert. Returns named tables; with an
+    ``output_path`` the report and the history are written below it."""
     spark = df.sparkSession
     check_dataset(df, target)
     if row_key is None:
-        df, row_key = df.withColumn("_row_id", F.monotonically_increasing_id()), "_row_id"
+        df, row_key = with_row_id(df), "_row_id"
     log = StepLog()
     exp_id = str(uuid.uuid4())
     facts = log.run("quality", Q.quality_facts, df, target, row_key)
@@ -110,28 +113,37 @@ def run_experiment_a(df: DataFrame, target: str, goal: str = "highest_accuracy",
            "business_recommendation": R.business_recommendation(best_model, business_goal),
            "charts": charts, "report": report, "history": hist, "train": tr, "comments": comments,
            "run_log": log.frame(spark)}
-    if write:
-        base = shared_dir(spark, f"experiment-{exp_id[:8]}")
-        out["report_path"] = RP.write_report(report, f"{base}/report")
+    if output_path:
+        base = output_path.rstrip("/")
+        out["report_path"] = RP.write_report(report, f"{base}/reports/{exp_id}")
         out["history_path"] = H.write_version(hist, f"{base}/history")
     return out
 
 
 def run_experiment_b(df: DataFrame, target: str, name: str | None = None, row_key: str | None = None,
-                     params: dict | None = None, log_table: DataFrame | None = None) -> dict:
+                     params: dict | None = None, log_table: DataFrame | None = None,
+                     output_path: str | None = None) -> dict:
     """fit/transform on the whole table -> scored task inference ->
-    portfolio -> train with per-model errors -> tuple leaderboard -> review ->
-    chart data -> history append."""
+    portfolio -> train on that matrix with per-model errors -> tuple leaderboard ->
+    review -> chart data -> history append. With an ``output_path`` every fitted model
+    is saved below it and its path returned and recorded."""
     spark = df.sparkSession
     name = name or f"experiment_{uuid.uuid4().hex[:8]}"
     ft = fit_transform(df, target, row_key)
     strat = T.infer_task(df, target).first().asDict()
     task = strat["task_type"]
     models = T.model_portfolio(task)
-    # The features are already transformed; train on them with a plain split.
-    wide = ft.features.join(ft.target, on=[row_key]) if row_key else None
-    src = wide if wide is not None else df
-    tr = train_portfolio(src, target, models, task, row_key, 0.2, 42, params, mode="B")
+    # The rows hold the fitted matrix: split and train on it, nothing is fitted again.
+    # Deduplicated rows are all different, so without a key their content is one.
+    key, rows = row_key, ft.assembled
+    if key is None:
+        key = "_content"
+        rows = rows.withColumn(key, F.md5(F.to_json(F.struct(*[quoted(c) for c in df.columns]))))
+    tr = train_portfolio(rows, target, models, task, key, 0.2, 42, params, mode="B", prepared=ft.preprocessor)
+    paths = {}
+    if output_path:
+        paths = {m: save_model(full_pipeline(ft.preprocessor, model), f"{output_path.rstrip('/')}/models/{name}/{m}")
+                 for m, model in tr.fitted.items()}
     lb = L.leaderboard_tuple(tr.metrics, task)
     rec = L.recommendation(lb, task)
     top = lb.where("rank = 1").first()
@@ -141,11 +153,17 @@ def run_experiment_b(df: DataFrame, target: str, name: str | None = None, row_ke
     if task == "classification":
         charts["confusion"] = V.chart_confusion(tr.predictions, mode="B")
         charts["roc"] = V.chart_roc(tr.predictions, mode="B")
-    batch = spark.createDataFrame([(datetime.now(timezone.utc).isoformat(), name, target, task, top["model"])],
-                                  "timestamp string, name string, target string, task_type string, best_model string")
+    metric_rows = [r.asDict() for r in tr.metrics.drop("ord").collect()]  # a row for each model
+    summary = {"rows": tr.train_rows + tr.test_rows, "columns": len(df.columns), "features": len(ft.preprocessor.feature_names)}
+    batch = spark.createDataFrame(
+        [(datetime.now(timezone.utc).isoformat(), name, target, task, json.dumps(summary), json.dumps(paths),
+          json.dumps(metric_rows), top["model"])],
+        "timestamp string, name string, target string, task_type string, dataset_summary string, models string, "
+        "metrics string, best_model string")
     appended = H.history_append(log_table, batch, ["timestamp", "name"])
     return {"experiment_name": name, "strategy": strat, "task": task, "models": models, "metrics": tr.metrics,
             "leaderboard": lb, "recommendation": rec, "review": review, "charts": charts,
+            "importances": tr.importances, "model_paths": paths, "errors": tr.errors,
             "history_rows": appended, "train": tr, "preprocessor": ft.preprocessor}
 
 

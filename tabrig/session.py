@@ -66,3 +66,11 @@ def cut_lineage(df, eager: bool = True):
     finally:
         if eager:
             held.unpersist()
+
+
+def with_row_id(df, name: str = "_row_id"):
+    """``df`` with a unique row number, written once into the shared folder: generated
+    numbers depend on the partitioning of the run that made them, so every later use
+    must read the same ones."""
+    from pyspark.sql import functions as F
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))

@@ -10,50 +10,56 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import quoted
+from ..session import with_row_id
+
 # Text read as missing by the usual CSV reader defaults.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
 ROW_ID = "_row_id"
+INTEGER = r"^[+-]?[0-9]+$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf|[iI]nfinity)$"
 
 
 def read_table_csv(spark: SparkSession, path: str, add_row_id: bool = True) -> DataFrame:
-    """Header CSV, NA tokens -> null, then one aggregate pass decides per
-    column long / double / boolean / string and casts."""
-    raw = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+    """Header CSV (doubled quotes and line ends inside quoted fields), NA tokens ->
+    null, then one aggregate pass decides per column long / double / boolean / string and
+    casts. Numbers must look like numbers (no type suffixes); true/false with missing cells
+    stays text."""
+    raw = spark.read.option("header", "true").option("inferSchema", "false").option("quote", '"') \
+        .option("escape", '"').option("multiLine", "true").csv(path)
     cols = raw.columns
-    clean = raw.select(*[F.when(F.col(c).isin(NA_TOKENS) | F.col(c).isNull(), F.lit(None))
-                         .otherwise(F.col(c)).alias(c) for c in cols])
+    clean = raw.select(*[F.when(quoted(c).isin(NA_TOKENS) | quoted(c).isNull(), F.lit(None))
+                         .otherwise(quoted(c)).alias(c) for c in cols])
     aggs = []
     for i, c in enumerate(cols):
-        v = F.trim(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"n{i}"),
-                 F.count(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)")).alias(f"l{i}"),
-                 F.count(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")).alias(f"d{i}"),
+        v = F.trim(quoted(c))
+        aggs += [F.count(quoted(c)).alias(f"n{i}"),
+                 F.count(F.when(v.rlike(INTEGER), v.try_cast("bigint"))).alias(f"l{i}"),
+                 F.count(F.when(v.rlike(NUMBER), v.try_cast("double"))).alias(f"d{i}"),
                  F.count_if(v.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}")]
-    r = clean.agg(*aggs).first()
+    r = clean.agg(*aggs, F.count(F.lit(1)).alias("rows")).first()
     out = []
     for i, c in enumerate(cols):
-        n = r[f"n{i}"]
+        n, v = r[f"n{i}"], F.trim(quoted(c))
         if n > 0 and r[f"l{i}"] == n:
-            out.append(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)").alias(c))
+            out.append(v.try_cast("bigint").alias(c))
         elif n > 0 and r[f"d{i}"] == n:
-            out.append(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)").alias(c))
-        elif n > 0 and r[f"b{i}"] == n:
-            out.append(F.col(c).isin(TRUE_TOKENS).alias(c))
+            out.append(v.try_cast("double").alias(c))
+        elif n > 0 and r[f"b{i}"] == n == r["rows"]:
+            out.append(v.isin(TRUE_TOKENS).alias(c))
         elif n == 0:
             out.append(F.lit(None).cast("double").alias(c))  # all missing reads as float
         else:
-            out.append(F.col(c))
+            out.append(quoted(c))
     df = clean.select(*out)
-    if add_row_id:
-        df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    return df
+    return with_row_id(df, ROW_ID) if add_row_id else df
 
 
 def write_table_csv(df: DataFrame, path: str, na: str = "NA") -> str:
-    df.write.mode("overwrite").option("header", "true").option("nullValue", na).csv(path)
+    df.write.mode("overwrite").option("header", "true").option("nullValue", na).option("escape", '"').csv(path)
     return path
 
 

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from tabrig.operators import metrics as E
 from tabrig.operators import rank as L
 from tabrig.operators.ordered import exact_quantiles, row_index, running_totals
@@ -66,20 +68,28 @@ def test_classification_report_rows(spark):
     assert rep["accuracy"]["score"] == 5 / 6 and rep["1"]["precision"] == 0.75
 
 
-def test_running_totals_match_brute_force(spark):
+@pytest.mark.parametrize("ranges", [1, 2, 5, 40])
+def test_running_totals_match_brute_force(spark, ranges):
     rnd = random.Random(3)
-    rows = [(rnd.choice(["a", "b", "c"]), i, rnd.randint(1, 5)) for i in range(300)]
+    rows = [(rnd.choice(["a", "b", "c", None]), i, rnd.randint(1, 5)) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, o long, w long")
-    for small in (0, None):  # 0 forces the distributed range-partition path
+    for down in (False, True):
         got = {(r["g"], r["o"]): r["cum_w"]
-               for r in running_totals(df, ["o"], ["w"], ["g"], num_partitions=5, small_rows=small).collect()}
+               for r in running_totals(df, ["o"], ["w"], ["g"], num_partitions=ranges, descending=down).collect()}
         acc = {}
-        for g, o, w in sorted(rows, key=lambda r: (r[0], r[1])):
+        for g, o, w in sorted(rows, key=lambda r: r[1], reverse=down):
             acc[g] = acc.get(g, 0) + w
             assert got[(g, o)] == acc[g]
-        idx = sorted((r["o"], r["idx"]) for r in row_index(df, ["o"], num_partitions=4, descending=True,
-                                                            small_rows=small).collect())
-        assert [i for _, i in idx] == list(range(300, 0, -1))
+        assert len(got) == 300
+    idx = sorted((r["o"], r["idx"]) for r in row_index(df, ["o"], num_partitions=ranges, descending=True).collect())
+    assert [i for _, i in idx] == list(range(300, 0, -1))
+
+
+def test_confusion_grid_is_full_for_many_labels(spark):
+    rows = [(f"l{i}", f"l{(i * 7) % 150}") for i in range(150)] + [(None, "l1")]
+    got = E.confusion_matrix(spark.createDataFrame(rows, "label string, prediction string")).collect()
+    assert len(got) == 151 * 151 and sum(r["n"] for r in got) == 151
+    assert [r["n"] for r in got if r["actual"] is None and r["predicted"] == "l1"] == [1]
 
 
 def test_exact_quantiles_even_count(spark):

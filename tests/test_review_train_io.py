@@ -94,12 +94,38 @@ def test_stream_scoring(spark, tmp_path):
     assert spark.sql("SELECT * FROM scored").count() == 2
 
 
-def test_portfolio_rejects_unbounded_label_list(spark, sf, monkeypatch):
-    import tabrig.operators.train as TR
-    monkeypatch.setattr(TR, "MAX_CLASSES", 2)
-    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")  # three classes
-    with pytest.raises(ValueError, match="more than 2 classes"):
-        TR.train_portfolio(o, "o_orderstatus", ["logistic_regression"], "classification", "o_orderkey")
+def test_csv_dialect_and_number_patterns(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('id,x.1,a,flag,text\n1,1d,1.5,true,"x ""q"" y"\n2,2f,-2e3,,"two\nlines"\n3,7d,.5,false,z\n')
+    back = read_table_csv(spark, str(path))
+    assert dict(back.dtypes) == {"id": "bigint", "x.1": "string", "a": "double", "flag": "string", "text": "string", "_row_id": "bigint"}
+    rows = back.orderBy("id").collect()
+    assert [r["text"] for r in rows] == ['x "q" y', "two\nlines", "z"]
+    from tabrig.operators.profile import describe_numeric, duplicate_count, missing_by_column
+    assert {r["column_name"]: r["missing"] for r in missing_by_column(back, "_row_id").collect()}["x.1"] == 0
+    assert duplicate_count(back, "_row_id").first()[0] == 0
+    assert describe_numeric(back, "_row_id").count() == 2
+
+
+def test_dotted_columns_clean_and_encode(spark):
+    rows = [(i, float(i % 3), "ab"[i % 2], i % 2) for i in range(12)] + [(12, 0.0, "a", 0)]
+    df = spark.createDataFrame(rows, ["k", "a.1", "c.x", "y.t"])
+    from tabrig.operators.clean import clean
+    from tabrig.operators.prep import build_preprocessor
+    res = clean(df, "y.t", "k")
+    assert res.summary["rows_removed"] == 7 and res.log.count() == 7
+    prep = build_preprocessor(df, target="y.t", row_key="k")
+    assert prep.feature_names == ["a.1", "c.x_a", "c.x_b"]
+
+
+def test_many_categories_and_classes_are_kept(spark):
+    from tabrig.operators.prep import build_preprocessor
+    df = spark.createDataFrame([(i, f"v{i:05d}", float(i)) for i in range(1500)], "k long, c string, x double")
+    prep = build_preprocessor(df, row_key="k")
+    assert len(prep.feature_names) == 1501 and not prep.dropped
+    from tabrig.operators.train import label_index
+    idx = {r[0]: r[1] for r in label_index(df, "c").collect()}
+    assert len(idx) == 1500 and idx["v00007"] == 7.0
 
 
 def test_shared_dir_refuses_local_disk_on_a_cluster():

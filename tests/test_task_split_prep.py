@@ -55,6 +55,15 @@ def test_stratified_quotas_exact(spark, sf):
     assert not M.can_stratify(o, "o_orderstatus", "regression")
 
 
+def test_stratified_split_samples_a_missing_class(spark):
+    rows = [(i, ["a", "b", None][i % 3]) for i in range(300)]
+    d = spark.createDataFrame(rows, "k long, y string")
+    got = {r[0]: r[1] for r in M.mark_split_stratified(d, "y", "k", 0.2).groupBy("y").agg(F.count_if("is_test")).collect()}
+    assert got == {"a": 20, "b": 20, None: 20}
+    q = {r[0]: r["t_c"] for r in M.stratified_quotas(d.where("k < 10"), "y", 0.2).collect()}
+    assert sum(q.values()) == 2
+
+
 def test_preprocessor_unseen_category_and_zero_std(spark, tmp_path):
     train = spark.createDataFrame([(1, 5.0, "a"), (2, 5.0, "b"), (3, None, "a")], "k long, x double, c string")
     prep = P.build_preprocessor(train, row_key="k")
