@@ -45,11 +45,10 @@ def segments(edits: int, length: Column) -> list[tuple[Column, Column]]:
     return out
 
 
-def keys(edits: int, line: Column) -> Column:
-    """The index keys (probe: false) and probe keys of a line; a probe that equals the
-    line's own index key is left out, as the two index keys meet."""
-    n = F.length(line)
-
+def keys(edits: int, line: Column, n: Column) -> Column:
+    """The index keys (probe: false) and probe keys of a line of ``n`` characters (a
+    column, so that it is counted once); a probe that equals the line's own index key is
+    left out, as the two index keys meet."""
     def key(length: Column, i: int, start: Column, size: Column) -> Column:
         return F.xxhash64(length, F.lit(i), F.substr(line, start + 1, size))
 
@@ -68,7 +67,7 @@ def letter_counts(line: Column) -> Column:
     """Counts of common letters, a byte for each (at most 255)."""
     total = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        n = F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long")
+        n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long")
         total = total.bitwiseOR(F.shiftleft(n, 8 * i))
     return total
 
@@ -78,6 +77,27 @@ def letters_apart(a: Column, b: Column) -> Column:
                       F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255).cast("long"))) for i in range(len(LETTERS))), F.lit(0).cast("long"))
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common beginning of two texts (of its first 131,071 characters), by
+    steps of halving size."""
+    steps = F.array(*[F.lit(1 << i) for i in range(16, -1, -1)])
+    most = F.least(F.length(a), F.length(b))
+
+    def step(known: Column, more: Column) -> Column:
+        same = (known + more <= most) & (F.substr(a, known + 1, more) == F.substr(b, known + 1, more))
+        return F.when(same, known + more).otherwise(known)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """``a`` and ``b`` without their common beginning and end, which no edit distance needs."""
+    pairs = pairs.withColumn("p", common_prefix(F.col("a"), F.col("b")))
+    pairs = pairs.withColumns({x: F.reverse(F.substr(x, F.col("p") + 1)) for x in ("a", "b")})
+    pairs = pairs.withColumn("p", common_prefix(F.col("a"), F.col("b")))
+    return pairs.withColumns({x: F.substr(x, F.col("p") + 1) for x in ("a", "b")}).drop("p")
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two texts is at most ``edits``. ``r[d]`` holds in bit
     i + edits whether d edits lead from the characters of ``a`` up to j to those of ``b`` up to
@@ -116,8 +136,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     """``id``, ``th`` (hash of the text), ``pos``, ``line`` and its hashes, for lines that are long enough."""
     text = col(text_col)
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return rows.where(F.length("line") >= min_chars).withColumns(
-        {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def line_links(distinct: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -134,6 +154,8 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     texts = lines.select("h1", "h2", "line").join(needed, ["h1", "h2"], "left_semi")
     texts = materialise(texts.groupBy("h1", "h2").agg(F.first("line").alias("line")), "line-texts")
     known = pairs.join(texts.toDF("a1", "a2", "a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "b"), ["b1", "b2"])
+    # little data but much work: tasks of about a thousand pairs
+    known = trimmed(known.repartition(-(-pairs.count() // 1000) or 1, "a1", "b1"))
     return known.where(within_edits(F.col("a"), F.col("b"), edits)).select("a1", "a2", "b1", "b2")
 
 
@@ -143,7 +165,8 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col:
     number of links of its lines to lines that differ from them."""
     lines = _lines(docs, id_col, text_col, min_chars)
     here = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "th")
-    facts = lines.select("h1", "h2", here.alias("at"), letter_counts(F.col("line")).alias("letters"), keys(edits, F.col("line")).alias("keys"))
+    facts = lines.select("h1", "h2", here.alias("at"), letter_counts(F.col("line")).alias("letters"),
+                         keys(edits, F.col("line"), F.col("n")).alias("keys"))
     distinct = facts.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"),
                                              F.first("letters").alias("letters"), F.first("keys").alias("keys"))
     distinct = materialise(distinct, "line-facts")

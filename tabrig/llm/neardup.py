@@ -186,29 +186,67 @@ def _cross_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, perc
     tasks = open_rows.withColumn("t", F.explode(F.when(is_main, theirs).otherwise(F.concat(mains, later))))
     tasks = tasks.select("key", "t.*", "c", "label", "n", "sketch")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        same = part["i"].iat[0] < 0 and -1 - part["i"].iat[0] == part["j"].iat[0]
-        left = part if same else part[part["side"] == 0]
-        right = part if same else part[part["side"] == 1]
-        out = [np.zeros((0, 2), np.int64)]
-        if len(left) and len(right):
-            width = len(part["sketch"].iat[0])
-            ls = np.frombuffer(b"".join(left["sketch"]), np.uint8).reshape(-1, width)
-            rs = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(-1, width)
-            ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
-            ll, rl = left["label"].to_numpy(), right["label"].to_numpy()
-            lc, rc = left["c"].to_numpy(), right["c"].to_numpy()
-            for k in range(len(left)):
-                fit = (rl != ll[k]) & (100 * np.minimum(rn, ln[k]) >= percent * np.maximum(rn, ln[k]))
-                if same:
-                    fit[:k + 1] = False
-                at = np.nonzero(fit)[0]
-                at = at[2 * _agreement(rs[at], ls[k]) >= width]
-                if len(at):
-                    out.append(np.column_stack([np.minimum(lc[k], rc[at]), np.maximum(lc[k], rc[at])]))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    return tasks.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    # groups are streamed in sorted order; the pairs of many small groups are tested at once
+    placed = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            new = _group_starts(held)
+            # the last group may go on in the next batch
+            yield from _group_pairs(held.slice(0, new[-1]), new[:-1], percent)
+            held = held.slice(new[-1])
+        if held is not None:
+            yield from _group_pairs(held, _group_starts(held), percent)
+
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
+def _group_starts(batch: pa.RecordBatch) -> np.ndarray:
+    """The first row of every run of equal (key, i, j)."""
+    cols = [batch.column(c).to_numpy() for c in range(3)]
+    change = np.zeros(batch.num_rows, bool)
+    change[:1] = True
+    for c in cols:
+        change[1:] |= c[1:] != c[:-1]
+    return np.nonzero(change)[0] if batch.num_rows else np.zeros(1, np.int64)
+
+
+def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of a batch of whole groups that may be links: rows of side 0 against
+    those of side 1, or, in a block against itself, rows against later ones."""
+    n = batch.num_rows
+    if not n:
+        return
+    i, j, side, c, label, size = (batch.column(k).to_numpy() for k in range(1, 7))
+    sketch = batch.column(7)
+    width = len(sketch[0].as_py())
+    sketch = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(n, width)
+    group = np.zeros(n, np.int64)
+    group[starts[1:]] = 1
+    group = np.cumsum(group)
+    end = np.append(starts[1:], n)[group]
+    own = (i < 0) & (-1 - i == j)
+    zeros = np.add.reduceat((side == 0).astype(np.int64), starts)
+    begin = np.where(own, np.arange(n) + 1, (starts + zeros)[group])
+    left = np.nonzero(own | (side == 0))[0]
+    counts = (end - begin)[left]
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+        some, many = left[at:to], counts[at:to]
+        a = np.repeat(some, many)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[some], many)
+        least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        fit = (label[a] != label[b]) & (100 * least >= percent * most)
+        a, b = a[fit], b[fit]
+        fit = 2 * _agreement(sketch[a], sketch[b]) >= width
+        a, b = c[a[fit]], c[b[fit]]
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        at = to
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, groups: int = 10, rows: int = 2, block: int = 2048,

@@ -58,7 +58,10 @@ def test_edit_automaton(spark, edits):
         rows.append((i, a, "".join(b)))
     df = spark.createDataFrame(rows, "i int, a string, b string")
     got = {r.i: r.w for r in df.select("i", linededup.within_edits(F.col("a"), F.col("b"), edits).alias("w")).collect()}
-    assert [i for i, a, b in rows if got[i] != (distance(a, b) <= edits)] == []
+    want = {i: distance(a, b) <= edits for i, a, b in rows}
+    assert got == want
+    short = linededup.trimmed(df).select("i", linededup.within_edits(F.col("a"), F.col("b"), edits).alias("w"))
+    assert {r.i: r.w for r in short.collect()} == want
 
 
 @pytest.mark.parametrize("edits", [1, 2])
@@ -68,7 +71,7 @@ def test_line_links_equal_brute_force(spark, edits):
     lines = list(dict.fromkeys(base + [b[:5] + "x" + b[6:] for b in base[:60]] + [b + "y" for b in base[:50]] + [b[1:] for b in base[:50]]))
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     rows = linededup._lines(docs, "doc_id", "text", 12)
-    facts = rows.select("h1", "h2", linededup.letter_counts(F.col("line")).alias("letters"), linededup.keys(edits, F.col("line")).alias("keys"))
+    facts = rows.select("h1", "h2", linededup.letter_counts(F.col("line")).alias("letters"), linededup.keys(edits, F.col("line"), F.col("n")).alias("keys"))
     want = sum(distance(a, b) <= edits for a, b in itertools.combinations([x for x in lines if len(x) >= 12], 2))
     assert linededup.line_links(facts, rows, edits).count() == want > 50
 
