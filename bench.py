@@ -39,7 +39,8 @@ def workloads(spark, sf):
         force(Q.quality_report(S.load(spark, sf, "lineitem"), "l_returnflag"))
 
     def c4():
-        res = C.clean(S.dirty_orders(spark, sf), "status", "rid")
+        li = S.load(spark, sf, "lineitem").withColumn("rid", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+        res = C.clean(li, "l_returnflag", "rid")
         force(res.cleaned)
         force(res.log)
 
@@ -51,11 +52,11 @@ def workloads(spark, sf):
         force(E.classification_metrics(S.pred_models(spark, sf), ["model"]))
 
     def m2():
-        o = S.load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-        force(M.mark_split_stratified(o, "o_orderstatus", "o_orderkey"))
+        li = S.load(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rid"), "l_returnflag")
+        force(M.mark_split_stratified(li, "l_returnflag", "rid"))
 
     def r10():
-        force(R.review_b(S.load(spark, sf, "orders"), "o_orderstatus"))
+        force(R.review_b(S.load(spark, sf, "lineitem"), "l_returnflag"))
 
     def m8():
         force(fit_linear_regression(S.load(spark, sf, "lineitem"), "l_quantity", "l_extendedprice"))

@@ -42,21 +42,21 @@ def m13(spark, sf):
 
 @register("m14_predict_quality")
 def m14(spark, sf):
-    tr = train_portfolio(_docs(spark, sf), "quality", ["logistic_regression", "decision_tree"], "classification",
+    tr = train_portfolio(_docs(spark, sf), "quality", T.model_portfolio("classification"), "classification",
                          "doc_id")
     return tr.predictions
 
 
 @register("m16_feature_importance_quality")
 def m16(spark, sf):
-    tr = train_portfolio(_docs(spark, sf), "quality", ["logistic_regression", "decision_tree"], "classification",
+    tr = train_portfolio(_docs(spark, sf), "quality", T.model_portfolio("classification"), "classification",
                          "doc_id")
     return tr.importances
 
 
 @register("m17_feature_importance_b_quality")
 def m17(spark, sf):
-    tr = train_portfolio(_docs(spark, sf), "quality", ["logistic_regression", "decision_tree"], "classification",
+    tr = train_portfolio(_docs(spark, sf), "quality", T.model_portfolio("classification"), "classification",
                          "doc_id", mode="B")
     return tr.importances
 
@@ -64,21 +64,21 @@ def m17(spark, sf):
 @register("m12_train_portfolio_regression_docs")
 def m12r(spark, sf):
     d = S.load(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
-    models = T.model_portfolio("regression", "most_explainable")
+    models = T.model_portfolio("regression")
     tr = train_portfolio(d, "n_chars", models, "regression", "doc_id")
     return tr.metrics.drop("training_seconds")
 
 
 @register("j01_run_experiment_a_quality")
 def j01(spark, sf):
-    out = run_experiment_a(_docs(spark, sf), "quality", "most_explainable", 0.2, "document quality",
+    out = run_experiment_a(_docs(spark, sf), "quality", "highest_accuracy", 0.2, "document quality",
                            "documents", row_key="doc_id")
     return out["leaderboard"].drop("training_seconds")
 
 
 @register("j01_run_experiment_a_report")
 def j01b(spark, sf):
-    out = run_experiment_a(_docs(spark, sf), "quality", "most_explainable", 0.2, "document quality",
+    out = run_experiment_a(_docs(spark, sf), "quality", "highest_accuracy", 0.2, "document quality",
                            "documents", row_key="doc_id")
     return out["report"].where(~F.col("section").isin("Leaderboard", "Best Model Metrics"))
 
