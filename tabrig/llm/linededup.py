@@ -90,6 +90,10 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
+def characters(text: str) -> Column:
+    return F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
 def trimmed(pairs: DataFrame) -> DataFrame:
     """``a`` and ``b`` without their common beginning and end, which no edit distance needs."""
     pairs = pairs.withColumn("p", common_prefix(F.col("a"), F.col("b")))
@@ -98,13 +102,12 @@ def trimmed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({x: F.substr(x, F.col("p") + 1) for x in ("a", "b")}).drop("p")
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether the edit distance of two texts is at most ``edits``. ``r[d]`` holds in bit
-    i + edits whether d edits lead from the characters of ``a`` up to j to those of ``b`` up to
-    j + i; the next character matches where the bit of ``equal`` is set."""
+def within_edits(x: Column, y: Column, edits: int) -> Column:
+    """Whether the edit distance of two texts, as columns of arrays of characters, is at
+    most ``edits``. ``r[d]`` holds in bit i + edits whether d edits lead from the
+    characters of ``x`` up to j to those of ``y`` up to j + i; the next character matches where
+    the bit of ``equal`` is set."""
     k, full = edits, (1 << (2 * edits + 1)) - 1
-    # b with k blanks (nulls) on either side: position j + i + k is its character j + i
-    x, y = F.split(a, ""), F.split(b, "")
 
     def bits(v: int) -> Column:
         return F.lit(v).cast("int")
@@ -125,8 +128,8 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
         return F.when(r[f"r{k}"] == 0, r).otherwise(alive)  # nothing is reachable any more
 
     start = F.struct(*[bits(((1 << (d + 1)) - 1) << k).alias(f"r{d}") for d in range(k + 1)])
-    apart = F.length(b) - F.length(a)
-    steps = F.when(F.length(a) > 0, F.sequence(F.lit(0), F.length(a) - 1)).otherwise(F.array().cast("array<int>"))
+    apart = F.size(y) - F.size(x)
+    steps = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
     end = F.aggregate(steps, start, step)[f"r{k}"]
     reached = F.getbit(end, F.greatest(F.least(apart, F.lit(k)), F.lit(-k)) + k) == 1
     return (F.abs(apart) <= k) & reached
@@ -156,6 +159,9 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     known = pairs.join(texts.toDF("a1", "a2", "a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "b"), ["b1", "b2"])
     # little data but much work: tasks of about a thousand pairs
     known = trimmed(known.repartition(-(-pairs.count() // 1000) or 1, "a1", "b1"))
+    known = known.select("a1", "a2", "b1", "b2", characters("a").alias("a"), characters("b").alias("b"))
+    # written first: else the planner moves the filter below and cuts the texts anew at each step
+    known = materialise(known, "line-pairs")
     return known.where(within_edits(F.col("a"), F.col("b"), edits)).select("a1", "a2", "b1", "b2")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabrig.llm import components, linededup, neardup
+from tabrig.llm.common import materialise
 
 
 def distance(a, b):
@@ -57,11 +58,15 @@ def test_edit_automaton(spark, edits):
                 b[p:p + 1] = [] if r < .7 else [rnd.choice("abé😀 ")]
         rows.append((i, a, "".join(b)))
     df = spark.createDataFrame(rows, "i int, a string, b string")
-    got = {r.i: r.w for r in df.select("i", linededup.within_edits(F.col("a"), F.col("b"), edits).alias("w")).collect()}
+
+    def judged(pairs):
+        cut = materialise(pairs.select("i", linededup.characters("a").alias("x"), linededup.characters("b").alias("y")), "test-pairs")
+        return {r.i: r.w for r in cut.select("i", linededup.within_edits(F.col("x"), F.col("y"), edits).alias("w")).collect()}
+
+    got = judged(df)
     want = {i: distance(a, b) <= edits for i, a, b in rows}
     assert got == want
-    short = linededup.trimmed(df).select("i", linededup.within_edits(F.col("a"), F.col("b"), edits).alias("w"))
-    assert {r.i: r.w for r in short.collect()} == want
+    assert judged(linededup.trimmed(df)) == want
 
 
 @pytest.mark.parametrize("edits", [1, 2])
