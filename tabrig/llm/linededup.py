@@ -154,7 +154,8 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     near = a.join(b, (a["key"] == b["key"]) & differ & once & (letters_apart(F.col("af"), F.col("bf")) <= 2 * edits))
     pairs = materialise(near.select("a1", "a2", "b1", "b2").distinct(), "line-candidates")
     needed = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
-    texts = lines.select("h1", "h2", "line").join(needed, ["h1", "h2"], "left_semi")
+    # the candidates grow with the corpus, so this is a sort-merge join at every size
+    texts = lines.select("h1", "h2", "line").join(needed.hint("merge"), ["h1", "h2"], "left_semi")
     texts = materialise(texts.groupBy("h1", "h2").agg(F.first("line").alias("line")), "line-texts")
     known = pairs.join(texts.toDF("a1", "a2", "a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "b"), ["b1", "b2"])
     # little data but much work: tasks of about a thousand pairs
