@@ -178,7 +178,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     threshold = 0.5
     for c in range(k):
         every = F.explode(F.sequence(F.lit(0), F.lit(folds))).alias("fit")
-        fits = rows.select(every, "*").groupBy("fit").applyInPandas(_fitter(c, width, folds), "row long, p double, w array<double>")
+        # by range: a task of its own for every fit
+        fits = rows.select(every, "*").repartitionByRange(folds + 1, "fit").groupBy("fit").applyInPandas(_fitter(c, width, folds), "row long, p double, w array<double>")
         fits = materialise(fits, "toxicity-fits")
         got = fits.where("row < 0").collect()
         weights.append(np.array(got[0]["w"]) if got else np.append(np.zeros(width + c), -30.0))
