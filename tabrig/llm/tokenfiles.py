@@ -24,10 +24,12 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
@@ -173,7 +175,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _ids(self, parts: list[str]) -> dict[str, bytes]:
+    def _ids(self, parts: Iterable[str]) -> dict[str, bytes]:
         """The ids of each part. Runs of letters are encoded together between blanks, as
         each ends in a token that ends a word; other parts that hold no special token
         together with one between them."""
@@ -198,20 +200,39 @@ class WordIds:
                 found[p] = np.array(e.ids, self.kind).tobytes()
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids one after the other). Arrow cuts the texts
+        and finds the different parts; only those are looked up."""
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        blobs = self._blobs(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.kind.itemsize
+        start = np.cumsum(size) - size
+        part = coded.indices.to_numpy()
+        sizes = size[part]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(start[part] - (ends - sizes), sizes) + np.arange(total)
+        upto = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(cut).to_numpy())]
+        return np.diff(upto, prepend=0), np.frombuffer(b"".join(blobs), self.kind)[at]
+
+    def _blobs(self, parts: list[str]) -> list[bytes]:
         cache, words = self.cache, self.words
         if len(cache) > self.most:
             cache.clear()
-        if len(words) > self.most:
+        if len(words) > 2 * self.most:
             words.clear()
-        split = [t.split(" ") for t in texts]
-        new = {p for parts in split for p in parts if p not in cache}
-        pieces = {p: RUNS.findall(p.lower()) if SIMPLE.fullmatch(p) else [p] for p in new}
-        ask = list({w for ws in pieces.values() for w in ws if w not in words})
-        words.update(self._ids(ask))
-        for p, ws in pieces.items():
-            cache[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        return [b"".join([cache[p] for p in parts]) for parts in split]
+        new = list(filterfalse(cache.__contains__, parts))
+        odd = [p for p in new if "'" in p or "<" in p or not (p.isascii() or SIMPLE.fullmatch(p))]
+        apart = set(odd)
+        plain = [p for p in new if p not in apart] if odd else new
+        lower = " ".join(plain).lower().split(" ") if plain else []
+        runs = [[p] if p.isalpha() else RUNS.findall(p) for p in lower] + [[p] for p in odd]
+        words.update(self._ids(set(filterfalse(words.__contains__, chain.from_iterable(runs)))))
+        get = words.__getitem__
+        for p, ws in zip(chain(plain, odd), runs, strict=True):
+            cache[p] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+        return list(map(cache.__getitem__, parts))
 
 
 #: Text below U+0100 is its own canonical form and is lowered letter by letter, and the
@@ -257,18 +278,20 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, tex
         raise ValueError("the tokenizer file is over 64 MB")
     kind = id_type(data, end_id)
     shared = docs.sparkSession.sparkContext.broadcast((zlib.crc32(data), (data, kind.str)))
-    end = np.array([end_id], kind).tobytes()
     schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("n", LongType(), False),
                          StructField("ids", BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _once(shared, _tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids = [b + end for b in words.encode([t or "" for t in batch.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) // kind.itemsize for b in ids], pa.int64()),
-                                                  pa.array(ids, pa.binary())], schema.names)
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                sizes, ids = words.encode(pc.fill_null(batch.column(1), ""))
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                offsets = np.concatenate([[0], np.cumsum(sizes + 1)]) * kind.itemsize
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [
+                    None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes + 1), raw.cast(pa.binary())], schema.names)
 
     return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema)
 
