@@ -15,8 +15,8 @@ thousands of near copies costs one comparison for each. Confirmation compares th
 (64-bit hashes) and nothing is capped.
 
 A pair at the threshold of 0.85 shares no key with a probability of 5e-6 (at 0.8: 7e-5)
-with the default 10 groups of 2 rows; the sketches drop a pair that agrees in fewer than
-half of the minhashes, which happens at 0.8 with a probability under 1e-5, and less above.
+with the default 10 groups of 2 rows. The sketches (one permutation, 256 ranges) only drop
+pairs over six standard deviations below the threshold, with a probability of about 1e-9.
 
 Defined results: an empty or null text has an empty set and is linked with nothing; a
 text with fewer words than a shingle has its whole word sequence as its only shingle; rows of equal or null id
@@ -90,7 +90,7 @@ class Hashes:
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, groups: int, rows: int, seed: int) -> DataFrame:
     """A row for each document: ``row``, ``id``, ``th`` (hash of the text), ``n``, ``set``
-    (digest of the shingle set), ``groups`` and ``sketch`` (a byte of each minhash)."""
+    (digest of the shingle set), ``groups`` and ``sketch`` (see there)."""
     schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("th", BinaryType()), StructField("n", LongType()),
                          StructField("set", BinaryType()), StructField("groups", ArrayType(LongType())), StructField("sketch", BinaryType())])
 
@@ -104,7 +104,7 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, groups
                     x = shingles(text or "", size)
                     if len(x):
                         s = hashes.signature(x)
-                        made = (len(x), hashlib.md5(x.tobytes()).digest(), hashes.group_values(s), s.astype(np.uint8).tobytes())
+                        made = (len(x), hashlib.md5(x.tobytes()).digest(), hashes.group_values(s), sketch(x))
                     else:
                         made = (0, None, None, None)
                     for to, v in zip(out, made, strict=True):
@@ -131,9 +131,25 @@ def _buckets(classes: DataFrame, groups: int) -> DataFrame:
     return materialise(keyed.join(many, "key"), "neardup-buckets")
 
 
-def _agreement(a, b):
-    """Number of equal bytes of two sketches, row by row."""
-    return (a == b).sum(-1)
+BINS = 256
+
+
+def sketch(x: np.ndarray) -> bytes:
+    """A byte (not 0) of the least hash of each of 256 ranges of hashes, 0 for an empty
+    range. ``x`` is sorted."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique(x >> np.uint64(56), return_index=True)
+    out[bins.astype(np.int64)] = (x[first] % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row, the share of equal ranges among those that are not empty in both, and
+    whether it lies within six standard deviations of the threshold or above."""
+    used = BINS - ((a | b) == 0).sum(-1)
+    equal = ((a == b) & (a > 0)).sum(-1)
+    p = percent / 100
+    return equal / np.maximum(used, 1), equal >= used * p - 6 * np.sqrt(p * (1 - p) * used)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -220,9 +236,7 @@ def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int) -> Ite
     if not n:
         return
     i, j, side, c, label, size = (batch.column(k).to_numpy() for k in range(1, 7))
-    sketch = batch.column(7)
-    width = len(sketch[0].as_py())
-    sketch = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(n, width)
+    sketches = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(n, BINS)
     group = np.zeros(n, np.int64)
     group[starts[1:]] = 1
     group = np.cumsum(group)
@@ -235,14 +249,14 @@ def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int) -> Ite
     ends = np.cumsum(counts)
     at = 0
     while at < len(left):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, "right")))
         some, many = left[at:to], counts[at:to]
         a = np.repeat(some, many)
         b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[some], many)
         least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         fit = (label[a] != label[b]) & (100 * least >= percent * most)
         a, b = a[fit], b[fit]
-        fit = 2 * _agreement(sketch[a], sketch[b]) >= width
+        fit = _near(sketches[a], sketches[b], percent)[1]
         a, b = c[a[fit]], c[b[fit]]
         pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -262,17 +276,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, groups
     buckets = _buckets(classes, groups)
     # round 1: every class against the most similar of the least classes of its buckets
     small = classes.select("c", "n", "sketch")
-    width = 2 * groups * rows
 
-    @F.pandas_udf("int")
-    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, width)
-        return pd.Series(_agreement(x, np.frombuffer(b"".join(b), np.uint8).reshape(-1, width)).astype(np.int32))
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+        x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, BINS)
+        s, near = _near(x, np.frombuffer(b"".join(b), np.uint8).reshape(-1, BINS), percent)
+        return pd.Series(np.where(near, s, -1.0))
 
     stars = buckets.where("least <> c").select("least", "c").distinct()
     stars = stars.join(small.toDF("c", "n", "sketch"), "c").join(small.toDF("least", "least_n", "least_sketch"), "least")
     stars = stars.where(100 * F.least("n", "least_n") >= percent * F.greatest("n", "least_n"))
-    stars = stars.select("least", "c", agreement("sketch", "least_sketch").alias("agree")).where(2 * F.col("agree") >= width)
+    stars = stars.select("least", "c", share("sketch", "least_sketch").alias("agree")).where(F.col("agree") >= 0)
     first = stars.groupBy("c").agg(F.max(F.struct("agree", "least")).alias("best"))
     first = materialise(first.select(F.col("best.least").alias("a"), F.col("c").alias("b")), "neardup-first")
     # the texts of all classes that are in a bucket, once each
