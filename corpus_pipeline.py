@@ -18,9 +18,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are equal, or near-equal, to an earlier one; a document
-    all of whose lines go is dropped."""
-    return linededup.dedup_lines(docs)
+    """Documents without lines that are equal, or near-equal (three edits in a hundred
+    characters), to an earlier one; a document all of whose lines go is dropped."""
+    return linededup.dedup_lines(docs, percent=linededup.PERCENT)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,13 @@ are reachable, and a character moves all of them at once.
 Lines are told apart by two 64-bit hashes; texts of lines are only fetched for the
 candidates. Shorter lines are left alone. A key's lines are never collected in one row.
 
+With ``percent`` the edits grow with the line: of two lines the longer one's length times
+``percent`` / 100, rounded down, but 1 at least. Where that is 1, segments are the index as above. Where
+it is more, the edits leave a run of ``unchanged_run`` characters, and the index is the texts of fixed
+length at anchors (a blank, or the beginning of a blank-free stretch), of which every such
+run holds one, under classes of lengths. No line is too long and no link is missed; what
+shares a key is verified by Spark's bounded ``levenshtein``.
+
 Defined results: a null text has no lines and stays; line ends are "\\n", all other
 characters count; documents equal in id and text are one document (what is removed from
 one is removed from all); null ids come last; an empty table gives no rows; further
@@ -25,6 +32,8 @@ drops it, all other documents stay.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +72,35 @@ def keys(edits: int, line: Column, n: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def allowed(n: Column, percent: int) -> Column:
+    """Edits allowed for a pair of lines, the longer one of ``n`` characters."""
+    return F.greatest(F.lit(1), F.floor(n * percent / 100)).cast("int")
+
+
+def unchanged_run(percent: int) -> int:
+    """What k >= 2 edits leave in one piece of the n characters of the longer line: they cut
+    n - k characters into k + 1 runs, and n >= 100 k / percent; k = 2 leaves least."""
+    return -(-2 * (100 - percent) // (3 * percent))
+
+
+def scaled_keys(percent: int, line: Column, n: Column) -> Column:
+    """Index and probe keys for ``allowed``: two lines within it have a key in common."""
+    run = unchanged_run(percent)
+    gap = run // 3 + 1  # without a blank in so many characters, the run's first one is an anchor
+    size = run - gap + 1
+    if not 1 <= percent <= 20:
+        raise ValueError("percent must be from 1 to 20")
+    anchors = F.regexp_extract_all(line, F.lit(f"(?s)(?=( .{{{size - 1}}}|[^ ]{{{gap}}}.{{{size - gap}}}))"), F.lit(1))
+    # lengths of a pair differ by 1 at most on this scale, so both are in one of these classes
+    scale = F.log(n.cast("double")) / F.lit(1e-6 - math.log(1 - percent / 100))
+    classes = F.array_distinct(F.array(F.floor(scale / 2), F.floor((scale + 1) / 2)))
+    texts = F.array_distinct(F.transform(anchors, lambda a: F.xxhash64(a)))
+    many = F.flatten(F.transform(classes, lambda c: F.transform(texts, lambda t: F.struct(F.xxhash64(t, c).alias("key"), F.lit(False).alias("probe")))))
+    least = -(-200 // percent)  # from here on two edits are allowed
+    few = keys(1, line, n)
+    return (F.when(n < least - 2, few).when(n >= least, many).otherwise(F.concat(few, many)))
+
+
 def letter_counts(line: Column) -> Column:
     """Counts of common letters, a byte for each (at most 255)."""
     total = F.lit(0).cast("long")
@@ -143,15 +181,19 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def line_links(distinct: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int | None = None) -> DataFrame:
     """Links between distinct lines: (a1, a2, b1, b2), the hashes of two lines within
-    ``edits`` edits. ``distinct``: h1, h2, letters, keys; ``lines``: h1, h2, line."""
-    rows = distinct.select("h1", "h2", "letters", F.explode("keys").alias("k")).select("h1", "h2", "letters", "k.key", "k.probe")
-    a = rows.where("NOT probe").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("letters").alias("af"))
-    b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("letters").alias("bf"), "probe")
+    ``edits`` edits, or those ``allowed`` by ``percent``. ``distinct``: h1, h2, letters, keys
+    and, for ``percent``, the length n; ``lines``: h1, h2, line."""
+    size = F.lit(0) if percent is None else F.col("n")
+    rows = distinct.select("h1", "h2", "letters", size.alias("n"), F.explode("keys").alias("k")).select("h1", "h2", "letters", "n", "k.key", "k.probe")
+    a = rows.where("NOT probe").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("letters").alias("af"), F.col("n").alias("an"))
+    b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("letters").alias("bf"), F.col("n").alias("bn"), "probe")
+    most = F.lit(edits) if percent is None else allowed(F.greatest("an", "bn"), percent)
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     once = F.col("probe") | (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-    near = a.join(b, (a["key"] == b["key"]) & differ & once & (letters_apart(F.col("af"), F.col("bf")) <= 2 * edits))
+    near = a.join(b, (a["key"] == b["key"]) & differ & once & (letters_apart(F.col("af"), F.col("bf")) <= 2 * most)
+                  & (F.abs(F.col("an") - F.col("bn")) <= most))
     pairs = materialise(near.select("a1", "a2", "b1", "b2").distinct(), "line-candidates")
     needed = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
     # the candidates grow with the corpus, so this is a sort-merge join at every size
@@ -159,25 +201,32 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     texts = materialise(texts.groupBy("h1", "h2").agg(F.first("line").alias("line")), "line-texts")
     known = pairs.join(texts.toDF("a1", "a2", "a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "b"), ["b1", "b2"])
     # little data but much work: tasks of about a thousand pairs
-    known = trimmed(known.repartition(-(-pairs.count() // 1000) or 1, "a1", "b1"))
+    known = known.repartition(-(-pairs.count() // 1000) or 1, "a1", "b1")
+    if percent is not None:
+        known = known.withColumn("most", allowed(F.greatest(F.length("a"), F.length("b")), percent))
+        known = materialise(trimmed(known), "line-pairs")
+        return known.where("levenshtein(a, b, most) >= 0").select("a1", "a2", "b1", "b2")
+    known = trimmed(known)
     known = known.select("a1", "a2", "b1", "b2", characters("a").alias("a"), characters("b").alias("b"))
     # written first: else the planner moves the filter below and cuts the texts anew at each step
     known = materialise(known, "line-pairs")
     return known.where(within_edits(F.col("a"), F.col("b"), edits)).select("a1", "a2", "b1", "b2")
 
 
-def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text",
+                   percent: int | None = None) -> DataFrame:
     """A row for each document (id and ``th``) that holds lines linked or equal to others:
     ``removed``, the numbers (from 0) of its lines that are not the first of their class, and ``links``, the
-    number of links of its lines to lines that differ from them."""
+    number of links of its lines to lines that differ from them. With ``percent`` the edits
+    grow with the lines (``allowed``) and ``edits`` is not used."""
     lines = _lines(docs, id_col, text_col, min_chars)
     here = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "th")
-    facts = lines.select("h1", "h2", here.alias("at"), letter_counts(F.col("line")).alias("letters"),
-                         keys(edits, F.col("line"), F.col("n")).alias("keys"))
-    distinct = facts.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"),
+    index = keys(edits, F.col("line"), F.col("n")) if percent is None else scaled_keys(percent, F.col("line"), F.col("n"))
+    facts = lines.select("h1", "h2", here.alias("at"), "n", letter_counts(F.col("line")).alias("letters"), index.alias("keys"))
+    distinct = facts.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),
                                              F.first("letters").alias("letters"), F.first("keys").alias("keys"))
     distinct = materialise(distinct, "line-facts")
-    links = materialise(line_links(distinct, lines, edits), "line-links")
+    links = materialise(line_links(distinct, lines, edits, percent), "line-links")
     # numbers for the linked lines, then classes
     ends = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(links.select("b1", "b2"))
     nodes = materialise(ends.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links")).withColumn(
@@ -185,7 +234,7 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col:
     names = nodes.select("h1", "h2", "node")
     edges = links.join(names.toDF("a1", "a2", "a"), ["a1", "a2"]).join(names.toDF("b1", "b2", "b"), ["b1", "b2"]).select("a", "b")
     labelled = nodes.join(components(edges), "node").select("h1", "h2", "links", "label")
-    some = distinct.select("h1", "h2", "at", "n").join(labelled, ["h1", "h2"], "left").where("n > 1 OR label IS NOT NULL")
+    some = distinct.select("h1", "h2", "at", "rows").join(labelled, ["h1", "h2"], "left").where("rows > 1 OR label IS NOT NULL")
     some = materialise(some, "line-classes")
     first = some.where("label IS NOT NULL").groupBy("label").agg(F.min("at").alias("first"))
     classes = some.join(first, "label", "left").select("h1", "h2", F.coalesce("first", "at").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -208,9 +257,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return unpacked(out.withColumn("row", F.col("row").withField("`" + text_col.replace("`", "``") + "`", F.col("left"))), docs.columns)
 
 
-def op9(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = repeated_lines(docs).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "removed", "links")
+#: Edits in a hundred characters that leave two lines near-equal, in the corpus pipeline.
+PERCENT = 3
+
+
+def line_report(docs: DataFrame, **options) -> DataFrame:
+    found = repeated_lines(docs, **options).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "removed", "links")
     base = docs.select("doc_id", F.xxhash64("text").alias("th"),
                        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
@@ -219,6 +271,16 @@ def op9(spark, sf_dir: str) -> DataFrame:
                       F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(numbers, F.lit("")).alias("removed_lines"))
 
 
+def op9(spark, sf_dir: str) -> DataFrame:
+    """The rule of ``OP9_SQL``: one edit at every length."""
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def op9_whole(spark, sf_dir: str) -> DataFrame:
+    """The rule of the corpus pipeline, which has no SQL."""
+    return line_report(table(spark, sf_dir, "documents"), percent=PERCENT)
+
+
 OP9_SQL = r"""
 WITH RECURSIVE l AS (
   SELECT doc_id, pos - 1 AS pos, ls[pos] AS line FROM (

@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_files": tokenfiles.op7,
     "op8_neardup": neardup.op8,
     "op9_line_dedup": linededup.op9,
+    "op9_line_dedup_whole": linededup.op9_whole,
     "op10_mixing": mixing.op10,
 }
 

@@ -81,6 +81,43 @@ def test_line_links_equal_brute_force(spark, edits):
     assert linededup.line_links(facts, rows, edits).count() == want > 50
 
 
+@pytest.mark.parametrize("percent", [2, 3, 5])
+def test_links_of_scaled_edits_equal_brute_force(spark, percent):
+    rnd = random.Random(6)
+    words = ["the", "quick", "brown", "fox", "é", "jumpsoveralazydogandfurtheraway", "😀", "x" * 60, "to", "a"]
+    lines = []
+    for n in [15, 16, 17, 20, 33, 39, 40, 41, 59, 60, 97, 98, 99, 100, 101, 102, 149, 150, 151, 199, 200, 201, 300, 420] * 2:
+        base = "".join(rnd.choice("abcd ") for _ in range(n)) if rnd.random() < .5 else " ".join(rnd.choice(words) for _ in range(n))[:n]
+        most = max(1, n * percent // 100)
+        lines.append(base)
+        for count in (1, most, most, most + 1):
+            b = list(base)
+            spread = rnd.random() < .5
+            for i in range(count):  # edits at even distances leave the shortest runs
+                at = (i + 1) * len(b) // (count + 1) if spread else rnd.randrange(len(b))
+                b[at:at + 1] = rnd.choice([[], ["#"], [b[at], "#"]])
+            lines.append("".join(b))
+    lines = list(dict.fromkeys(lines))
+    rows = linededup._lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "doc_id", "text", 16)
+    facts = rows.select("h1", "h2", "n", linededup.letter_counts(F.col("line")).alias("letters"),
+                        linededup.scaled_keys(percent, F.col("line"), F.col("n")).alias("keys"))
+    hashes = {(r.h1, r.h2): r.line for r in rows.collect()}
+    got = {frozenset((hashes[r.a1, r.a2], hashes[r.b1, r.b2])) for r in linededup.line_links(facts, rows, 1, percent).collect()}
+    want = set()
+    for a, b in itertools.combinations([x for x in lines if len(x) >= 16], 2):
+        most = max(1, max(len(a), len(b)) * percent // 100)
+        if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+            want.add(frozenset((a, b)))
+    assert got == want and sum(max(map(len, p)) >= 200 / percent for p in want) > 50
+
+
+def test_a_replaced_word_is_found(spark):
+    a = "a paragraph of some length, of which only one word is another in the copy, so that " * 3
+    docs = spark.createDataFrame([(1, a + "all remains"), (2, a.replace("only", "just", 1) + "all remains")], "doc_id long, text string")
+    assert [r["doc_id"] for r in linededup.dedup_lines(docs, percent=linededup.PERCENT).collect()] == [1]
+    assert linededup.dedup_lines(docs).count() == 2
+
+
 def test_lines_of_odd_rows(spark, odd_docs, no_docs):
     rows = [(10, "a line that is long enough\nshort\nanother line, number 12", 1), (11, "a line that is long enough\nshort\nanother line, number 13\nnew line of its own", 2),
             (12, "a line that is lon enough", 3)]
