@@ -14,7 +14,8 @@ band of 2 * edits + 1 diagonals: a word for each number of edits holds the diago
 are reachable, and a character moves all of them at once.
 
 Lines are told apart by two 64-bit hashes; texts of lines are only fetched for the
-candidates. Shorter lines are left alone. A key's lines are never collected in one row.
+candidates. Shorter lines are left alone, or, from ``equal_chars`` characters on, classed
+where they are equal (blank ones aside). A key's lines are never collected in one row.
 
 With ``percent`` the edits grow with the line: of two lines the longer one's length times
 ``percent`` / 100, rounded down, but 1 at least. Where that is 1, segments are the index as above. Where
@@ -173,11 +174,15 @@ def within_edits(x: Column, y: Column, edits: int) -> Column:
     return (F.abs(apart) <= k) & reached
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """``id``, ``th`` (hash of the text), ``pos``, ``line`` and its hashes, for lines that are long enough."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, equal_chars: int | None = None) -> DataFrame:
+    """``id``, ``th`` (hash of the text), ``pos``, ``line`` and its hashes, for lines that are
+    long enough; shorter ones from ``equal_chars`` on too, if they are not blank."""
     text = col(text_col)
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    enough = F.col("n") >= min_chars
+    if equal_chars is not None:
+        enough = enough | ((F.col("n") >= equal_chars) & (F.trim(F.col("line"), F.lit(" \t\r")) != ""))
+    rows = rows.withColumn("n", F.length("line")).where(enough)
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -214,19 +219,21 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int |
 
 
 def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text",
-                   percent: int | None = None) -> DataFrame:
+                   percent: int | None = None, equal_chars: int | None = None) -> DataFrame:
     """A row for each document (id and ``th``) that holds lines linked or equal to others:
     ``removed``, the numbers (from 0) of its lines that are not the first of their class, and ``links``, the
     number of links of its lines to lines that differ from them. With ``percent`` the edits
-    grow with the lines (``allowed``) and ``edits`` is not used."""
-    lines = _lines(docs, id_col, text_col, min_chars)
+    grow with the lines (``allowed``) and ``edits`` is not used; with ``equal_chars``
+    lines shorter than ``min_chars`` count where they are equal."""
+    lines = _lines(docs, id_col, text_col, min_chars, equal_chars)
     here = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "th")
     index = keys(edits, F.col("line"), F.col("n")) if percent is None else scaled_keys(percent, F.col("line"), F.col("n"))
-    facts = lines.select("h1", "h2", here.alias("at"), "n", letter_counts(F.col("line")).alias("letters"), index.alias("keys"))
+    near = F.col("n") >= min_chars
+    facts = lines.select("h1", "h2", here.alias("at"), "n", letter_counts(F.col("line")).alias("letters"), F.when(near, index).alias("keys"))
     distinct = facts.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),
                                              F.first("letters").alias("letters"), F.first("keys").alias("keys"))
     distinct = materialise(distinct, "line-facts")
-    links = materialise(line_links(distinct, lines, edits, percent), "line-links")
+    links = materialise(line_links(distinct.where(near), lines.where(near), edits, percent), "line-links")
     # numbers for the linked lines, then classes
     ends = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(links.select("b1", "b2"))
     nodes = materialise(ends.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links")).withColumn(
@@ -259,6 +266,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Edits in a hundred characters that leave two lines near-equal, in the corpus pipeline.
 PERCENT = 3
+#: Equal lines are one class there from this length on.
+EQUAL_CHARS = 1
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
@@ -278,7 +287,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def op9_whole(spark, sf_dir: str) -> DataFrame:
     """The rule of the corpus pipeline, which has no SQL."""
-    return line_report(table(spark, sf_dir, "documents"), percent=PERCENT)
+    return line_report(table(spark, sf_dir, "documents"), percent=PERCENT, equal_chars=EQUAL_CHARS)
 
 
 OP9_SQL = r"""

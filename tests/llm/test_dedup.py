@@ -118,6 +118,17 @@ def test_a_replaced_word_is_found(spark):
     assert linededup.dedup_lines(docs).count() == 2
 
 
+def test_equal_short_lines_are_found(spark):
+    rows = [(1, "Les.\nfirst of its kind, a long line\n\n \t\nLes."), (2, "\nLes.\nLet.\n \t\n"), (3, "Les.\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {"percent": linededup.PERCENT, "equal_chars": linededup.EQUAL_CHARS}
+    got = {r["id"]: (r["removed"], r["links"]) for r in linededup.repeated_lines(docs, **whole).collect()}
+    assert got == {1: ([4], 0), 2: ([1], 0), 3: ([0], 0)}  # blank lines and 'Let.', one edit away, stay
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs, **whole).collect()} == {
+        1: "Les.\nfirst of its kind, a long line\n\n \t", 2: "\nLet.\n \t\n"}
+    assert linededup.repeated_lines(docs).count() == 0
+
+
 def test_lines_of_odd_rows(spark, odd_docs, no_docs):
     rows = [(10, "a line that is long enough\nshort\nanother line, number 12", 1), (11, "a line that is long enough\nshort\nanother line, number 13\nnew line of its own", 2),
             (12, "a line that is lon enough", 3)]
