@@ -94,6 +94,43 @@ def test_layouts_are_told_by_field_paths(spark):
         [("user", "a")], [], [("assistant", "b")], [("user", ""), ("assistant", "r")], [("system", "i"), ("assistant", "o")], None, None, None]
 
 
+def test_large_records_keep_their_turns(spark):
+    rows = [(0, 0, "user", "x"), (0, 1, "assistant", "y"), (2, 0, "user", "a"), (2, 1, "user", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = turns.withColumn("text", F.expr("repeat(text, 20000001)"))
+    records = chat.as_records(turns)
+    hashed = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), F.sha2(t["text"], 256))).alias("t")
+    digest = {c: hashlib.sha256(c.encode() * 20000001).hexdigest() for c in "xyab"}
+    for known in ("paths", None):  # rows by turn; JSON alone
+        out = chat.canonical_turns(records, paths_col=known)
+        got = {r["conv_id"]: r for r in out.select("conv_id", "layout", "fingerprint", hashed).collect()}
+        assert got[0]["t"] == ["user:" + digest["x"], "assistant:" + digest["y"]]
+        assert got[2]["t"] == ["user:" + digest["a"], "user:" + digest["b"]]
+        assert all(r["fingerprint"] == next(x.fingerprint for x in chat.LAYOUTS if x.name == r["layout"]) for r in got.values())
+
+
+def test_large_records_of_no_layout_raise(spark):
+    def turns(record):
+        df = spark.range(1).select(F.expr(record).alias("record"))
+        return chat.canonical_turns(df).select("layout", F.size("turns")).collect()
+
+    with pytest.raises(Exception, match="too large"):
+        turns("concat('{\"other\": \"', repeat('x', 20000001), '\"}')")
+    with pytest.raises(Exception, match="too large"):  # the prompt is an object
+        turns("concat('{\"response\": \"', repeat('x', 20000001), '\", \"prompt\": {\"a\": 1}}')")
+    with pytest.raises(Exception, match="too large"):  # a content is a list
+        turns("concat('{\"messages\": [{\"role\": \"', repeat('x', 20000001), '\", \"content\": \"\"}, {\"role\": \"a\", \"content\": [1]}]}')")
+    assert turns("repeat('x', 20000001)")[0]["layout"] is None
+
+
+def test_paths_of_rows_by_turn_are_the_records(spark):
+    rows = [(i, t, r, "x") for i in range(6) for t, r in enumerate([["user", "assistant"], ["system", "user", "assistant"], ["user"]][i % 3])]
+    out = chat.as_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert out.where(chat.field_paths(F.col("record")) != F.col("paths")).count() == 0
+    assert out.where(chat.large_paths(F.col("record"), chat.LAYOUTS) != F.col("paths")).count() == 0
+    assert out.select("paths").distinct().count() >= 3
+
+
 def test_top_k_equals_brute_force_with_ties(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(700, 8)) * rng.uniform(0.1, 2, (700, 1))
