@@ -4,8 +4,8 @@ A scan of every whole text yields strong findings (an assigned secret, an access
 long hex string), which are always reported, and weak parts: identifiers (a user or
 client id being set), random-looking strings, and endpoints (a URL, a host being set).
 A weak part says little by itself. It is reported only where complementary parts lie
-within ``reach`` code points of it in the same scope (a paragraph: lines up to a blank
-one): a random string with an identifier, an identifier with a secret, an endpoint with both.
+within ``reach`` code points of it (None: anywhere, as in op2) in the same scope (a
+paragraph: lines up to a blank one): a random string with an identifier, an identifier with a secret, an endpoint with both.
 
 The parts are joined as intervals: inside a scope, sorted by start, the nearest end
 before a part and the nearest start behind it, for each class of parts, decide; no pairs
@@ -39,9 +39,9 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
-SETS_ID = re.compile(r"""(?ai:\b(?:user(?:_?name)?|login|account|client_?id|key_?id|access_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""")
+SETS_ID = re.compile(r"""(?ai:(?<![A-Z0-9])(?:user(?:_?name)?|login|account|client_?id|key_?id|access_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""")
 RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-PLACE = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|(?ai:\b(?:host|server|endpoint))["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::\d+)?""")
+PLACE = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|(?ai:(?<![A-Z0-9])(?:host|server|endpoint))["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::\d+)?""")
 BREAK = re.compile(r"\n[ \t\r]*\n")
 
 SPAN = StructType([StructField("start", IntegerType()), StructField("kind", IntegerType()),
@@ -114,9 +114,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def link(parts: DataFrame, reach: int = 200) -> DataFrame:
+def link(parts: DataFrame, reach: int | None = 200) -> DataFrame:
     """The weak parts of ``parts`` (row, start, kind, end, scope) that have complementary
-    parts within reach in their scope."""
+    parts within reach (None: anywhere) in their scope."""
     cls = F.create_map(*[F.lit(x) for kv in CLASS.items() for x in kv])
     rows = parts.withColumn("cls", cls[F.col("kind")])
     order = Window.partitionBy("row", "scope").orderBy("start", "end", "kind")
@@ -125,6 +125,8 @@ def link(parts: DataFrame, reach: int = 200) -> DataFrame:
 
     def near(c: str) -> Column:
         here = F.col("cls") == c
+        if reach is None:  # parts of two classes are two parts, so the own one does not count
+            return F.max(here).over(Window.partitionBy("row", "scope"))
         return (F.coalesce(F.col("start") - F.max(F.when(here, F.col("end"))).over(before) <= reach, F.lit(False))
                 | F.coalesce(F.min(F.when(here, F.col("start"))).over(behind) - F.col("end") <= reach, F.lit(False)))
 
@@ -133,7 +135,7 @@ def link(parts: DataFrame, reach: int = 200) -> DataFrame:
                       | ((F.col("kind") == 5) & F.col("by_secret") & F.col("by_id")))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = 200) -> DataFrame:
     """One row per document: ``id``, ``base`` and ``spans``, the strong findings and these
     with the linked weak parts, sorted by start and kind."""
     # written once: the row numbers stay the same for all uses
@@ -155,7 +157,7 @@ def written(spans: Column) -> Column:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"))
+    found = find_secrets(table(spark, sf_dir, "documents"), reach=None)
 
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")

@@ -57,6 +57,15 @@ def test_secrets_link_only_complementary_parts(spark, odd_docs, no_docs):
     assert secrets.find_secrets(odd_docs).count() == 9 and secrets.find_secrets(no_docs).count() == 0
 
 
+def test_secrets_link_in_the_whole_scope(spark):
+    block = "DB_HOST=db1.internal\n" + "SETTING=on\n" * 40 + "DB_USER=bob42\n" + "OTHER=off\n" * 40 + "key Zx9dK2mQp8LrT4vBn7Ws1Yc"
+    texts = [block, block.replace("OTHER=off\n", "\n", 1), "AWS_CLIENT_ID=abc12 Zx9dK2mQp8LrT4vBn7Ws1Yc", "superuser=bob42 Zx9dK2mQp8LrT4vBn7Ws1Yc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["spans"] for r in secrets.find_secrets(docs, reach=None).collect()}
+    found = {i: [texts[i][x["start"]:x["end"]] for x in spans] for i, spans in got.items()}
+    assert found == {0: ["HOST=db1.internal", "USER=bob42", "Zx9dK2mQp8LrT4vBn7Ws1Yc"], 1: [], 2: ["CLIENT_ID=abc12", "Zx9dK2mQp8LrT4vBn7Ws1Yc"], 3: []}
+
+
 def test_strong_findings_by_plain_expressions():
     rnd = random.Random(9)
     words = ["Password", "token", " = ", ": ", "\"", "AKIA", "ABCD1234EFGH", "deadbeef" * 4, "0f", "api_key", "apikey", "é", "\n", "abc123+/=", " "]
