@@ -343,8 +343,9 @@ def v10(spark, sf):
 def v04(spark, sf):
     from ..operators.train import train_portfolio
     from .q_train import _docs
-    tr = train_portfolio(_docs(spark, sf), "quality", ["decision_tree"], "classification", "doc_id")
-    return V.chart_importance(tr.importances.where(F.col("model") == "decision_tree"))
+    tr = train_portfolio(_docs(spark, sf), "quality", T.model_portfolio("classification"), "classification", "doc_id")
+    best = L.best_model(L.leaderboard(tr.metrics, "classification", "highest_accuracy")).first()["model"]
+    return V.chart_importance(tr.importances.where(F.col("model") == best))
 
 
 @register("s10_experiment_summary")

@@ -7,7 +7,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
@@ -50,6 +50,52 @@ class StepLog:
                                                 "started_at timestamp, finished_at timestamp")
 
 
+#: Objects of a job that are no tables: fitted Spark models and the list of what is cached.
+NO_TABLES = ("model", "fitted", "persisted")
+
+
+def outputs_long(spark, out: dict) -> DataFrame:
+    """All outputs of a job as one table (output, ord, name, value): a row for each cell of
+    its tables (``ord`` tells the rows of a table apart) and for each of its other values.
+    A table under two names is listed once."""
+    tables, values, seen = [], [], set()
+
+    def cell(c, kind):
+        if kind in ("struct", "array", "map"):
+            return F.to_json(c)
+        return F.hex(c) if kind == "binary" else c.cast("string")
+
+    def add(path, name, v, ord_=0):
+        label = f"{path}.{name}" if path else str(name)
+        if isinstance(v, DataFrame):
+            if id(v) not in seen and v.columns:
+                seen.add(id(v))
+                cells = F.array(*[F.struct(F.lit(f.name).alias("name"), cell(quoted(f.name), f.dataType.typeName()).alias("value"))
+                                  for f in v.schema.fields])
+                rows = v.select(F.monotonically_increasing_id().alias("ord"), cells.alias("cells"))  # numbered before the cells are cut
+                rows = rows.select("ord", F.explode("cells").alias("c"))
+                tables.append(rows.select(F.lit(label).alias("output"), "ord", "c.name", "c.value"))
+        elif isinstance(v, dict):
+            for k, x in v.items():
+                add(label, k, x)
+        elif is_dataclass(v):
+            for f in fields(v):
+                if f.name not in NO_TABLES:
+                    add(label, f.name, getattr(v, f.name))
+        elif isinstance(v, (list, tuple)):
+            for i, x in enumerate(v):
+                values.append((label, i, str(name), None if x is None else str(x)))
+        else:
+            values.append((path or label, ord_, str(name), None if v is None else str(v)))
+
+    for k, v in out.items():
+        add("", k, v)
+    long = spark.createDataFrame(values, "output string, ord long, name string, value string")
+    for t in tables:
+        long = long.unionByName(t)
+    return long
+
+
 def run_experiment_a(df: DataFrame, target: str, goal: str = "highest_accuracy", test_size: float = 0.2,
                      business_goal: str | None = None, dataset_name: str = "uploaded_dataset.csv",
                      row_key: str | None = None, params: dict | None = None,

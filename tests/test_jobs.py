@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tabrig.plans import analyze_dataset, run_experiment_a, run_experiment_b
+from tabrig.plans.experiment import outputs_long
 from tabrig.sources.tables import dirty_orders, load
 
 SMALL = {"num_trees": 5, "gbt_iters": 5, "max_depth": 4}
@@ -39,3 +41,47 @@ def test_analyze_dataset(spark, sf):
     assert out["duplicates"].first()[0] == 150
     assert out["preview"].count() == 100
     assert out["target_distribution"].where(F.col("label").isNull()).count() == 1
+
+
+def test_all_outputs_in_long_form(spark, sf):
+    import __spark_entry__ as E
+    got = E.queries()["j03_analyze_dataset_dirty_orders"](spark, sf)
+    assert got.columns == ["output", "ord", "name", "value"]
+    names = {r["output"] for r in got.select("output").distinct().collect()}
+    want = analyze_dataset(dirty_orders(spark, sf), "status", "rid")
+    assert names == set(want) and len(names) == 8
+    cells = got.where("output = 'preview'").groupBy("ord").count().collect()
+    assert len(cells) == 100 and {r["count"] for r in cells} == {len(want["preview"].columns)}
+    assert got.where("output = 'duplicates'").collect()[0]["value"] == "150"
+
+
+def test_outputs_of_a_job_are_whole(spark, sf):
+    out = run_experiment_b(_docs(spark, sf), "quality", "docs", row_key="doc_id", params=SMALL)
+    names = {r["output"] for r in outputs_long(spark, out).select("output").distinct().collect()}
+    assert {"strategy", "models", "metrics", "leaderboard", "recommendation", "review", "charts.missing", "charts.comparison",
+            "charts.confusion", "charts.roc", "importances", "history_rows", "train.predictions"} <= names
+    out["train"].unpersist()
+
+
+def test_checks_and_bench_train_the_whole_portfolio(spark, sf, monkeypatch):
+    import bench
+    from tabrig.checks import q_review
+    from tabrig.operators import task, train
+    seen = {}
+
+    def portfolio(df, target, models, *a, **kw):
+        seen["v04"] = models
+        raise InterruptedError
+
+    def experiment(df, target, goal, *a, **kw):
+        seen["j1"] = (task.model_portfolio("classification", goal), df.columns)
+        raise InterruptedError
+
+    monkeypatch.setattr(train, "train_portfolio", portfolio)
+    monkeypatch.setattr(bench, "run_experiment_a", experiment)
+    with pytest.raises(InterruptedError):
+        q_review.v04(spark, sf)
+    with pytest.raises(InterruptedError):
+        bench.workloads(spark, sf)["j1_experiment"]()
+    models = task.model_portfolio("classification")
+    assert seen == {"v04": models, "j1": (models, load(spark, sf, "lineitem").columns)} and len(models) == 4
