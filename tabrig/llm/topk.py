@@ -13,8 +13,10 @@ is approximate: inner products are exact integers, and bounds have a margin for
 Sizes: ``pivots`` and ``rings`` (annuli of a cell) bound the directory that all tasks get;
 ``block`` bounds the vectors, and ``queries_per_task`` the queries, of one group.
 
-Defined results: vectors that are null or empty, hold null or non-finite components, or
-whose squared length does not fit in 62 bits take no part, nor do rows with a null id;
+Defined results: vectors that are null or empty or hold null or non-finite components
+take no part, nor do rows with a null id; where products may exceed 62 bits they are
+computed in Python integers; a component or a score to return that does not fit in 64 bits
+raises an error;
 missing last components count as 0; rows of equal id and vector count once, and rows that share the query's id
 are no candidates; ties go to the smaller id; with fewer candidates than k all are
 returned; an empty table gives no rows. Further columns are ignored.
@@ -34,26 +36,28 @@ from .common import col, materialise, table
 
 
 def integer_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """``id``, ``v`` (binary: 64-bit integers floor(scale * x)) and ``norm`` (squared length)."""
+    """``id``, ``v`` (binary: 64-bit integers floor(scale * x)) and ``norm`` (squared
+    length, exact below 2^53)."""
     v = col(vector_col).cast("array<double>")
     whole = F.size(v) > 0
-    fine = whole & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e300))
+    fine = whole & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(fine & col(id_col).isNotNull()).select(col(id_col).cast("long").alias("id"), v.alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out, norms = [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.floor(scale * x.values.to_numpy(zero_copy_only=False))
-                if float(x @ x) < 2.0 ** 62:
-                    x = x.astype(np.int64)
-                    ids.append(i)
-                    out.append(x.tobytes())
-                    norms.append(int(x @ x))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(norms, pa.int64())],
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * x.values.to_numpy(zero_copy_only=False))
+                if np.abs(x).max() >= 2.0 ** 63:
+                    raise OverflowError(f"top-k: a component of the vector with id {i} does not fit in 64 bits")
+                ids.append(i)
+                out.append(x.astype(np.int64).tobytes())
+                norms.append(float(x @ x))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(norms, pa.float64())],
                                              ["id", "v", "norm"])
 
-    return rows.mapInArrow(run, "id long, v binary, norm long").dropDuplicates(["id", "v"])
+    return rows.mapInArrow(run, "id long, v binary, norm double").dropDuplicates(["id", "v"])
 
 
 def _matrix(values, width: int) -> np.ndarray:
@@ -67,17 +71,27 @@ def _matrix(values, width: int) -> np.ndarray:
     return out
 
 
-def _products(a: np.ndarray, b: np.ndarray, longest: int) -> np.ndarray:
-    """Exact inner products; as doubles where each sum fits in 53 bits."""
+def _products(a: np.ndarray, b: np.ndarray, longest: float) -> np.ndarray:
+    """Exact inner products; as doubles where each sum fits in 53 bits, as Python integers
+    where one may need more than 63."""
     if longest < 1 << 52:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if longest < 1 << 62:
+        return a @ b.T
+    return a.astype(object) @ b.astype(object).T
+
+
+def _fitting(scores: np.ndarray) -> np.ndarray:
+    """Scores to return, as 64-bit integers."""
+    if scores.dtype == object and any(not -(1 << 63) <= s < 1 << 63 for s in scores):
+        raise OverflowError("top-k: a score does not fit in 64 bits")
+    return scores.astype(np.int64)
 
 
 class Pivots:
     """Distances to the pivots among vectors lengthened to the longest one."""
 
-    def __init__(self, values: list[bytes], norms: list[int], width: int, longest: int):
+    def __init__(self, values: list[bytes], norms: list[float], width: int, longest: float):
         self.p = _matrix(values, width).astype(np.float64)
         self.longest, self.width = float(longest), width
         self.more = np.sqrt(np.maximum(self.longest - np.array(norms, np.float64), 0))
@@ -170,8 +184,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _first_search(k: int, width: int, longest: int):
-    """For each query of a block, its k-th best score in the block (null: fewer rows)."""
+def _first_search(k: int, width: int, longest: float):
+    """For each query of a block, its k-th best score in the block (null: fewer rows, or
+    below 64 bits; a score above 64 bits raises, as it or a better one would be returned)."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         q = part[part["query"].astype(bool)]
         if not len(q):
@@ -181,13 +196,14 @@ def _first_search(k: int, width: int, longest: int):
         least = []
         for row, mine in zip(s, own, strict=True):
             others = row[~mine]
-            least.append(int(np.partition(others, len(others) - k)[len(others) - k]) if len(others) >= k else None)
+            kth = int(np.partition(others, len(others) - k)[len(others) - k]) if len(others) >= k else None
+            least.append(None if kth is None or kth < -(1 << 63) else int(_fitting(np.array([kth], object))[0]))
         return pd.DataFrame({"query_id": q["id"].to_numpy(), "v": q["v"].to_numpy(), "least": pd.array(least, "Int64")})
 
     return run
 
 
-def _search(k: int, width: int, longest: int):
+def _search(k: int, width: int, longest: float):
     """The k best of a block for each query, if as good as the query's k-th best so far."""
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -200,10 +216,11 @@ def _search(k: int, width: int, longest: int):
             some = queries.iloc[a:a + 256]
             s = _products(_matrix(some["v"], width), m, longest)
             for q, least, row in zip(some["query_id"], some["least"], s, strict=True):
-                fit = np.nonzero((ids != q) & (row >= (least if pd.notna(least) else np.iinfo(np.int64).min)))[0]
+                # pandas turns a column with nulls into doubles, so the bound allows for their rounding
+                fit = np.nonzero((ids != q) & ((row >= int(least) - (abs(int(least)) >> 50)) if pd.notna(least) else True))[0]
                 if len(fit):
                     fit = fit[np.argsort(-row[fit], kind="stable")[:k]]  # ties: smaller ids first
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[fit], "score": row[fit]}))
+                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[fit], "score": _fitting(row[fit])}))
         return pd.concat(out) if out else none
 
     return run

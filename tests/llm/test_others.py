@@ -158,6 +158,26 @@ def test_top_k_equals_brute_force_with_ties(spark):
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 6)))]
+    rows += [(200 + i, [2.0 ** 24 * (i + 1), 1.0, float(i), 0.0, 0.0, 0.0]) for i in range(4)]  # scores over 2^62
+    rows += [(300, [0.0, 1e12, 0.0, 0.0, 0.0, 0.0]), (301, [0.0, -1e12, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 7, 50, 100):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in ints if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    got = topk.top_k(df, F.col("id").isin(0, 7, 50, 100), pivots=4, rings=4, block=16).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+    assert {200, 201, 202, 203, 300} & {r["vec_id"] for r in got}
+    with pytest.raises(Exception, match="a score does not fit in 64 bits"):
+        topk.top_k(df, F.col("id") == 203, pivots=4, rings=4, block=16).collect()
+    with pytest.raises(Exception, match="vector with id 9 does not fit"):
+        topk.top_k(spark.createDataFrame([(1, [1.0]), (9, [1e308])], "vec_id long, embedding array<double>"), F.col("id") == 1).collect()
+
+
 def test_rule_statistics_by_brute_force():
     rnd = random.Random(8)
     for _ in range(400):
