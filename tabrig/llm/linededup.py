@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, materialise, packed, table, unpacked
@@ -190,8 +190,14 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int |
     """Links between distinct lines: (a1, a2, b1, b2), the hashes of two lines within
     ``edits`` edits, or those ``allowed`` by ``percent``. ``distinct``: h1, h2, letters, keys
     and, for ``percent``, the length n; ``lines``: h1, h2, line."""
-    size = F.lit(0) if percent is None else F.col("n")
-    rows = distinct.select("h1", "h2", "letters", size.alias("n"), F.explode("keys").alias("k")).select("h1", "h2", "letters", "n", "k.key", "k.probe")
+    if percent is None:
+        rows = distinct.select("h1", "h2", "letters", F.lit(0).alias("n"), F.explode("keys").alias("k"))
+        rows = rows.select("h1", "h2", "letters", "n", "k.key", "k.probe")
+    else:
+        # many keys, few of them shared: these are found by hashes alone and written first
+        rows = distinct.select("h1", F.explode("keys").alias("k")).select("h1", "k.key", "k.probe")
+        rows = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").drop("c")
+        rows = materialise(rows, "line-keys").join(distinct.select("h1", "h2", "letters", "n"), "h1")
     a = rows.where("NOT probe").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("letters").alias("af"), F.col("n").alias("an"))
     b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("letters").alias("bf"), F.col("n").alias("bn"), "probe")
     most = F.lit(edits) if percent is None else allowed(F.greatest("an", "bn"), percent)
@@ -227,13 +233,23 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col:
     lines shorter than ``min_chars`` count where they are equal."""
     lines = _lines(docs, id_col, text_col, min_chars, equal_chars)
     here = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "th")
-    index = keys(edits, F.col("line"), F.col("n")) if percent is None else scaled_keys(percent, F.col("line"), F.col("n"))
     near = F.col("n") >= min_chars
-    facts = lines.select("h1", "h2", here.alias("at"), "n", letter_counts(F.col("line")).alias("letters"), F.when(near, index).alias("keys"))
-    distinct = facts.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),
-                                             F.first("letters").alias("letters"), F.first("keys").alias("keys"))
-    distinct = materialise(distinct, "line-facts")
-    links = materialise(line_links(distinct.where(near), lines.where(near), edits, percent), "line-links")
+    letters = letter_counts(F.col("line")).alias("letters")
+    common = [F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")]
+    if percent is None:
+        index = F.when(near, keys(edits, F.col("line"), F.col("n")))
+        facts = lines.select("h1", "h2", here.alias("at"), "n", letters, index.alias("keys"))
+        distinct = facts.groupBy("h1", "h2").agg(*common, F.first("letters").alias("letters"), F.first("keys").alias("keys"))
+        distinct = materialise(distinct, "line-facts")
+        links = line_links(distinct.where(near), lines.where(near), edits)
+    else:
+        # here the keys are larger than the line, so they are cut after equal lines are folded
+        facts = lines.select("h1", "h2", here.alias("at"), "n", "line")
+        distinct = materialise(facts.groupBy("h1", "h2").agg(*common, F.first("line").alias("line")), "line-facts")
+        once = distinct.where(near)
+        index = scaled_keys(percent, F.col("line"), F.col("n")).alias("keys")
+        links = line_links(once.select("h1", "h2", "n", letters, index), once, edits, percent)
+    links = materialise(links, "line-links")
     # numbers for the linked lines, then classes
     ends = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(links.select("b1", "b2"))
     nodes = materialise(ends.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links")).withColumn(
