@@ -41,3 +41,18 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sql_crc_table() -> str:
+    """DuckDB SQL for the 256 remainders of CRC-32 as one list ``t``, made from its polynomial."""
+    return ("SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), "
+            "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))")
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8, beside the list ``t`` of ``sql_crc_table``."""
+    code = f"hex(encode({text}))"
+    value = f"CAST('0x' || substr({code}, 2 * i + 1, 2) AS BIGINT)"
+    octets = f"list_transform(range(strlen({text})), lambda i: {value})"
+    return (f"xor(list_reduce(list_prepend(4294967295, {octets}), "
+            "lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)")

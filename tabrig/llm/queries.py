@@ -1,6 +1,6 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import chat, linededup, mixing, neardup, pieces, rules, secrets, tokenfiles, topk, toxicity
+from . import chat, linededup, mixing, neardup, pieces, rules, secrets, tokenfiles, topk, toxicity, variants
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_line_dedup": linededup.op9,
     "op9_line_dedup_whole": linededup.op9_whole,
     "op10_mixing": mixing.op10,
+    "op11_variants": variants.op11,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op8_neardup": neardup.OP8_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_variants": variants.OP11_SQL,
 }
