@@ -1,6 +1,7 @@
 """Registered queries of the subpackage and their DuckDB SQL."""
 
-from . import chat, linededup, mixing, neardup, pieces, rules, secrets, tokenfiles, topk, toxicity, variants
+from . import (chat, langid, linededup, merkle, mixing, neardup, pieces, rules, secrets, tokenfiles, topk, toxicity,
+               variants)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +16,8 @@ QUERIES = {
     "op9_line_dedup_whole": linededup.op9_whole,
     "op10_mixing": mixing.op10,
     "op11_variants": variants.op11,
+    "op12_manifest": merkle.op12,
+    "op13_language": langid.op13,
 }
 
 ORACLES = {
@@ -24,4 +27,5 @@ ORACLES = {
     "op9_line_dedup": linededup.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
     "op11_variants": variants.OP11_SQL,
+    "op12_manifest": merkle.OP12_SQL,
 }
