@@ -80,25 +80,109 @@ def f04(spark, sf):
     return P.one_hot_long(imp.select("rid", "priority"), "rid", cats)
 
 
-@register("f05_preprocessor_features")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_NUMBERS = ["o_orderkey", "o_custkey", "price"]
+
+
+def _scaled(cols: list[str], fitted_on: str) -> list[str]:
+    """(value - mean) / population std of each median-imputed column, with statistics of ``fitted_on``."""
+    out = []
+    for c in cols:
+        med = f"(SELECT quantile_cont({c}, 0.5) FROM {fitted_on})"
+        stat = f"FROM (SELECT coalesce({c}, {med}) AS p FROM {fitted_on})"
+        out.append(f"(coalesce({c}, {med}) - (SELECT avg(p) {stat})) / (SELECT CASE WHEN stddev_pop(p) = 0 THEN 1 ELSE stddev_pop(p) END {stat})")
+    return out
+
+
+def _mode_of(column: str, fitted_on: str) -> str:
+    return f"(SELECT v FROM (SELECT {column} AS v, count(*) AS w FROM {fitted_on} WHERE {column} IS NOT NULL GROUP BY 1) ORDER BY w DESC, v LIMIT 1)"
+
+
+def _wide_sql(rows: str, fitted_on: str) -> str:
+    numbers = [f"{x} AS {c}" for c, x in zip(_NUMBERS, _scaled(_NUMBERS, fitted_on))]
+    hits = [f"CASE WHEN coalesce(priority, {_mode_of('priority', fitted_on)}) = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"priority_{v}\"" for v in PRIORITIES]
+    return f"SELECT rid, {', '.join(numbers + hits)} FROM {rows}"
+
+
+_ALL = "o_orderkey, o_custkey, price, priority, status"
+_DEDUPED = f"(SELECT min(rid) AS rid, {_ALL} FROM dirty_orders GROUP BY {_ALL})"
+
+
+@register("f05_preprocessor_features", W + _wide_sql("dirty_orders", TRAIN), rounded=_NUMBERS)
 def f05(spark, sf):
     d, train = _train(spark, sf)
     prep = P.build_preprocessor(train, target="status", row_key="rid")
     return P.to_wide(prep.transform(d), prep, ["rid"])
 
 
-@register("f07_fit_transform")
+# the orders with the customer as text: a category with a value for every customer
+_TEXT = "texts AS (SELECT rid, o_orderkey, price, CAST(o_custkey AS VARCHAR) AS customer, priority, status FROM dirty_orders)"
+_TEXT_TRAIN = f"(SELECT * FROM texts WHERE NOT ({_U} < 0.2))"
+_CATEGORIES = ["customer", "priority"]
+
+
+def _texts(spark, sf):
+    d = S.dirty_orders(spark, sf)
+    return d.select("rid", "o_orderkey", "price", F.col("o_custkey").cast("string").alias("customer"), "priority", "status")
+
+
+def _long_sql(rows: str, fitted_on: str) -> str:
+    cols = ["o_orderkey", "price"]
+    parts = [f"SELECT rid, '{c}' AS feature, CAST({x} AS DOUBLE) AS value FROM {rows}" for c, x in zip(cols, _scaled(cols, fitted_on))]
+    for c in _CATEGORIES:
+        v = f"coalesce({c}, {_mode_of(c, fitted_on)})"
+        parts.append(f"SELECT rid, '{c}_' || {v}, 1.0::DOUBLE FROM {rows} WHERE {v} IN (SELECT {c} FROM {fitted_on} WHERE {c} IS NOT NULL)")
+    return " UNION ALL ".join(parts)
+
+
+@register("f05_features_long", with_views(DIRTY_ORDERS, _TEXT) + _long_sql("texts", _TEXT_TRAIN), rounded=["value"])
+def f05_long(spark, sf):
+    d = _texts(spark, sf)
+    train, _ = M.split(d, "rid")
+    prep = P.build_preprocessor(train, target="status", row_key="rid")
+    return prep.encoder.long_features(d, "rid")
+
+
+@register("f06_feature_names", with_views(DIRTY_ORDERS, _TEXT) + f"""
+SELECT row_number() OVER (ORDER BY part, v) - 1 AS idx, CASE WHEN part < 3 THEN v ELSE name || '_' || v END AS feature FROM (
+  SELECT 1 AS part, '' AS name, 'o_orderkey' AS v UNION ALL SELECT 2, '', 'price'
+  UNION ALL SELECT DISTINCT 3, 'customer', customer FROM {_TEXT_TRAIN} WHERE customer IS NOT NULL
+  UNION ALL SELECT DISTINCT 4, 'priority', priority FROM {_TEXT_TRAIN} WHERE priority IS NOT NULL)""")
+def f06(spark, sf):
+    train, _ = M.split(_texts(spark, sf), "rid")
+    return P.feature_names(P.build_preprocessor(train, target="status", row_key="rid"))
+
+
+@register("f07_fit_transform", W + _wide_sql(_DEDUPED, _DEDUPED), rounded=_NUMBERS)
 def f07(spark, sf):
     return P.fit_transform(S.dirty_orders(spark, sf).drop("empty_col"), "status", "rid").features
 
 
-@register("f08_transform_new_rows")
+_TEXT_DEDUPED = "(SELECT min(rid) AS rid, o_orderkey, price, customer, priority, status FROM texts GROUP BY ALL)"
+
+
+@register("f07_fit_transform_long", with_views(DIRTY_ORDERS, _TEXT) + _long_sql(_TEXT_DEDUPED, _TEXT_DEDUPED), rounded=["value"])
+def f07_long(spark, sf):
+    return P.fit_transform(_texts(spark, sf), "status", "rid").features_long
+
+
+@register("f08_transform_new_rows", W + _wide_sql(
+    "(SELECT min(rid) AS rid, o_orderkey, o_custkey, price, priority FROM dirty_orders GROUP BY ALL)", TRAIN), rounded=_NUMBERS)
 def f08(spark, sf):
     d, train = _train(spark, sf)
     prep = P.build_preprocessor(train, target="status", row_key="rid")
     return P.transform(prep, d.drop("status"), row_key="rid")
 
 
+@register("f08_transform_new_rows_long", with_views(DIRTY_ORDERS, _TEXT) + _long_sql(
+    "(SELECT min(rid) AS rid, o_orderkey, price, customer, priority FROM texts GROUP BY ALL)", _TEXT_TRAIN), rounded=["value"])
+def f08_long(spark, sf):
+    d = _texts(spark, sf)
+    train, _ = M.split(d, "rid")
+    prep = P.build_preprocessor(train, target="status", row_key="rid")
+    return P.transform_long(prep, d.drop("status"), "rid")
+
+
 @register("f09_preprocessing_actions",
           W + """SELECT * FROM (
   SELECT 1 AS ord, 'Missing feature values handled during model preprocessing' AS note

@@ -13,15 +13,15 @@ BYTE_UNITS = ["B", "KB", "MB", "GB"]  # then "TB" for everything larger
 TRUNCATE_MARK = "..."
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def quoted(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _c(x) -> Column:
+    return quoted(x) if isinstance(x, str) else x
+
+
 def is_float_type(dt: T.DataType) -> bool:
     return isinstance(dt, (T.FloatType, T.DoubleType))
 

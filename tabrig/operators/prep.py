@@ -1,11 +1,9 @@
 """Preprocessing (F1-F9): exact-median and most-frequent imputation,
 population standardisation and sorted one-hot encoding.
 
-Statistics are distributed aggregates (exact medians via running totals over
-distinct values); the fitted transform is a built-in Spark ``PipelineModel``
-(SQLTransformer with the learned constants, StringIndexerModel built from the
-sorted category lists, OneHotEncoder, VectorAssembler), so it saves and loads
-with the standard ML writers and runs as JVM expressions.
+Statistics are distributed aggregates; the categories are a table that rows are joined with
+(``encode.py``), so their number bounds neither a task nor the driver. The fitted transform is a
+``PipelineModel``, so it saves and loads with the standard ML writers and runs as JVM expressions.
 """
 
 from __future__ import annotations
@@ -13,31 +11,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_missing, quoted
 from .clean import drop_duplicates
+from .encode import TableEncoder, category_dictionary, category_values
 from .ordered import exact_quantiles
 from .profile import _missing, feature_types
 
 FEATURES_COL = "features"
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _sql_lit(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, str):
-        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return repr(float(v)) + "D"
-
-
 # --------------------------------------------------------------------------- F1-F3 statistics
 def fit_median(train: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """F1 fit: exact interpolated median per numeric column (missing skipped)."""
@@ -101,24 +87,6 @@ def standardize(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFr
                        if c in params else quoted(c) for c in df.columns])
 
 
-def category_values(train: DataFrame, cols: list[str]) -> DataFrame:
-    """F4 fit as a table: (column_name, v) of the distinct non-missing values."""
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                             F.when(~_missing(train, c), quoted(c)).cast("string").alias("v")) for c in cols])
-    return train.select(F.inline(arr)).where(F.col("v").isNotNull()).distinct()
-
-
-def fit_categories(train: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """F4 fit for the indexer stages: the sorted distinct non-missing values of every
-    column, which the built-in indexer model holds on the driver. No column is left out
-    for the number of its values; columns without any have no entry."""
-    if not cols:
-        return {}
-    rows = category_values(train, cols).groupBy("column_name").agg(F.sort_array(F.collect_list("v")).alias("vals")).collect()
-    got = {r["column_name"]: list(r["vals"]) for r in rows}
-    return {c: got[c] for c in cols if c in got}
-
-
 def one_hot_long(df: DataFrame, row_key: str, categories: DataFrame) -> DataFrame:
     """F4 in long form: (row_key, feature) for each active indicator; values unseen at
     fit time produce no indicator. ``categories``: the table of ``category_values``; the
@@ -132,18 +100,27 @@ def one_hot_long(df: DataFrame, row_key: str, categories: DataFrame) -> DataFram
 # --------------------------------------------------------------------------- F5-F8
 @dataclass
 class Preprocessor:
+    """A fitted preprocessor: ``model`` is the transformer (a pipeline of one ``TableEncoder``).
+    Feature names are a table; ``feature_names`` lists them for tables that are as wide anyway."""
     model: PipelineModel
     numeric: list[str]
     categorical: list[str]
-    feature_names: list[str]
     dropped: list[str] = field(default_factory=list)
     stats: dict = field(default_factory=dict)
     output_col: str = FEATURES_COL
 
+    @property
+    def encoder(self) -> TableEncoder:
+        return self.model.stages[0]
+
     @property
     def input_columns(self) -> list[str]:
         return self.numeric + self.categorical
 
+    @property
+    def feature_names(self) -> list[str]:
+        return [r["feature"] for r in self.encoder.feature_table().orderBy("idx").collect()]
+
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df)
 
@@ -163,51 +140,18 @@ def build_preprocessor(train: DataFrame, features: list[str] | None = None, targ
     # Means and population std of the imputed values, one aggregate.
     imputed = impute_median(train.select(*[quoted(c) for c in num]), medians) if num else None
     scale = fit_standardize(imputed, num) if num else {}
-    modes = fit_most_frequent(train, cat)
-    cats = fit_categories(train, [c for c in cat if modes[c]["mode"] is not None])
-    dropped = unsupported + [c for c in cat if c not in cats]
-    cat = [c for c in cat if c in cats]
-
-    selects = ["*"]
-    for i, c in enumerate(num):
-        miss = f"{_q(c)} IS NULL" + (f" OR isnan({_q(c)})" if train.schema[c].dataType.typeName()
-                                      in ("double", "float") else "")
-        val = f"CASE WHEN {miss} THEN {_sql_lit(medians[c])} ELSE CAST({_q(c)} AS DOUBLE) END"
-        m, s = scale[c]
-        selects.append(f"(({val}) - {_sql_lit(m)}) / {_sql_lit(s)} AS `__num_{i}`")
-    for i, c in enumerate(cat):
-        miss = f"{_q(c)} IS NULL" + (f" OR isnan({_q(c)})" if train.schema[c].dataType.typeName()
-                                      in ("double", "float") else "")
-        selects.append(f"CASE WHEN {miss} THEN {_sql_lit(modes[c]['mode'])} "
-                       f"ELSE CAST({_q(c)} AS STRING) END AS `__cat_{i}`")
-    stages = [SQLTransformer(statement=f"SELECT {', '.join(selects)} FROM __THIS__")]
-    vec_inputs = [f"__num_{i}" for i in range(len(num))]
-    if cat:
-        # One indexer per column (the multi-column form's metadata breaks the encoder).
-        for i, c in enumerate(cat):
-            stages.append(StringIndexerModel.from_labels(cats[c], inputCol=f"__cat_{i}",
-                                                         outputCol=f"__idx_{i}", handleInvalid="keep"))
-        ohe = OneHotEncoder(inputCols=[f"__idx_{i}" for i in range(len(cat))],
-                            outputCols=[f"__vec_{i}" for i in range(len(cat))], dropLast=True)
-        # Fit needs only the category counts; a one-row frame avoids a data pass.
-        probe = train.sparkSession.createDataFrame(
-            [tuple(float(len(cats[c])) for c in cat)], [f"__idx_{i}" for i in range(len(cat))])
-        stages.append(ohe.fit(probe))
-        vec_inputs += [f"__vec_{i}" for i in range(len(cat))]
-    stages.append(VectorAssembler(inputCols=vec_inputs, outputCol=output_col, handleInvalid="keep"))
-    names = num + [f"{c}_{v}" for c in cat for v in cats[c]]
-    return Preprocessor(PipelineModel(stages=stages), num, cat, names, dropped,
-                        {"medians": medians, "scale": scale, "modes": {c: modes[c]["mode"] for c in cat},
-                         "categories": cats}, output_col)
-
-
-def feature_names(prep: Preprocessor) -> list[str]:
-    """numeric names, then ``col_value`` for each category."""
-    return list(prep.feature_names)
-
-
-def drop_helper_columns(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in df.columns if not c.startswith("__")])
+    dictionary, sizes = category_dictionary(category_values(train, cat), cat, len(num))
+    dropped = unsupported + [c for c in cat if c not in sizes]
+    cat = [c for c in cat if c in sizes]
+    modes = {c: m["mode"] for c, m in fit_most_frequent(train, cat).items()}
+    encoder = TableEncoder([[c, medians[c], *scale[c]] for c in num], [[c, modes[c], sizes[c]] for c in cat], dictionary, output_col)
+    return Preprocessor(PipelineModel(stages=[encoder]), num, cat, dropped,
+                        {"medians": medians, "scale": scale, "modes": modes, "sizes": sizes}, output_col)
+
+
+def feature_names(prep: Preprocessor) -> DataFrame:
+    """(idx, feature): numeric names, then ``col_value`` for each category."""
+    return prep.encoder.feature_table()
 
 
 def align_columns(df: DataFrame, expected: list[str]) -> DataFrame:
@@ -215,21 +159,33 @@ def align_columns(df: DataFrame, expected: list[str]) -> DataFrame:
     missing = [c for c in expected if c not in df.columns]
     if missing:
         raise ValueError(f"Missing expected columns for transform: {missing}")
-    return df.select(*expected)
+    return df.select(*[quoted(c) for c in expected])
 
 
 def to_wide(df: DataFrame, prep: Preprocessor, keep: list[str] | None = None) -> DataFrame:
-    """Assembled vector -> one column per feature name."""
-    arr = vector_to_array(F.col(prep.output_col))
-    return df.select(*(keep or []), *[arr[i].alias(n) for i, n in enumerate(prep.feature_names)])
+    """Assembled vector -> one column per feature name. For as many features as a table can have
+    columns; the long form has no such bound."""
+    arr = vector_to_array(quoted(prep.output_col))
+    return df.select(*[quoted(c) for c in keep or []], *[arr[i].alias(n) for i, n in enumerate(prep.feature_names)])
 
 
 @dataclass
 class FitTransformResult:
-    features: DataFrame  # wide table: row key (if any) + one column per feature
     target: DataFrame | None
     preprocessor: Preprocessor
     assembled: DataFrame  # deduplicated rows with the feature vector (and target)
+    rows: DataFrame  # deduplicated rows
+    row_key: str | None = None
+
+    @property
+    def features(self) -> DataFrame:
+        """Wide table: row key (if any) + one column per feature."""
+        return to_wide(self.assembled, self.preprocessor, [self.row_key] if self.row_key else [])
+
+    @property
+    def features_long(self) -> DataFrame:
+        """(row key, feature, value), for any number of features."""
+        return self.preprocessor.encoder.long_features(self.rows, self.row_key)
 
 
 def fit_transform(df: DataFrame, target: str | None = None, row_key: str | None = None) -> FitTransformResult:
@@ -238,24 +194,31 @@ def fit_transform(df: DataFrame, target: str | None = None, row_key: str | None
     deduped = drop_duplicates(df, row_key)
     prep = build_preprocessor(deduped, target=target if target in df.columns else None, row_key=row_key,
                               bool_is_numeric=False)
-    assembled = drop_helper_columns(prep.transform(deduped))
-    keys = [row_key] if row_key else []
-    feats = to_wide(assembled, prep, keys) if prep.feature_names else assembled.select(*keys)
-    y = assembled.select(*keys, target) if target and target in df.columns else None
-    return FitTransformResult(feats, y, prep, assembled)
+    assembled = prep.transform(deduped)
+    keys = [quoted(row_key)] if row_key else []
+    y = assembled.select(*keys, quoted(target)) if target and target in df.columns else None
+    return FitTransformResult(y, prep, assembled, deduped, row_key)
+
+
+def _new_rows(prep: Preprocessor | None, df: DataFrame, row_key: str | None, dedupe: bool) -> DataFrame:
+    if prep is None:
+        raise RuntimeError("There is no fitted preprocessor to apply.")
+    align_columns(df, prep.input_columns)
+    return drop_duplicates(df, row_key) if dedupe else df
 
 
 def transform(prep: Preprocessor | None, df: DataFrame, row_key: str | None = None,
               dedupe: bool = True) -> DataFrame:
     """F8: apply a fitted preprocessor to new rows; dedupes first unless told
     not to (a plain transform, so it also runs on a streaming DataFrame)."""
-    if prep is None:
-        raise RuntimeError("There is no fitted preprocessor to apply.")
-    align_columns(df, prep.input_columns)
-    src = drop_duplicates(df, row_key) if dedupe else df
-    out = drop_helper_columns(prep.transform(src))
-    keys = [row_key] if row_key else []
-    return to_wide(out, prep, keys)
+    src = _new_rows(prep, df, row_key, dedupe)
+    return to_wide(prep.transform(src), prep, [row_key] if row_key else [])
+
+
+def transform_long(prep: Preprocessor | None, df: DataFrame, row_key: str, dedupe: bool = True) -> DataFrame:
+    """F8 in long form: (row_key, feature, value), for any number of features."""
+    src = _new_rows(prep, df, row_key, dedupe)
+    return prep.encoder.long_features(src, row_key)
 
 
 # --------------------------------------------------------------------------- F9

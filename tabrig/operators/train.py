@@ -70,10 +70,10 @@ def build_estimator(name: str, task: str, n_train: int, n_classes: int, params:
     raise ValueError(f"Unsupported model selected: {name}")
 
 
-def _raw_importances(model, names: list[str], mean_abs: bool = True) -> list[float] | None:
+def _raw_importances(model, mean_abs: bool = True) -> list[float] | None:
     inner = model
     if hasattr(inner, "models"):  # one-vs-rest: the mean over the inner models
-        each = [_raw_importances(m, names, mean_abs) for m in inner.models]
+        each = [_raw_importances(m, mean_abs) for m in inner.models]
         return [sum(v) / len(each) for v in zip(*each, strict=True)] if each and None not in each else None
     if hasattr(inner, "featureImportances"):
         return [float(x) for x in inner.featureImportances.toArray()]
@@ -87,22 +87,19 @@ def _raw_importances(model, names: list[str], mean_abs: bool = True) -> list[flo
     return None
 
 
-def feature_importance(model, names: list[str], top: int = IMPORTANCE_TOP) -> list[tuple]:
-    """M16 (A): importance, share of the total (0 -> 1), top 10."""
-    raw = _raw_importances(model, names, mean_abs=True)
-    if raw is None or not names:
+def feature_importance(model, top: int = IMPORTANCE_TOP) -> list[tuple]:
+    """M16 (A): (feature number, importance, share of the total (0 -> 1)), top 10."""
+    raw = _raw_importances(model, mean_abs=True)
+    if not raw:
         return []
     total = float(sum(raw)) or 1.0
-    rows = [(n, v, v / total) for n, v in zip(names, raw)]
+    rows = [(i, v, v / total) for i, v in enumerate(raw)]
     return sorted(rows, key=lambda r: r[1], reverse=True)[:top]
 
 
-def feature_importance_b(model, names: list[str]) -> list[tuple]:
-    """M17 (B): abs of the mean coefficient (or tree importance), all features."""
-    raw = _raw_importances(model, names, mean_abs=False)
-    if raw is None:
-        return []
-    return list(zip(names, raw))
+def feature_importance_b(model) -> list[tuple]:
+    """M17 (B): (feature number, abs of the mean coefficient or tree importance), all features."""
+    return list(enumerate(_raw_importances(model, mean_abs=False) or []))
 
 
 @dataclass
@@ -205,9 +202,8 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
         preds.append(out.select(F.lit(name).alias("model"), F.lit(ord_).alias("ord"), quoted(key).alias("row_key"),
                                 F.col("_label").alias("label"), pred.alias("prediction"),
                                 score.cast("double").alias("score")))
-        rows = feature_importance(model, prep.feature_names) if mode == "A" else \
-            [(f, v, None) for f, v in feature_importance_b(model, prep.feature_names)]
-        imps += [(name, f, float(v), None if c is None else float(c)) for f, v, c in rows]
+        rows = feature_importance(model) if mode == "A" else [(i, v, None) for i, v in feature_importance_b(model)]
+        imps += [(name, i, float(v), None if c is None else float(c)) for i, v, c in rows]
 
     ords = spark.createDataFrame([(m, i + 1, timings.get(m), errors.get(m)) for i, m in enumerate(models)],
                                  "model string, ord int, training_seconds double, error string")
@@ -229,7 +225,9 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
         metrics = ords
     if mode == "A":
         metrics = metrics.drop("error")
-    imp_df = spark.createDataFrame(imps, "model string, feature string, importance double, contribution double")
+    # The models' numbers are joined with the table of feature names.
+    numbered = spark.createDataFrame(imps, "model string, idx long, importance double, contribution double")
+    imp_df = numbered.join(prep.encoder.feature_table(), "idx").select("model", "feature", "importance", "contribution")
     return TrainResult(task, models, metrics, allp, imp_df, prep, fitted, labels, n_train, n_test, errors,
                        timings, [train, test, allp])
 

@@ -200,7 +200,7 @@ def run_experiment_b(df: DataFrame, target: str, name: str | None = None, row_ke
         charts["confusion"] = V.chart_confusion(tr.predictions, mode="B")
         charts["roc"] = V.chart_roc(tr.predictions, mode="B")
     metric_rows = [r.asDict() for r in tr.metrics.drop("ord").collect()]  # a row for each model
-    summary = {"rows": tr.train_rows + tr.test_rows, "columns": len(df.columns), "features": len(ft.preprocessor.feature_names)}
+    summary = {"rows": tr.train_rows + tr.test_rows, "columns": len(df.columns), "features": ft.preprocessor.encoder.width}
     batch = spark.createDataFrame(
         [(datetime.now(timezone.utc).isoformat(), name, target, task, json.dumps(summary), json.dumps(paths),
           json.dumps(metric_rows), top["model"])],
