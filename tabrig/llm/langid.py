@@ -135,9 +135,11 @@ def sampled_vectors(texts: DataFrame, sample: int) -> DataFrame:
     each language (all, where there are fewer)."""
     hashed = texts.select("lang", "text", F.xxhash64(F.lit(13), "text").alias("h"))
     share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("distinct"))
-    sizes = sizes.select(F.col("lang").alias("l"), (F.lit(1.5 * sample) / F.col("distinct")).alias("keep"))
-    drawn = hashed.join(sizes, (F.col("lang") == F.col("l")) & (share < F.col("keep"))).select("lang", "h", "text")
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("distinct")).collect()
+    # as many languages as the centroids leave room for, so a literal map and no join of the texts
+    keep = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * sample / max(r["distinct"], 1)))])
+    drawn = hashed.where(share < F.element_at(keep, F.col("lang"))) if sizes else hashed.limit(0)
+    drawn = drawn.select("lang", "h", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -183,6 +185,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", cluster
     rows are given up: a few rows of a wrong label would else be a centroid amid another language."""
     known = docs.where(col(lang_col).isNotNull() & _per_text(docs, text_col))
     texts = known.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text"))
+    room = MODEL_BYTES // (clusters * DIMS * 4)
+    if texts.select("lang").distinct().limit(room + 1).count() > room:
+        raise ValueError(f"Centroids of more than {room} languages exceed {MODEL_BYTES} bytes; use fewer clusters.")
     df, rows = document_frequencies(texts)
     idf = (np.log((1 + rows) / (1 + df)) + 1).astype(np.float32)
 
@@ -202,9 +207,6 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", cluster
                          "mean": pa.array([means[k].astype(np.float32).tobytes() for k in kept], pa.binary())})
 
     vectors = materialise(sampled_vectors(texts, sample), "langid-sample")
-    languages = vectors.agg(F.count_distinct("lang")).first()[0]
-    if languages * clusters * DIMS * 4 > MODEL_BYTES:
-        raise ValueError(f"Centroids of {languages} languages exceed {MODEL_BYTES} bytes; use fewer clusters.")
     got = vectors.groupBy("lang").applyInArrow(cluster, "lang string, k int, radius double, mean binary").collect()
     got = sorted(got, key=lambda r: (r["lang"].encode(), r["k"]))
     means = np.array([np.frombuffer(r["mean"], np.float32) for r in got], np.float32).reshape(len(got), DIMS)
