@@ -167,6 +167,23 @@ def m02b(spark, sf):
     return M.mark_split_stratified(o, "o_orderstatus", "o_orderkey", 0.3)
 
 
+_UD = "CAST('0x' || substring(md5(concat(CAST(rid AS VARCHAR), '|42')), 1, 8) AS BIGINT)"
+
+
+@register("m02_split_stratified_missing_class", W.rstrip() + f""",
+base AS (SELECT rid, status, {_UD} AS u FROM dirty_orders),
+cls AS (SELECT status AS c, count(*) AS n_c FROM base GROUP BY 1),
+tot AS (SELECT sum(n_c) AS n, CAST(ceil(0.2 * sum(n_c)) AS BIGINT) AS n_test FROM cls),
+q AS (SELECT c, n_c, (n_c / n) * (n - n_test) AS cont, floor((n_c / n) * (n - n_test)) AS fl, n - n_test AS n_train FROM cls, tot),
+r AS (SELECT *, row_number() OVER (ORDER BY cont - fl DESC, c NULLS LAST) AS rk, n_train - sum(fl) OVER () AS need FROM q),
+quota AS (SELECT c, n_c - fl - CASE WHEN rk <= need THEN 1 ELSE 0 END AS t_c FROM r),
+ranked AS (SELECT b.*, t_c, row_number() OVER (PARTITION BY status ORDER BY u, rid) AS rn
+           FROM base b JOIN quota ON b.status IS NOT DISTINCT FROM quota.c)
+SELECT rid, status, rn <= t_c AS is_test FROM ranked""")
+def m02c(spark, sf):
+    return M.mark_split_stratified(S.dirty_orders(spark, sf).select("rid", "status"), "status", "rid", 0.2)
+
+
 @register("m03_can_stratify",
           "SELECT min(n) >= 2 AS can_stratify FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)")
 def m03(spark, sf):

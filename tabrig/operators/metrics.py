@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_totals
+from .ordered import running_totals, segmented
 
 GRID_PARTS = 64  # the labels of one side of a confusion grid are spread over so many keys
 POSITIVE_PAIRS = [(0.0, 1.0), (-1.0, 1.0)]  # numeric (min, max) label pairs a ROC curve accepts
@@ -234,23 +234,16 @@ def roc_points(pred: DataFrame, by: list[str] | None = None,
         F.sum(F.when(pos, 0).otherwise(1)).cast("long").alias("fp"),
         F.lit(1).cast("long").alias("one"))
     g = g.join(lab, on=by, how="left_semi")
-    cum = running_totals(g, ["score"], ["tp", "fp", "one"], by, descending=True)
-    cum = cum.select(*by, F.col("score").alias("threshold"), F.col("cum_tp").alias("tps"),
-                     F.col("cum_fp").alias("fps"), F.col("cum_one").alias("idx"))
-    tot = cum.groupBy(*by).agg(F.max("tps").alias("_P"), F.max("fps").alias("_N"),
-                               F.max("idx").alias("_last"))
+    # A point's steps are its own counts and the next point's, so neighbours need no join.
+    cum = segmented(g, ["score"], by, ["tp", "fp", "one"], ["tp", "fp"], descending=True)
+    cum = cum.select(*by, F.col("score").alias("threshold"), F.col("cum_tp").alias("tps"), F.col("cum_fp").alias("fps"),
+                     F.col("cum_one").alias("idx"), "tp", "fp", "next_tp", "next_fp")
+    tot = cum.groupBy(*by).agg(F.max("tps").alias("_P"), F.max("fps").alias("_N"))
     pts = cum
     if drop_intermediate:
-        prv = cum.select(*by, (F.col("idx") + 1).alias("idx"), F.col("tps").alias("_tp0"),
-                         F.col("fps").alias("_fp0"))
-        nxt = cum.select(*by, (F.col("idx") - 1).alias("idx"), F.col("tps").alias("_tp2"),
-                         F.col("fps").alias("_fp2"))
-        j = cum.join(prv, on=[*by, "idx"], how="left").join(nxt, on=[*by, "idx"], how="left") \
-            .join(tot.select(*by, "_last"), on=by, how="inner")
-        corner = ((F.col("_fp2") - 2 * F.col("fps") + F.col("_fp0")) != 0) | \
-                 ((F.col("_tp2") - 2 * F.col("tps") + F.col("_tp0")) != 0)
-        keep = (F.col("idx") == 1) | (F.col("idx") == F.col("_last")) | (F.col("_last") <= 2) | corner
-        pts = j.where(keep).select(*by, "threshold", "tps", "fps", "idx")
+        corner = (F.col("next_fp") != F.col("fp")) | (F.col("next_tp") != F.col("tp"))
+        pts = cum.where((F.col("idx") == 1) | F.col("next_tp").isNull() | corner)
+    pts = pts.select(*by, "threshold", "tps", "fps", "idx")
     origin = tot.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tps"),
                         F.lit(0).cast("long").alias("fps"), F.lit(0).cast("long").alias("idx"))
     allp = origin.unionByName(pts).join(tot.select(*by, "_P", "_N"), on=by, how="inner")

@@ -2,79 +2,141 @@
 
 A bare ``Window.orderBy(x)`` moves every row to one task. There is one path here:
 
-1. the (usually already aggregated) rows are written once into the shared folder, so
-   that every later use sees the same rows and nothing stays cached,
-2. boundaries between about ``ROWS_PER_RANGE`` rows each are fixed from a bounded sample
-   of the keys (groups and order columns) and become a literal list,
-3. a row's range is the number of boundaries below its key, an expression of the row,
-4. totals per group and range are prefix-summed and joined (null-safe) as offsets to a
-   running sum inside each range.
-
-With rows for a single range only, its offsets are all zero and there is nothing to join.
+1. the (usually already aggregated) rows are range partitioned by groups and order and
+   sorted, so that a group of any size is a run of consecutive segments, one in each partition;
+2. a task reads its segments in order and adds what it can see: running sums, the next row's
+   values. The result is written once into the shared folder;
+3. the segments' edges (totals and first rows, one row for each partition and group) are summed up and
+   shifted, and joined back: what comes before a segment, and what follows its last row.
+
+Neither neighbours nor running totals need a self join, and no list of range ends is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.scalars import quoted
 from ..session import cut_lineage
 
-ROWS_PER_RANGE = 100_000
-SAMPLE_PER_RANGE = 32  # sampled keys for each boundary
-MAX_RANGES = 4096  # bounds the literal list; ranges grow beyond it
-
-
-def _key(groups: list[str], order_cols: list[str]) -> Column:
-    return F.struct(*[F.col(c) for c in [*groups, *order_cols]])
-
-
-def _boundaries(rows: DataFrame, groups: list[str], order_cols: list[str], ranges: int) -> Column | None:
-    """Sorted keys between the ranges, as a literal array of structs."""
-    if ranges < 2:
-        return None
-    k = _key(groups, order_cols)
-    sample = rows.select(k.alias("k"), F.xxhash64(F.lit(17), k).alias("h")).orderBy("h").limit(ranges * SAMPLE_PER_RANGE)
-    got = sample.orderBy("k").select("k").collect()
-    cuts = sorted({round(i * len(got) / ranges) for i in range(1, ranges)} - {0, len(got)})
-    kinds = rows.select(k.alias("k")).schema["k"].dataType
-    return F.array(*[F.struct(*[F.lit(got[i]["k"][f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields])
-                     for i in cuts]) if cuts else None
+#: The edges have one row for each partition and group; up to this number (counted) they are
+#: broadcast, beyond it they are joined by a shuffle.
+EDGE_ROWS_BROADCAST = 200_000
+
+
+def _starts(batch: pa.RecordBatch, groups: list[str], last: list) -> np.ndarray:
+    """Whether each row begins a new group (nulls are equal to each other, and so are NaNs).
+    ``last``: the group columns' values in the row before, as arrays of one."""
+    new = np.zeros(len(batch), bool)
+    new[0] = not last
+    for i, g in enumerate(groups):
+        values = pa.concat_arrays([last[i], batch.column(g)]) if last else batch.column(g)
+        code = values.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        changed = code[1:] != code[:-1]
+        if last:
+            new |= changed
+        else:
+            new[1:] |= changed
+    return new
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _segments(groups: list[str], sums: list[str], nexts: list[str]):
+    """The task's part: rows in order come in; with ``_rp``, ``_first`` and ``_last`` (whether a row is that of its
+    segment), the running sums ``_l_`` and the next row's ``_n_`` within the segment they go out."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, carried = TaskContext.get().partitionId(), [], [0] * len(sums)
+        waiting = None  # the batch before; its last row still lacks its next
+
+        def finished(batch, new, totals, follower):
+            after = []
+            for c in nexts:
+                values = batch.column(c)
+                tail = follower.column(c).slice(0, 1) if follower is not None else pa.nulls(1, values.type)
+                after.append(pa.concat_arrays([values.slice(1), tail]))
+            ends = np.append(new[1:], follower is None)
+            return pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(new), pa.array(ends), *map(pa.array, totals), *after],
+                [*batch.schema.names, "_rp", "_first", "_last", *[f"_l_{c}" for c in sums], *[f"_n_{c}" for c in nexts]])
+
+        for batch in parts:
+            if not len(batch):
+                continue
+            new = _starts(batch, groups, last)
+            at = np.flatnonzero(new)
+            totals = []
+            for i, c in enumerate(sums):
+                values = _numbers(batch.column(c))
+                run_sum = np.cumsum(values)
+                # what to take away from (or add to) the batch's running sum in each segment
+                base = np.repeat([-carried[i], *(run_sum[at] - values[at])], np.diff([0, *at, len(batch)]))
+                totals.append(run_sum - base)
+                carried[i] = totals[-1][-1]
+            last = [batch.column(g).slice(len(batch) - 1) for g in groups]
+            if waiting is not None:
+                yield finished(*waiting, batch if not new[0] else None)
+            waiting = (batch, new, totals)
+        if waiting is not None:
+            yield finished(*waiting, None)
+
+    return run
+
+
+def segmented(df: DataFrame, order_cols: list[str], groups: list[str] | None = None, sums: list[str] | None = None,
+              nexts: list[str] | None = None, prefix: str = "cum_", num_partitions: int | None = None,
+              descending: bool = False) -> DataFrame:
+    """``df`` with ``cum_<c>``, the running sum of each of ``sums`` up to and including the row, and
+    ``next_<c>``, the following row's value of each of ``nexts`` (null after a group's last row), in
+    ``order_cols`` order within each group (a null group is a group). Order keys
+    should be unique per group (aggregate first). Nulls count as 0 in sums."""
+    groups, sums, nexts = list(groups or []), list(sums or []), list(nexts or [])
+    plain = {c: f"c{i}" for i, c in enumerate(df.columns)}  # names of any kind, dots included
+    named = df.select(*[quoted(c).alias(p) for c, p in plain.items()])
+    by, add, ahead = [plain[g] for g in groups], [plain[c] for c in sums], [plain[c] for c in nexts]
+    keys = [F.asc(g) for g in by] + [F.desc(plain[c]) if descending else F.asc(plain[c]) for c in order_cols]
+    ranged = named.repartitionByRange(int(num_partitions), *keys) if num_partitions else named.repartitionByRange(*keys)
+    schema = T.StructType(list(named.schema.fields)).add("_rp", T.IntegerType())
+    schema = schema.add("_first", T.BooleanType()).add("_last", T.BooleanType())
+    for c in add:
+        whole = isinstance(named.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        schema = schema.add(f"_l_{c}", T.LongType() if whole else T.DoubleType())
+    for c in ahead:
+        schema = schema.add(f"_n_{c}", named.schema[c].dataType)
+    rows = cut_lineage(ranged.sortWithinPartitions(*keys).mapInArrow(_segments(by, add, ahead), schema))
+    edges = rows.groupBy("_rp", *by).agg(
+        F.lit(1).alias("_one"), *[F.sum(c).alias(f"_t_{c}") for c in add],
+        *[F.max_by(c, F.col("_first").cast("int")).alias(f"_f_{c}") for c in ahead])
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_rp")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    edges = cut_lineage(edges.select(
+        F.col("_rp").alias("_orp"), *[F.col(g).alias(f"_og_{g}") for g in by],
+        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in add],
+        *[F.lead(f"_f_{c}").over(w).alias(f"_e_{c}") for c in ahead]))
+    same = F.col("_rp") == F.col("_orp")
+    for g in by:
+        same = same & F.col(g).eqNullSafe(F.col(f"_og_{g}"))
+    small = edges.count() <= EDGE_ROWS_BROADCAST
+    out = rows.join(F.broadcast(edges) if small else edges, same)
+    return out.select(*[F.col(p).alias(c) for c, p in plain.items()],
+                      *[(F.col(f"_l_{plain[c]}") + F.col(f"_o_{plain[c]}")).alias(f"{prefix}{c}") for c in sums],
+                      *[F.when(F.col("_last"), F.col(f"_e_{plain[c]}")).otherwise(F.col(f"_n_{plain[c]}")).alias(f"next_{c}") for c in nexts])
 
 
 def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                    groups: list[str] | None = None, prefix: str = "cum_",
                    num_partitions: int | None = None, descending: bool = False) -> DataFrame:
-    """Add ``cum_<c>`` = inclusive running sum of ``c`` in ``order_cols`` order
-    within each group (a null group is a group). Order keys should be unique per group
-    (aggregate first); ties get the sum of all rows up to and including their own position.
-    ``num_partitions`` sets the number of ranges; by default it follows the row count."""
-    groups = list(groups or [])
-    orders = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    rows = cut_lineage(df)
-    ranges = num_partitions or -(-rows.count() // ROWS_PER_RANGE)
-    cuts = _boundaries(rows, groups, order_cols, min(int(ranges), MAX_RANGES))
-    if cuts is None:
-        w = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))) \
-            .orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.select(*[F.col(c) for c in df.columns], *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
-    below = F.size(F.filter(cuts, lambda c: c <= _key(groups, order_cols)))
-    ranged = rows.withColumn("_rp", below)
-    totals = ranged.groupBy("_rp", *groups).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    rank = F.col("_rp").desc() if descending else F.col("_rp").asc()
-    w_prev = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))) \
-        .orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_rp").alias("_orp"), *[F.col(g).alias(f"_og_{g}") for g in groups], *[
-        F.coalesce(F.sum(f"_t_{c}").over(w_prev), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    w_local = Window.partitionBy("_rp", *groups).orderBy(*orders) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select("*", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in sum_cols])
-    same = F.col("_rp") == F.col("_orp")
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_og_{g}"))
-    out = local.join(offsets, same)
-    return out.select(*[F.col(c) for c in df.columns],
-                      *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
+    """Add ``cum_<c>`` = inclusive running sum of ``c`` in ``order_cols`` order within each group."""
+    return segmented(df, order_cols, groups, sum_cols, None, prefix, num_partitions, descending)
 
 
 def row_index(df: DataFrame, order_cols: list[str], groups: list[str] | None = None,
@@ -82,46 +144,7 @@ def row_index(df: DataFrame, order_cols: list[str], groups: list[str] | None = N
               descending: bool = False) -> DataFrame:
     """1-based consecutive position in ``order_cols`` order within ``groups``
     (order keys must make rows unique). Distributed, no single-partition window."""
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    out = running_totals(one, order_cols, ["_one"], groups, prefix="_cum",
+    one = df.withColumn("_one_", F.lit(1).cast("long"))
+    out = running_totals(one, order_cols, ["_one_"], groups, prefix="_cum",
                          num_partitions=num_partitions, descending=descending)
-    return out.withColumnRenamed("_cum_one", name).drop("_one")
-
-
-def value_counts_long(df: DataFrame, name_col: str = "column_name", value_col: str = "v",
-                      weight_col: str = "w") -> DataFrame:
-    """(name, value) rows -> distinct values with counts. Partial aggregation
-    keeps a hot value (one third of all rows) from landing in one task raw."""
-    return df.groupBy(name_col, value_col).agg(F.count(F.lit(1)).alias(weight_col))
-
-
-def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "column_name",
-                    value_col: str = "v", num_partitions: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles (pandas / ``quantile_cont``) per
-    name, from a long (name, value) table of non-missing doubles.
-
-    Returns (name, q, value). Works on distinct values and their counts, so
-    memory per task is bounded by the range partition, never by the column.
-    """
-    counts = value_counts_long(long_df, name_col, value_col, "_w")
-    # the group total from the running totals themselves: no second pass over the values
-    cum = running_totals(counts, [value_col], ["_w"], [name_col], num_partitions=num_partitions)
-    cum = cum.withColumn("_lo_rank", F.col("cum__w") - F.col("_w"))  # 0-based first rank of value
-    sizes = cum.groupBy(name_col).agg(F.max("cum__w").alias("_n"))
-    # Target ranks: names x probs rows (bounded by the column count), safe to broadcast.
-    targets = sizes.select(name_col, "_n", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q"))
-    targets = targets.select(name_col, "q", (F.col("q") * (F.col("_n") - 1)).alias("_pos"))
-    targets = targets.select(
-        name_col, "q", "_pos",
-        F.floor("_pos").cast("long").alias("_r0"),
-        F.ceil("_pos").cast("long").alias("_r1"))
-    # One broadcast join (targets are names x probs rows) and one grouping pick
-    # the values at the lower and upper ranks of every requested quantile.
-    j = cum.join(F.broadcast(targets), on=name_col)
-    in0 = (F.col("_r0") >= F.col("_lo_rank")) & (F.col("_r0") < F.col("cum__w"))
-    in1 = (F.col("_r1") >= F.col("_lo_rank")) & (F.col("_r1") < F.col("cum__w"))
-    hits = j.where(in0 | in1).groupBy(name_col, "q").agg(
-        F.max(F.when(in0, F.col(value_col))).alias("_v0"), F.max(F.when(in1, F.col(value_col))).alias("_v1"),
-        F.first("_pos").alias("_pos"), F.first("_r0").alias("_r0"))
-    return hits.select(name_col, "q",
-                       (F.col("_v0") + (F.col("_pos") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("value"))
+    return out.withColumnRenamed("_cum_one_", name).drop("_one_")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import is_missing, quoted
 from .clean import drop_duplicates
 from .encode import TableEncoder, category_dictionary, category_values
-from .ordered import exact_quantiles
+from .quantiles import column_quantiles
 from .profile import _missing, feature_types
 
 FEATURES_COL = "features"
@@ -27,13 +27,8 @@ FEATURES_COL = "features"
 # --------------------------------------------------------------------------- F1-F3 statistics
 def fit_median(train: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """F1 fit: exact interpolated median per numeric column (missing skipped)."""
-    if not cols:
-        return {}
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                             F.when(~_missing(train, c), quoted(c)).cast("double").alias("v")) for c in cols])
-    long = train.select(F.inline(arr)).where(F.col("v").isNotNull())
-    got = {r["column_name"]: r["value"] for r in exact_quantiles(long, [0.5]).collect()}
-    return {c: got.get(c) for c in cols}
+    got = column_quantiles(train, cols, [0.5])
+    return {c: got.get((c, 0.5)) for c in cols}
 
 
 def impute_median(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:

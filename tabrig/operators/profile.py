@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import is_missing, quoted
-from .ordered import exact_quantiles
+from .quantiles import COLUMNS, column_quantiles
 
 # The class-distribution cut-off and the width of the
 # ranked-missing chart, as in the reference.
@@ -186,16 +186,18 @@ def describe_numeric(df: DataFrame, row_key: str | None = None,
         return df.sparkSession.createDataFrame(
             [], "column_name string, count long, mean double, std double, min double, "
                 "p25 double, p50 double, p75 double, max double")
-    long = _long_values(df, cols, "double")
-    basic = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
-    q = exact_quantiles(long, [0.25, 0.5, 0.75])
-    qw = q.groupBy("column_name").agg(
-        *[F.max(F.when(F.col("q") == p, F.col("value"))).alias(n)
-          for p, n in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]])
-    return basic.join(qw, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    q = column_quantiles(df, cols, list(quartiles.values()))
+    rows = []
+    for i in range(0, len(cols), COLUMNS):  # one plain aggregate for as many columns
+        part = cols[i:i + COLUMNS]
+        v = {c: F.when(~_missing(df, c), quoted(c)).cast("double") for c in part}
+        r = df.agg(*[f(v[c]).alias(f"_{n}{j}") for j, c in enumerate(part) for n, f in (
+            ("n", F.count), ("m", F.avg), ("s", F.stddev_samp), ("lo", F.min), ("hi", F.max))]).first()
+        rows += [(c, r[f"_n{j}"], r[f"_m{j}"], r[f"_s{j}"], r[f"_lo{j}"], *[q.get((c, p)) for p in quartiles.values()], r[f"_hi{j}"])
+                 for j, c in enumerate(part) if r[f"_n{j}"]]
+    return _kv_rows(df.sparkSession, rows, "column_name string, count long, mean double, std double, min double, "
+                                           "p25 double, p50 double, p75 double, max double")
 
 
 def describe_categorical(df: DataFrame, row_key: str | None = None,

@@ -2,8 +2,8 @@
 
 The split key is a hash of the row key and the seed, so it is map-only, stable
 under any repartitioning and computable by any SQL engine. The stratified split
-keeps exact per-class quotas: a 65,536-bucket histogram per class finds the
-boundary bucket, and only rows inside that bucket are ranked.
+keeps exact per-class quotas: histograms of the hash, its upper half and then its lower half,
+narrow each class down to one (hash, key) threshold.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_missing, quoted
 from ..session import cut_lineage
-from .ordered import row_index, running_totals
+from .ordered import row_index
 
 DEFAULT_TEST_SIZE = 0.2
 DEFAULT_SEED = 42
 HASH_SPACE = 4294967296.0  # 2**32
-BUCKET_SHIFT = 65536  # 2**16 buckets of the 32-bit hash
+#: One threshold a class: up to this number (counted) they are broadcast, beyond it joined by a shuffle.
+THRESHOLDS_BROADCAST = 100_000
 
 
 def hash_u32(key_col: str, seed: int = DEFAULT_SEED):
@@ -80,35 +81,50 @@ def _quotas_from_counts(target: str, counts: DataFrame, test_size: float) -> Dat
                          .cast("long").alias("t_c"))
 
 
+def _take(bins: DataFrame, target: str, column: str, wanted: DataFrame) -> DataFrame:
+    """The bin of each class in which its ``take``-th row lies, as (``_qt``, ``column``, ``take`` within the bin).
+    ``bins``: (target, column, ``_w``), at most 65,536 rows a class."""
+    cum = F.sum("_w").over(Window.partitionBy(quoted(target)).orderBy(column))
+    placed = bins.withColumn("_cum", cum).join(wanted, quoted(target).eqNullSafe(F.col("_qt")))
+    before = F.col("_cum") - F.col("_w")
+    return placed.where((before < F.col("take")) & (F.col("take") <= F.col("_cum"))).select(
+        "_qt", column, (F.col("take") - before).alias("take"))
+
+
+def stratified_thresholds(df: DataFrame, target: str, row_key: str, test_size: float = DEFAULT_TEST_SIZE,
+                          seed: int = DEFAULT_SEED) -> DataFrame:
+    """The last test row of each class in (hash, key) order, as (``_qt``, ``_last_u``, ``_last_key``): the class's
+    histogram of the upper half of the hash gives a bucket, that of the lower half within the bucket
+    the hash, and the rows of that one hash the key. Classes without a test row have no threshold."""
+    u = hash_u32(row_key, seed)
+    h = df.select(quoted(target), quoted(row_key).alias("_key"), u.alias("_u"))
+    # classes x 65,536 rows at most; also gives the class counts
+    top = cut_lineage(h.groupBy(quoted(target), F.shiftright("_u", 16).alias("_b")).agg(F.count(F.lit(1)).alias("_w")))
+    quotas = _quotas_from_counts(target, top.groupBy(quoted(target)).agg(F.sum("_w").alias("n_c")), test_size)
+    wanted = quotas.where("t_c > 0").select(quoted(target).alias("_qt"), F.col("t_c").alias("take"))
+    bucket = cut_lineage(_take(top, target, "_b", wanted))
+    within = h.join(bucket, quoted(target).eqNullSafe(F.col("_qt")) & (F.shiftright("_u", 16) == F.col("_b")))
+    low = within.groupBy(quoted(target), "_u").agg(F.count(F.lit(1)).alias("_w"))
+    exact = cut_lineage(_take(low, target, "_u", bucket.select("_qt", "take")))
+    # rows of one 32-bit hash in each class
+    exact = exact.withColumnRenamed("_u", "_last_u")
+    ties = h.join(exact, quoted(target).eqNullSafe(F.col("_qt")) & (F.col("_u") == F.col("_last_u")))
+    rank = F.row_number().over(Window.partitionBy("_qt").orderBy("_key"))
+    last = ties.withColumn("_r", rank).where("_r = take")
+    return cut_lineage(last.select("_qt", "_last_u", F.col("_key").alias("_last_key")))
+
+
 def mark_split_stratified(df: DataFrame, target: str, row_key: str,
                           test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED,
                           col: str = "is_test") -> DataFrame:
-    """M2: exact class quotas; inside a class the rows with the smallest
-    (hash, key) go to test. Only the boundary bucket of each class is ranked."""
-    h = df.withColumn("_u", hash_u32(row_key, seed)) \
-          .withColumn("_b", F.floor(F.col("_u") / BUCKET_SHIFT).cast("long"))
-    # The histogram (classes x 65,536 rows at most) also gives the class
-    # counts, so the input is scanned twice in all: here and for the marks.
-    hist = cut_lineage(h.groupBy(quoted(target), "_b").agg(F.count(F.lit(1)).alias("_w")))
-    quotas = _quotas_from_counts(target, hist.groupBy(quoted(target)).agg(F.sum("_w").alias("n_c")), test_size)
-    quotas = quotas.select(quoted(target).alias("_qt"), "t_c")
-    cum = running_totals(hist, ["_b"], ["_w"], [target])
-    # Boundary bucket per class: cum_before < t_c <= cum. A missing class is a class.
-    bnd = cum.join(quotas, quoted(target).eqNullSafe(F.col("_qt"))).where(
-        (F.col("cum__w") - F.col("_w") < F.col("t_c")) & (F.col("t_c") <= F.col("cum__w"))) \
-        .select("_qt", F.col("_b").alias("_bb"), (F.col("t_c") - (F.col("cum__w") - F.col("_w"))).alias("_take"))
-    # Classes with a zero quota get no boundary (everything trains). The boundary
-    # table has one row per class; the planner broadcasts it where it is small, so
-    # that the marks are map-side and only boundary buckets shuffle.
-    j = h.join(bnd, quoted(target).eqNullSafe(F.col("_qt")), "left").drop("_qt")
-    in_b = F.col("_b") == F.col("_bb")
-    w = Window.partitionBy(target, "_b").orderBy("_u", row_key)
-    ranked = j.where(in_b).withColumn("_r", F.row_number().over(w)) \
-              .withColumn(col, F.col("_r") <= F.col("_take")).drop("_r")
-    rest = j.where(~in_b | F.col("_bb").isNull()).withColumn(
-        col, F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
-    out = ranked.unionByName(rest)
-    return out.select(*df.columns, col)
+    """M2: exact class quotas; inside a class the rows with the smallest (hash, key) go to test.
+    The marks are one pass that compares each row with its class's threshold."""
+    last = stratified_thresholds(df, target, row_key, test_size, seed)
+    small = last.limit(THRESHOLDS_BROADCAST + 1).count() <= THRESHOLDS_BROADCAST
+    marked = df.join(F.broadcast(last) if small else last, quoted(target).eqNullSafe(F.col("_qt")), "left")
+    u = hash_u32(row_key, seed)
+    test = (u < F.col("_last_u")) | ((u == F.col("_last_u")) & (quoted(row_key) <= F.col("_last_key")))
+    return marked.select(*[quoted(c) for c in df.columns], F.coalesce(test, F.lit(False)).alias(col))
 
 
 def split_stratified(df: DataFrame, target: str, row_key: str,

@@ -5,7 +5,7 @@ import pytest
 
 from tabrig.operators import metrics as E
 from tabrig.operators import rank as L
-from tabrig.operators.ordered import exact_quantiles, row_index, running_totals
+from tabrig.operators.ordered import row_index, running_totals, segmented
 
 
 def _cells_table(spark, cells):
@@ -85,6 +85,34 @@ def test_running_totals_match_brute_force(spark, ranges):
     assert [i for _, i in idx] == list(range(300, 0, -1))
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_next_rows_across_segments(spark, ranges):
+    """Groups of one row, of many, null and NaN groups, null values, and more partitions than rows."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice([1.5, None, float("nan"), 2.5]), i, rnd.choice([None, rnd.randint(0, 9)])) for i in range(120)] + [(9.0, 500, 7)]
+    df = spark.createDataFrame(rows, "g double, `o.x` long, w long")
+    for down in (False, True):
+        want, last = {}, {}
+        for g, o, w in sorted(rows, key=lambda r: r[1], reverse=not down):  # backwards, so the row before is the next
+            want[o] = last.get(str(g))
+            last[str(g)] = w
+        got = segmented(df, ["o.x"], ["g"], ["w"], ["w"], num_partitions=ranges, descending=down).collect()
+        assert {r["o.x"]: r["next_w"] for r in got} == want and len(got) == 121
+        ends = {}
+        for r in sorted(got, key=lambda r: r["o.x"], reverse=down):
+            ends[str(r["g"])] = ends.get(str(r["g"]), 0) + (r["w"] or 0)
+            assert r["cum_w"] == ends[str(r["g"])]
+
+
+def test_edges_beyond_the_broadcast_bound(spark, monkeypatch):
+    from tabrig.operators import ordered
+    monkeypatch.setattr(ordered, "EDGE_ROWS_BROADCAST", 0)
+    df = spark.createDataFrame([(i % 3, i, 1) for i in range(60)], "g long, o long, w long")
+    got = running_totals(df, ["o"], ["w"], ["g"], num_partitions=5).collect()
+    assert sorted(r["cum_w"] for r in got) == sorted([*range(1, 21)] * 3)
+    assert running_totals(df.limit(0), ["o"], ["w"], ["g"]).count() == 0
+
+
 def test_confusion_grid_is_full_for_many_labels(spark):
     rows = [(f"l{i}", f"l{(i * 7) % 150}") for i in range(150)] + [(None, "l1")]
     got = E.confusion_matrix(spark.createDataFrame(rows, "label string, prediction string")).collect()
@@ -92,12 +120,6 @@ def test_confusion_grid_is_full_for_many_labels(spark):
     assert [r["n"] for r in got if r["actual"] is None and r["predicted"] == "l1"] == [1]
 
 
-def test_exact_quantiles_even_count(spark):
-    df = spark.createDataFrame([("x", float(v)) for v in [4, 1, 3, 2]], "column_name string, v double")
-    q = {r["q"]: r["value"] for r in exact_quantiles(df, [0.5, 0.25]).collect()}
-    assert q == {0.5: 2.5, 0.25: 1.75}
-
-
 def test_leaderboard_ties_keep_candidate_order(spark):
     m = spark.createDataFrame([("b", 2, 0.5, 0.1), ("a", 1, 0.5, 0.1), ("c", 3, 0.7, 0.2)],
                               "model string, ord int, accuracy double, f1 double")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tabrig.operators import prep as P
@@ -64,6 +65,37 @@ def test_stratified_split_samples_a_missing_class(spark):
     assert sum(q.values()) == 2
 
 
+@pytest.mark.parametrize("hashes", [None, 1, 3, 1 << 20])
+def test_stratified_threshold_equals_ranking_all_rows(spark, monkeypatch, hashes):
+    """With few different hashes the key decides; dotted names, a null class, classes of one row."""
+    if hashes:
+        monkeypatch.setattr(M, "hash_u32", lambda key, seed=42: F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), F.lit(hashes)))
+    rows = [(f"k{i * 7919 % 1000:04d}", ["a", "b", None, "a.b"][i % 4] if i else "one") for i in range(1000)]
+    df = spark.createDataFrame(rows, "`k.x` string, `y.x` string").repartition(7)
+    got = {r[0]: (r[1], r[2]) for r in M.mark_split_stratified(df, "y.x", "k.x", 0.3).collect()}
+    u = {r[0]: r[1] for r in df.select("`k.x`", M.hash_u32("k.x", 42)).collect()}
+    quota = {r[0]: r["t_c"] for r in M.stratified_quotas(df, "y.x", 0.3).collect()}
+    assert sum(quota.values()) == 300 and len(got) == 1000
+    for c, t in quota.items():
+        order = sorted((u[k], k) for k, y in rows if y == c)
+        assert {k for _, k in order[:t]} == {k for k, (y, test) in got.items() if y == c and test}
+
+
+def test_stratified_marks_are_one_map_only_pass(spark, sf):
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    plan = M.mark_split_stratified(o, "o_orderstatus", "o_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_stratified_split_of_many_classes(spark, monkeypatch):
+    monkeypatch.setattr(M, "THRESHOLDS_BROADCAST", 3)
+    df = spark.range(4000).selectExpr("id AS k", "id % 500 AS y")
+    got = M.mark_split_stratified(df, "y", "k", 0.25)
+    assert got.where("is_test").count() == 1000 and got.count() == 4000
+    assert got.limit(0).count() == 0 and M.mark_split_stratified(df.limit(0), "y", "k").count() == 0
+
+
 def test_preprocessor_unseen_category_and_zero_std(spark, tmp_path):
     train = spark.createDataFrame([(1, 5.0, "a"), (2, 5.0, "b"), (3, None, "a")], "k long, x double, c string")
     prep = P.build_preprocessor(train, row_key="k")
