@@ -133,3 +133,14 @@ def s01(spark, sf):
     from ..sources.io import read_table_csv, write_table_csv
     path = write_table_csv(S.dirty_orders(spark, sf), shared_dir(spark, "csv-dirty-orders"))
     return read_table_csv(spark, path).drop("_row_id")
+
+
+@register("s01_read_csv_documents",
+          "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
+def s01_documents(spark, sf):
+    """Long texts with line ends inside quoted fields."""
+    from ..session import shared_dir
+    from ..sources.io import read_table_csv, write_table_csv
+    docs = S.load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = write_table_csv(docs, shared_dir(spark, "csv-documents"))
+    return read_table_csv(spark, path).drop("_row_id")

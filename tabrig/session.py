@@ -68,6 +68,13 @@ def cut_lineage(df, eager: bool = True):
             held.unpersist()
 
 
+def written(df, name: str):
+    """``df`` written once into the shared folder as Parquet and read from there."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_row_id(df, name: str = "_row_id"):
     """``df`` with a unique row number, written once into the shared folder: generated
     numbers depend on the partitioning of the run that made them, so every later use

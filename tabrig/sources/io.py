@@ -10,8 +10,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import quoted
-from ..session import with_row_id
+from ..session import written
+from .delimited import first_record, header, records
 
 # Text read as missing by the usual CSV reader defaults.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -27,39 +27,44 @@ def read_table_csv(spark: SparkSession, path: str, add_row_id: bool = True) -> D
     """Header CSV (doubled quotes and line ends inside quoted fields), NA tokens ->
     null, then one aggregate pass decides per column long / double / boolean / string and
     casts. Numbers must look like numbers (no type suffixes); true/false with missing cells
-    stays text."""
-    raw = spark.read.option("header", "true").option("inferSchema", "false").option("quote", '"') \
-        .option("escape", '"').option("multiLine", "true").csv(path)
-    cols = raw.columns
-    clean = raw.select(*[F.when(quoted(c).isin(NA_TOKENS) | quoted(c).isNull(), F.lit(None))
-                         .otherwise(quoted(c)).alias(c) for c in cols])
+    stays text. Files are read by as many tasks as they have splits (``delimited.py``); their
+    records are parsed once and written into the shared folder. ``_row_id`` is the row's number in file order."""
+    head = first_record(spark, path)
+    if head is None:
+        raise ValueError("The file has no header.")
+    names = header(head)
+    plain = [f"c{i}" for i in range(len(names))]
+    parsed = F.from_csv("text", ", ".join(f"{c} string" for c in plain), {"quote": '"', "escape": '"'})
+    rows = records(spark, path).where(~F.col("head")).select("n", parsed.alias("r"))
+    cells = rows.select("n", *[F.when(F.col(f"r.{c}").isin(NA_TOKENS), None).otherwise(F.col(f"r.{c}")).alias(c) for c in plain])
+    clean = written(cells, "csv")
     aggs = []
-    for i, c in enumerate(cols):
-        v = F.trim(quoted(c))
-        aggs += [F.count(quoted(c)).alias(f"n{i}"),
-                 F.count(F.when(v.rlike(INTEGER), v.try_cast("bigint"))).alias(f"l{i}"),
-                 F.count(F.when(v.rlike(NUMBER), v.try_cast("double"))).alias(f"d{i}"),
-                 F.count_if(v.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}")]
+    for c in plain:
+        v = F.trim(c)
+        aggs += [F.count(c).alias(f"n_{c}"),
+                 F.count(F.when(v.rlike(INTEGER), v.try_cast("bigint"))).alias(f"l_{c}"),
+                 F.count(F.when(v.rlike(NUMBER), v.try_cast("double"))).alias(f"d_{c}"),
+                 F.count_if(v.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b_{c}")]
     r = clean.agg(*aggs, F.count(F.lit(1)).alias("rows")).first()
     out = []
-    for i, c in enumerate(cols):
-        n, v = r[f"n{i}"], F.trim(quoted(c))
-        if n > 0 and r[f"l{i}"] == n:
-            out.append(v.try_cast("bigint").alias(c))
-        elif n > 0 and r[f"d{i}"] == n:
-            out.append(v.try_cast("double").alias(c))
-        elif n > 0 and r[f"b{i}"] == n == r["rows"]:
-            out.append(v.isin(TRUE_TOKENS).alias(c))
+    for c, name in zip(plain, names):
+        n, v = r[f"n_{c}"], F.trim(c)
+        if n > 0 and r[f"l_{c}"] == n:
+            out.append(v.try_cast("bigint").alias(name))
+        elif n > 0 and r[f"d_{c}"] == n:
+            out.append(v.try_cast("double").alias(name))
+        elif n > 0 and r[f"b_{c}"] == n == r["rows"]:
+            out.append(v.isin(TRUE_TOKENS).alias(name))
         elif n == 0:
-            out.append(F.lit(None).cast("double").alias(c))  # all missing reads as float
+            out.append(F.lit(None).cast("double").alias(name))  # all missing reads as float
         else:
-            out.append(quoted(c))
-    df = clean.select(*out)
-    return with_row_id(df, ROW_ID) if add_row_id else df
+            out.append(F.col(c).alias(name))
+    return clean.select(*out, *([F.col("n").alias(ROW_ID)] if add_row_id else []))
 
 
 def write_table_csv(df: DataFrame, path: str, na: str = "NA") -> str:
-    df.write.mode("overwrite").option("header", "true").option("nullValue", na).option("escape", '"').csv(path)
+    out = df.write.mode("overwrite").option("header", "true").option("nullValue", na).option("escape", '"')
+    out.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     return path
 
 
