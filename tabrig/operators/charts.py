@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_missing, quoted
+from .correlation import correlations
 from .metrics import confusion_matrix, roc_points
 from .profile import feature_types, missing_by_column, missing_ranked
 
@@ -38,77 +39,19 @@ def chart_target(df: DataFrame, target: str, n: int = TOP_TARGET_VALUES) -> Data
     return vc.orderBy(F.col("n").desc(), F.col("label").asc()).limit(n)
 
 
-def pairwise_corr(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
-    """Pairwise-complete Pearson correlation (undefined -> 0.0) for many pairs
-    in two scans of plain sums: means over the complete rows, then centred
-    co-moments. Pairs of columns without missing cells use the column means
-    and plain products; only pairs touching a column with gaps pay for per-pair
-    masks. Plain sums keep whole-stage codegen (a wide aggregate of
-    ``corr``/``covar`` expressions does not) and centring keeps precision."""
-    cols = sorted({c for p in pairs for c in p})
-    raw = {c: quoted(c).cast("double") for c in cols}
-    vals = {c: F.when(~is_missing(quoted(c), df.schema[c].dataType), raw[c]) for c in cols}
-    first = df.agg(F.count(F.lit(1)).alias("_rows"),
-                   *[x for i, c in enumerate(cols) for x in (F.count(vals[c]).alias(f"_c{i}"),
-                                                             F.sum(vals[c]).alias(f"_s{i}"))]).first()
-    rows = first["_rows"]
-    col_n = {c: first[f"_c{i}"] for i, c in enumerate(cols)}
-    col_mean = {c: (first[f"_s{i}"] / col_n[c]) if col_n[c] else 0.0 for i, c in enumerate(cols)}
-    complete = {c: col_n[c] == rows for c in cols}
-
-    def both(a, b):
-        return vals[a].isNotNull() & vals[b].isNotNull()
-    gappy = [k for k, (a, b) in enumerate(pairs) if not (complete[a] and complete[b])]
-    pair_n, means = {}, {}
-    if gappy:  # per-pair means over the complete rows, for pairs with gaps only
-        r = df.agg(*[x for k in gappy for (a, b) in [pairs[k]] for x in (
-            F.count_if(both(a, b)).alias(f"_n{k}"),
-            F.sum(F.when(both(a, b), vals[a])).alias(f"_sa{k}"),
-            F.sum(F.when(both(a, b), vals[b])).alias(f"_sb{k}"))]).first()
-        for k in gappy:
-            n = r[f"_n{k}"]
-            pair_n[k] = n
-            means[k] = (r[f"_sa{k}"] / n, r[f"_sb{k}"] / n) if n else (0.0, 0.0)
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        if k in means:
-            da = F.when(both(a, b), vals[a] - F.lit(means[k][0]))
-            db = F.when(both(a, b), vals[b] - F.lit(means[k][1]))
-        else:
-            pair_n[k] = rows
-            da, db = raw[a] - F.lit(col_mean[a]), raw[b] - F.lit(col_mean[b])
-        aggs += [F.sum(da * db).alias(f"_xy{k}"), F.sum(da * da).alias(f"_xx{k}"), F.sum(db * db).alias(f"_yy{k}")]
-    second = df.agg(*aggs).first()
-    out = {}
-    for k, p in enumerate(pairs):
-        xy, xx, yy = second[f"_xy{k}"], second[f"_xx{k}"], second[f"_yy{k}"]
-        if pair_n[k] < 2 or not xx or not yy:
-            out[p] = 0.0
-        else:
-            out[p] = xy / (xx * yy) ** 0.5
-    return out
-
-
 def correlation_matrix(df: DataFrame, row_key: str | None = None, cols: list[str] | None = None,
                        decimals: int = 2) -> DataFrame:
     """V5: every ordered pair of numeric columns, pairwise-complete Pearson,
     undefined -> 0, rounded; empty when fewer than two numeric columns.
-    k(k+1)/2 pairs from two scans, mirrored (a k x k result, small)."""
+    Pairs come from block products (``correlation.py``) and are mirrored."""
     if cols is None:
         cols, _ = feature_types(df, row_key, bool_is_numeric=False)
-    schema = "col_a string, col_b string, corr double"
     if len(cols) < 2:
-        return df.sparkSession.createDataFrame([], schema)
-    pairs = [(a, cols[j]) for i, a in enumerate(cols) for j in range(i, len(cols))]
-    r = pairwise_corr(df, pairs)
-    rows = []
-    for (a, b), v in r.items():
-        v = round(max(-1.0, min(1.0, v)), 12)
-        rows.append((a, b, v))
-        if a != b:
-            rows.append((b, a, v))
-    return df.sparkSession.createDataFrame(rows, schema).select(
-        "col_a", "col_b", F.round("corr", decimals).alias("corr"))
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    pairs = correlations(df, cols).select("a", "b", F.round(F.round("r", 12), decimals).alias("corr"))
+    both = pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return both.select(F.get(names, "a").alias("col_a"), F.get(names, "b").alias("col_b"), "corr")
 
 
 def chart_confusion(pred: DataFrame, model: str | None = None, mode: str = "A") -> DataFrame:

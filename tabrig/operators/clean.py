@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import quoted
 from ..session import cut_lineage, with_row_id
-from .profile import _missing, data_columns
+from .profile import _missing, data_columns, least_keys, row_digest, rows_of_keys
 
 # Change-log wording and limits as in the reference.
 CHANGE_DUPLICATE = "Removed Duplicate Row"
@@ -72,16 +72,21 @@ def _kept(df: DataFrame, row_key: str) -> DataFrame:
 def duplicate_rows(df: DataFrame, row_key: str, n: int | None = LOGGED_ROWS,
                    kept: DataFrame | None = None) -> DataFrame:
     """The rows removed by C1 (all but the least key of each group), first n by key.
-    ``kept`` (C1's rows with ``_copies``) saves the grouping. Only groups of several rows
-    are joined back."""
+    ``kept`` (C1's rows with ``_copies``) saves the grouping. For the first n, keys and row digests
+    are joined with those of the groups of several rows and the n least keys looked up: full rows are not
+    exchanged again. Without n the groups of several rows are joined back."""
     kept = _kept(df, row_key) if kept is None else kept
     cols = [c for c in data_columns(df, row_key) if c in kept.columns]
-    many = kept.where(F.col("_copies") > 1).select(quoted(row_key).alias("_least"), *[quoted(c).alias(f"_g{i}") for i, c in enumerate(cols)])
+    many = kept.where(F.col("_copies") > 1)
+    if n:
+        least = many.select(quoted(row_key).alias("_least"), *row_digest(many, cols))
+        keys = df.select(quoted(row_key).alias("_key"), *row_digest(df, cols)).join(least, ["_d1", "_d2"])
+        return rows_of_keys(df, row_key, least_keys(keys.where("_key <> _least"), n))
+    many = many.select(quoted(row_key).alias("_least"), *[quoted(c).alias(f"_g{i}") for i, c in enumerate(cols)])
     cond = F.lit(True)
     for i, c in enumerate(cols):
         cond = cond & quoted(c).eqNullSafe(F.col(f"_g{i}"))
-    removed = df.join(many, cond & (quoted(row_key) != F.col("_least")), "left_semi").orderBy(quoted(row_key))
-    return removed.limit(n) if n else removed
+    return df.join(many, cond & (quoted(row_key) != F.col("_least")), "left_semi").orderBy(quoted(row_key))
 
 
 def changes_of_type(log: DataFrame, change: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -121,3 +122,26 @@ def test_log_is_the_same_after_repartitioning(spark):
     first = sorted(r["before"] for r in res.log.collect())
     assert first == sorted(r["before"] for r in res.log.collect())
     assert res.cleaned.count() == res.cleaned.select("_row_id").distinct().count() == 20
+
+
+def test_first_duplicates_equal_the_full_join(spark):
+    """Nulls in different columns, NaN, -0.0, a group that holds a third of all rows, dotted names."""
+    rnd = random.Random(8)
+    cells = [(None, "a"), ("a", None), (None, None), ("a", "a"), ("b", "c")]
+    rows = [(i, *rnd.choice(cells), rnd.choice([0.0, -0.0, float("nan"), None, 1.0])) for i in range(300)] + [(1000 + i, "hot", "hot", 1.0) for i in range(150)]
+    df = spark.createDataFrame(rows, "`k.x` long, a string, `b.1` string, x double").repartition(6)
+    for n in (1, 25, 400):
+        want = C.duplicate_rows(df, "k.x", None).limit(n).collect()
+        assert [r["k.x"] for r in C.duplicate_rows(df, "k.x", n).collect()] == [r["k.x"] for r in want]
+        want = Q.duplicate_members(df, "k.x", None).limit(n).collect()
+        assert [r["k.x"] for r in Q.duplicate_members(df, "k.x", n).collect()] == [r["k.x"] for r in want]
+    unique = df.groupBy("a", "`b.1`", "x").agg(F.min("`k.x`").alias("k"))
+    assert C.duplicate_rows(unique, "k").count() == 0 and Q.duplicate_members(unique, "k", 5).count() == 0
+    assert C.duplicate_rows(df.limit(0), "k.x").count() == 0
+
+
+def test_the_log_exchanges_no_full_rows(spark):
+    df = spark.range(1000).selectExpr("id", "id % 900 AS a", "repeat(cast(id % 900 AS string), 50) AS wide")
+    listed = C.duplicate_rows(df, "id", 25, kept=C._kept(df, "id").cache())
+    assert "Exchange hashpartitioning" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert [r["id"] for r in listed.collect()] == list(range(900, 925))
