@@ -8,14 +8,15 @@ only groups that classes share are combined.
 Links are verified in two rounds. In the first, the least class of each bucket is
 compared with the bucket's others, and every class is confirmed against the most similar
 of these; the confirmed links make components. In the second, buckets that still hold
-several components are searched for links between these: sketches of all cross pairs are
-compared inside the bucket, in blocks of ``block`` members, and pairs that may reach the
-threshold are confirmed. Pairs inside one component need no comparison, so a bucket of
-thousands of near copies costs one comparison for each. Confirmation compares the full shingle sets
+several components are searched for links between these. Sketches of all cross pairs that share a bucket are compared,
+in blocks of ``block`` members, each class once for each component whose buckets it is in. At first
+only the most similar partner of each class is confirmed, and the components are contracted, as long as this finds links; then
+all pairs that may reach the threshold and still lie in different components are confirmed. Pairs inside one component need no
+comparison, so thousands of near copies cost a few for each. Confirmation compares the full shingle sets
 (64-bit hashes) and nothing is capped.
 
 A pair at the threshold of 0.85 shares no key with a probability of 5e-6 (at 0.8: 7e-5)
-with the default 10 groups of 2 rows. The sketches (one permutation, 256 ranges) only drop
+with the default 10 groups of 2 rows. The sketches (one permutation, 256 ranges, and 2,048 before pairs are confirmed at last) only drop
 pairs over six standard deviations below the threshold, with a probability of about 1e-9.
 
 Defined results: an empty or null text has an empty set and is linked with nothing; a
@@ -132,24 +133,29 @@ def _buckets(classes: DataFrame, groups: int) -> DataFrame:
 
 
 BINS = 256
+FINE = 2048  # ranges of the sketches that decide which pairs are confirmed in the end
+PAYS = 10  # contraction goes on while one in so many of its pairs is a link
 
 
-def sketch(x: np.ndarray) -> bytes:
-    """A byte (not 0) of the least hash of each of 256 ranges of hashes, 0 for an empty
+def sketch(x: np.ndarray, bins: int = BINS) -> bytes:
+    """A byte (not 0) of the least hash of each of as many ranges of hashes (a power of two), 0 for an empty
     range. ``x`` is sorted."""
-    out = np.zeros(BINS, np.uint8)
-    bins, first = np.unique(x >> np.uint64(56), return_index=True)
-    out[bins.astype(np.int64)] = (x[first] % np.uint64(255)).astype(np.uint8) + 1
+    out = np.zeros(bins, np.uint8)
+    at, first = np.unique(x >> np.uint64(65 - bins.bit_length()), return_index=True)
+    out[at.astype(np.int64)] = (x[first] % np.uint64(255)).astype(np.uint8) + 1
     return out.tobytes()
 
 
-def _near(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row by row, the share of equal ranges among those that are not empty in both, and
-    whether it lies within six standard deviations of the threshold or above."""
-    used = BINS - ((a | b) == 0).sum(-1)
+    whether it lies within six standard deviations of the threshold or above. The ranges' least hashes are a random
+    part of the union's (of both sets' ``sizes`` together, at the threshold), drawn without putting back."""
+    used = a.shape[1] - ((a | b) == 0).sum(-1)
     equal = ((a == b) & (a > 0)).sum(-1)
     p = percent / 100
-    return equal / np.maximum(used, 1), equal >= used * p - 6 * np.sqrt(p * (1 - p) * used)
+    union = sizes / (1 + p)
+    left = np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
+    return equal / np.maximum(used, 1), equal >= used * p - 6 * np.sqrt(p * (1 - p) * used * left) - 1
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -182,45 +188,65 @@ def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
     return materialise(rows.mapInArrow(run, "a long, b long"), "neardup-links")
 
 
-def _cross_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of classes of different components that share a bucket and may be links by
-    their sizes and sketches: members outside the bucket's largest component against all."""
+def _cross_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, block: int,
+                 best: bool) -> DataFrame:
+    """Pairs of classes of different components that share a bucket and may be links by their sizes and sketches; with
+    ``best`` only the most similar one of each class outside the main component.
+
+    A bucket belongs to its largest component. That component's members in such buckets are its hosts, all other
+    classes of these buckets its guests, each once whatever the number of shared buckets; guests
+    are tested against hosts and against other guests, where the two share a bucket."""
     rows = buckets.select("key", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     parts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    facts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"))
-    facts = facts.where("kinds > 1").select(
-        "key", F.col("most.label").alias("main"), F.ceil(F.col("most.n") / block).cast("int").alias("mains"),
-        F.ceil((F.col("size") - F.col("most.n")) / block).cast("int").alias("others"))
-    open_rows = rows.join(facts, "key").join(classes.select("c", "n", "sketch"), "c")
+    mains = parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "label")).alias("most"))
+    mains = mains.where("kinds > 1").select("key", F.col("most.label").alias("main"))
+    placed = materialise(rows.join(mains, "key").select("main", "c", "label").distinct(), "neardup-guests")
     is_main = F.col("label") == F.col("main")
+    facts = placed.groupBy("main").agg(F.ceil(F.count_if(is_main) / block).cast("int").alias("mains"),
+                                       F.ceil(F.count_if(~is_main) / block).cast("int").alias("others"))
+    prints = classes.select("c", "n", "groups", "sketch", F.lit(None).cast("binary").alias("fine")) if best else \
+        _fine_sketches(placed, classes, texts, size)
+    open_rows = placed.join(facts, "main").join(prints, "c")
     mine = F.pmod(F.xxhash64("c"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
-    # tasks: (main block, other block) and (other block, later other block)
-    mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: F.struct(i.alias("i"), mine.alias("j"), F.lit(1).alias("side")))
+    # tasks: (host block, guest block) and (guest block, later guest block)
+    hosts = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: F.struct(i.alias("i"), mine.alias("j"), F.lit(1).alias("side")))
     later = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(
         (-1 - F.least(mine, j)).alias("i"), F.greatest(mine, j).alias("j"), F.when(mine <= j, 0).otherwise(1).alias("side")))
     theirs = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    tasks = open_rows.withColumn("t", F.explode(F.when(is_main, theirs).otherwise(F.concat(mains, later))))
-    tasks = tasks.select("key", "t.*", "c", "label", "n", "sketch")
+    tasks = open_rows.withColumn("t", F.explode(F.when(is_main, theirs).otherwise(F.concat(hosts, later))))
+    tasks = tasks.select("main", "t.*", "c", "label", "n", "groups", "sketch", "fine")
 
-    # groups are streamed in sorted order; the pairs of many small groups are tested at once
-    placed = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    # units are streamed in sorted order; the pairs of many small units are tested at once
+    sorted_units = tasks.repartition("main", "i", "j").sortWithinPartitions("main", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             held = batch if held is None else pa.concat_batches([held, batch])
             new = _group_starts(held)
-            # the last group may go on in the next batch
-            yield from _group_pairs(held.slice(0, new[-1]), new[:-1], percent)
+            # the last unit may go on in the next batch
+            yield from _group_pairs(held.slice(0, new[-1]), new[:-1], percent, best)
             held = held.slice(new[-1])
         if held is not None:
-            yield from _group_pairs(held, _group_starts(held), percent)
+            yield from _group_pairs(held, _group_starts(held), percent, best)
+
+    return sorted_units.mapInArrow(run, "a long, b long").distinct()
+
+
+def _fine_sketches(placed: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The classes that are left, with sketches of ``FINE`` ranges."""
+    rows = classes.join(placed.select("c").distinct(), "c", "left_semi").join(texts, "th").select("c", "n", "groups", "sketch", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [sketch(shingles(t.as_py(), size), FINE) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fine, pa.binary())], ["c", "n", "groups", "sketch", "fine"])
 
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return materialise(rows.mapInArrow(run, "c long, n long, groups array<long>, sketch binary, fine binary"), "neardup-fine")
 
 
 def _group_starts(batch: pa.RecordBatch) -> np.ndarray:
-    """The first row of every run of equal (key, i, j)."""
+    """The first row of every run of equal (main, i, j)."""
     cols = [batch.column(c).to_numpy() for c in range(3)]
     change = np.zeros(batch.num_rows, bool)
     change[:1] = True
@@ -229,14 +255,22 @@ def _group_starts(batch: pa.RecordBatch) -> np.ndarray:
     return np.nonzero(change)[0] if batch.num_rows else np.zeros(1, np.int64)
 
 
-def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of a batch of whole groups that may be links: rows of side 0 against
-    those of side 1, or, in a block against itself, rows against later ones."""
+def _share_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, whether two classes share a bucket: a group of A and a group of B."""
+    equal = a == b
+    half = equal.shape[1] // 2
+    return equal[:, :half].any(1) & equal[:, half:].any(1)
+
+
+def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of a batch of whole units that may be links: rows of side 0 against
+    those of side 1, or, in a block against itself, rows against later ones. With ``best``, every guest's most similar one."""
     n = batch.num_rows
     if not n:
         return
     i, j, side, c, label, size = (batch.column(k).to_numpy() for k in range(1, 7))
-    sketches = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(n, BINS)
+    groups = batch.column(7).flatten().to_numpy().reshape(n, -1)
+    sketches = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(n, BINS)
     group = np.zeros(n, np.int64)
     group[starts[1:]] = 1
     group = np.cumsum(group)
@@ -247,6 +281,8 @@ def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int) -> Ite
     left = np.nonzero(own | (side == 0))[0]
     counts = (end - begin)[left]
     ends = np.cumsum(counts)
+    fine = None if best else np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint8).reshape(n, FINE)
+    top, partner = np.full(n, -1.0), np.zeros(n, np.int64)
     at = 0
     while at < len(left):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, "right")))
@@ -256,11 +292,31 @@ def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int) -> Ite
         least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         fit = (label[a] != label[b]) & (100 * least >= percent * most)
         a, b = a[fit], b[fit]
-        fit = _near(sketches[a], sketches[b], percent)[1]
-        a, b = c[a[fit]], c[b[fit]]
-        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        fit = _share_table(groups[a], groups[b])
+        a, b = a[fit], b[fit]
+        agree, fit = _near(sketches[a], sketches[b], size[a] + size[b], percent)
+        a, b, agree = a[fit], b[fit], agree[fit]
         at = to
+        if best:
+            for mine, other in ((a, b), (b, a)):
+                guest = (i[mine] < 0) | (side[mine] == 1)
+                order = np.argsort(agree[guest], kind="stable")
+                mine, other, s = mine[guest][order], other[guest][order], agree[guest][order]
+                better = s > top[mine]
+                top[mine[better]], partner[mine[better]] = s[better], other[better]  # the last, so largest, one stays
+            continue
+        for k in range(0, len(a), 4096):
+            x, y = a[k:k + 4096], b[k:k + 4096]
+            fit = _near(fine[x], fine[y], size[x] + size[y], percent)[1]
+            yield _ordered_pairs(c[x[fit]], c[y[fit]])
+    if best:
+        found = np.nonzero(top >= 0)[0]
+        yield _ordered_pairs(c[found], c[partner[found]])
+
+
+def _ordered_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, groups: int = 10, rows: int = 2, block: int = 2048,
@@ -278,15 +334,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, groups
     small = classes.select("c", "n", "sketch")
 
     @F.pandas_udf("double")
-    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+    def share(a: pd.Series, b: pd.Series, sizes: pd.Series) -> pd.Series:
         x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, BINS)
-        s, near = _near(x, np.frombuffer(b"".join(b), np.uint8).reshape(-1, BINS), percent)
+        s, near = _near(x, np.frombuffer(b"".join(b), np.uint8).reshape(-1, BINS), sizes.to_numpy(), percent)
         return pd.Series(np.where(near, s, -1.0))
 
     stars = buckets.where("least <> c").select("least", "c").distinct()
     stars = stars.join(small.toDF("c", "n", "sketch"), "c").join(small.toDF("least", "least_n", "least_sketch"), "least")
     stars = stars.where(100 * F.least("n", "least_n") >= percent * F.greatest("n", "least_n"))
-    stars = stars.select("least", "c", share("sketch", "least_sketch").alias("agree")).where(F.col("agree") >= 0)
+    stars = stars.select("least", "c", share("sketch", "least_sketch", F.col("n") + F.col("least_n")).alias("agree")).where(F.col("agree") >= 0)
     first = stars.groupBy("c").agg(F.max(F.struct("agree", "least")).alias("best"))
     first = materialise(first.select(F.col("best.least").alias("a"), F.col("c").alias("b")), "neardup-first")
     # the texts of all classes that are in a bucket, once each
@@ -295,10 +351,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, groups
     texts = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")).join(wanted, "th", "left_semi")
     texts = materialise(texts.groupBy("th").agg(F.first("text").alias("text")), "neardup-texts", "zstd")
     links = _confirm(first, texts, classes, shingle, percent)
-    # round 2: buckets that hold several components
-    cross = materialise(_cross_pairs(buckets, components(links), classes, percent, block).join(
-        first, ["a", "b"], "left_anti"), "neardup-cross")
-    labels = components(links.union(_confirm(cross, texts, classes, shingle, percent)))
+    # round 2: buckets that hold several components are contracted through every guest's most similar one, as long as
+    # that pays; then all pairs that are left are confirmed
+    tested, best = first, True
+    while True:
+        labels = components(links)
+        cross = materialise(_cross_pairs(buckets, labels, classes, texts, shingle, percent, block, best).join(tested, ["a", "b"], "left_anti"), "neardup-cross")
+        more = _confirm(cross, texts, classes, shingle, percent)
+        tested, links = tested.union(cross), links.union(more)
+        if not best:
+            break
+        best = more.count() * PAYS >= cross.count() > 0
+    labels = components(links)
     out = members.join(labels.select(F.col("node").alias("c"), "label"), "c", "left")
     # components of one class are labelled by it, in a space of their own
     out = out.withColumn("label", F.when(F.col("label").isNull(), F.struct(F.lit(0).alias("k"), F.col("c").alias("v"))).otherwise(
