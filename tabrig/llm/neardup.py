@@ -189,9 +189,10 @@ def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
 
 
 def _cross_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, block: int,
-                 best: bool) -> DataFrame:
+                 best: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes of different components that share a bucket and may be links by their sizes and sketches; with
-    ``best`` only the most similar one of each class outside the main component.
+    ``best`` only the most similar one of each class outside the main component. And the rows (``key``, ``c``) that stand for the
+    buckets from here on: each component with its hosts and guests, as components only ever grow together.
 
     A bucket belongs to its largest component. That component's members in such buckets are its hosts, all other
     classes of these buckets its guests, each once whatever the number of shared buckets; guests
@@ -230,7 +231,7 @@ def _cross_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, text
         if held is not None:
             yield from _group_pairs(held, _group_starts(held), percent, best)
 
-    return sorted_units.mapInArrow(run, "a long, b long").distinct()
+    return sorted_units.mapInArrow(run, "a long, b long").distinct(), placed.select(F.col("main").alias("key"), "c")
 
 
 def _fine_sketches(placed: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -356,7 +357,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, groups
     tested, best = first, True
     while True:
         labels = components(links)
-        cross = materialise(_cross_pairs(buckets, labels, classes, texts, shingle, percent, block, best).join(tested, ["a", "b"], "left_anti"), "neardup-cross")
+        cross, buckets = _cross_pairs(buckets, labels, classes, texts, shingle, percent, block, best)
+        cross = materialise(cross.join(tested, ["a", "b"], "left_anti"), "neardup-cross")
         more = _confirm(cross, texts, classes, shingle, percent)
         tested, links = tested.union(cross), links.union(more)
         if not best:
