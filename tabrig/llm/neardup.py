@@ -134,6 +134,7 @@ def _buckets(classes: DataFrame, groups: int) -> DataFrame:
 
 BINS = 256
 FINE = 2048  # ranges of the sketches that decide which pairs are confirmed in the end
+PAIRS = 16_384  # compared at once
 PAYS = 10  # contraction goes on while one in so many of its pairs is a link
 
 
@@ -239,9 +240,11 @@ def _fine_sketches(placed: DataFrame, classes: DataFrame, texts: DataFrame, size
     rows = classes.join(placed.select("c").distinct(), "c", "left_semi").join(texts, "th").select("c", "n", "groups", "sketch", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = [sketch(shingles(t.as_py(), size), FINE) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fine, pa.binary())], ["c", "n", "groups", "sketch", "fine"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                fine = [sketch(shingles(t.as_py(), size), FINE) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fine, pa.binary())], ["c", "n", "groups", "sketch", "fine"])
 
     return materialise(rows.mapInArrow(run, "c long, n long, groups array<long>, sketch binary, fine binary"), "neardup-fine")
 
@@ -271,7 +274,7 @@ def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int, best:
         return
     i, j, side, c, label, size = (batch.column(k).to_numpy() for k in range(1, 7))
     groups = batch.column(7).flatten().to_numpy().reshape(n, -1)
-    sketches = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(n, BINS)
+    sketches = _rows_of_bytes(batch.column(8), BINS)
     group = np.zeros(n, np.int64)
     group[starts[1:]] = 1
     group = np.cumsum(group)
@@ -282,11 +285,11 @@ def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int, best:
     left = np.nonzero(own | (side == 0))[0]
     counts = (end - begin)[left]
     ends = np.cumsum(counts)
-    fine = None if best else np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint8).reshape(n, FINE)
+    fine = None if best else _rows_of_bytes(batch.column(9), FINE)
     top, partner = np.full(n, -1.0), np.zeros(n, np.int64)
     at = 0
     while at < len(left):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
         some, many = left[at:to], counts[at:to]
         a = np.repeat(some, many)
         b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[some], many)
@@ -306,8 +309,8 @@ def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int, best:
                 better = s > top[mine]
                 top[mine[better]], partner[mine[better]] = s[better], other[better]  # the last, so largest, one stays
             continue
-        for k in range(0, len(a), 4096):
-            x, y = a[k:k + 4096], b[k:k + 4096]
+        for k in range(0, len(a), PAIRS // 16):
+            x, y = a[k:k + PAIRS // 16], b[k:k + PAIRS // 16]
             fit = _near(fine[x], fine[y], size[x] + size[y], percent)[1]
             yield _ordered_pairs(c[x[fit]], c[y[fit]])
     if best:
@@ -315,6 +318,12 @@ def _group_pairs(batch: pa.RecordBatch, starts: np.ndarray, percent: int, best:
         yield _ordered_pairs(c[found], c[partner[found]])
 
 
+def _rows_of_bytes(column: pa.BinaryArray, width: int) -> np.ndarray:
+    """A binary column of equal lengths as a matrix, without a copy."""
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first:first + len(column) * width].reshape(len(column), width)
+
+
 def _ordered_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
