@@ -24,6 +24,10 @@ length at anchors (a blank, or the beginning of a blank-free stretch), of which
 run holds one, under classes of lengths. No line is too long and no link is missed; what
 shares a key is verified by Spark's bounded ``levenshtein``.
 
+With ``classes`` the edits grow by steps, (16 characters, 1), (100, 2), (200, 4) in the corpus pipeline: the index and the probes are the
+segments above, as many as the longer line's class asks for, equal lines are folded before keys are cut, keys
+that no two lines share are dropped before anything else travels with them, and pairs are verified by the automaton.
+
 Defined results: a null text has no lines and stays; line ends are "\\n", all other
 characters count; documents equal in id and text are one document (what is removed from
 one is removed from all); null ids come last; an empty table gives no rows; further
@@ -55,12 +59,12 @@ def segments(edits: int, length: Column) -> list[tuple[Column, Column]]:
     return out
 
 
-def keys(edits: int, line: Column, n: Column) -> Column:
+def keys(edits: int, line: Column, n: Column, first: int = 0) -> Column:
     """The index keys (probe: false) and probe keys of a line of ``n`` characters (a
     column, so that it is counted once); a probe that equals the line's own index key is
-    left out, as the two index keys meet."""
+    left out, as the two index keys meet. Segments are numbered from ``first`` on."""
     def key(length: Column, i: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(length, F.lit(i), F.substr(line, start + 1, size))
+        return F.xxhash64(length, F.lit(first + i), F.substr(line, start + 1, size))
 
     found = []
     for less in range(edits + 1):
@@ -102,6 +106,52 @@ def scaled_keys(percent: int, line: Column, n: Column) -> Column:
     return (F.when(n < least - 2, few).when(n >= least, many).otherwise(F.concat(few, many)))
 
 
+def edits_of(n: Column, classes: tuple[tuple[int, int], ...]) -> Column:
+    """Edits allowed for a pair of lines, the longer one of ``n`` characters, by length class."""
+    out = F.lit(0)
+    for start, edits in classes:
+        out = F.when(n >= start, edits).otherwise(out)
+    return out
+
+
+AT_ONCE = 4  # keys cut by one expression: larger ones exceed what the JVM compiles
+
+
+def class_keys(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(h1, key, probe): index and probe keys for ``edits_of`` of rows (h1, n, line). The longer line of a pair sets the
+    number of segments, so a line just below a class is in that class's index too. Texts are cut as
+    UTF-32, in which a character's place is known without counting."""
+    out = None
+    for c, (start, edits) in enumerate(classes):
+        end = classes[c + 1][0] if c + 1 < len(classes) else None
+        # the number of characters of a segment, and how many segments are longer by one, by length of the shorter line
+        cuts = {f"s{less}": F.expr(f"(n - {less}) div {edits + 1}").cast("int") for less in range(edits + 1)}
+        cuts |= {f"r{less}": F.expr(f"(n - {less}) % {edits + 1}").cast("int") for less in range(edits + 1)}
+        rows = lines.select("h1", "n", F.encode("line", "UTF-32").alias("u"), *[v.alias(k) for k, v in cuts.items()])
+
+        def key(less: int, i: int, shift: int) -> Column:
+            begin = F.col(f"s{less}") * i + F.greatest(F.lit(0), F.col(f"r{less}") - (edits + 1 - i)) + shift
+            size = F.col(f"s{less}") + F.when(F.col(f"r{less}") >= edits + 1 - i, 1).otherwise(0)
+            text = F.substr("u", begin * 4 + 1, size * 4)
+            hashed = F.xxhash64(F.lit(1000 * (c + 1) + i), F.col("n") - less, text)
+            inside = F.lit(True) if shift == 0 and not less else (begin >= 0) & (begin + size <= F.col("n"))
+            return F.when(inside, F.struct(hashed.alias("key"), F.lit(bool(less or shift)).alias("probe")))
+
+        own = F.col("n") >= start if end is None else (F.col("n") >= start) & (F.col("n") < end)
+        index = [key(0, i, 0) for i in range(edits + 1)]
+        parts = [rows.where(own).select("h1", F.explode(F.array(*index)).alias("k"))]
+        if c:
+            parts.append(rows.where((F.col("n") >= start - edits) & (F.col("n") < start)).select("h1", F.explode(F.array(*index)).alias("k")))
+        probes = [key(less, i, shift) for less in range(edits + 1) for i in range(edits + 1)
+                  for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1) if less or shift]
+        for at in range(0, len(probes), AT_ONCE):
+            parts.append(rows.where(own).select("h1", F.explode(F.array(*probes[at:at + AT_ONCE])).alias("k")))
+        for part in parts:
+            part = part.where("k IS NOT NULL").select("h1", "k.key", "k.probe")
+            out = part if out is None else out.union(part)
+    return out
+
+
 def letter_counts(line: Column) -> Column:
     """Counts of common letters, a byte for each (at most 255)."""
     total = F.lit(0).cast("long")
@@ -117,9 +167,8 @@ def letters_apart(a: Column, b: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common beginning of two texts (of its first 131,071 characters), by
-    steps of halving size."""
-    steps = F.array(*[F.lit(1 << i) for i in range(16, -1, -1)])
+    """Length of the common beginning of two texts, by steps of halving size."""
+    steps = F.array(*[F.lit(1 << i) for i in range(29, -1, -1)])
     most = F.least(F.length(a), F.length(b))
 
     def step(known: Column, more: Column) -> Column:
@@ -142,8 +191,13 @@ def trimmed(pairs: DataFrame) -> DataFrame:
 
 
 def within_edits(x: Column, y: Column, edits: int) -> Column:
-    """Whether the edit distance of two texts, as columns of arrays of characters, is at
-    most ``edits``. ``r[d]`` holds in bit i + edits whether d edits lead from the
+    """Whether the edit distance of two texts, as columns of arrays of characters, is at most ``edits``."""
+    return edits_between(x, y, edits).isNotNull()
+
+
+def edits_between(x: Column, y: Column, edits: int) -> Column:
+    """The edit distance of two texts, as columns of arrays of characters, if it is at
+    most ``edits``, else null. ``r[d]`` holds in bit i + edits whether d edits lead from the
     characters of ``x`` up to j to those of ``y`` up to j + i; the next character matches where
     the bit of ``equal`` is set."""
     k, full = edits, (1 << (2 * edits + 1)) - 1
@@ -169,9 +223,12 @@ def within_edits(x: Column, y: Column, edits: int) -> Column:
     start = F.struct(*[bits(((1 << (d + 1)) - 1) << k).alias(f"r{d}") for d in range(k + 1)])
     apart = F.size(y) - F.size(x)
     steps = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
-    end = F.aggregate(steps, start, step)[f"r{k}"]
-    reached = F.getbit(end, F.greatest(F.least(apart, F.lit(k)), F.lit(-k)) + k) == 1
-    return (F.abs(apart) <= k) & reached
+    at = F.greatest(F.least(apart, F.lit(k)), F.lit(-k)) + k
+
+    def least(end: Column) -> Column:
+        return F.coalesce(*[F.when(F.getbit(end[f"r{d}"], at) == 1, d) for d in range(k + 1)])
+
+    return F.when(F.abs(apart) <= k, F.aggregate(steps, start, step, least))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, equal_chars: int | None = None) -> DataFrame:
@@ -186,26 +243,35 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, equal_ch
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int | None = None) -> DataFrame:
+def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int | None = None,
+               classes: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
     """Links between distinct lines: (a1, a2, b1, b2), the hashes of two lines within
-    ``edits`` edits, or those ``allowed`` by ``percent``. ``distinct``: h1, h2, letters, keys
-    and, for ``percent``, the length n; ``lines``: h1, h2, line."""
-    if percent is None:
+    ``edits`` edits, those ``allowed`` by ``percent`` or those of their length class. ``distinct``: h1, h2, letters, keys (not for
+    classes) and, for the latter two, the length n; ``lines``: h1, h2, line, n."""
+    if percent is None and classes is None:
         rows = distinct.select("h1", "h2", "letters", F.lit(0).alias("n"), F.explode("keys").alias("k"))
         rows = rows.select("h1", "h2", "letters", "n", "k.key", "k.probe")
     else:
         # many keys, few of them shared: these are found by hashes alone and written first
-        rows = distinct.select("h1", F.explode("keys").alias("k")).select("h1", "k.key", "k.probe")
-        rows = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").drop("c")
+        rows = class_keys(lines, classes) if classes else distinct.select("h1", F.explode("keys").alias("k")).select("h1", "k.key", "k.probe")
+        key = Window.partitionBy("key")
+        rows = rows.withColumn("c", F.count(F.lit(1)).over(key)).withColumn("i", F.count_if(~F.col("probe")).over(key))
+        rows = rows.where("c > 1 AND i > 0").drop("c", "i")
         rows = materialise(rows, "line-keys").join(distinct.select("h1", "h2", "letters", "n"), "h1")
     a = rows.where("NOT probe").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("letters").alias("af"), F.col("n").alias("an"))
     b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("letters").alias("bf"), F.col("n").alias("bn"), "probe")
-    most = F.lit(edits) if percent is None else allowed(F.greatest("an", "bn"), percent)
+    longer = F.greatest("an", "bn")
+    most = edits_of(longer, classes) if classes else F.lit(edits) if percent is None else allowed(longer, percent)
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     once = F.col("probe") | (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
     near = a.join(b, (a["key"] == b["key"]) & differ & once & (letters_apart(F.col("af"), F.col("bf")) <= 2 * most)
                   & (F.abs(F.col("an") - F.col("bn")) <= most))
-    pairs = materialise(near.select("a1", "a2", "b1", "b2").distinct(), "line-candidates")
+    near = near.select("a1", "a2", "b1", "b2")
+    if classes:  # two lines of one length may meet as index and probe either way round
+        ends = F.array_sort(F.array(F.struct(F.col("a1").alias("x"), F.col("a2").alias("y")), F.struct(F.col("b1").alias("x"), F.col("b2").alias("y"))))
+        near = near.select(ends.alias("e")).select(F.col("e")[0]["x"].alias("a1"), F.col("e")[0]["y"].alias("a2"),
+                                                   F.col("e")[1]["x"].alias("b1"), F.col("e")[1]["y"].alias("b2"))
+    pairs = materialise(near.distinct(), "line-candidates")
     needed = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
     # the candidates grow with the corpus, so this is a sort-merge join at every size
     texts = lines.select("h1", "h2", "line").join(needed.hint("merge"), ["h1", "h2"], "left_semi")
@@ -217,26 +283,32 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int |
         known = known.withColumn("most", allowed(F.greatest(F.length("a"), F.length("b")), percent))
         known = materialise(trimmed(known), "line-pairs")
         return known.where("levenshtein(a, b, most) >= 0").select("a1", "a2", "b1", "b2")
-    known = trimmed(known)
-    known = known.select("a1", "a2", "b1", "b2", characters("a").alias("a"), characters("b").alias("b"))
+    longer = F.greatest(F.length("a"), F.length("b"))
+    known = trimmed(known.withColumn("most", edits_of(longer, classes) if classes else F.lit(edits)))
+    known = known.select("a1", "a2", "b1", "b2", "most", characters("a").alias("a"), characters("b").alias("b"))
     # written first: else the planner moves the filter below and cuts the texts anew at each step
     known = materialise(known, "line-pairs")
-    return known.where(within_edits(F.col("a"), F.col("b"), edits)).select("a1", "a2", "b1", "b2")
+    apart = edits_between(F.col("a"), F.col("b"), max(k for _, k in classes) if classes else edits)
+    return known.where(apart <= F.col("most")).select("a1", "a2", "b1", "b2")
 
 
 def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text",
-                   percent: int | None = None, equal_chars: int | None = None) -> DataFrame:
+                   percent: int | None = None, equal_chars: int | None = None,
+                   classes: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
     """A row for each document (id and ``th``) that holds lines linked or equal to others:
     ``removed``, the numbers (from 0) of its lines that are not the first of their class, and ``links``, the
     number of links of its lines to lines that differ from them. With ``percent`` the edits
-    grow with the lines (``allowed``) and ``edits`` is not used; with ``equal_chars``
+    grow with the lines (``allowed``), with ``classes`` ((length from, edits), ascending; the first length is
+    ``min_chars``) by steps, and ``edits`` is not used; with ``equal_chars``
     lines shorter than ``min_chars`` count where they are equal."""
+    if classes:
+        min_chars = classes[0][0]
     lines = _lines(docs, id_col, text_col, min_chars, equal_chars)
     here = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "th")
     near = F.col("n") >= min_chars
     letters = letter_counts(F.col("line")).alias("letters")
     common = [F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")]
-    if percent is None:
+    if percent is None and classes is None:
         index = F.when(near, keys(edits, F.col("line"), F.col("n")))
         facts = lines.select("h1", "h2", here.alias("at"), "n", letters, index.alias("keys"))
         distinct = facts.groupBy("h1", "h2").agg(*common, F.first("letters").alias("letters"), F.first("keys").alias("keys"))
@@ -247,8 +319,8 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col:
         facts = lines.select("h1", "h2", here.alias("at"), "n", "line")
         distinct = materialise(facts.groupBy("h1", "h2").agg(*common, F.first("line").alias("line")), "line-facts")
         once = distinct.where(near)
-        index = scaled_keys(percent, F.col("line"), F.col("n")).alias("keys")
-        links = line_links(once.select("h1", "h2", "n", letters, index), once, edits, percent)
+        index = [] if classes else [scaled_keys(percent, F.col("line"), F.col("n")).alias("keys")]
+        links = line_links(once.select("h1", "h2", "n", letters, *index), once, edits, percent, classes)
     links = materialise(links, "line-links")
     # numbers for the linked lines, then classes
     ends = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(links.select("b1", "b2"))
@@ -280,8 +352,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return unpacked(out.withColumn("row", F.col("row").withField("`" + text_col.replace("`", "``") + "`", F.col("left"))), docs.columns)
 
 
-#: Edits in a hundred characters that leave two lines near-equal, in the corpus pipeline.
+#: Edits in a hundred characters that leave two lines near-equal (an option beside the classes).
 PERCENT = 3
+#: (characters of the longer line from, edits that leave two lines near-equal), in the corpus pipeline.
+CLASSES = ((16, 1), (100, 2), (200, 4))
 #: Equal lines are one class there from this length on.
 EQUAL_CHARS = 1
 
@@ -303,7 +377,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def op9_whole(spark, sf_dir: str) -> DataFrame:
     """The rule of the corpus pipeline, which has no SQL."""
-    return line_report(table(spark, sf_dir, "documents"), percent=PERCENT, equal_chars=EQUAL_CHARS)
+    return line_report(table(spark, sf_dir, "documents"), classes=CLASSES, equal_chars=EQUAL_CHARS)
 
 
 OP9_SQL = r"""

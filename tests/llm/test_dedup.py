@@ -181,3 +181,65 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 2, 3, 5, 5, 7, 8]
     assert neardup.near_duplicates(no_docs).count() == 0 and neardup.keep_one(no_docs).count() == 0
+
+
+CLASSES = ((8, 1), (20, 2), (33, 3), (60, 5))
+
+
+def test_links_by_length_class_equal_brute_force(spark):
+    """Lengths around every class border, edits at even distances and in bunches, characters of several bytes."""
+    rnd = random.Random(9)
+
+    def most(a, b):
+        return max((k for start, k in CLASSES if max(len(a), len(b)) >= start), default=0)
+
+    lines = []
+    for n in [7, 8, 9, 15, 18, 19, 20, 21, 22, 29, 30, 31, 32, 33, 34, 36, 55, 56, 57, 59, 60, 61, 65, 90] * 2:
+        base = "".join(rnd.choice("ab é😀") for _ in range(n))
+        lines.append(base)
+        for count in (1, 2, 3, 4, 5, 6):
+            b = list(base)
+            spread = rnd.random() < .5
+            for i in range(count):
+                at = (i + 1) * len(b) // (count + 1) if spread else rnd.randrange(len(b))
+                b[at:at + 1] = rnd.choice([[], ["#"], [b[at], "#"]]) if len(b) > 1 else ["#"]
+            lines.append("".join(b))
+    lines = [x for x in dict.fromkeys(lines) if len(x) >= CLASSES[0][0]]
+    rows = linededup._lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "doc_id", "text", CLASSES[0][0])
+    hashes = {(r.h1, r.h2): r.line for r in rows.collect()}
+    facts = rows.select("h1", "h2", "n", linededup.letter_counts(F.col("line")).alias("letters"))
+    found = linededup.line_links(facts, rows, 1, classes=CLASSES).collect()
+    got = [frozenset((hashes[r.a1, r.a2], hashes[r.b1, r.b2])) for r in found]
+    want = {frozenset(p) for p in itertools.combinations(lines, 2) if abs(len(p[0]) - len(p[1])) <= most(*p) and distance(*p) <= most(*p)}
+    assert set(got) == want and len(got) == len(want) > 150
+    across = [p for p in want if len({most(x, x) for x in p}) == 2]
+    assert len(across) > 5 and max(distance(*p) for p in want) == 5
+
+
+def test_edits_between(spark):
+    rnd = random.Random(10)
+    rows = [(i, "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 9))), "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 9)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").select("i", linededup.characters("a").alias("x"), linededup.characters("b").alias("y"))
+    got = {r.i: r.d for r in materialise(df, "test-between").select("i", linededup.edits_between(F.col("x"), F.col("y"), 3).alias("d")).collect()}
+    assert got == {i: (d if d <= 3 else None) for i, a, b in rows for d in [distance(a, b)]}
+
+
+def test_the_pipelines_rule_on_odd_rows(spark, odd_docs, no_docs):
+    rule = {"classes": linededup.CLASSES, "equal_chars": linededup.EQUAL_CHARS}
+    sentence = "a sentence of more than a hundred characters, in which the copy has another word or two, as copies have them at times. " * 2
+    rows = [(1, f"Les.\n{sentence}\n \t\n\nLes.", 1), (2, f"Les.\n{sentence.replace('more', 'mere', 1).replace('two', 'tow', 1)}\nnew", 2), (None, "Les.", 3), (3, None, 4), (4, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed long")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs, **rule).collect()}
+    assert got == {1: f"Les.\n{sentence}\n \t\n", 2: "new", 3: None, 4: ""}
+    odd = linededup.dedup_lines(odd_docs, **rule)
+    texts = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert odd.columns == odd_docs.columns and (1, None) in texts and (2, "") in texts and len(texts) == 9
+    assert linededup.dedup_lines(no_docs, **rule).count() == 0 and linededup.repeated_lines(no_docs, **rule).count() == 0
+
+
+@pytest.mark.parametrize("n", [200_000, 2_000_000])
+def test_very_long_lines(spark, n):
+    docs = spark.range(3).selectExpr("id AS doc_id", f"repeat('abcdefghij', {n // 10}) || CASE WHEN id < 2 THEN '' ELSE 'x' END || 'end' AS text")
+    docs = docs.unionByName(spark.range(1).selectExpr("7L AS doc_id", f"'y' || repeat('abcdefghij', {n // 10}) || 'zzzzend' AS text"))
+    got = {r["doc_id"] for r in linededup.dedup_lines(docs, classes=linededup.CLASSES, equal_chars=1).select("doc_id").collect()}
+    assert got == {0, 7}
