@@ -18,9 +18,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are equal, at any length, or near-equal (three edits in
-    a hundred characters), to an earlier one; a document all of whose lines go is dropped."""
-    return linededup.dedup_lines(docs, percent=linededup.PERCENT, equal_chars=linededup.EQUAL_CHARS)
+    """Documents without lines that are equal, at any length, or near-equal (one edit from 16 characters on, two
+    from 100, four from 200), to an earlier one; a document all of whose lines go is dropped."""
+    return linededup.dedup_lines(docs, classes=linededup.CLASSES, equal_chars=linededup.EQUAL_CHARS)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
