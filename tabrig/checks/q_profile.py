@@ -193,16 +193,6 @@ def q16b(spark, sf):
     return Q.duplicate_members(_dirty(spark, sf), KEY, n=None)
 
 
-@register("q17_inspect")
-def q17(spark, sf):
-    return Q.inspect(_dirty(spark, sf), KEY)
-
-
-@register("q05_data_types")
-def q05(spark, sf):
-    return Q.data_types(S.load(spark, sf, "lineitem"))
-
-
 _Q18_SQL = W + f"""
 SELECT 'shape' AS section, 'rows' AS item, count(*) AS value FROM dirty_orders
 UNION ALL SELECT 'shape', 'columns', 6
@@ -297,11 +287,6 @@ def c06(spark, sf):
     return C.clean(_dirty(spark, sf), TARGET, KEY).log.drop("before")
 
 
-@register("c06_change_log_before")
-def c06b(spark, sf):
-    return C.clean(_dirty(spark, sf), TARGET, KEY).log
-
-
 @register("c07_change_counts",
           "SELECT change, count(*) AS n FROM (" + _LOG_SQL + ") GROUP BY change")
 def c07(spark, sf):

@@ -185,15 +185,6 @@ def r11(spark, sf):
     return spark.createDataFrame([(R.business_recommendation(best, "document quality"),)], "recommendation string")
 
 
-@register("r12_review_panels")
-def r12(spark, sf):
-    lb = L.leaderboard(_metrics_models(spark, sf), "classification", "highest_accuracy")
-    best = lb.where("rank = 1").first()["model"]
-    comments = [r["comment"] for r in R.review_a(S.load(spark, sf, "documents"), "lang", "classification",
-                                                   None, "highest_accuracy").collect()]
-    return R.review_panels(spark, comments, lb.count(), best, "highest_accuracy", "classification", "quality", 0.2)
-
-
 # ----------------------------------------------------------------------------- chart data
 @register("v01_chart_leaderboard",
           _MODELS + f"\nSELECT rank, replace(model, '_', ' ') AS label, primary_value AS value FROM ({_lb_sql('accuracy')})",
@@ -334,11 +325,6 @@ def v13(spark, sf):
     return RP.report_summary(spark, lb.count(), "document quality", b["model"], "classification", b["primary_value"])
 
 
-@register("v10_report_cleaning")
-def v10(spark, sf):
-    return RP.report_cleaning(C.clean(S.dirty_orders(spark, sf), "status", "rid").log)
-
-
 @register("v04_chart_importance")
 def v04(spark, sf):
     from ..operators.train import train_portfolio

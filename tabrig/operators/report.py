@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import format_bytes, format_metric, title_case
-from .profile import column_stats, duplicate_count, estimated_bytes, feature_types
+from ..functions.scalars import format_bytes, format_metric, quoted, title_case
+from .profile import column_stats, data_columns, duplicate_count, estimated_bytes, feature_types
+from .rank import display_leaderboard
 
 # Metric sets shown per task and report wording.
 METRICS_SHOWN = {"classification": ["accuracy", "precision", "recall", "f1", "roc_auc", "matthews_corrcoef"],
@@ -96,6 +97,48 @@ def report_summary(spark: SparkSession, n_models: int, business_goal: str | None
     return _kv(spark, items)
 
 
+def report_dataset_b(df: DataFrame, row_key: str | None = None, stats: dict | None = None) -> DataFrame:
+    """V8 (B): rows, columns, then the type of each column."""
+    st = stats or column_stats(df, row_key)
+    types = [(c, df.schema[c].dataType.simpleString()) for c in data_columns(df, row_key)]
+    return _kv(df.sparkSession, [("Rows", str(st["rows"])), ("Columns", str(st["columns"])), *types])
+
+
+def report_cleaning_b(df: DataFrame, row_key: str | None = None, stats: dict | None = None) -> DataFrame:
+    """V10 (B): missing cells of each column, then the duplicate rows removed."""
+    st = stats or column_stats(df, row_key)
+    dups = duplicate_count(df, row_key).first()[0]
+    return _kv(df.sparkSession, [*[(c, str(n)) for c, n in st["missing"].items()], ("Duplicate rows removed", str(dups))])
+
+
+def report_models(lb: DataFrame, metric_cols: list[str]) -> DataFrame:
+    """Model comparison (B): (ord, key, value) with the model's metrics as JSON, in leaderboard order."""
+    present = [c for c in metric_cols if c in lb.columns]
+    return lb.select(F.col("rank").cast("int").alias("ord"), F.col("model").alias("key"),
+                     F.to_json(F.struct(*[quoted(c) for c in present])).alias("value"))
+
+
+def report_b(df: DataFrame, lb: DataFrame, metric_cols: list[str], review: DataFrame, importances: DataFrame | None = None,
+             row_key: str | None = None) -> DataFrame:
+    """V14 (B): dataset, cleaning, model comparison, winner, its importances and the review's recommendations."""
+    st = column_stats(df, row_key)
+    models = report_models(lb, metric_cols)
+    sections = {"Dataset Summary": report_dataset_b(df, row_key, st), "Cleaning Summary": report_cleaning_b(df, row_key, st),
+                "Model Comparison": models, "Winner": models.where("ord = 1")}
+    if importances is not None:
+        best = importances.join(lb.where("rank = 1").select("model"), "model")
+        sections["Feature Importance"] = best.select("feature", "importance")
+    sections["Review Recommendations"] = review.where("recommendation IS NOT NULL").select(
+        "ord", F.col("rule").alias("key"), F.col("recommendation").alias("value"))
+    return report_sections(sections)
+
+
+def formatted_leaderboard(lb: DataFrame, metric_cols: list[str]) -> DataFrame:
+    """L10 as the report shows it: metric values as text (K1)."""
+    shown = [c for c in metric_cols if c in lb.columns]
+    return display_leaderboard(lb.select("rank", "model", *[format_metric(c).alias(c) for c in shown]), shown)
+
+
 def report_sections(sections: dict[str, DataFrame]) -> DataFrame:
     """One long (section, ord, key, value) table from key/value sections
     and row tables (rows become JSON text under their ordinal)."""

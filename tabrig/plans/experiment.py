@@ -45,6 +45,13 @@ class StepLog:
                           datetime.now(timezone.utc)))
         return out
 
+    def records(self) -> list[dict]:
+        """The steps as the run's record keeps them."""
+        return [{"name": n, "status": s, "message": m, "started_at": a.isoformat(), "finished_at": b.isoformat()} for n, s, m, a, b in self.rows]
+
+    def errors(self) -> list[str]:
+        return [f"{r[0]}: {r[2]}" for r in self.rows if r[1] == "failed"]
+
     def frame(self, spark):
         return spark.createDataFrame(self.rows, "name string, status string, message string, "
                                                 "started_at timestamp, finished_at timestamp")
@@ -143,13 +150,14 @@ def run_experiment_a(df: DataFrame, target: str, goal: str = "highest_accuracy",
         "Quality": RP.report_quality(df, target, row_key, facts),
         "Cleaning": RP.report_cleaning(cleaned.log),
         "Problem": RP.report_problem(spark, task, target, goal, test_size, business_goal),
-        "Leaderboard": L.display_leaderboard(lb, metric_cols),
+        "Leaderboard": RP.formatted_leaderboard(lb, metric_cols),
         "Best Model Metrics": RP.report_metrics(metrics, best_model, task, fixed_set=False),
         "Review": review.select("ord", F.col("rule").alias("key"), F.col("comment").alias("value")),
     })
     summary = experiment_summary(spark, exp_id, dataset_name, target, goal, test_size, business_goal,
                                  cleaned.summary["remaining_rows"] + cleaned.summary["rows_removed"],
-                                 len(Q.data_columns(df, row_key)), task, models, best_model, best_score)
+                                 len(Q.data_columns(df, row_key)), task, models, best_model, best_score,
+                                 runs=log.records(), errors=log.errors())
     record = summary.withColumn("ingest_seq", F.lit(int(time.time() * 1e6)))
     hist = H.history_upsert(history, record)
     out = {"experiment_id": exp_id, "quality": quality, "cleaned": active, "cleaning_summary": cleaned.summary,
@@ -159,6 +167,8 @@ def run_experiment_a(df: DataFrame, target: str, goal: str = "highest_accuracy",
            "business_recommendation": R.business_recommendation(best_model, business_goal),
            "charts": charts, "report": report, "history": hist, "train": tr, "comments": comments,
            "run_log": log.frame(spark)}
+    if task == "classification":
+        out["class_report"] = tr.report()
     if output_path:
         base = output_path.rstrip("/")
         out["report_path"] = RP.write_report(report, f"{base}/reports/{exp_id}")
@@ -199,18 +209,27 @@ def run_experiment_b(df: DataFrame, target: str, name: str | None = None, row_ke
     if task == "classification":
         charts["confusion"] = V.chart_confusion(tr.predictions, mode="B")
         charts["roc"] = V.chart_roc(tr.predictions, mode="B")
-    metric_rows = [r.asDict() for r in tr.metrics.drop("ord").collect()]  # a row for each model
+    metric_cols = [c for c in tr.metrics.columns if c not in ("model", "ord", "error")]
+    report = RP.report_b(df, lb, metric_cols, review, tr.importances, row_key)
+    report_paths = {}
+    if output_path:
+        report_paths["report"] = RP.write_report(report, f"{output_path.rstrip('/')}/reports/{name}")
+    # a row for each model
+    entries = [{"name": r["model"], "metrics": {c: r[c] for c in metric_cols}, "error": r["error"], "path": paths.get(r["model"])}
+               for r in tr.metrics.orderBy("ord").collect()]
+    best = next(e for e in entries if e["name"] == top["model"])
+    best = {k: best[k] for k in ("name", "metrics")}
     summary = {"rows": tr.train_rows + tr.test_rows, "columns": len(df.columns), "features": ft.preprocessor.encoder.width}
     batch = spark.createDataFrame(
-        [(datetime.now(timezone.utc).isoformat(), name, target, task, json.dumps(summary), json.dumps(paths),
-          json.dumps(metric_rows), top["model"])],
+        [(datetime.now(timezone.utc).isoformat(), name, target, task, json.dumps(summary), json.dumps(entries),
+          json.dumps(best["metrics"]), json.dumps(best), json.dumps(report_paths))],
         "timestamp string, name string, target string, task_type string, dataset_summary string, models string, "
-        "metrics string, best_model string")
+        "metrics string, best_model string, report_paths string")
     appended = H.history_append(log_table, batch, ["timestamp", "name"])
     return {"experiment_name": name, "strategy": strat, "task": task, "models": models, "metrics": tr.metrics,
-            "leaderboard": lb, "recommendation": rec, "review": review, "charts": charts,
-            "importances": tr.importances, "model_paths": paths, "errors": tr.errors,
-            "history_rows": appended, "train": tr, "preprocessor": ft.preprocessor}
+            "leaderboard": lb, "recommendation": rec, "review": review, "charts": charts, "report": report,
+            "importances": tr.importances, "model_paths": paths, "report_paths": report_paths, "errors": tr.errors,
+            "best_model": best, "history_rows": appended, "train": tr, "preprocessor": ft.preprocessor}
 
 
 def analyze_dataset(df: DataFrame, target: str | None = None, row_key: str | None = None) -> dict:
