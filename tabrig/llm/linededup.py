@@ -114,6 +114,8 @@ def edits_of(n: Column, classes: tuple[tuple[int, int], ...]) -> Column:
     return out
 
 
+LINES_PER_TASK = 5000
+MAX_TASKS = 100_000
 AT_ONCE = 4  # keys cut by one expression: larger ones exceed what the JVM compiles
 
 
@@ -253,7 +255,10 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int |
         rows = rows.select("h1", "h2", "letters", "n", "k.key", "k.probe")
     else:
         # many keys, few of them shared: these are found by hashes alone and written first
-        rows = class_keys(lines, classes) if classes else distinct.select("h1", F.explode("keys").alias("k")).select("h1", "k.key", "k.probe")
+        if classes:  # so many partitions that a task sorts some hundred thousand keys
+            rows = class_keys(lines, classes).repartition(min(-(-lines.count() // LINES_PER_TASK) or 1, MAX_TASKS), "key")
+        else:
+            rows = distinct.select("h1", F.explode("keys").alias("k")).select("h1", "k.key", "k.probe")
         key = Window.partitionBy("key")
         rows = rows.withColumn("c", F.count(F.lit(1)).over(key)).withColumn("i", F.count_if(~F.col("probe")).over(key))
         rows = rows.where("c > 1 AND i > 0").drop("c", "i")
