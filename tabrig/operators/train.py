@@ -135,17 +135,17 @@ def _with_key(df: DataFrame, row_key: str | None) -> tuple[DataFrame, str]:
     return (df, row_key) if row_key else (with_row_id(df), "_row_id")
 
 
-def _fit_all(estimators: dict, train: DataFrame) -> dict:
+def _fit_all(models: list[str], estimator, train: DataFrame) -> dict:
     """{name: (model, seconds, error)}: the candidates are fitted side by side, so that one's small
     jobs use the cores that another's leave idle; ``seconds`` is the wall time of each fit."""
     sc = train.sparkSession.sparkContext
     shared_dir(train.sparkSession)  # a checkpoint folder for the ensembles' node numbers
 
-    def fit(item):
-        name, est = item
+    def fit(name):
         sc.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
-        t0 = time.perf_counter()
         try:
+            est = estimator(name)
+            t0 = time.perf_counter()
             return name, (est.fit(train), time.perf_counter() - t0, None)
         except Exception as e:  # noqa: BLE001
             return name, (None, None, e)
@@ -153,7 +153,7 @@ def _fit_all(estimators: dict, train: DataFrame) -> dict:
             sc.setLocalProperty("spark.scheduler.pool", None)
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return dict(pool.map(inheritable_thread_target(fit), estimators.items()))
+        return dict(pool.map(inheritable_thread_target(train.sparkSession)(fit), models))
 
 
 def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, row_key: str | None = None,
@@ -204,7 +204,7 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
         train = train.where(F.col(LABEL_IDX) >= 0)
 
     fitted, timings, errors, preds, imps = {}, {}, {}, [], []
-    tried = _fit_all({name: build_estimator(name, task, n_train, n_classes, params) for name in models}, train)
+    tried = _fit_all(models, lambda name: build_estimator(name, task, n_train, n_classes, params), train)
     for ord_, name in enumerate(models, start=1):
         model, seconds, error = tried[name]
         if error is not None:
