@@ -44,19 +44,23 @@ class Vectors:
     """Sparse rows over the chosen features: log(1 + number of different words that have
     the feature). Hits are cached by word."""
 
-    def __init__(self, features: list[str], most: int = 400_000):
+    def __init__(self, features: list[str], most: int = 100_000):
         self.index = {f: i for i, f in enumerate(features)}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.most = most
 
     def counts(self, text: str) -> dict[int, int]:
-        cache, index, found = self.cache, self.index, {}
-        if len(cache) > self.most:
-            cache.clear()
+        if len(self.cache) > self.most:  # words that are not met again meanwhile go next time
+            self.cache, self.older = {}, self.cache
+        cache, older, index, found = self.cache, self.older, self.index, {}
         for w in set(text.lower().split()):
             hits = cache.get(w)
             if hits is None:
-                hits = cache[w] = tuple(index[f] for f in word_features(w) if f in index)
+                hits = older.get(w)
+                if hits is None:
+                    hits = tuple(index[f] for f in word_features(w) if f in index)
+                cache[w] = hits
             for i in hits:
                 found[i] = found.get(i, 0) + 1
         return found
