@@ -218,7 +218,8 @@ def as_records(turns: DataFrame, key: str = "conv_id", order: str = "turn", role
     rows = turns.select(col(key).alias("key"), F.struct(
         col(order).alias("o"), F.coalesce(col(role), F.lit("")).alias("role"), F.coalesce(col(text), F.lit("")).alias("text")).alias("t"))
     got = rows.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    roles = F.array_join(F.transform("t", lambda x: x["role"]), ",")
+    roles = F.transform("t", lambda x: x["role"])
+    pair, triple = F.array(F.lit("user"), F.lit("assistant")), F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
     texts = F.transform("t", lambda x: x["text"])
     theirs = F.transform("t", lambda x: F.struct(
         F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"),
@@ -227,11 +228,11 @@ def as_records(turns: DataFrame, key: str = "conv_id", order: str = "turn", role
     renamed = F.exists("t", lambda x: x["role"].isin(*SHARE_ROLES))
     odd = F.coalesce(F.xxhash64("key") % 2 != 0, F.lit(False))
     by_name = {x.name: x.paths for x in LAYOUTS}
-    forms = [((roles == "user,assistant") & odd, "prompt and response", F.struct(
+    forms = [((roles == pair) & odd, "prompt and response", F.struct(
                  F.get(texts, F.lit(0)).alias("prompt"), F.get(texts, F.lit(1)).alias("response"))),
-             (roles == "user,assistant", "instruction and output", F.struct(
+             (roles == pair, "instruction and output", F.struct(
                  F.get(texts, F.lit(0)).alias("instruction"), F.get(texts, F.lit(1)).alias("output"))),
-             (roles == "system,user,assistant", "system, prompt and response", F.struct(
+             (roles == triple, "system, prompt and response", F.struct(
                  F.get(texts, F.lit(0)).alias("system"), F.get(texts, F.lit(1)).alias("prompt"), F.get(texts, F.lit(2)).alias("response"))),
              (odd & ~renamed, "from and value", F.struct(theirs.alias("conversations"))),
              (F.lit(True), "messages", F.struct(ours.alias("messages")))]
@@ -248,7 +249,7 @@ PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 def op6(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
-    out = format_turns(canonical_turns(as_records(rows), paths_col="paths"))
+    out = format_turns(canonical_turns(as_records(rows)))
     back = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"),
                       read_loss(F.col("formatted"), F.col("loss")).alias("learnt"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -13,8 +13,8 @@ is approximate: inner products are exact integers, and bounds have a margin for
 Sizes: ``pivots`` and ``rings`` (annuli of a cell) bound the directory that all tasks get;
 ``block`` bounds the vectors, and ``queries_per_task`` the queries, of one group.
 
-Defined results: vectors that are null or empty or hold null or non-finite components
-take no part, nor do rows with a null id; where products may exceed 62 bits they are
+Defined results: vectors that are null or hold null or non-finite components
+take no part, nor do rows with a null id; an empty vector scores 0 with any other; where products may exceed 62 bits they are
 computed in Python integers; a component or a score to return that does not fit in 64 bits
 raises an error;
 missing last components count as 0; rows of equal id and vector count once, and rows that share the query's id
@@ -39,8 +39,7 @@ def integer_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: s
     """``id``, ``v`` (binary: 64-bit integers floor(scale * x)) and ``norm`` (squared
     length, exact below 2^53)."""
     v = col(vector_col).cast("array<double>")
-    whole = F.size(v) > 0
-    fine = whole & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(fine & col(id_col).isNotNull()).select(col(id_col).cast("long").alias("id"), v.alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +48,7 @@ def integer_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: s
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 with np.errstate(over="ignore"):
                     x = np.floor(scale * x.values.to_numpy(zero_copy_only=False))
-                if np.abs(x).max() >= 2.0 ** 63:
+                if np.abs(x).max(initial=0) >= 2.0 ** 63:
                     raise OverflowError(f"top-k: a component of the vector with id {i} does not fit in 64 bits")
                 ids.append(i)
                 out.append(x.astype(np.int64).tobytes())
@@ -63,11 +62,12 @@ def integer_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: s
 def _matrix(values, width: int) -> np.ndarray:
     """Rows of integers, filled up with 0."""
     values = list(values)
-    if all(len(v) == 8 * width for v in values):
+    if width and all(len(v) == 8 * width for v in values):
         return np.frombuffer(b"".join(values), np.int64).reshape(len(values), width)
     out = np.zeros((len(values), width), np.int64)
     for row, v in zip(out, values, strict=True):
-        row[:len(v) // 8] = np.frombuffer(v, np.int64)
+        if v:
+            row[:len(v) // 8] = np.frombuffer(v, np.int64)
     return out
 
 
@@ -233,9 +233,9 @@ def op5(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-u AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-      FROM u q JOIN u c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+        CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -239,3 +239,27 @@ def test_pipeline_on_the_smallest_tables(spark, sf):
     for r in last:
         ids = sp.encode(texts[r["doc_id"]], add_eos=True)
         assert r["ids"] == ids and r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_empty_vectors_take_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, []), (2, [-1.0]), (3, None), (50, []), (51, [float("nan")]), (52, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("id") % 50 == 0, k=3, pivots=2, rings=2).collect()}
+    assert got == {(0, 1): (52, 128 * 256 + 128 * 512), (0, 2): (1, 0), (0, 3): (50, 0), (50, 1): (0, 0), (50, 2): (1, 0), (50, 3): (2, 0)}
+    empty = spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(empty, F.col("id") == 0).collect()] == [(0, 1, 1, 0)]
+
+
+def test_roles_with_separators_and_forged_paths(spark):
+    rows = [(1, 0, "user,assistant", "hi"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "system,user", "x"), (3, 1, "assistant", "y")]
+    turns = chat.as_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical_turns(turns).collect()}
+    assert got == {1: [("user,assistant", "hi")], 2: [("user", "a"), ("assistant", "b")], 3: [("system,user", "x"), ("assistant", "y")]}
+    forged = turns.withColumn("record", F.lit('{"other": 1}'))
+    assert [r["layout"] for r in chat.canonical_turns(forged).collect()] == [None] * 3
+
+
+def test_clashing_names_of_records(spark):
+    records = spark.createDataFrame([(1, '{"prompt": "a", "response": "b"}', "kept", 5)], "conv_id long, record string, key string, t int")
+    got = chat.format_turns(chat.canonical_turns(records)).first()
+    assert got["key"] == "kept" and got["t"] == 5 and len(got["turns"]) == 2
