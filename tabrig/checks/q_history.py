@@ -36,11 +36,14 @@ def _records(spark, sf):
         F.col("o_orderkey").alias("ingest_seq"), "o_orderdate")
 
 
-def _upserted(spark, sf):
-    r = _records(spark, sf)
+def _old_and_new(r):
     old = r.where(F.col("o_orderdate") < F.lit(CUT).cast("timestamp_ntz")).drop("o_orderdate")
     new = r.where(F.col("o_orderdate") >= F.lit(CUT).cast("timestamp_ntz")).drop("o_orderdate")
-    return H.history_upsert(old, new)
+    return old, new
+
+
+def _upserted(spark, sf):
+    return H.history_upsert(*_old_and_new(_records(spark, sf)))
 
 
 _UPSERT_SQL = "WITH " + REC_SQL + """,
@@ -56,6 +59,17 @@ def s04(spark, sf):
     return _upserted(spark, sf).select(*_COLS.split(", "))
 
 
+@register("s04_history_inserted", _UPSERT_SQL + f"SELECT {_COLS} FROM up", rounded=["best_model_score"])
+def s04_inserted(spark, sf):
+    """Base and changes as inserts of their own, merged as they are read."""
+    from ..session import shared_dir
+    r = _records(spark, sf)
+    path = shared_dir(spark, "history")
+    for part in _old_and_new(r):
+        H.history_insert(part, path)
+    return H.history_read(spark, path).select(*_COLS.split(", "))
+
+
 @register("s05_history_append",
           "WITH " + REC_SQL + f"""
 SELECT (SELECT max(ingest_seq) FROM rec WHERE o_orderdate < TIMESTAMP '{CUT}')

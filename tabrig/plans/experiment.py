@@ -172,7 +172,7 @@ def run_experiment_a(df: DataFrame, target: str, goal: str = "highest_accuracy",
     if output_path:
         base = output_path.rstrip("/")
         out["report_path"] = RP.write_report(report, f"{base}/reports/{exp_id}")
-        out["history_path"] = H.write_version(hist, f"{base}/history")
+        out["history_path"] = H.history_insert(record, f"{base}/history")  # its own row only; ``history_read`` merges
     return out
 
 

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_metric, title_case
 from ..operators.ordered import row_index
 
 RECENT_A, RECENT_B = 25, 50
+INSERT = "insert"  # names the folders of inserts
 
 
 def history_upsert(history: DataFrame | None, records: DataFrame, key: str = "experiment_id",
@@ -28,6 +29,24 @@ def history_upsert(history: DataFrame | None, records: DataFrame, key: str = "ex
     return newest.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
+def history_insert(records: DataFrame, path: str) -> str:
+    """S4 as an insert: the records become a folder of their own in the history's folder. Nothing is read or rewritten,
+    and writers do not meet: each one's files appear when it commits."""
+    records.write.parquet(f"{path.rstrip('/')}/{INSERT}={uuid.uuid4().hex}")
+    return path
+
+
+def history_read(spark: SparkSession, path: str, key: str = "experiment_id", seq: str = "ingest_seq") -> DataFrame:
+    """The history of ``history_insert``: of each key the record of the greatest ``seq``, merged as it is read. Columns
+    that older records lack are null."""
+    return history_upsert(None, spark.read.option("mergeSchema", "true").parquet(path).drop(INSERT), key, seq)
+
+
+def history_compact(spark: SparkSession, path: str, key: str = "experiment_id", seq: str = "ingest_seq") -> str:
+    """Writes the merged history as the one insert of a new history beside the old one, and returns that; later inserts go there."""
+    return history_insert(history_read(spark, path, key, seq), f"{path.rstrip('/')}-{uuid.uuid4().hex[:12]}")
+
+
 def history_append(log: DataFrame | None, batch: DataFrame, order_cols: list[str],
                    id_col: str = "id") -> DataFrame:
     """Append with growing integer ids (max existing id + position in the

@@ -149,3 +149,45 @@ def test_shared_dir_refuses_local_disk_on_a_cluster():
         shared_dir(_Spark())
     _Ctx.getCheckpointDir = lambda self: "hdfs://shared/ckpt/"
     assert shared_dir(_Spark(), "x").startswith("hdfs://shared/ckpt/x-")
+
+
+def test_history_inserts_write_only_their_own_rows(spark, tmp_path):
+    """Two writers at once, a later version of a key, a column that comes later; then compaction."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+    path = str(tmp_path / "history")
+
+    def files():
+        return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+    def insert(rows, columns="experiment_id string, v long, ingest_seq long"):
+        H.history_insert(spark.createDataFrame(rows, columns).coalesce(1), path)
+
+    insert([("a", 1, 1), ("b", 1, 1)])
+    before = files()
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(insert, [[("a", 2, 2)], [("c", 3, 2)]]))
+    after = files()
+    assert {f: t for f, t in after.items() if f in before} == before and len(after) == len(before) + 2
+    insert([("c", 4, 3, "late")], "experiment_id string, v long, ingest_seq long, note string")
+    got = {r["experiment_id"]: (r["v"], r["note"]) for r in H.history_read(spark, path).collect()}
+    assert got == {"a": (2, None), "b": (1, None), "c": (4, "late")}
+    compacted = H.history_compact(spark, path)
+    assert {r["experiment_id"]: r["v"] for r in H.history_read(spark, compacted).collect()} == {"a": 2, "b": 1, "c": 4}
+    assert spark.read.parquet(compacted).count() == 3 and compacted != path
+
+
+def test_record_and_report_of_pipeline_b(spark, sf, tmp_path):
+    import json
+    from tabrig.plans import run_experiment_b
+    from tabrig.sources.tables import load
+    docs = load(spark, sf, "documents").select("doc_id", "n_chars", "lang").join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    out = run_experiment_b(docs, "quality", "b", "doc_id", params={"num_trees": 3, "gbt_iters": 3, "max_depth": 3}, output_path=str(tmp_path))
+    sections = {r["section"] for r in out["report"].select("section").distinct().collect()}
+    assert sections == {"Dataset Summary", "Cleaning Summary", "Model Comparison", "Winner", "Feature Importance", "Review Recommendations"}
+    record = out["history_rows"].first()
+    best, models = json.loads(record["best_model"]), json.loads(record["models"])
+    assert best["name"] == out["leaderboard"].where("rank = 1").first()["model"] and "accuracy" in best["metrics"]
+    assert json.loads(record["metrics"]) == best["metrics"] and len(models) == 4
+    assert all(spark.read.parquet(p).count() for p in json.loads(record["report_paths"]).values()) and json.loads(record["report_paths"])
+    out["train"].unpersist()
