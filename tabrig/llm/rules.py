@@ -141,8 +141,14 @@ class Forest:
 def fit_forest(stats: DataFrame, trees: int = 100, leaf_sample: int = 256, seed: int = 4) -> Forest:
     """``stats`` must give the same rows each time it is read (a written table)."""
     usable = stats.where("NOT base_failed").select(*FEATURES, F.xxhash64(F.lit(seed), "id", *FEATURES).alias("h"))
-    sample = usable.orderBy("h", *FEATURES).limit(trees * leaf_sample)  # drawn over all rows
-    pool = sample.count()
+    wanted, rows = trees * leaf_sample, usable.count()
+    # hashes below a bound that lets somewhat more rows through than are wanted, so that few reach the one sorted list
+    bound = int(-2 ** 63 + min(1.0, (1.2 * wanted + 1000) / max(rows, 1)) * 2 ** 64)
+    few = usable.where(F.col("h") < F.lit(bound)) if bound < 2 ** 63 else usable
+    if few.limit(min(wanted, rows)).count() < min(wanted, rows):
+        few = usable
+    sample = few.orderBy("h", *FEATURES).limit(wanted)  # drawn over all rows
+    pool = min(wanted, rows)
     # in a corpus smaller than all trees' samples together, a row is in several trees
     copies = max(1, -(-trees * leaf_sample // max(pool, 1)))
     copies = min(copies, trees)
@@ -159,6 +165,7 @@ def fit_forest(stats: DataFrame, trees: int = 100, leaf_sample: int = 256, seed:
         out.insert(0, "tree", int(key[0]))
         return out
 
+    sample = materialise(sample, "rule-sample").repartitionByRange(trees, "tree")  # a task for each tree
     nodes = sample.groupBy("tree").applyInPandas(one, "tree int, node long, feature long, value double, left long")
     return Forest(nodes.toPandas(), leaf_sample)
 
