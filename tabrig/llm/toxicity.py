@@ -13,7 +13,8 @@ on whole texts where they lie; only the weights are sent to the tasks.
 
 Defined results: a null text counts as empty; null ids and rows of equal id are scored
 one by one; null labels take no part, of several labels of an id the highest counts;
-without labels of both kinds a category has probability 0, and nothing is rejected.
+without labels of both kinds a category has probability 0, and nothing is rejected; nor is
+anything where no feature tells the labelled rows apart.
 Further columns are carried along.
 """
 
@@ -191,7 +192,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         rows = rows.join(held, "row").withColumn("earlier", F.concat("earlier", F.array("p"))).drop("p")
         if c == k - 1:
             threshold = _best_threshold(rows.select(F.get("y", F.lit(c)).alias("y"), F.get("earlier", F.lit(c)).alias("p")))
-    return Chain(names, features, weights, threshold)
+    # where no feature tells the categories apart, all documents look alike: none is rejected
+    return Chain(names, features, weights, threshold if features else 1.1)
 
 
 def _fitter(c: int, width: int, folds: int):
@@ -211,7 +213,7 @@ def _fitter(c: int, width: int, folds: int):
         out = np.nonzero(held)[0]
         z = [float(w[x[i][0]] @ x[i][1]) + float(earlier[i] @ w[width:-1]) + w[-1] for i in out]
         return pd.DataFrame({"row": part["row"].to_numpy()[out], "p": 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -50, 50))),
-                             "w": [None] * len(out)})
+                             "w": pd.Series([None] * len(out), dtype=object)})  # a fold may have no row
 
     return fit
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabrig.llm import chat, mixing, rules, secrets, topk, toxicity
+from tabrig.llm import chat, mixing, pieces, rules, secrets, topk, toxicity
 
 
 def test_mix_keeps_to_targets_and_budget(spark, odd_docs, no_docs):
@@ -263,3 +263,32 @@ def test_clashing_names_of_records(spark):
     records = spark.createDataFrame([(1, '{"prompt": "a", "response": "b"}', "kept", 5)], "conv_id long, record string, key string, t int")
     got = chat.format_turns(chat.canonical_turns(records)).first()
     assert got["key"] == "kept" and got["t"] == 5 and len(got["turns"]) == 2
+
+
+def test_pipeline_on_odd_rows_clashing_names_and_empty_tables(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, repeated rows, a long text, columns named like working columns."""
+    import corpus_pipeline
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    long_text = "\n".join(f"paragraph {i} of a long text that says little more than its number {i * i}" for i in range(500))
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, " \t\n ", None, None, 3), (None, "no id here at all but some words", "de", "s", 9),
+            (5, "the same words in a row that is here twice over and over", "de", "t", 5), (5, "the same words in a row that is here twice over and over", "de", "t", 5),
+            (5, "another text of the same id, a good bit longer than that one", "fr", "t", 6), (7, long_text, "en", "s", 7), (8, "ünïcödé 😀 text — with ▁ marks", "es", "u", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.selectExpr("*", "'x' AS row", "1 AS id", "2 AS th", "3 AS n", "'k' AS key", "4 AS p", "'l' AS label", "5 AS finish", "6 AS c")
+    labels = spark.createDataFrame([(5, 1, 0), (7, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, table in (("odd", clash), ("none", docs.limit(0))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        staged = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, (_, run) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = run(spark, staged, folder)
+            assert out.columns == table.columns, stage
+            staged = spark.createDataFrame(out.collect(), out.schema)
+        got = corpus_pipeline.run(spark, folder)
+        assert got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+        assert got.count() == staged.count() and (got.count() > 0) == (name == "odd")
+        texts = [r["text"] or "" for r in staged.collect()]
+        want = sorted((len(ids) + 1, hashlib.sha256(model.decode(ids).encode()).hexdigest()) for ids in model.encode(texts))
+        assert sorted((r["n_tokens"], r["decoded_sha256"]) for r in got.collect()) == want
