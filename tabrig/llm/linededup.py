@@ -120,7 +120,8 @@ AT_ONCE = 4  # keys cut by one expression: larger ones exceed what the JVM compi
 
 
 def class_keys(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
-    """(h1, key, probe): index and probe keys for ``edits_of`` of rows (h1, n, line). The longer line of a pair sets the
+    """(r, key): index and probe keys for ``edits_of`` of rows (no, n, line); r is twice the line's number ``no``, and one more
+    for a probe. The longer line of a pair sets the
     number of segments, so a line just below a class is in that class's index too. Texts are cut as
     UTF-32, in which a character's place is known without counting."""
     out = None
@@ -129,7 +130,7 @@ def class_keys(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFr
         # the number of characters of a segment, and how many segments are longer by one, by length of the shorter line
         cuts = {f"s{less}": F.expr(f"(n - {less}) div {edits + 1}").cast("int") for less in range(edits + 1)}
         cuts |= {f"r{less}": F.expr(f"(n - {less}) % {edits + 1}").cast("int") for less in range(edits + 1)}
-        rows = lines.select("h1", "n", F.encode("line", "UTF-32").alias("u"), *[v.alias(k) for k, v in cuts.items()])
+        rows = lines.select("no", "n", F.encode("line", "UTF-32").alias("u"), *[v.alias(k) for k, v in cuts.items()])
 
         def key(less: int, i: int, shift: int) -> Column:
             begin = F.col(f"s{less}") * i + F.greatest(F.lit(0), F.col(f"r{less}") - (edits + 1 - i)) + shift
@@ -137,19 +138,21 @@ def class_keys(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFr
             text = F.substr("u", begin * 4 + 1, size * 4)
             hashed = F.xxhash64(F.lit(1000 * (c + 1) + i), F.col("n") - less, text)
             inside = F.lit(True) if shift == 0 and not less else (begin >= 0) & (begin + size <= F.col("n"))
-            return F.when(inside, F.struct(hashed.alias("key"), F.lit(bool(less or shift)).alias("probe")))
+            return F.when(inside, hashed)
+
+        def cut(some: DataFrame, found: list[Column], probe: int) -> DataFrame:
+            return some.select((F.col("no") * 2 + probe).alias("r"), F.explode(F.array(*found)).alias("key")).where("key IS NOT NULL")
 
         own = F.col("n") >= start if end is None else (F.col("n") >= start) & (F.col("n") < end)
         index = [key(0, i, 0) for i in range(edits + 1)]
-        parts = [rows.where(own).select("h1", F.explode(F.array(*index)).alias("k"))]
+        parts = [cut(rows.where(own), index, 0)]
         if c:
-            parts.append(rows.where((F.col("n") >= start - edits) & (F.col("n") < start)).select("h1", F.explode(F.array(*index)).alias("k")))
+            parts.append(cut(rows.where((F.col("n") >= start - edits) & (F.col("n") < start)), index, 0))
         probes = [key(less, i, shift) for less in range(edits + 1) for i in range(edits + 1)
                   for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1) if less or shift]
         for at in range(0, len(probes), AT_ONCE):
-            parts.append(rows.where(own).select("h1", F.explode(F.array(*probes[at:at + AT_ONCE])).alias("k")))
+            parts.append(cut(rows.where(own), probes[at:at + AT_ONCE], 1))
         for part in parts:
-            part = part.where("k IS NOT NULL").select("h1", "k.key", "k.probe")
             out = part if out is None else out.union(part)
     return out
 
@@ -249,20 +252,22 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int |
                classes: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
     """Links between distinct lines: (a1, a2, b1, b2), the hashes of two lines within
     ``edits`` edits, those ``allowed`` by ``percent`` or those of their length class. ``distinct``: h1, h2, letters, keys (not for
-    classes) and, for the latter two, the length n; ``lines``: h1, h2, line, n."""
+    classes) and, for the latter two, the length n; ``lines``: h1, h2, line, n. For classes both have the line's number ``no``."""
     if percent is None and classes is None:
         rows = distinct.select("h1", "h2", "letters", F.lit(0).alias("n"), F.explode("keys").alias("k"))
         rows = rows.select("h1", "h2", "letters", "n", "k.key", "k.probe")
     else:
         # many keys, few of them shared: these are found by hashes alone and written first
+        key = Window.partitionBy("key")
         if classes:  # so many partitions that a task sorts some hundred thousand keys
             rows = class_keys(lines, classes).repartition(min(-(-lines.count() // LINES_PER_TASK) or 1, MAX_TASKS), "key")
+            rows = rows.withColumn("c", F.count(F.lit(1)).over(key)).withColumn("i", F.count_if(F.col("r") % 2 == 0).over(key))
+            rows = materialise(rows.where("c > 1 AND i > 0").select(F.expr("r div 2").alias("no"), "key", (F.col("r") % 2 == 1).alias("probe")), "line-keys")
+            rows = rows.join(distinct.select("no", "h1", "h2", "letters", "n"), "no")
         else:
             rows = distinct.select("h1", F.explode("keys").alias("k")).select("h1", "k.key", "k.probe")
-        key = Window.partitionBy("key")
-        rows = rows.withColumn("c", F.count(F.lit(1)).over(key)).withColumn("i", F.count_if(~F.col("probe")).over(key))
-        rows = rows.where("c > 1 AND i > 0").drop("c", "i")
-        rows = materialise(rows, "line-keys").join(distinct.select("h1", "h2", "letters", "n"), "h1")
+            rows = rows.withColumn("c", F.count(F.lit(1)).over(key)).withColumn("i", F.count_if(~F.col("probe")).over(key))
+            rows = materialise(rows.where("c > 1 AND i > 0").drop("c", "i"), "line-keys").join(distinct.select("h1", "h2", "letters", "n"), "h1")
     a = rows.where("NOT probe").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("letters").alias("af"), F.col("n").alias("an"))
     b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("letters").alias("bf"), F.col("n").alias("bn"), "probe")
     longer = F.greatest("an", "bn")
@@ -322,10 +327,11 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col:
     else:
         # here the keys are larger than the line, so they are cut after equal lines are folded
         facts = lines.select("h1", "h2", here.alias("at"), "n", "line")
-        distinct = materialise(facts.groupBy("h1", "h2").agg(*common, F.first("line").alias("line")), "line-facts")
+        distinct = facts.groupBy("h1", "h2").agg(*common, F.first("line").alias("line"))
+        distinct = materialise(distinct.withColumn("no", F.monotonically_increasing_id()), "line-facts")
         once = distinct.where(near)
         index = [] if classes else [scaled_keys(percent, F.col("line"), F.col("n")).alias("keys")]
-        links = line_links(once.select("h1", "h2", "n", letters, *index), once, edits, percent, classes)
+        links = line_links(once.select("no", "h1", "h2", "n", letters, *index), once, edits, percent, classes)
     links = materialise(links, "line-links")
     # numbers for the linked lines, then classes
     ends = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(links.select("b1", "b2"))

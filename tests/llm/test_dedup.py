@@ -206,8 +206,9 @@ def test_links_by_length_class_equal_brute_force(spark):
             lines.append("".join(b))
     lines = [x for x in dict.fromkeys(lines) if len(x) >= CLASSES[0][0]]
     rows = linededup._lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "doc_id", "text", CLASSES[0][0])
+    rows = materialise(rows.withColumn("no", F.monotonically_increasing_id()), "test-lines")
     hashes = {(r.h1, r.h2): r.line for r in rows.collect()}
-    facts = rows.select("h1", "h2", "n", linededup.letter_counts(F.col("line")).alias("letters"))
+    facts = rows.select("no", "h1", "h2", "n", linededup.letter_counts(F.col("line")).alias("letters"))
     found = linededup.line_links(facts, rows, 1, classes=CLASSES).collect()
     got = [frozenset((hashes[r.a1, r.a2], hashes[r.b1, r.b2])) for r in found]
     want = {frozenset(p) for p in itertools.combinations(lines, 2) if abs(len(p[0]) - len(p[1])) <= most(*p) and distance(*p) <= most(*p)}
