@@ -35,7 +35,7 @@ MARK = "▁"  # stands for a blank in pieces
 class PieceModel:
     """Pieces, scores and byte pieces of a model, with the prefix-table encoder."""
 
-    def __init__(self, model: bytes, cache: int = 75_000):
+    def __init__(self, model: bytes, cache: int = 300_000):
         import ahocorasick
         import sentencepiece
 
@@ -56,7 +56,6 @@ class PieceModel:
         self.length = [len(s) for s in self.piece]
         self.compatible: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.most = cache
         self.automaton = ahocorasick.Automaton()
         for s, i in self.id.items():
@@ -119,17 +118,14 @@ class PieceModel:
         """Ids of a text without an end id, as 32-bit integers."""
         if not text:
             return b""
-        cache, older, found = self.cache, self.older, []
+        cache, found = self.cache, []
         for part in PARTS.findall(MARK + text.replace(" ", MARK)):
             ids = cache.get(part)
             if ids is None:
-                ids = older.get(part)
-                if ids is None:
-                    ids = np.array(self.part(part), np.int32).tobytes()
+                ids = np.array(self.part(part), np.int32).tobytes()
                 if len(part) <= 64:
-                    if len(cache) >= self.most:  # what is not asked for again meanwhile goes next time
-                        self.older = older = cache
-                        self.cache = cache = {}
+                    if len(cache) >= self.most:
+                        cache.clear()
                     cache[part] = ids
             found.append(ids)
         return b"".join(found)
