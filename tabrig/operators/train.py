@@ -32,6 +32,7 @@ DEFAULT_PARAMS = {"num_trees": 100, "max_depth": 30, "gbt_iters": 100, "gbt_dept
                   "max_iter": 1000, "tol": 1e-4,  # tol: the usual logistic-regression default
                   "tree_memory_mb": 1024}  # histograms of as many nodes as fit are made in one pass over the rows
 PARALLEL_FITS = 4  # candidates fitted side by side, each in a scheduler pool of its own
+TASK_ROWS, MOST_TASK_ROWS = 10_000, 200_000  # of the rows that the candidates are fitted on
 IMPORTANCE_TOP = 10
 LABEL_IDX = "_label_idx"
 
@@ -47,8 +48,10 @@ def build_estimator(name: str, task: str, n_train: int, n_classes: int, params:
     """The Spark estimator for a candidate name."""
     p = {**DEFAULT_PARAMS, **(params or {})}
     fc, seed = "features", p["seed"]
-    # Ensembles keep each row's node instead of walking every tree again, and cut that lineage every ten rounds.
-    grown = {"maxMemoryInMB": p["tree_memory_mb"], "cacheNodeIds": True, "checkpointInterval": 10}
+    # Deep trees keep each row's node instead of walking every tree again; the few levels of a boosted tree are
+    # walked sooner than a table of nodes is kept for each. Lineages are cut every ten rounds.
+    flat = {"maxMemoryInMB": p["tree_memory_mb"], "checkpointInterval": 10}
+    grown = {**flat, "cacheNodeIds": True}
     if name == "logistic_regression":  # sklearn C=1 with summed loss == lambda 1/n on Spark's mean loss
         return LogisticRegression(featuresCol=fc, labelCol=LABEL_IDX, maxIter=p["max_iter"], tol=p["tol"],
                                   regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
@@ -58,7 +61,7 @@ def build_estimator(name: str, task: str, n_train: int, n_classes: int, params:
         return RandomForestClassifier(featuresCol=fc, labelCol=LABEL_IDX, **grown, numTrees=p["num_trees"],
                                       maxDepth=p["max_depth"], seed=seed, featureSubsetStrategy="sqrt")
     if name == "gradient_boosting":
-        gbt = GBTClassifier(featuresCol=fc, labelCol=LABEL_IDX, **grown, maxIter=p["gbt_iters"], stepSize=0.1,
+        gbt = GBTClassifier(featuresCol=fc, labelCol=LABEL_IDX, **flat, maxIter=p["gbt_iters"], stepSize=0.1,
                             maxDepth=p["gbt_depth"], seed=seed)
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=fc, labelCol=LABEL_IDX, parallelism=4)
     if name == "linear_regression":
@@ -69,7 +72,7 @@ def build_estimator(name: str, task: str, n_train: int, n_classes: int, params:
         return RandomForestRegressor(featuresCol=fc, labelCol=LABEL_IDX, **grown, numTrees=p["num_trees"],
                                      maxDepth=p["max_depth"], seed=seed, featureSubsetStrategy="all")
     if name == "gradient_boosting_regressor":
-        return GBTRegressor(featuresCol=fc, labelCol=LABEL_IDX, **grown, maxIter=p["gbt_iters"], stepSize=0.1,
+        return GBTRegressor(featuresCol=fc, labelCol=LABEL_IDX, **flat, maxIter=p["gbt_iters"], stepSize=0.1,
                             maxDepth=p["gbt_depth"], seed=seed)
     raise ValueError(f"Unsupported model selected: {name}")
 
@@ -131,6 +134,24 @@ class TrainResult:
             d.unpersist()
 
 
+def fit_tasks(rows: int, cores: int) -> int:
+    """Tasks of one pass over ``rows`` rows. A portfolio makes some thousand passes and every task of a
+    pass sends the histograms of all nodes, so there are no more tasks than cores, nor tasks of a few
+    rows, unless a task would hold too many."""
+    return max(1, min(cores, -(-rows // TASK_ROWS)), -(-rows // MOST_TASK_ROWS))
+
+
+def _dealt(side: DataFrame, rows: int) -> DataFrame:
+    """The cached ``side`` in as many partitions as its rows need, cached again if that changes them."""
+    tasks, held = fit_tasks(rows, side.sparkSession.sparkContext.defaultParallelism), side.rdd.getNumPartitions()
+    if tasks == held:
+        return side
+    out = (side.coalesce(tasks) if tasks < held else side.repartition(tasks)).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    side.unpersist()
+    return out
+
+
 def _with_key(df: DataFrame, row_key: str | None) -> tuple[DataFrame, str]:
     return (df, row_key) if row_key else (with_row_id(df), "_row_id")
 
@@ -199,6 +220,7 @@ def train_portfolio(df: DataFrame, target: str, models: list[str], task: str, ro
     # Both assembled sides are materialised: the split copy is no longer read,
     # so the cache holds one copy of the data while the portfolio trains.
     marked.unpersist()
+    train, test = _dealt(train, n_train), _dealt(test, n_test)
     n_classes = labels.count() if labels is not None else 0
     if task == "classification":
         train = train.where(F.col(LABEL_IDX) >= 0)

@@ -191,3 +191,26 @@ def test_record_and_report_of_pipeline_b(spark, sf, tmp_path):
     assert json.loads(record["metrics"]) == best["metrics"] and len(models) == 4
     assert all(spark.read.parquet(p).count() for p in json.loads(record["report_paths"]).values()) and json.loads(record["report_paths"])
     out["train"].unpersist()
+
+
+def test_candidates_are_fitted_in_tasks_by_rows(spark, monkeypatch):
+    """Few rows in many partitions go to one task, many in few partitions to as many as there are cores."""
+    from tabrig.operators import train as tr
+    assert tr.fit_tasks(0, 8) == 1 and tr.fit_tasks(25_000, 8) == 3 and tr.fit_tasks(10**6, 8) == 8 and tr.fit_tasks(10**7, 8) == 50
+    seen = {}
+
+    def fit_all(models, estimator, train):
+        seen.update(parts=train.rdd.getNumPartitions(), rows=sorted(tuple(r) for r in train.select("id", "_label").collect()),
+                    kept={m: estimator(m).getCacheNodeIds() for m in models if m != "logistic_regression"})
+        return {m: (None, None, ValueError("not fitted")) for m in models}
+
+    monkeypatch.setattr(tr, "_fit_all", fit_all)
+    df = spark.range(0, 400, 1, 16).select("id", (F.col("id") % 7).alias("x"), (F.col("id") % 2).cast("int").alias("y"))
+    models = ["logistic_regression", "decision_tree", "random_forest", "gradient_boosting"]
+    for most in (10_000, 100):
+        monkeypatch.setattr(tr, "TASK_ROWS", most)
+        got = tr.train_portfolio(df, "y", models, "classification", "id", mode="B")
+        assert seen["parts"] == tr.fit_tasks(got.train_rows, spark.sparkContext.defaultParallelism)
+        assert len(seen["rows"]) == got.train_rows and got.train_rows + got.test_rows == 400
+        got.unpersist()
+    assert seen["kept"] == {"decision_tree": True, "random_forest": True, "gradient_boosting": False}
