@@ -205,16 +205,12 @@ class WordIds:
         and finds the different parts; only those are looked up."""
         cut = pc.split_pattern(texts, " ")
         coded = cut.flatten().dictionary_encode()
-        blobs = self._blobs(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.kind.itemsize
-        start = np.cumsum(size) - size
-        part = coded.indices.to_numpy()
-        sizes = size[part]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(start[part] - (ends - sizes), sizes) + np.arange(total)
-        upto = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(cut).to_numpy())]
-        return np.diff(upto, prepend=0), np.frombuffer(b"".join(blobs), self.kind)[at]
+        blobs = pa.array(self._blobs(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary())
+        raw = blobs.cast(pa.large_binary()).take(coded.indices)  # the ids of all parts, one after the other
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
+        ends = np.frombuffer(raw.buffers()[1], np.int64)[:len(raw) + 1] // self.kind.itemsize
+        ids = np.frombuffer(raw.buffers()[2] or b"", self.kind)[:ends[-1]]
+        return np.diff(ends[upto]), ids
 
     def _blobs(self, parts: list[str]) -> list[bytes]:
         cache, words = self.cache, self.words
@@ -244,6 +240,9 @@ LETTERS = re.compile(f"[{LETTER}]+")
 RUNS = re.compile(f"[{LETTER}]+|[^{LETTER}]+")
 
 
+#: Documents whose different parts are looked up at once.
+ROWS_AT_ONCE = 5000
+
 _WORKER: dict = {}
 
 
@@ -284,8 +283,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _once(shared, _tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
                 sizes, ids = words.encode(pc.fill_null(batch.column(1), ""))
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 offsets = np.concatenate([[0], np.cumsum(sizes + 1)]) * kind.itemsize

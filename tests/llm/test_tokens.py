@@ -64,6 +64,24 @@ def test_word_ids_equal_the_library():
         assert ids[e - n:e].tolist() == whole.ids, t
 
 
+def test_word_ids_are_gathered_without_a_number_for_each():
+    import tracemalloc
+    with open(tokenfiles.default_tokenizer(), "rb") as f:
+        words = tokenfiles.WordIds(f.read(), np.dtype("<u2"))
+    texts = pa.array(["The quick brown fox, it's 1999. " * 300] * 100 + ["", " "], pa.string())
+    words.encode(texts)
+    tracemalloc.start()
+    sizes, ids = words.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.sum() == len(ids) > 200_000 and sizes[-2:].tolist() == [0, 0]
+    assert ids[:sizes[0]].tolist() == words.tokenizer.encode(texts[0].as_py(), add_special_tokens=False).ids
+    assert peak < 10 * len(ids)  # before: 24
+    for none in (pa.array([], pa.string()), pa.array([""], pa.string())):
+        sizes, ids = words.encode(none)
+        assert sizes.tolist() == [0] * len(none) and len(ids) == 0
+
+
 def test_token_file_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenfiles.default_tokenizer())
