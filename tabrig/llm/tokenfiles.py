@@ -25,7 +25,8 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
+from itertools import chain, compress, filterfalse
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -187,9 +188,10 @@ class WordIds:
             raw, ends = ids.tobytes(), (width * ends).tolist()
             found.update((p, raw[a:b]) for p, a, b in zip(group, [0, *(e + width * skip for e in ends[:-1])], ends, strict=True))
 
-        kinds: list[list[str]] = [[], [], []]
-        for p in parts:
-            kinds[0 if LETTERS.fullmatch(p) else 1 if "<|" not in p else 2].append(p)
+        letters = list(filter(LETTERS.fullmatch, parts))
+        kinds: list[list[str]] = [letters, [], []]
+        for p in set(parts).difference(letters):
+            kinds[1 if "<|" not in p else 2].append(p)
         for at in range(0, len(kinds[0]), 5000):
             together(kinds[0][at:at + 5000], " ", lambda ids: np.nonzero(self.ends[ids])[0] + 1, 0)
         for at in range(0, len(kinds[1]), 1000):
@@ -223,11 +225,14 @@ class WordIds:
         apart = set(odd)
         plain = [p for p in new if p not in apart] if odd else new
         lower = " ".join(plain).lower().split(" ") if plain else []
-        runs = [[p] if p.isalpha() else RUNS.findall(p) for p in lower] + [[p] for p in odd]
-        words.update(self._ids(set(filterfalse(words.__contains__, chain.from_iterable(runs)))))
+        whole = list(map(str.isalpha, lower))  # most parts are one run
+        cut = list(map(not_, whole))
+        ones = list(chain(compress(lower, whole), odd))
+        runs = list(map(RUNS.findall, compress(lower, cut)))
+        words.update(self._ids(set(filterfalse(words.__contains__, chain(ones, chain.from_iterable(runs))))))
         get = words.__getitem__
-        for p, ws in zip(chain(plain, odd), runs, strict=True):
-            cache[p] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+        cache.update(zip(chain(compress(plain, whole), odd), map(get, ones), strict=True))
+        cache.update((p, b"".join(map(get, ws))) for p, ws in zip(compress(plain, cut), runs, strict=True))
         return list(map(cache.__getitem__, parts))
 
 
