@@ -26,7 +26,8 @@ shares a key is verified by Spark's bounded ``levenshtein``.
 
 With ``classes`` the edits grow by steps, (16 characters, 1), (100, 2), (200, 4) in the corpus pipeline: the index and the probes are the
 segments above, as many as the longer line's class asks for, equal lines are folded before keys are cut, keys
-that no two lines share are dropped before anything else travels with them, and pairs are verified by the automaton.
+that no two lines share are dropped before anything else travels with them, and pairs are verified by the automaton. Lines
+under a key of many are measured from its hub first, which rules most of their pairs out (``class_links``).
 
 Defined results: a null text has no lines and stays; line ends are "\\n", all other
 characters count; documents equal in id and text are one document (what is removed from
@@ -46,6 +47,22 @@ from .common import col, materialise, packed, table, unpacked
 from .components import components
 
 LETTERS = " etaions"
+#: Letters that are counted too where only lines that share keys are concerned.
+MORE_LETTERS = ("hrdlucmf", "wypvbgkj", "qxz.,\"'-")
+#: Lines under a key of more than so many are measured from hubs, up to so many edits.
+HOT = 50
+REACH = 32
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """``materialise``, whose result replaces the shuffle files that led to it: these are removed as soon as it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialise(df, name, compression)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def segments(edits: int, length: Column) -> list[tuple[Column, Column]]:
@@ -157,10 +174,10 @@ def class_keys(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFr
     return out
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of common letters, a byte for each (at most 255)."""
+def letter_counts(line: Column, letters: str = LETTERS) -> Column:
+    """Counts of up to eight letters, a byte for each (at most 255)."""
     total = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
+    for i, c in enumerate(letters):
         n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long")
         total = total.bitwiseOR(F.shiftleft(n, 8 * i))
     return total
@@ -251,36 +268,28 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, equal_ch
 def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int | None = None,
                classes: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
     """Links between distinct lines: (a1, a2, b1, b2), the hashes of two lines within
-    ``edits`` edits, those ``allowed`` by ``percent`` or those of their length class. ``distinct``: h1, h2, letters, keys (not for
-    classes) and, for the latter two, the length n; ``lines``: h1, h2, line, n. For classes both have the line's number ``no``."""
-    if percent is None and classes is None:
+    ``edits`` edits, those ``allowed`` by ``percent`` or those of their length class. ``distinct``: h1, h2, letters, keys and, for
+    ``percent``, the length n; ``lines``: h1, h2, line, n. For classes ``lines`` alone is used and has the line's number ``no`` too."""
+    if classes:
+        return class_links(lines, classes)
+    if percent is None:
         rows = distinct.select("h1", "h2", "letters", F.lit(0).alias("n"), F.explode("keys").alias("k"))
         rows = rows.select("h1", "h2", "letters", "n", "k.key", "k.probe")
     else:
         # many keys, few of them shared: these are found by hashes alone and written first
         key = Window.partitionBy("key")
-        if classes:  # so many partitions that a task sorts some hundred thousand keys
-            rows = class_keys(lines, classes).repartition(min(-(-lines.count() // LINES_PER_TASK) or 1, MAX_TASKS), "key")
-            rows = rows.withColumn("c", F.count(F.lit(1)).over(key)).withColumn("i", F.count_if(F.col("r") % 2 == 0).over(key))
-            rows = materialise(rows.where("c > 1 AND i > 0").select(F.expr("r div 2").alias("no"), "key", (F.col("r") % 2 == 1).alias("probe")), "line-keys")
-            rows = rows.join(distinct.select("no", "h1", "h2", "letters", "n"), "no")
-        else:
-            rows = distinct.select("h1", F.explode("keys").alias("k")).select("h1", "k.key", "k.probe")
-            rows = rows.withColumn("c", F.count(F.lit(1)).over(key)).withColumn("i", F.count_if(~F.col("probe")).over(key))
-            rows = materialise(rows.where("c > 1 AND i > 0").drop("c", "i"), "line-keys").join(distinct.select("h1", "h2", "letters", "n"), "h1")
+        rows = distinct.select("h1", F.explode("keys").alias("k")).select("h1", "k.key", "k.probe")
+        rows = rows.withColumn("c", F.count(F.lit(1)).over(key)).withColumn("i", F.count_if(~F.col("probe")).over(key))
+        rows = materialise(rows.where("c > 1 AND i > 0").drop("c", "i"), "line-keys").join(distinct.select("h1", "h2", "letters", "n"), "h1")
     a = rows.where("NOT probe").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("letters").alias("af"), F.col("n").alias("an"))
     b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("letters").alias("bf"), F.col("n").alias("bn"), "probe")
     longer = F.greatest("an", "bn")
-    most = edits_of(longer, classes) if classes else F.lit(edits) if percent is None else allowed(longer, percent)
+    most = F.lit(edits) if percent is None else allowed(longer, percent)
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     once = F.col("probe") | (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
     near = a.join(b, (a["key"] == b["key"]) & differ & once & (letters_apart(F.col("af"), F.col("bf")) <= 2 * most)
                   & (F.abs(F.col("an") - F.col("bn")) <= most))
     near = near.select("a1", "a2", "b1", "b2")
-    if classes:  # two lines of one length may meet as index and probe either way round
-        ends = F.array_sort(F.array(F.struct(F.col("a1").alias("x"), F.col("a2").alias("y")), F.struct(F.col("b1").alias("x"), F.col("b2").alias("y"))))
-        near = near.select(ends.alias("e")).select(F.col("e")[0]["x"].alias("a1"), F.col("e")[0]["y"].alias("a2"),
-                                                   F.col("e")[1]["x"].alias("b1"), F.col("e")[1]["y"].alias("b2"))
     pairs = materialise(near.distinct(), "line-candidates")
     needed = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
     # the candidates grow with the corpus, so this is a sort-merge join at every size
@@ -293,24 +302,97 @@ def line_links(distinct: DataFrame, lines: DataFrame, edits: int, percent: int |
         known = known.withColumn("most", allowed(F.greatest(F.length("a"), F.length("b")), percent))
         known = materialise(trimmed(known), "line-pairs")
         return known.where("levenshtein(a, b, most) >= 0").select("a1", "a2", "b1", "b2")
-    longer = F.greatest(F.length("a"), F.length("b"))
-    known = trimmed(known.withColumn("most", edits_of(longer, classes) if classes else F.lit(edits)))
-    known = known.select("a1", "a2", "b1", "b2", "most", characters("a").alias("a"), characters("b").alias("b"))
+    return verified(known.withColumn("most", F.lit(edits)), edits)
+
+
+def verified(known: DataFrame, edits: int) -> DataFrame:
+    """(a1, a2, b1, b2) of the pairs of texts ``a`` and ``b`` within ``most`` edits, ``edits`` at most."""
+    known = trimmed(known).select("a1", "a2", "b1", "b2", "most", characters("a").alias("a"), characters("b").alias("b"))
     # written first: else the planner moves the filter below and cuts the texts anew at each step
-    known = materialise(known, "line-pairs")
-    apart = edits_between(F.col("a"), F.col("b"), max(k for _, k in classes) if classes else edits)
-    return known.where(apart <= F.col("most")).select("a1", "a2", "b1", "b2")
+    known = written(known, "line-pairs")
+    return known.where(edits_between(F.col("a"), F.col("b"), edits) <= F.col("most")).select("a1", "a2", "b1", "b2")
+
+
+def hub_distances(hot: DataFrame, texts: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(no, hub, away, near) of the lines of rows (no, key): ``away`` is the edit distance from the line's hub, ``REACH`` + 1 if it is
+    more than ``REACH``, and ``near`` whether the two are linked. As hubs serve the lines that have most links to
+    the next line under each of their keys, in an order by hash; a line takes the best one under its keys, then the best one that others there have taken."""
+    def measured(pairs: DataFrame, reach: int) -> DataFrame:
+        x, y = pairs.columns
+        known = pairs.join(texts.select(F.col("no").alias(x), F.col("n").alias("xn"), F.col("line").alias("xl")), x)
+        known = known.join(texts.select(F.col("no").alias(y), F.col("n").alias("yn"), F.col("line").alias("yl")), y)
+        away = F.expr(f"levenshtein(xl, yl, {reach})")
+        known = known.repartition(-(-pairs.count() // 1000) or 1, x, y).withColumn("away", F.when(away < 0, reach + 1).otherwise(away))
+        return known.select(x, y, "away", (F.col("away") <= edits_of(F.greatest("xn", "yn"), classes)).alias("near"))
+
+    following = Window.partitionBy("key").orderBy(F.xxhash64("no", "key"))
+    most = max(k for _, k in classes)
+    rows = hot.join(texts.select("no", "n", "letters0"), "no").select("*", F.lead(F.struct("no", "n", "letters0")).over(following).alias("next"))
+    rows = rows.where((letters_apart(F.col("letters0"), F.col("next.letters0")) <= 2 * most) & (F.abs(F.col("n") - F.col("next.n")) <= most))
+    some = rows.select(F.least("no", "next.no").alias("no"), F.greatest("no", "next.no").alias("other")).where("no <> other").distinct()
+    linked = measured(written(some, "line-some"), most).where("near").select(F.explode(F.array("no", "other")).alias("no"))
+    weights = written(linked.groupBy("no").agg(F.count(F.lit(1)).alias("w")), "line-weights")
+    best = hot.join(weights, "no", "left").select("no", "key", F.struct(F.coalesce("w", F.lit(0)).alias("w"), F.col("no").alias("hub")).alias("best"))
+    for _ in range(2):
+        best = hot.join(best.groupBy("key").agg(F.max("best").alias("best")), "key")
+        best = hot.join(written(best.groupBy("no").agg(F.max("best").alias("best")), "line-hubs"), "no")
+    return written(measured(written(best.select("no", "best.hub").distinct(), "line-spokes"), REACH), "line-distances")
+
+
+def class_links(lines: DataFrame, classes: tuple[tuple[int, int], ...], all_links: bool = True) -> DataFrame:
+    """``line_links`` of rows (no, h1, h2, n, line) for ``classes``. Without ``all_links`` those between two lines that are both
+    linked to one hub may be missing, which leaves the classes as they are.
+
+    Lines under a key of more than ``HOT`` have hubs and are measured from them. Two lines of one hub whose distances
+    from it differ by more edits than they are allowed are not linked (triangle inequality)."""
+    # many keys, few of them shared: these are found by hashes alone and written first
+    key = Window.partitionBy("key")
+    # so many partitions that a task sorts some hundred thousand keys
+    rows = class_keys(lines, classes).repartition(min(-(-lines.count() // LINES_PER_TASK) or 1, MAX_TASKS), "key")
+    rows = rows.withColumn("c", F.count(F.lit(1)).over(key)).withColumn("i", F.count_if(F.col("r") % 2 == 0).over(key))
+    rows = written(rows.where("c > 1 AND i > 0").select(F.expr("r div 2").alias("no"), "key", (F.col("r") % 2 == 1).alias("probe"), "c"), "line-keys")
+    # texts of the lines that share keys; their number grows with the corpus, so this is a sort-merge join at every size
+    texts = lines.select("no", "h1", "h2", "n", "line").join(rows.select("no").distinct().hint("merge"), "no", "left_semi")
+    counts = [f"letters{i}" for i in range(1 + len(MORE_LETTERS))]
+    texts = texts.withColumns({c: letter_counts(F.col("line"), x) for c, x in zip(counts, (LETTERS, *MORE_LETTERS), strict=True)})
+    texts = written(texts, "line-texts", "zstd")
+    away = hub_distances(rows.where(F.col("c") > HOT).select("no", "key"), texts, classes)
+    rows = rows.join(texts.select("no", "n", *counts), "no").join(away, "no", "left")
+    facts = ["no", "n", *counts, "hub", "away", "near"]
+    a = rows.where("NOT probe").select("key", *[F.col(c).alias("a_" + c) for c in facts])
+    b = rows.select(F.col("key").alias("b_key"), "probe", *[F.col(c).alias("b_" + c) for c in facts])
+    most = edits_of(F.greatest("a_n", "b_n"), classes)
+    once = (F.col("a_no") != F.col("b_no")) & (F.col("probe") | (F.col("a_no") < F.col("b_no")))
+    longer = F.abs(F.col("a_n") - F.col("b_n"))
+    one_hub = F.coalesce(F.col("a_hub") == F.col("b_hub"), F.lit(False))
+    may = (longer <= most) & (~one_hub | (F.abs(F.col("a_away") - F.col("b_away")) <= most))
+    if not all_links:
+        may = may & ~(one_hub & F.col("a_near") & F.col("b_near"))
+    # an edit that makes a line longer changes the count of one letter, any other edit those of two at most
+    may = may & (sum((letters_apart(F.col("a_" + c), F.col("b_" + c)) for c in counts), longer) <= 2 * most)
+    pairs = a.join(b, (F.col("key") == F.col("b_key")) & once & may).select("a_no", "b_no")
+    if not all_links:  # the links to the hubs, which stand for those left out
+        pairs = pairs.union(away.where("near AND no <> hub").select("no", "hub"))
+    # two lines of one length may meet as index and probe either way round
+    pairs = written(pairs.select(F.least("a_no", "b_no").alias("a_no"), F.greatest("a_no", "b_no").alias("b_no")).distinct(), "line-candidates")
+    known = pairs.join(texts.select("no", "h1", "h2", "line").toDF("a_no", "a1", "a2", "a"), "a_no")
+    known = known.join(texts.select("no", "h1", "h2", "line").toDF("b_no", "b1", "b2", "b"), "b_no").drop("a_no", "b_no")
+    # little data but much work: tasks of about a thousand pairs
+    known = known.repartition(-(-pairs.count() // 1000) or 1, "a1", "b1")
+    known = known.withColumn("most", edits_of(F.greatest(F.length("a"), F.length("b")), classes))
+    return verified(known, max(k for _, k in classes))
 
 
 def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text",
                    percent: int | None = None, equal_chars: int | None = None,
-                   classes: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
+                   classes: tuple[tuple[int, int], ...] | None = None, all_links: bool = True) -> DataFrame:
     """A row for each document (id and ``th``) that holds lines linked or equal to others:
     ``removed``, the numbers (from 0) of its lines that are not the first of their class, and ``links``, the
     number of links of its lines to lines that differ from them. With ``percent`` the edits
     grow with the lines (``allowed``), with ``classes`` ((length from, edits), ascending; the first length is
     ``min_chars``) by steps, and ``edits`` is not used; with ``equal_chars``
-    lines shorter than ``min_chars`` count where they are equal."""
+    lines shorter than ``min_chars`` count where they are equal. Without ``all_links`` (for ``classes``) links that the
+    classes of lines do not need may be left out of ``links``."""
     if classes:
         min_chars = classes[0][0]
     lines = _lines(docs, id_col, text_col, min_chars, equal_chars)
@@ -328,11 +410,13 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col:
         # here the keys are larger than the line, so they are cut after equal lines are folded
         facts = lines.select("h1", "h2", here.alias("at"), "n", "line")
         distinct = facts.groupBy("h1", "h2").agg(*common, F.first("line").alias("line"))
-        distinct = materialise(distinct.withColumn("no", F.monotonically_increasing_id()), "line-facts")
+        distinct = written(distinct.withColumn("no", F.monotonically_increasing_id()), "line-facts", "zstd")
         once = distinct.where(near)
-        index = [] if classes else [scaled_keys(percent, F.col("line"), F.col("n")).alias("keys")]
-        links = line_links(once.select("no", "h1", "h2", "n", letters, *index), once, edits, percent, classes)
-    links = materialise(links, "line-links")
+        if classes:
+            links = class_links(once, classes, all_links)
+        else:
+            links = line_links(once.select("h1", "h2", "n", letters, scaled_keys(percent, F.col("line"), F.col("n")).alias("keys")), once, edits, percent)
+    links = written(links, "line-links")
     # numbers for the linked lines, then classes
     ends = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(links.select("b1", "b2"))
     nodes = materialise(ends.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links")).withColumn(
@@ -341,7 +425,7 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col:
     edges = links.join(names.toDF("a1", "a2", "a"), ["a1", "a2"]).join(names.toDF("b1", "b2", "b"), ["b1", "b2"]).select("a", "b")
     labelled = nodes.join(components(edges), "node").select("h1", "h2", "links", "label")
     some = distinct.select("h1", "h2", "at", "rows").join(labelled, ["h1", "h2"], "left").where("rows > 1 OR label IS NOT NULL")
-    some = materialise(some, "line-classes")
+    some = written(some, "line-classes")
     first = some.where("label IS NOT NULL").groupBy("label").agg(F.min("at").alias("first"))
     classes = some.join(first, "label", "left").select("h1", "h2", F.coalesce("first", "at").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
     found = lines.select("id", "th", "pos", "h1", "h2").join(classes, ["h1", "h2"])
@@ -352,7 +436,7 @@ def repeated_lines(docs: DataFrame, edits: int = 1, min_chars: int = 16, id_col:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without their repeated lines, with the input's columns."""
-    found = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).select(
+    found = repeated_lines(docs, id_col=id_col, text_col=text_col, all_links=False, **options).select(
         F.col("id").alias("rid"), F.col("th").alias("rth"), "removed").where(F.size("removed") > 0)
     text = F.col("row").getField(text_col)
     rows = packed(docs, id=col(id_col), th=F.xxhash64(col(text_col)))
