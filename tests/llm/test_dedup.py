@@ -244,3 +244,32 @@ def test_very_long_lines(spark, n):
     docs = docs.unionByName(spark.range(1).selectExpr("7L AS doc_id", f"'y' || repeat('abcdefghij', {n // 10}) || 'zzzzend' AS text"))
     got = {r["doc_id"] for r in linededup.dedup_lines(docs, classes=linededup.CLASSES, equal_chars=1).select("doc_id").collect()}
     assert got == {0, 7}
+
+
+@pytest.mark.parametrize("all_links", [True, False])
+def test_lines_measured_from_hubs(spark, monkeypatch, all_links):
+    """A group of near copies and their guests: all links, or, without those between lines of one hub, the same classes."""
+    monkeypatch.setattr(linededup, "HOT", 3)
+    rnd = random.Random(12)
+    base = "a line of some forty letters, with copies"
+    lines = [base]
+    for i in range(70):
+        b = list(base)
+        for _ in range(1 + i % 3):
+            at = rnd.randrange(len(b))
+            b[at:at + 1] = rnd.choice([[], ["#"], [b[at], rnd.choice("xyz")]])
+        lines.append("".join(b))
+    lines = list(dict.fromkeys(lines))
+    rows = spark.createDataFrame(list(enumerate(lines)), "no long, line string").select("no", "line", F.length("line").alias("n"))
+    rows = materialise(rows.withColumns({"h1": F.col("no"), "h2": F.lit(0).cast("long")}), "test-lines")
+    tested = []
+    real = linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, name, *a: tested.append((name, out := real(df, name, *a))) or out)
+    got = {(r.a1, r.b1) for r in linededup.class_links(rows, ((16, 1), (30, 2)), all_links).collect()}
+    want = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if distance(lines[a], lines[b]) <= 2}
+    pairs = next(df for name, df in tested if name == "line-candidates").count()
+    if all_links:
+        assert got == want
+    else:
+        assert got < want and classes(got, range(len(lines))) == classes(want, range(len(lines)))
+        assert pairs < len(want)
