@@ -27,7 +27,7 @@ shares a key is verified by Spark's bounded ``levenshtein``.
 With ``classes`` the edits grow by steps, (16 characters, 1), (100, 2), (200, 4) in the corpus pipeline: the index and the probes are the
 segments above, as many as the longer line's class asks for, equal lines are folded before keys are cut, keys
 that no two lines share are dropped before anything else travels with them, and pairs are verified by the automaton. Lines
-under a key of many are measured from its hub first, which rules most of their pairs out (``class_links``).
+under a key of many are measured from its hub and meet by the places where they differ from it, not under the key (``class_links``).
 
 Defined results: a null text has no lines and stays; line ends are "\\n", all other
 characters count; documents equal in id and text are one document (what is removed from
@@ -52,6 +52,8 @@ MORE_LETTERS = ("hrdlucmf", "wypvbgkj", "qxz.,\"'-")
 #: Lines under a key of more than so many are measured from hubs, up to so many edits.
 HOT = 50
 REACH = 32
+#: Parts of a hub by which lines that differ from it meet.
+PARTS = 64
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -217,17 +219,16 @@ def within_edits(x: Column, y: Column, edits: int) -> Column:
     return edits_between(x, y, edits).isNotNull()
 
 
-def edits_between(x: Column, y: Column, edits: int) -> Column:
-    """The edit distance of two texts, as columns of arrays of characters, if it is at
-    most ``edits``, else null. ``r[d]`` holds in bit i + edits whether d edits lead from the
+def automaton(x: Column, y: Column, edits: int):
+    """(start, step) of a bit-parallel edit automaton over ``x``. ``r[d]`` holds in bit i + edits whether d edits lead from the
     characters of ``x`` up to j to those of ``y`` up to j + i; the next character matches where
-    the bit of ``equal`` is set."""
+    the bit of ``equal`` is set. A step yields the new ``r[d]``, from 0 to ``edits``."""
     k, full = edits, (1 << (2 * edits + 1)) - 1
 
     def bits(v: int) -> Column:
         return F.lit(v).cast("int")
 
-    def step(r: Column, j: Column) -> Column:
+    def step(r: Column, j: Column) -> list[Column]:
         c = F.get(x, j)
         equal = bits(0)
         for i in range(-k, k + 1):
@@ -239,18 +240,44 @@ def edits_between(x: Column, y: Column, edits: int) -> Column:
             moved = moved.bitwiseOR(F.shiftright(old, 1))  # a character of a only
             moved = moved.bitwiseOR(F.shiftleft(out[-1], 1).bitwiseAND(bits(full)))  # a character of b only
             out.append(moved)
-        alive = F.struct(*[o.alias(f"r{d}") for d, o in enumerate(out)])
-        return F.when(r[f"r{k}"] == 0, r).otherwise(alive)  # nothing is reachable any more
+        return [o.alias(f"r{d}") for d, o in enumerate(out)]
+
+    return [bits(((1 << (d + 1)) - 1) << k).alias(f"r{d}") for d in range(k + 1)], step
+
+
+def positions(x: Column) -> Column:
+    return F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
 
-    start = F.struct(*[bits(((1 << (d + 1)) - 1) << k).alias(f"r{d}") for d in range(k + 1)])
+
+def edits_between(x: Column, y: Column, edits: int) -> Column:
+    """The edit distance of two texts, as columns of arrays of characters, if it is at
+    most ``edits``, else null."""
+    k = edits
+    start, step = automaton(x, y, k)
     apart = F.size(y) - F.size(x)
-    steps = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
     at = F.greatest(F.least(apart, F.lit(k)), F.lit(-k)) + k
 
+    def alive(r: Column, j: Column) -> Column:
+        return F.when(r[f"r{k}"] == 0, r).otherwise(F.struct(*step(r, j)))  # nothing is reachable any more
+
     def least(end: Column) -> Column:
         return F.coalesce(*[F.when(F.getbit(end[f"r{d}"], at) == 1, d) for d in range(k + 1)])
 
-    return F.when(F.abs(apart) <= k, F.aggregate(steps, start, step, least))
+    return F.when(F.abs(apart) <= k, F.aggregate(positions(x), F.struct(*start), alive, least))
+
+
+def edits_reach(x: Column, y: Column, edits: int, most: Column) -> Column:
+    """How many characters of the beginning of ``x`` are within ``most`` edits (``edits`` at most) of some beginning of ``y``; both are
+    columns of arrays of characters. Places beyond the end of ``y`` count as reachable, so that it may be more, never less."""
+    start, step = automaton(x, y, edits)
+
+    def known(r: Column) -> Column:  # with the state of the last character
+        return r["known"] + F.coalesce(*[F.when(most == d, (r[f"r{d}"] != 0).cast("int")) for d in range(edits + 1)], F.lit(1))
+
+    def alive(r: Column, j: Column) -> Column:
+        return F.when(r[f"r{edits}"] == 0, r).otherwise(F.struct(*step(r, j), known(r).alias("known")))
+
+    return F.aggregate(positions(x), F.struct(*start, F.lit(0).alias("known")), alive, lambda r: known(r) - 1)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, equal_chars: int | None = None) -> DataFrame:
@@ -313,38 +340,85 @@ def verified(known: DataFrame, edits: int) -> DataFrame:
     return known.where(edits_between(F.col("a"), F.col("b"), edits) <= F.col("most")).select("a1", "a2", "b1", "b2")
 
 
-def hub_distances(hot: DataFrame, texts: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
-    """(no, hub, away, near) of the lines of rows (no, key): ``away`` is the edit distance from the line's hub, ``REACH`` + 1 if it is
-    more than ``REACH``, and ``near`` whether the two are linked. As hubs serve the lines that have most links to
-    the next line under each of their keys, in an order by hash; a line takes the best one under its keys, then the best one that others there have taken."""
-    def measured(pairs: DataFrame, reach: int) -> DataFrame:
-        x, y = pairs.columns
-        known = pairs.join(texts.select(F.col("no").alias(x), F.col("n").alias("xn"), F.col("line").alias("xl")), x)
-        known = known.join(texts.select(F.col("no").alias(y), F.col("n").alias("yn"), F.col("line").alias("yl")), y)
-        away = F.expr(f"levenshtein(xl, yl, {reach})")
-        known = known.repartition(-(-pairs.count() // 1000) or 1, x, y).withColumn("away", F.when(away < 0, reach + 1).otherwise(away))
-        return known.select(x, y, "away", (F.col("away") <= edits_of(F.greatest("xn", "yn"), classes)).alias("near"))
+def measured(pairs: DataFrame, texts: DataFrame, classes: tuple[tuple[int, int], ...], reach: int) -> DataFrame:
+    """Pairs of line numbers with ``away``, their edit distance (``reach`` + 1 if it is more than ``reach``), and ``near``, whether
+    the two are linked; ``xn``, ``xl``, ``yn`` and ``yl`` are lengths and texts."""
+    x, y = pairs.columns
+    known = pairs.join(texts.select(F.col("no").alias(x), F.col("n").alias("xn"), F.col("line").alias("xl")), x)
+    known = known.join(texts.select(F.col("no").alias(y), F.col("n").alias("yn"), F.col("line").alias("yl")), y)
+    away = F.expr(f"levenshtein(xl, yl, {reach})")
+    known = known.repartition(-(-pairs.count() // 1000) or 1, x, y).withColumn("away", F.when(away < 0, reach + 1).otherwise(away))
+    return known.withColumn("near", F.col("away") <= edits_of(F.greatest("xn", "yn"), classes))
 
+
+def key_hubs(hot: DataFrame, texts: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(key, hub) of the keys of rows (no, key). As hubs serve the lines that have most links to the next line under each of their
+    keys, in an order by hash; a line takes the best one under its keys, a key the best one that its lines have taken."""
     following = Window.partitionBy("key").orderBy(F.xxhash64("no", "key"))
     most = max(k for _, k in classes)
     rows = hot.join(texts.select("no", "n", "letters0"), "no").select("*", F.lead(F.struct("no", "n", "letters0")).over(following).alias("next"))
     rows = rows.where((letters_apart(F.col("letters0"), F.col("next.letters0")) <= 2 * most) & (F.abs(F.col("n") - F.col("next.n")) <= most))
     some = rows.select(F.least("no", "next.no").alias("no"), F.greatest("no", "next.no").alias("other")).where("no <> other").distinct()
-    linked = measured(written(some, "line-some"), most).where("near").select(F.explode(F.array("no", "other")).alias("no"))
+    linked = measured(written(some, "line-some"), texts, classes, most).where("near").select(F.explode(F.array("no", "other")).alias("no"))
     weights = written(linked.groupBy("no").agg(F.count(F.lit(1)).alias("w")), "line-weights")
-    best = hot.join(weights, "no", "left").select("no", "key", F.struct(F.coalesce("w", F.lit(0)).alias("w"), F.col("no").alias("hub")).alias("best"))
-    for _ in range(2):
-        best = hot.join(best.groupBy("key").agg(F.max("best").alias("best")), "key")
-        best = hot.join(written(best.groupBy("no").agg(F.max("best").alias("best")), "line-hubs"), "no")
-    return written(measured(written(best.select("no", "best.hub").distinct(), "line-spokes"), REACH), "line-distances")
+    best = hot.join(weights, "no", "left").select("key", F.struct(F.coalesce("w", F.lit(0)).alias("w"), F.col("no").alias("hub")).alias("best"))
+    best = hot.join(best.groupBy("key").agg(F.max("best").alias("best")), "key")
+    best = hot.join(written(best.groupBy("no").agg(F.max("best").alias("best")), "line-hubs"), "no")
+    return written(best.groupBy("key").agg(F.max("best").alias("best")).select("key", "best.hub"), "key-hubs")
+
+
+def hub_places(spokes: DataFrame, texts: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(no, hub, away, near, low, high, first, last) of rows (no, hub). ``away`` is the edit distance from the hub, ``REACH`` + 1 if it is
+    more than ``REACH``, and ``near`` whether the two are linked. The rest are places in the hub's text: the line holds what is before
+    ``low`` and from ``high`` on unchanged, and ``last`` (``first``) is how far the hub's text can be followed from its beginning (its end) within the
+    edits that any partner of the line allows."""
+    most = max(k for _, k in classes)
+    known = written(measured(spokes, texts, classes, REACH).withColumn("most", edits_of(F.col("xn") + most, classes)), "line-distances")
+    close = known.where(F.col("away") <= REACH)
+    close = close.withColumn("low", common_prefix(F.col("xl"), F.col("yl"))).withColumns({x: F.reverse(x) for x in ("xl", "yl")})
+    close = close.withColumn("same", common_prefix(F.col("xl"), F.col("yl")))
+    rest = {"x1": F.reverse(F.expr("left(xl, xn - low)")), "y1": F.reverse(F.expr("left(yl, yn - low)")),
+            "x2": F.expr("substr(xl, same + 1)"), "y2": F.expr("substr(yl, same + 1)")}
+    apart = F.col("away") > F.col("most")
+    close = close.withColumns({x: F.when(apart, v).otherwise("") for x, v in rest.items()})
+    # written first, as in ``verified``
+    close = written(close.select("no", "hub", "away", "near", "most", "yn", "low", "same", *[characters(x).alias(x) for x in rest]), "line-spoke-texts")
+    onward = edits_reach(F.col("y1"), F.col("x1"), most, F.col("most"))
+    back = edits_reach(F.col("y2"), F.col("x2"), most, F.col("most"))
+    apart = F.col("away") > F.col("most")
+    close = close.select("no", "hub", "away", "near", "yn", "low", (F.col("yn") - F.col("same")).alias("high"),
+                         F.when(apart, F.col("yn") - F.col("same") - back).otherwise(0).alias("first"),
+                         F.when(apart, F.col("low") + onward).otherwise(F.col("yn")).alias("last"))
+    far = known.where(F.col("away") > REACH).select("no", "hub", "away", "near", "yn", *[F.lit(None).cast("int").alias(c) for c in ("low", "high", "first", "last")])
+    return written(close.union(far), "line-places")
+
+
+def hub_pairs(places: DataFrame, facts: DataFrame, may: Column, all_links: bool) -> DataFrame:
+    """(a_no, b_no) of lines of one hub that may be linked, ``may`` aside from what the hub tells: their distances from it (triangle
+    inequality) and where they differ from it. If b is within its edits of a, then what a leaves unchanged of the hub's
+    beginning can be followed in b: b's ``last`` is not before a's ``low``, and so with the end, ``first`` and ``high``. So a's
+    ``low`` .. ``high`` and b's ``first`` .. ``last`` have a place in common (``last``, if that is before ``first``) and the lines meet under its part."""
+    rows = places.where(F.col("away") <= REACH).join(facts, "no")
+
+    def parts(low: str, high: str) -> Column:
+        return F.explode(F.sequence(*[F.expr(f"cast(({x} * {PARTS}L) div (yn + 1) as int)") for x in (low, high)]))
+
+    names = [c for c in rows.columns if c != "hub"]
+    a = rows.select("*", parts("low", "greatest(low, high)").alias("part")).select("hub", "part", *[F.col(c).alias("a_" + c) for c in names])
+    b = rows if all_links else rows.where("NOT near")
+    b = b.select("*", parts("least(first, last)", "last").alias("part"))
+    b = b.select(F.col("hub").alias("b_hub"), F.col("part").alias("b_part"), *[F.col(c).alias("b_" + c) for c in names])
+    meet = (F.col("hub") == F.col("b_hub")) & (F.col("part") == F.col("b_part")) & (F.col("a_no") != F.col("b_no"))
+    places_meet = F.expr("a_low <= b_last AND a_high >= b_first AND b_low <= a_last AND b_high >= a_first")
+    return a.join(b, meet & places_meet & may).select("a_no", "b_no")
 
 
 def class_links(lines: DataFrame, classes: tuple[tuple[int, int], ...], all_links: bool = True) -> DataFrame:
     """``line_links`` of rows (no, h1, h2, n, line) for ``classes``. Without ``all_links`` those between two lines that are both
     linked to one hub may be missing, which leaves the classes as they are.
 
-    Lines under a key of more than ``HOT`` have hubs and are measured from them. Two lines of one hub whose distances
-    from it differ by more edits than they are allowed are not linked (triangle inequality)."""
+    A key of more than ``HOT`` lines has a hub, from which they are measured. Those within ``REACH`` meet by places (``hub_pairs``); under the
+    key remain the others and those that are near enough to ``REACH`` to be linked to them."""
     # many keys, few of them shared: these are found by hashes alone and written first
     key = Window.partitionBy("key")
     # so many partitions that a task sorts some hundred thousand keys
@@ -356,23 +430,27 @@ def class_links(lines: DataFrame, classes: tuple[tuple[int, int], ...], all_link
     counts = [f"letters{i}" for i in range(1 + len(MORE_LETTERS))]
     texts = texts.withColumns({c: letter_counts(F.col("line"), x) for c, x in zip(counts, (LETTERS, *MORE_LETTERS), strict=True)})
     texts = written(texts, "line-texts", "zstd")
-    away = hub_distances(rows.where(F.col("c") > HOT).select("no", "key"), texts, classes)
-    rows = rows.join(texts.select("no", "n", *counts), "no").join(away, "no", "left")
-    facts = ["no", "n", *counts, "hub", "away", "near"]
-    a = rows.where("NOT probe").select("key", *[F.col(c).alias("a_" + c) for c in facts])
-    b = rows.select(F.col("key").alias("b_key"), "probe", *[F.col(c).alias("b_" + c) for c in facts])
+    hot = rows.where(F.col("c") > HOT).drop("c")
+    hubs = key_hubs(hot.select("no", "key"), texts, classes)
+    places = hub_places(written(hot.join(hubs, "key").select("no", "hub").distinct(), "line-spokes"), texts, classes)
+    outer = places.where(F.col("away") > REACH - max(k for _, k in classes)).select("no", "hub")
+    outer = written(hot.join(hubs, "key").join(outer, ["no", "hub"], "left_semi").select("no", "key", "probe"), "line-outer")
+    facts = texts.select("no", "n", *counts)
+    # one of the hubs that the line is linked to
+    home = places.where("near").groupBy("no").agg(F.min("hub").alias("home"))
+    rows = rows.where(F.col("c") <= HOT).select("no", "key", "probe").union(outer).join(facts.join(home, "no", "left"), "no")
+    a = rows.where("NOT probe").select("key", *[F.col(c).alias("a_" + c) for c in ("no", "n", "home", *counts)])
+    b = rows.select(F.col("key").alias("b_key"), "probe", *[F.col(c).alias("b_" + c) for c in ("no", "n", "home", *counts)])
     most = edits_of(F.greatest("a_n", "b_n"), classes)
     once = (F.col("a_no") != F.col("b_no")) & (F.col("probe") | (F.col("a_no") < F.col("b_no")))
     longer = F.abs(F.col("a_n") - F.col("b_n"))
-    one_hub = F.coalesce(F.col("a_hub") == F.col("b_hub"), F.lit(False))
-    may = (longer <= most) & (~one_hub | (F.abs(F.col("a_away") - F.col("b_away")) <= most))
-    if not all_links:
-        may = may & ~(one_hub & F.col("a_near") & F.col("b_near"))
     # an edit that makes a line longer changes the count of one letter, any other edit those of two at most
-    may = may & (sum((letters_apart(F.col("a_" + c), F.col("b_" + c)) for c in counts), longer) <= 2 * most)
-    pairs = a.join(b, (F.col("key") == F.col("b_key")) & once & may).select("a_no", "b_no")
+    may = (longer <= most) & (sum((letters_apart(F.col("a_" + c), F.col("b_" + c)) for c in counts), longer) <= 2 * most)
+    new = F.lit(True) if all_links else ~F.coalesce(F.col("a_home") == F.col("b_home"), F.lit(False))
+    pairs = a.join(b, (F.col("key") == F.col("b_key")) & once & may & new).select("a_no", "b_no")
+    pairs = pairs.union(hub_pairs(places, facts, may & (F.abs(F.col("a_away") - F.col("b_away")) <= most), all_links))
     if not all_links:  # the links to the hubs, which stand for those left out
-        pairs = pairs.union(away.where("near AND no <> hub").select("no", "hub"))
+        pairs = pairs.union(places.where("near AND no <> hub").select("no", "hub"))
     # two lines of one length may meet as index and probe either way round
     pairs = written(pairs.select(F.least("a_no", "b_no").alias("a_no"), F.greatest("a_no", "b_no").alias("b_no")).distinct(), "line-candidates")
     known = pairs.join(texts.select("no", "h1", "h2", "line").toDF("a_no", "a1", "a2", "a"), "a_no")

@@ -273,3 +273,43 @@ def test_lines_measured_from_hubs(spark, monkeypatch, all_links):
     else:
         assert got < want and classes(got, range(len(lines))) == classes(want, range(len(lines)))
         assert pairs < len(want)
+
+
+def test_edits_reach(spark):
+    rnd = random.Random(13)
+    rows = [(i, "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 14))), "".join(rnd.choice("ab") for _ in range(14)), rnd.randint(0, 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, a string, b string, most int").select(
+        "i", "most", linededup.characters("a").alias("x"), linededup.characters("b").alias("y"))
+    cut = materialise(df, "test-reach").select("i", linededup.edits_reach(F.col("x"), F.col("y"), 3, F.col("most")).alias("n"))
+    got = {r.i: r.n for r in cut.collect()}
+    for i, a, b, most in rows:
+        known = [j for j in range(len(a) + 1) if min(distance(a[:j], b[:e]) for e in range(len(b) + 1)) <= most]
+        assert got[i] == known[-1] if len(a) <= 10 else got[i] >= known[-1]  # the end of y is out of reach from 10 characters
+
+
+@pytest.mark.parametrize("all_links,reach", [(True, 32), (False, 32), (True, 3), (False, 3)])
+def test_copies_that_differ_in_other_places_do_not_meet(spark, monkeypatch, all_links, reach):
+    """One word is replaced in each copy, by its own letters: lengths, letters and distances from the hub are the same."""
+    monkeypatch.setattr(linededup, "HOT", 3)
+    monkeypatch.setattr(linededup, "REACH", reach)
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(14)]
+    base = " ".join(words)
+    lines = [base] + [base[:i] + "#" + base[i + 1:] for i in range(3, 100, 12)] + [base[:i] + base[i - 1] + base[i:] for i in range(5, 100, 20)]
+    for i, word in enumerate(words):
+        for turned in (word[::-1], word[3:] + word[:3]):
+            copy = " ".join(words[:i] + [turned] + words[i + 1:])
+            lines += [copy, copy[:8 * i + 2] + "!" + copy[8 * i + 3:], copy[:50] + copy[51:]]
+    lines = list(dict.fromkeys(lines))
+    rows = spark.createDataFrame(list(enumerate(lines)), "no long, line string").select("no", "line", F.length("line").alias("n"))
+    rows = materialise(rows.withColumns({"h1": F.col("no"), "h2": F.lit(0).cast("long")}), "test-lines")
+    tested = []
+    real = linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, name, *a: tested.append((name, out := real(df, name, *a))) or out)
+    got = {(r.a1, r.b1) for r in linededup.class_links(rows, ((16, 1), (60, 2)), all_links).collect()}
+    want = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if distance(lines[a], lines[b]) <= 2}
+    assert got == want if all_links else got <= want and classes(got, range(len(lines))) == classes(want, range(len(lines)))
+    assert len(want) > 100
+    if reach == 32:
+        pairs = next(df for name, df in tested if name == "line-candidates").count()
+        assert pairs <= len(want) + 5 * len(lines), (pairs, len(want), len(lines))
